@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, mixing, packing, quality, sharding, token_files, toxicity
+from . import html_text, minhash_dedup, mixing, packing, quality, sharding, token_files, toxicity
 from .storage import new_path
 
 
@@ -38,6 +38,11 @@ def op5_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "chars_per_token", "byte_share", "token_entropy")
 
 
+def op7_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = minhash_dedup.grouped(table(spark, sf_dir, "documents"), k=2, least=80)
+    return groups.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), "kept")
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     weights, bias = toxicity.model(docs, table(spark, sf_dir, "labels"))
@@ -68,7 +73,7 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_documents(spark, path).select(F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extraction, op3_sharding, op4_packing, op5_fertility, op6_token_files, op8_toxicity, op9_mixing)}
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op3_sharding, op4_packing, op5_fertility, op6_token_files, op7_hyperminhash, op8_toxicity, op9_mixing)}
 
 ORACLE_SQL = {
     "op9_mixing": r"""
