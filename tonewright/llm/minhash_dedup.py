@@ -20,9 +20,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import dealt
 from .components import components
 from .hyperminhash import REGISTERS, band_keys, estimate, floor_of, shingle_set, signature, sketch
 from .storage import materialise
@@ -151,26 +152,9 @@ def exact_links(clusters: DataFrame, docs: DataFrame, k: int, least: int) -> Dat
     A cluster is cut into classes of set sizes, each a quarter wider than the last, and these into blocks; only blocks
     of the same or of neighbouring classes can hold links, and each pair of such blocks is one group.
     """
-    classed = clusters.withColumn("class", F.floor(F.log("n_shingles") / np.log(100 / least) - 1e-9))
-    counts = classed.groupBy("component", "class").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    above = counts.select("component", (F.col("class") - 1).alias("class"), F.col("blocks").alias("above"))
-    below = counts.select("component", (F.col("class") + 1).alias("class"), F.col("blocks").alias("below"))
-    met = classed.join(counts, ["component", "class"]).join(above, ["component", "class"], "left").join(below, ["component", "class"], "left")
-
-    def block(shift: int, nth: Column) -> Column:
-        return F.struct((F.col("class") + shift).cast("long"), nth.cast("int")).cast("struct<a:bigint,b:int>")
-
-    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    mine = block(0, F.col("block"))
-
-    def with_blocks(shift: int, n: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), n - 1), lambda j: F.struct(F.least(mine, block(shift, j)).alias("first"), F.greatest(mine, block(shift, j)).alias("second")))
-
-    kind = "array<struct<first:struct<a:bigint,b:int>,second:struct<a:bigint,b:int>>>"
-    none = F.array().cast(kind)
-    groups = F.concat(with_blocks(0, F.col("blocks")).cast(kind), *[F.when(F.col(n).isNotNull(), with_blocks(shift, F.col(n)).cast(kind)).otherwise(none) for shift, n in ((1, "above"), (-1, "below"))])
-    dealt = met.withColumn("block", own).select("id", F.col("component").alias("cluster"), F.explode(groups).alias("g")).select("id", "cluster", F.to_json("g.first").alias("first"), F.to_json("g.second").alias("second"))
-    rows = dealt.join(docs, "id").repartition("cluster", "first", "second").sortWithinPartitions("cluster", "first", "second", "id")
+    position = F.floor(F.log("n_shingles") / np.log(100 / least) - 1e-9)
+    pairs = dealt(clusters.select("id", "n_shingles", F.col("component").alias("cluster")), "cluster", position, "id", BLOCK_ROWS, "n_shingles", BLOCK_SHINGLES)
+    rows = pairs.join(docs, "id").repartition("cluster", "first", "second").sortWithinPartitions("cluster", "first", "second", "id")
     return rows.select("cluster", "first", "second", "id", "text").mapInArrow(_links(k, least), "a long, b long")
 
 

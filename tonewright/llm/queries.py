@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, minhash_dedup, mixing, packing, quality, sharding, token_files, toxicity
+from . import embedding_dedup, html_text, minhash_dedup, mixing, packing, quality, sharding, token_files, toxicity
 from .storage import new_path
 
 
@@ -18,6 +18,11 @@ def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op2_collision_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = embedding_dedup.grouped(table(spark, sf_dir, "embeddings"), least=0.93)
+    return groups.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), "kept")
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     rows = sharding.assigned(docs, 24, new_path(spark, "slot_map"))
@@ -73,7 +78,7 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_documents(spark, path).select(F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extraction, op3_sharding, op4_packing, op5_fertility, op6_token_files, op7_hyperminhash, op8_toxicity, op9_mixing)}
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_collision_counting, op3_sharding, op4_packing, op5_fertility, op6_token_files, op7_hyperminhash, op8_toxicity, op9_mixing)}
 
 ORACLE_SQL = {
     "op9_mixing": r"""
