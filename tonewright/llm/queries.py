@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, html_text, minhash_dedup, mixing, packing, quality, sharding, token_files, toxicity
+from . import embedding_dedup, html_text, minhash_dedup, mixing, packing, phrase_dedup, quality, sharding, token_files, toxicity
 from .storage import new_path
 
 
@@ -78,7 +78,12 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_documents(spark, path).select(F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_collision_counting, op3_sharding, op4_packing, op5_fertility, op6_token_files, op7_hyperminhash, op8_toxicity, op9_mixing)}
+def op10_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = phrase_dedup.summary(table(spark, sf_dir, "documents"), window=20)
+    return left.select(F.col("id").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
+
+
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_collision_counting, op3_sharding, op4_packing, op5_fertility, op6_token_files, op7_hyperminhash, op8_toxicity, op9_mixing, op10_phrase_automata)}
 
 ORACLE_SQL = {
     "op9_mixing": r"""
