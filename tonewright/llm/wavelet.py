@@ -94,7 +94,10 @@ class WaveletMatrix:
 
     def count(self, token: int, lo: int = 0, hi: int | None = None) -> int:
         """Occurrences of a token in places lo to hi."""
-        a, b = self._range(token, lo, self.n if hi is None else hi)
+        lo, hi = max(0, lo), self.n if hi is None else min(hi, self.n)
+        if lo >= hi:
+            return 0
+        a, b = self._range(token, lo, hi)
         return b - a
 
     def select(self, token: int, nth: int) -> int:
