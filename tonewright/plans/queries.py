@@ -291,6 +291,12 @@ def _sql(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+def _esc(text: str) -> str:
+    for raw, safe in (("'&'", "&amp;"), ("'<'", "&lt;"), ("'>'", "&gt;"), ("'\"'", "&quot;"), ("chr(10)", "<br/>")):
+        text = f"replace({text}, {raw}, '{safe}')"
+    return text
+
+
 _LEX = ", ".join("(" + ", ".join(map(_sql, row)) + ")" for row in LEXICON)
 #: Hits of the lexicon in trimmed texts, and each text's label and severity; k says how its answer is damaged.
 _BASE = rf"""
@@ -337,6 +343,7 @@ ORACLE_SQL = {
     "outcomes": _BASE + "SELECT text_id, CASE WHEN length(text) BETWEEN 1 AND 5000 AND k <= 5 THEN 'result' ELSE 'reject' END AS status, CASE WHEN length(text) NOT BETWEEN 1 AND 5000 THEN 'gate' WHEN k = 6 THEN 'validate' WHEN k = 7 THEN 'parse' END AS stage, CASE WHEN text = '' THEN 'empty' WHEN length(text) > 5000 THEN 'too_long' WHEN k = 6 THEN 'schema_mismatch' WHEN k = 7 THEN 'not_json' END AS reason FROM d",
     "top_texts": _BASE + "SELECT text_id, level AS severity, n_high FROM t WHERE k <= 5 ORDER BY level DESC, n_high DESC, text_id LIMIT 20",
     "explode_segments": _BASE + "SELECT text_id, phrase AS original, replacement, severity, bias_type, reasoning, start, stop AS \"end\" FROM hits WHERE k <= 5",
+    "mark_original": _BASE + f"SELECT d.text_id, md5(coalesce(marks, '') || {_esc('substr(d.text, coalesce(last_stop, 0) + 1)')}) AS html_md5 FROM d LEFT JOIN (SELECT text_id, max(stop) AS last_stop, string_agg({_esc('substr(text, before + 1, start - before)')} || '<mark class=\"severity-' || severity || '\">' || {_esc('substr(text, start + 1, stop - start)')} || '</mark>', '' ORDER BY start) AS marks FROM (SELECT h.*, d.text, coalesce(lag(stop) OVER (PARTITION BY h.text_id ORDER BY start), 0) AS before FROM hits h JOIN d USING (text_id)) GROUP BY text_id) m ON m.text_id = d.text_id",
     "mark_rewrite": _BASE + "SELECT text_id, coalesce('Now:' || ' ' || html, 'Now: ') AS html FROM d LEFT JOIN (SELECT text_id, string_agg('<mark class=\"replaced\">' || replacement || '</mark>', ' &amp; ' ORDER BY start) AS html FROM (SELECT * FROM hits) GROUP BY text_id) USING (text_id)",
     "review_report": _BASE + "SELECT text_id, coalesce('Segments found: ' || n || chr(10) || each, 'No biased segments.' || chr(10)) || chr(10) || 'Neutral rewrite:' || chr(10) || '(as above)' AS report FROM d LEFT JOIN (SELECT text_id, count(*) AS n, string_agg('[' || nr || '] ' || upper(severity) || chr(10) || 'Original: ' || phrase || chr(10) || 'Replacement: ' || replacement || chr(10) || 'Bias type: ' || bias_type || chr(10) || 'Reasoning: ' || reasoning, chr(10) ORDER BY nr) AS each FROM (SELECT *, row_number() OVER (PARTITION BY text_id ORDER BY start) AS nr FROM hits) GROUP BY text_id) USING (text_id)",
     "rewrite_fidelity": _BASE + "SELECT text_id, text_id % 5 != 0 AS faithful FROM d",
