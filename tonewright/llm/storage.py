@@ -1,32 +1,5 @@
-"""Tables that cut lineage, in the folder that the driver and all executors share."""
+"""Tables that cut lineage; see tonewright.storage."""
 
-from __future__ import annotations
+from ..storage import materialise, new_path, shared_folder
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; where that is unset (tests), a new local one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="spark-tonewright-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/tonewright/{uuid.uuid4().hex}/{name}"
-
-
-def materialise(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Write df once as Parquet and read it back.
-
-    What follows neither runs df's plan again nor needs an executor that ran it, so the result survives lost
-    executors, and columns that nothing reads are not read.
-    """
-    path = new_path(df.sparkSession, name)
-    df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["materialise", "new_path", "shared_folder"]
