@@ -18,6 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .storage import materialise
 from .tokens import encoder, slices, words_without_space
 from .wavelet import WaveletMatrix, build
 
@@ -59,24 +60,13 @@ def write_shards(docs: DataFrame, path: str, vocabulary: str, end_id: int, shard
 
 
 def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["part", "seq", "id", "before", "n_tokens", "ids"]
     for batch in batches:
         for row in range(batch.num_rows):
-            one = {k: batch.column(k)[row].as_py() for k in ("part", "seq", "doc_ids", "lengths", "file")}
-            ids, lengths = WaveletMatrix(one["file"]).tokens().astype("<u4"), one["lengths"]
+            one = {k: batch.column(k)[row].as_py() for k in ("first", "doc_ids", "lengths", "file")}
+            ids, lengths = WaveletMatrix(one["file"]).tokens().astype("<u4"), np.array(one["lengths"], np.int64)
             ends = np.cumsum(lengths)
-            n = len(lengths)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([one["part"]] * n, pa.int32()),
-                    pa.array([one["seq"]] * n, pa.int32()),
-                    pa.array(one["doc_ids"], pa.int64()),
-                    pa.array(ends - lengths, pa.int64()),
-                    pa.array(lengths, pa.int64()),
-                    pa.array([ids[e - k : e].tobytes() for e, k in zip(ends, lengths)], pa.binary()),
-                ],
-                names=names,
-            )
+            texts = [ids[e - k : e].tobytes() for e, k in zip(ends, lengths)]
+            yield pa.RecordBatch.from_arrays([pa.array(one["doc_ids"], pa.int64()), pa.array(one["first"] + ends - lengths, pa.int64()), pa.array(lengths, pa.int64()), pa.array(texts, pa.binary())], names=["id", "start", "n_tokens", "ids"])
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -89,8 +79,9 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     parts = parts.select("part", F.coalesce(F.sum("n").over(lower), F.lit(0)).alias("part_start"))
     within = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("part", "seq", F.coalesce(F.sum("n_tokens").over(within), F.lit(0)).alias("shard_start")).join(parts, "part").select("part", "seq", (F.col("part_start") + F.col("shard_start")).alias("first"))
-    rows = shards.select("part", "seq", "doc_ids", "lengths", "file").mapInArrow(_decoded, "part int, seq int, id long, before long, n_tokens long, ids binary")
-    return rows.join(starts, ["part", "seq"]).select("id", (F.col("first") + F.col("before")).alias("start"), "n_tokens", "ids")
+    # One short row a shard is written first: shards meet it before they are decoded, and it is broadcast where it is small.
+    begun = shards.join(materialise(starts, "starts"), ["part", "seq"]).select("first", "doc_ids", "lengths", "file")
+    return begun.mapInArrow(_decoded, "id long, start long, n_tokens long, ids binary")
 
 
 def token_at(shards: DataFrame, places: DataFrame) -> DataFrame:
