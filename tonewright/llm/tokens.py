@@ -11,20 +11,22 @@ import re
 from array import array
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 
 #: Words whose ids a worker keeps; at about 250 bytes each, a bound on its memory.
-CACHE_WORDS = 800_000
+CACHE_WORDS = 1_000_000
+#: Words that are encoded as one text.
+TOGETHER = 512
 #: UTF-8 bytes of text that are split into words at a time.
 SLICE_BYTES = 1 << 20
-_UNEVEN = re.compile(r"\s\s|[^\S \n]|\A\s|\s\Z|\0")
 _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
 
 
 def words_kept_with_space(text: str) -> list:
     """Pieces for byte-level BPE: a word keeps the one space before it, a single line break stands alone."""
-    if _UNEVEN.search(text):  # runs of white space, or rare kinds: cut before single spaces and breaks only
-        return _CUT.split(text)
+    if len(text.split()) != text.count(" ") + text.count("\n") + 1 or "\0" in text:
+        return _CUT.split(text)  # runs of white space, or rare kinds: cut before single spaces and breaks only
     return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0") if text else []
 
 
@@ -33,6 +35,15 @@ def words_without_space(text: str) -> list:
     return text.encode("utf-8", "surrogatepass").lower().split()
 
 
+def stop_cut(word: str | bytes) -> bool:
+    """Whether a word is a Latin letter and one full stop or comma at its end: both vocabularies cut there."""
+    if len(word) < 2:
+        return False
+    if isinstance(word, bytes):
+        return word[-1] in b".," and (word[-2:-1].isalpha() or len(word) > 2 and word[-3] == 0xC3 and 0x80 <= word[-2] <= 0xBF and word[-2] not in (0x97, 0xB7))
+    return word[-1] in ".," and word[-2] < "\u0100" and word[-2].isalpha() and word[-2] not in "\u00aa\u00ba\u00b5"
+
+
 class WordEncoder:
     """texts -> ids as bytes (little-endian unsigned 32-bit), with a cache of words."""
 
@@ -40,17 +51,44 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.pieces, self.known = Tokenizer.from_file(path), pieces, {}
+        spaced = pieces is words_kept_with_space
+        size = self.tokenizer.get_vocab_size()
+        tokens = [self.tokenizer.id_to_token(i) or "" for i in range(size)]
+        # Tokens that begin a word, or end one: they part the ids of words that are encoded as one text.
+        self.edge, self.at_start = np.array([t.startswith("\u0120") if spaced else t.endswith("</w>") for t in tokens]), spaced
+
+    def plain(self, word: str) -> bool:
+        """Whether a word surely has one such token, whatever stands beside it."""
+        return len(word) > 1 and word[0] == " " and word[1:].isprintable() and " " not in word[1:] if self.at_start else word.isalpha()
+
+    def learn(self, words: set) -> None:
+        decoded = [(w, w.decode("utf-8", "surrogatepass") if isinstance(w, bytes) else w) for w in words]
+        together = [x for x in decoded if self.plain(x[1])]
+        alone = [x for x in decoded if not self.plain(x[1])]
+        parts = [together[at : at + TOGETHER] for at in range(0, len(together), TOGETHER)]
+        texts = [("" if self.at_start else " ").join([w for _, w in part]) for part in parts]
+        for part, coded in zip(parts, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+            ids = np.array(coded.ids, "<u4")
+            edges = np.flatnonzero(self.edge[ids])
+            if len(edges) != len(part):
+                alone += part
+                continue
+            cuts = [*(edges * 4).tolist(), 4 * len(ids)] if self.at_start else [0, *((edges + 1) * 4).tolist()]
+            raw = ids.tobytes()
+            self.known.update((w, raw[a:b]) for (w, _), a, b in zip(part, cuts, cuts[1:]))
+        for at in range(0, len(alone), 4096):
+            coded = self.tokenizer.encode_batch_fast([w for _, w in alone[at : at + 4096]], add_special_tokens=False)
+            self.known.update((w, array("I", e.ids).tobytes()) for (w, _), e in zip(alone[at : at + 4096], coded))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         split = [self.pieces(t) for t in texts]
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
-        new = list(set().union(*split).difference(self.known)) if split else []
+        new = set().union(*split).difference(self.known) if split else ()
         if new:
-            plain = [w.decode("utf-8", "surrogatepass") if isinstance(w, bytes) else w for w in new]
-            for at in range(0, len(new), 4096):
-                coded = self.tokenizer.encode_batch_fast(plain[at : at + 4096], add_special_tokens=False)
-                self.known.update((w, array("I", e.ids).tobytes()) for w, e in zip(new[at : at + 4096], coded))
+            stopped = [w for w in new if stop_cut(w)]
+            self.learn(new.difference(stopped).union([w[:-1] for w in stopped], [w[-1:] for w in stopped]).difference(self.known))
+            self.known.update((w, self.known[w[:-1]] + self.known[w[-1:]]) for w in stopped)
         get = self.known.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
