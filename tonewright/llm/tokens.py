@@ -7,6 +7,7 @@ surely cuts, so the ids equal those of the whole text.
 
 from __future__ import annotations
 
+import os
 import re
 from array import array
 from collections.abc import Callable, Iterator
@@ -48,6 +49,7 @@ class WordEncoder:
     """texts -> ids as bytes (little-endian unsigned 32-bit), with a cache of words."""
 
     def __init__(self, path: str, pieces: Callable[[str], list]):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the threads; the library's own only wait for work
         from tokenizers import Tokenizer
 
         self.tokenizer, self.pieces, self.known = Tokenizer.from_file(path), pieces, {}
@@ -59,12 +61,13 @@ class WordEncoder:
 
     def plain(self, word: str) -> bool:
         """Whether a word surely has one such token, whatever stands beside it."""
-        return len(word) > 1 and word[0] == " " and word[1:].isprintable() and " " not in word[1:] if self.at_start else word.isalpha()
+        return word[:1] == " " != word and word.isprintable() and word.count(" ") == 1 if self.at_start else word.isalpha()
 
     def learn(self, words: set) -> None:
-        decoded = [(w, w.decode("utf-8", "surrogatepass") if isinstance(w, bytes) else w) for w in words]
-        together = [x for x in decoded if self.plain(x[1])]
-        alone = [x for x in decoded if not self.plain(x[1])]
+        together, alone = [], []
+        for w in words:
+            word = w.decode("utf-8", "surrogatepass") if isinstance(w, bytes) else w
+            (together if self.plain(word) else alone).append((w, word))
         parts = [together[at : at + TOGETHER] for at in range(0, len(together), TOGETHER)]
         texts = [("" if self.at_start else " ").join([w for _, w in part]) for part in parts]
         for part, coded in zip(parts, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
