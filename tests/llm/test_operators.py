@@ -275,6 +275,24 @@ def test_large_blocks_are_cut(spark, monkeypatch):
     test_near_duplicates_equal_brute_force(spark, 2)
 
 
+def test_dissimilar_heads_hide_no_pair(spark, monkeypatch):
+    """Documents drawn from common passages share buckets by chance, so a bucket's first one is rarely a near copy."""
+    monkeypatch.setattr(minhash_dedup, "BLOCK_ROWS", 4)
+    pick = np.random.default_rng(11)
+    n, words = 2000, 1200
+    drawn = pick.random((n, words)) < 0.5
+    twins = pick.random((12, words)) < 0.5
+    others = twins ^ (pick.random((12, words)) < 0.08)
+    drawn = np.concatenate([drawn, twins, others])
+    both = drawn.astype(np.int64) @ drawn.T.astype(np.int64)
+    size = drawn.sum(1)
+    i, j = np.nonzero(np.triu(100 * both >= 80 * (size[:, None] + size - both), 1))
+    assert len(i) >= 10 and (j - i == 12).all()
+    rows = [(k, " ".join(f"w{w}" for w in np.flatnonzero(d))) for k, d in enumerate(drawn)]
+    found = {r["id"]: r["component"] for r in minhash_dedup.grouped(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), k=1).collect()}
+    assert found == {k: k for k in range(len(drawn))} | dict(zip(j.tolist(), i.tolist()))
+
+
 def test_sketches_estimate_similarity():
     pick = random.Random(4)
     words = [str(i) for i in range(4000)]

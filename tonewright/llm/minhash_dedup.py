@@ -2,7 +2,9 @@
 
 1. Each document's shingle set becomes a sketch of compressed registers. Documents with equal sets are one class.
 2. Bands of registers bring classes together; in every bucket each class is paired with the bucket's first one. Pairs
-   whose collision-corrected similarity estimate can still reach the threshold make candidate clusters.
+   whose collision-corrected similarity estimate can still reach the threshold make candidate clusters. Buckets whose
+   classes these leave in several clusters are compared whole, in blocks: all pairs but those within the bucket's
+   largest cluster.
 3. In a cluster all full sets are compared exactly, in blocks of bounded size and only where their sizes allow a link:
    no list of pairs is made, a block sends back links that connect what it found.
 4. The links' components are the result.
@@ -53,11 +55,16 @@ def sketches(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
     return source.mapInArrow(run, "id long, n_shingles long, signature binary, registers binary, keys array<long>")
 
 
-def candidate_pairs(classes: DataFrame) -> DataFrame:
+def shared_buckets(classes: DataFrame) -> DataFrame:
+    """Classes in buckets of two or more: id, bucket (a hash of band and key), the bucket's first class and its size."""
+    bands = classes.select("id", F.posexplode("keys").alias("band", "key")).select("id", F.xxhash64("band", "key").alias("bucket"))
+    first = bands.groupBy("bucket").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    return bands.join(first, "bucket").select("id", "bucket", "first", "n")
+
+
+def candidate_pairs(shared: DataFrame) -> DataFrame:
     """Pairs of each class with the first class of each of its buckets, once each."""
-    bands = classes.select("id", F.posexplode("keys").alias("band", "key"))
-    first = bands.groupBy("band", "key").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return bands.join(first, ["band", "key"]).where("id != first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
+    return shared.where("id != first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
 
 
 def similar_pairs(pairs: DataFrame, classes: DataFrame, least: int) -> DataFrame:
@@ -76,6 +83,60 @@ def similar_pairs(pairs: DataFrame, classes: DataFrame, least: int) -> DataFrame
     return met.mapInArrow(run, "a long, b long")
 
 
+def _bucket_links(least: int):
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def links_of(rows: list[tuple]) -> list[tuple[int, int]]:
+        ids, sizes, own = (np.array(c, np.int64) for c in zip(*(r[:3] for r in rows)))
+        registers = np.frombuffer(b"".join(r[3] for r in rows), np.uint16).reshape(-1, REGISTERS)
+        side = np.array([r[4] for r in rows])
+        other = bool((side != side[0]).any())  # two blocks meet; else a block meets itself
+        out = []
+        for i in np.flatnonzero(side == side[0]) if other else range(len(ids)):
+            apart = (own != own[i]) & (100 * np.minimum(sizes, sizes[i]) >= least * np.maximum(sizes, sizes[i]))
+            apart &= (side != side[0]) if other else (np.arange(len(ids)) > i)
+            at = np.flatnonzero(apart)
+            if not len(at):
+                continue
+            for j in at[estimate(registers[at], registers[i]) >= floor_of(sizes[at], sizes[i], least / 100)]:
+                if own[i] != own[j]:  # links that connect are enough
+                    out.append((int(ids[i]), int(ids[j])))
+                    own[own == own[j]] = own[i]
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, rows = None, []
+        for batch in batches:
+            found = []
+            for own, row in zip(zip(*(batch.column(c).to_pylist() for c in ("bucket", "first", "second"))), zip(*(batch.column(c).to_pylist() for c in ("id", "n_shingles", "component", "registers", "block")))):
+                if own != key:
+                    found += links_of(rows) if len(rows) > 1 else []
+                    key, rows = own, []
+                rows.append(row)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], schema=schema)
+        if len(rows) > 1 and (found := links_of(rows)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], schema=schema)
+
+    return run
+
+
+def bucket_links(shared: DataFrame, found: DataFrame, classes: DataFrame, least: int) -> DataFrame:
+    """Further pairs whose estimate can reach the threshold, of buckets whose classes lie in several of the clusters found.
+
+    Every pair of such a bucket is compared but those within its largest cluster and those that already are connected.
+    Buckets of the same classes count once.
+    """
+    many = shared.where("n > 2").join(found, "id", "left").select("id", "bucket", F.coalesce("component", "id").alias("component"))
+    parts = many.groupBy("bucket", "component").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("mark"))
+    buckets = parts.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.sum("n").alias("n"), F.count("*").alias("parts"), F.bit_xor("mark").alias("mark")).where("parts > 1")
+    once = buckets.groupBy("n", "mark").agg(F.min(F.struct("bucket", "largest")).alias("b")).select("b.*")
+    rows = materialise(many.join(once, "bucket").select("id", "bucket", "component", (F.col("component") == F.col("largest")).alias("inner")), "open_buckets")
+    pairs = dealt(rows, "bucket", F.col("inner").cast("int"), "id", BLOCK_ROWS, within=~F.col("inner"))
+    met = pairs.join(classes.select("id", "n_shingles", "registers"), "id").repartition("bucket", "first", "second").sortWithinPartitions("bucket", "first", "second")
+    return met.select("bucket", "first", "second", "id", "n_shingles", "component", "registers", "block").mapInArrow(_bucket_links(least), "a long, b long")
+
+
 def close_pairs(sets: list[np.ndarray], least: int) -> list[tuple[int, int]]:
     """Positions of all pairs of sets with 100 * intersection >= least * union, exactly."""
     sizes = np.array([len(s) for s in sets])
@@ -164,7 +225,9 @@ def grouped(docs: DataFrame, k: int = SHINGLE_WORDS, least: int = LEAST, id_col:
     members = made.groupBy("signature").agg(F.min("id").alias("class"), F.count("*").alias("n")).where("signature IS NOT NULL AND class IS NOT NULL")
     classes = made.where("signature IS NOT NULL").join(members, "signature").where("id = class").dropDuplicates(["id"])
     classes = materialise(classes.select("id", "n_shingles", "registers", "keys"), "classes")
-    similar = similar_pairs(candidate_pairs(classes.select("id", "keys")), classes, least)
+    shared = materialise(shared_buckets(classes.select("id", "keys")), "shared_buckets")
+    similar = materialise(similar_pairs(candidate_pairs(shared), classes, least), "similar")
+    similar = similar.unionByName(bucket_links(shared, components(similar), classes, least))
     clusters = components(similar).join(classes.select("id", "n_shingles"), "id")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     found = components(exact_links(materialise(clusters, "clusters"), texts, k, least)).select(F.col("id").alias("class"), "component")
