@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tonewright.llm import embedding_dedup, html_text, hyperminhash, minhash_dedup, mixing, packing, phrase_dedup, quality, sharding, token_files, toxicity
+from tonewright.llm import embedding_dedup, html_text, hyperminhash, minhash_dedup, mixing, packing, phrase_dedup, quality, sharding, token_files, tokens, toxicity
 from tonewright.llm.components import components
 from tonewright.llm.wavelet import WaveletMatrix, build
 from tonewright.llm.words import hashed_words, window_hashes
@@ -167,6 +167,13 @@ def test_packing_holds_every_id_once(spark):
     assert packing.packed(empty(spark), public_tokenizers.path("byte_bpe_50k.json")).count() == 0
 
 
+def test_rare_white_space_hides_no_runs_of_breaks():
+    texts = ["a\tb\tc\n\n\nd", "x\u00a0y\u00a0z\n\n\nnext", "a\u2003b\n\nc", "a\x1cb  c", " a b", "a b\n", "a b\nc d", "\n", ""]
+    encode = tokens.WordEncoder(public_tokenizers.path("byte_bpe_50k.json"), tokens.words_kept_with_space)
+    want = [ids[:-1].tobytes() for ids in ids_of("byte_bpe_50k.json", texts, 0)]
+    assert encode(texts) == want and [encode([t])[0] for t in texts] == want
+
+
 def test_bounded_windows_emit_the_fullest():
     windows = packing.OpenWindows(0, 10, 2)
     assert [windows.place(n) for n in (6, 7, 3, 5)] == [(0, 0, None), (1, 0, None), (1, 7, None), (2, 0, None)]

@@ -26,8 +26,8 @@ _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
 
 def words_kept_with_space(text: str) -> list:
     """Pieces for byte-level BPE: a word keeps the one space before it, a single line break stands alone."""
-    if len(text.split()) != text.count(" ") + text.count("\n") + 1 or "\0" in text:
-        return _CUT.split(text)  # runs of white space, or rare kinds: cut before single spaces and breaks only
+    if " ".join(text.split()) != text.replace("\n", " ") or "\0" in text:
+        return _CUT.split(text)  # white space but single spaces and breaks within: cut before single ones only
     return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0") if text else []
 
 
