@@ -70,6 +70,14 @@ def test_html_main_text(spark):
     assert {r["page_id"]: len(r["text"]) > 0 for r in html_text.extracted(pages).collect()} == {1: True, 2: False}
 
 
+@pytest.mark.parametrize("shape", ["<div id=x>{0}<div>{1}</div>{0}</div>", "<table><tr><td>{0}</td></tr><tr><td>{1}</td></tr></table>{0}", "{0}<section>{1}</section>{0}", "<div>{1}</div><div class=advert>Buy</div>{0}", "{1}<div class=advert>Buy</div><p>End.</p>"])
+def test_html_without_article_keeps_all_but_asides(shape):
+    short, long = "<p>" + "intro words " * 8 + "</p>", "<p>" + "many words " * 80 + "</p>"
+    page = "<body><nav>Menu</nav>" + shape.format(short, long) + "<footer>f</footer></body>"
+    want = re.findall(r"<p>(.*?)\s*</p>", page)
+    assert html_text.main_text(page) == "\n\n".join(want)
+
+
 # --- 2
 
 

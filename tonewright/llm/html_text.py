@@ -3,8 +3,9 @@
 Markup is stripped to lines (one a block element). What menus, headers, footers, sidebars, notices, adverts, forms,
 comments and the like hold counts as blank lines. Text lengths are summed over a sliding window of lines; a stretch
 runs from where the sum leaves zero to where it falls back to it, and surges where the sum passes a threshold. The
-stretch with the most text shows which container holds the article; the result is the text of all stretches in that
-container, in page order, so short paragraphs, headings and what follows an advert in the article are kept.
+stretch with the most text shows which article or main element holds the article; the result is the text of all
+stretches in it, in page order, so short paragraphs, headings and what follows an advert in the article are kept. On
+pages without such an element nothing says where the article ends, so all lines but the blank ones are kept.
 
 Edge cases: a null or empty page has an empty text; unclosed tags, comments and quotes end where a browser would end
 them or with the page; without any markup the whole text is one block.
@@ -25,8 +26,6 @@ from .tokens import slices
 #: Lines whose lengths are summed, and the sum at which a stretch counts as text.
 WINDOW_LINES = 3
 SURGE_CHARS = 80
-#: Share of the surging text that marks the article's container where no element says so.
-MOST = 0.8
 
 _MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
 _ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -40,7 +39,6 @@ _BLOCK = frozenset(
 #: Elements that a block start closes, or another of their own kind.
 _SHORT = {"p": _BLOCK, "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "option": frozenset(["option"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "tr": frozenset(["tr"])}
 _ASIDE = frozenset("nav header footer aside form button fieldset dialog menu head legend label input".split())
-_HOLDERS = frozenset("article body center div html main section table tbody td tr".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 #: Words of a class or id that say what an element is for.
 _NAMES = frozenset(
@@ -218,18 +216,8 @@ def main_text(page: str | None) -> str:
         kept = [i for i in texts if any(number == holder for number, _ in lines[i][2])]
         if not any(lines[i][3] == "h1" for i in kept):
             kept = [i for i in texts if i < kept[0] and lines[i][3] == "h1" and any(name in ("main", "article") for _, name in lines[i][2])] + kept
-    else:
-        # Without such an element: the innermost container with most of the surging text. In one that spans the page,
-        # only the stretches that surge are kept.
-        surging = [r for r in runs if r == best or r[2] >= SURGE_CHARS]
-        inside = [i for r in surging for i in range(r[0], r[1]) if lines[i][0]]
-        total, held = sum(lines[i][1] for i in inside), {}
-        for i in inside:
-            for depth, (number, name) in enumerate(lines[i][2]):
-                if name in _HOLDERS:
-                    held[depth, number, name] = held.get((depth, number, name), 0) + lines[i][1]
-        _, holder, name = max((k for k, n in held.items() if n >= MOST * total), default=(0, None, "body"))
-        kept = [i for i in (inside if name in ("body", "html") else texts) if holder is None or any(number == holder for number, _ in lines[i][2])]
+    else:  # no element says where the article ends: all that isn't an aside
+        kept = texts
     return "\n\n".join(lines[i][0] for i in kept)
 
 
