@@ -78,6 +78,17 @@ def test_html_without_article_keeps_all_but_asides(shape):
     assert html_text.main_text(page) == "\n\n".join(want)
 
 
+def test_html_names_do_not_drop_the_article():
+    text = "many words " * 40
+    body, want = f"<h1>T</h1><p>{text}</p><p>Short.</p>", f"T\n\n{text.strip()}\n\nShort."
+    for name in ("has-sidebar", "no-sidebar", "content-with-sidebar", "withSidebar", "article-body paywall", "overlay", "main-modal"):
+        for inner in (body, f"<article>{body}</article>", f"<div class='related'>Other pages</div>{body}<div class='sidebar'><p>Side</p></div>"):
+            assert html_text.main_text(f"<body><nav>Menu</nav><div class='{name}'>{inner}</div><div class='cookie-notice'>We use cookies</div></body>") == want, (name, inner)
+    assert html_text.main_text(f"<body><article><h1>T</h1><div class='paywall'><p>{text}</p><p>Short.</p></div></article><p>{text[:99]}</p></body>") == want
+    assert html_text.main_text(f"<article>{body}</article><div class=sidebar><article>A teaser</article></div>") == want
+    assert html_text.main_text(f"<div>{body}</div><div id=comments><p>{text * 3}</p></div>") == want
+
+
 # --- 2
 
 

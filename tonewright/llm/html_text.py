@@ -1,7 +1,8 @@
 """Main text of HTML pages by line-block distribution.
 
 Markup is stripped to lines (one a block element). What menus, headers, footers, sidebars, notices, adverts, forms,
-comments and the like hold counts as blank lines. Text lengths are summed over a sliding window of lines; a stretch
+comments and the like hold counts as blank lines; a container that only a word of its class or id says this of doesn't,
+where the article or most of the unlinked text lies in it. Text lengths are summed over a sliding window of lines; a stretch
 runs from where the sum leaves zero to where it falls back to it, and surges where the sum passes a threshold. The
 stretch with the most text shows which article or main element holds the article; the result is the text of all
 stretches in it, in page order, so short paragraphs, headings and what follows an advert in the article are kept. On
@@ -49,39 +50,67 @@ _NAMES = frozenset(
 #: With one of these beside it, a header or a rail belongs to the article.
 _OWN = frozenset("article post entry story content main body text".split())
 _SOFT = frozenset("header side banner tags notice alert search legal form".split())
+#: Readers' words, however many there are.
+_TALK = frozenset("comment comments commentlist reply replies disqus discussion respond".split())
+#: What follows one of these tells what the page is like, not what the element is for.
+_LIKE = frozenset("has have with without no".split())
 
 
 class _Open:
     __slots__ = ("name", "aside", "number")
 
-    def __init__(self, name: str, aside: bool, number: int):
+    def __init__(self, name: str, aside: str, number: int):
         self.name, self.aside, self.number = name, aside, number
 
 
-def _is_aside(name: str, attributes: str, in_article: bool) -> bool:
-    """Whether an element holds something beside the article."""
+def _aside(name: str, attributes: str, in_article: bool) -> str:
+    """Whether an element holds something beside the article: 'sure', 'talk' or 'named' (by a class or id), or ''."""
     if name in _ASIDE and not (name == "header" and in_article):
-        return True
+        return "sure"
     if not attributes or attributes.isspace():
-        return False
+        return ""
+    named = ""
     for m in _ATTRIBUTE.finditer(attributes):
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if key in ("class", "id"):
             if name in ("html", "body", "article", "main") and key == "class" and not re.search(r"\bcomment", value):
                 continue
             for one in value.split():
-                words = {w.lower() for w in _WORDS.findall(one)}
+                ordered = [w.lower() for w in _WORDS.findall(one)]
+                words = {w for before, w in zip(["", *ordered], ordered) if before not in _LIKE}
                 if hit := words & _NAMES:
                     if not (words & _OWN and hit <= _SOFT):
-                        return True
+                        named = "talk" if hit & _TALK or named == "talk" else "named"
         elif key == "role" and value.lower() in _ROLES or key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-    return False
+            return "sure"
+    return named
+
+
+def _spared(lines: list[tuple[str, int, tuple, str]], named: dict[int, str]) -> set[int]:
+    """Named asides that hold the article after all: a main, the only articles, or more than half of the unlinked text."""
+    total, outside, held, mains, articles = 0, False, {}, set(), set()
+    for text, length, containers, _ in lines:
+        if not text:
+            continue
+        inside = [(at, number) for at, (number, _) in enumerate(containers) if number in named]
+        if any(named[number] == "talk" for _, number in inside):
+            continue
+        total += length
+        last = max((at for at, (number, name) in enumerate(containers) if name in ("article", "main") and number not in named), default=-1)
+        outside |= last >= 0 and not inside
+        for at, number in inside:
+            held[number] = held.get(number, 0) + length
+            if at < last:
+                articles.add(number)
+                if any(name == "main" for _, name in containers[at + 1 : last + 1]):
+                    mains.add(number)
+    return mains | (set() if outside else articles) | {number for number, n in held.items() if 2 * n > total}
 
 
 def page_lines(page: str) -> list[tuple[str, int, tuple, str]]:
     """Lines in page order: text ('' for what stands beside the article), length without link texts, containers, element."""
     lines: list[tuple[str, int, tuple, str]] = []
+    named: dict[int, str] = {}
     open_: list[_Open] = []
     parts: list[str] = []
     state = {"links": 0, "kind": "", "number": 0}
@@ -94,18 +123,22 @@ def page_lines(page: str) -> list[tuple[str, int, tuple, str]]:
         parts.clear()
         state["links"] = 0
 
-    def gap() -> None:
-        lines.extend([("", 0, (), "")] * WINDOW_LINES)
+    def gap(one: _Open) -> None:
+        lines.extend([("", 0, ((one.number, one.name),), "")] * WINDOW_LINES)
 
     def close(upto: int) -> None:
         nonlocal asides
         while len(open_) > upto:
-            if open_.pop().aside:
+            one = open_[-1]
+            if one.number in named:
+                flush()
+            open_.pop()
+            if one.aside == "sure":
                 asides -= 1
                 parts.clear()
                 state["links"] = 0
-                if not asides:
-                    gap()
+            if one.aside and not asides:
+                gap(one)
 
     def take(text: str) -> None:
         if text and not asides:
@@ -159,18 +192,25 @@ def page_lines(page: str) -> list[tuple[str, int, tuple, str]]:
             link_depth = 0
         if name in _VOID:
             continue
-        aside = _is_aside(name, attributes, any(o.name == "article" for o in open_))
+        aside = _aside(name, attributes, any(o.name == "article" for o in open_))
         if block or aside:
-            if aside:
-                if not asides:
-                    flush()
-                    gap()
-                asides += 1
             state["number"] += 1
-            open_.append(_Open(name, aside, state["number"]))
+            one = _Open(name, aside, state["number"])
+            if aside and not asides:
+                flush()
+                gap(one)
+                if aside != "sure":
+                    named[one.number] = aside
+            asides += aside == "sure"
+            open_.append(one)
     if not asides:
         flush()
-    return lines
+    if not named:
+        return lines
+    for number in _spared(lines, named):
+        lines = [x for x in lines if x[0] or x[2][0][0] != number]  # nothing parts it from what stands beside it
+        del named[number]
+    return [x if x[0] and not any(number in named for number, _ in x[2]) else ("", 0, (), "") for x in lines]
 
 
 def stretches(lengths: list[int], width: int = WINDOW_LINES) -> list[tuple[int, int, int]]:
