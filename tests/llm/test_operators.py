@@ -256,6 +256,17 @@ def test_base_counts_and_bands(spark):
     assert quality.judged(empty(spark), public_tokenizers.path("piece_bpe_32k.model")).count() == 0
 
 
+@pytest.mark.parametrize("n", [1, 3, 30, 99, 100])
+def test_languages_with_few_texts_have_their_own_band(spark, n):
+    """A rare script is far from the band of all texts, and keeps its texts however few they are."""
+    pick = random.Random(8)
+    plain = [" ".join(pick.choice(["the", "house", "of", "water", "and", "people"]) + pick.choice("abcdefgh") for _ in range(100)) for _ in range(300)]
+    rare = [" ".join("".join(chr(0x1200 + pick.randrange(300)) for _ in range(pick.randint(2, 6))) for _ in range(100)) for _ in range(n)]
+    rows = [(i, t, "en" if i < len(plain) else "am") for i, t in enumerate(plain + rare)]
+    judged = quality.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string"), public_tokenizers.path("piece_bpe_32k.model"))
+    assert judged.where("`group` = 'am' AND kept").count() == n and judged.where("`group` = 'en' AND kept").count() >= 298
+
+
 # --- 7
 
 

@@ -3,7 +3,9 @@
 A public vocabulary with byte fallback measures each text: characters per token, share of tokens that are single bytes,
 and entropy of its tokens in bits. For each language, quartiles over all texts that pass the base rules give bands; a
 text outside a band of its language is rejected. Tolerances widen for texts with fewer tokens than the language's
-median text, as the square root of their ratio, since short texts scatter more. Languages with few texts share one band.
+median text, as the square root of their ratio, since short texts scatter more, and for languages with few texts, as
+the square root of 1 + FEW_TEXTS / their number, whatever other languages are there: the fewer, the less is rejected, and
+a single text never is.
 
 Base rules: at least 50 words, at most half of them in 3-word windows that occur more than once.
 
@@ -28,8 +30,8 @@ LEAST_WORDS = 50
 #: Half-width of a band in interquartile ranges, and the least range that counts as one, by measure.
 WIDTH = 4.0
 LEAST_RANGE = {"chars_per_token": 0.02, "byte_share": 0.005, "token_entropy": 0.1}
-#: Languages with fewer texts that pass the base rules are judged by the band of all texts.
-LEAST_TEXTS = 100
+#: With so many texts that pass the base rules, a language's tolerances are wider by the square root of two.
+FEW_TEXTS = 100
 _SPACES, _SYMBOLS = " \t\n\x0b\x0c\r", "#*$%&|<>"
 _COLUMNS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_tokens long, chars_per_token double, byte_share double, token_entropy double"
 
@@ -114,26 +116,24 @@ def fails_base() -> Column:
 
 
 def bands(rows: DataFrame) -> DataFrame:
-    """Quartiles of each measure by group, and of all groups as group null; one row a group.
+    """Quartiles of each measure by group; one row a group.
 
     Measures are rounded for this, so that a group's summary has few distinct values however many texts it has.
     """
     good = rows.where(~F.col("base_failed"))
     quarters = [F.percentile(F.round(c, 3), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(c) for c in LEAST_RANGE]
-    return good.select(F.coalesce("group", F.lit("")).alias("key"), *LEAST_RANGE, "n_tokens").rollup("key").agg(F.count("*").alias("n"), F.percentile(F.round(F.log2("n_tokens"), 2), F.lit(0.5)).alias("log_tokens"), *quarters)
+    return good.select(F.coalesce("group", F.lit("")).alias("key"), *LEAST_RANGE, "n_tokens").groupBy("key").agg(F.count("*").alias("n"), F.percentile(F.round(F.log2("n_tokens"), 2), F.lit(0.5)).alias("log_tokens"), *quarters)
 
 
 def judged(docs: DataFrame, vocabulary: str, **columns: str) -> DataFrame:
     """One row a document with its counts, measures, base_failed, in_band and kept."""
     rows = materialise(measured(docs, vocabulary, **columns).withColumn("base_failed", fails_base()), "measures")
-    all_bands = bands(rows)
-    shared = all_bands.where(F.col("key").isNull()).select(*[F.col(c).alias(f"all_{c}") for c in ("log_tokens", *LEAST_RANGE)])
-    own = all_bands.where(F.col("key").isNotNull() & (F.col("n") >= LEAST_TEXTS)).select("key", *[F.col(c).alias(f"own_{c}") for c in ("log_tokens", *LEAST_RANGE)])
-    met = rows.withColumn("key", F.coalesce("group", F.lit(""))).join(own, "key", "left").join(F.broadcast(shared), how="left")
-    widened = F.greatest(F.lit(1.0), F.sqrt(F.pow(F.lit(2.0), F.coalesce("own_log_tokens", "all_log_tokens")) / F.greatest("n_tokens", F.lit(1))))
+    own = bands(rows).select("key", F.col("n").alias("own_n"), *[F.col(c).alias(f"own_{c}") for c in ("log_tokens", *LEAST_RANGE)])
+    met = rows.withColumn("key", F.coalesce("group", F.lit(""))).join(own, "key", "left")
+    widened = F.greatest(F.lit(1.0), F.sqrt(F.pow(F.lit(2.0), F.col("own_log_tokens")) / F.greatest("n_tokens", F.lit(1)))) * F.sqrt(1 + FEW_TEXTS / F.col("own_n"))
     inside = F.lit(True)
     for c, least in LEAST_RANGE.items():
-        quarters = F.coalesce(f"own_{c}", f"all_{c}")
+        quarters = F.col(f"own_{c}")
         reach = F.greatest(quarters[2] - quarters[0], F.lit(least)) * WIDTH * widened
         low, high = quarters[1] - reach, quarters[1] + reach
         inside = inside & (F.col(c) >= low if c == "token_entropy" else F.col(c) <= high if c == "byte_share" else F.col(c).between(low, high))
