@@ -29,3 +29,35 @@ def test_query_equals_sql(spark, name):
     theirs = collections.Counter(tuple(text(r[wanted.columns.index(c)]) for c in columns) for r in wanted.fetchall())
     ours = collections.Counter(tuple(text(r[c]) for c in columns) for r in entry.queries()[name](spark, str(DATA)).collect())
     assert ours == theirs
+
+
+def test_whole_results_are_marked_reported_and_serialised(spark, tmp_path):
+    """On results as they come: long texts, quotes, line breaks, markup, phrases that repeat or stand inside replacements."""
+    import hashlib
+    import html
+    import json
+
+    from tonewright.plans import queries as own
+
+    texts = ["A \"Moron\" & an idiot\nsaid: <b>stupid</b> moron, stupid person!", "a person and a rival met the loser, an IDIOT", "nothing \\ \"here\"\n\n<i>", "é😀 trash\ttrash material " + "worthless words, limited " * 3000, "clown colleague clown"]
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    wanted = {"mark_rewrite_whole": {}, "review_report_whole": {}, "results_json_whole": {}}
+    for i, text in enumerate(texts):
+        text, found, rewrite, at = text.strip(), [], "", 0
+        hits = sorted((text.lower().find(row[0]), row) for row in own.LEXICON if row[0] in text.lower())
+        for start, (phrase, new, severity, kind, why) in hits:
+            found.append({"original": phrase, "replacement": new, "severity": severity, "bias_type": kind, "reasoning": why, "start": start, "end": start + len(phrase)})
+            rewrite, at = rewrite + text[at:start] + new, start + len(phrase)
+        rewrite += text[at:]
+        level = max([{"high": 4, "medium": 3, "low": 2}[s["severity"]] for s in found], default=0)
+        marked = html.escape(rewrite, quote=True)
+        for s in found:
+            marked = marked.replace(s["replacement"], f'<mark class="replaced">{s["replacement"]}</mark>', 1)
+        each = "\n".join(f"[{n}] {s['severity'].upper()}\nOriginal: {s['original']}\nReplacement: {s['replacement']}\nBias type: {s['bias_type']}\nReasoning: {s['reasoning']}" for n, s in enumerate(found, 1))
+        report = (f"Segments found: {len(found)}\n{each}" if found else "No biased segments.\n") + f"\nNeutral rewrite:\n{rewrite}"
+        whole = {"binary_label": "biased" if found else "unbiased", "severity": level, "bias_found": bool(found), "biased_segments": found, "unbiased_text": rewrite, "original_text": text}
+        for name, out in zip(wanted, (marked, report, json.dumps(whole, ensure_ascii=False, separators=(",", ":")))):
+            wanted[name][i] = hashlib.md5(out.encode()).hexdigest()
+    for name, want in wanted.items():
+        assert {r[0]: r[1] for r in entry.queries()[name](spark, str(tmp_path)).collect()} == want, name

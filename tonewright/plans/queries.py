@@ -277,12 +277,33 @@ def results_json(spark, sf_dir):
     return r
 
 
+
+def _digest(rows: DataFrame, column: str) -> DataFrame:
+    return rows.select("text_id", F.md5(F.col(column).cast("binary")).alias(f"{column}_md5"))
+
+
+def mark_rewrite_whole(spark, sf_dir):
+    """The rewrites as the responder gave them, marked."""
+    return _digest(spans.mark_rewrite(clean_results(spark, sf_dir)), "html")
+
+
+def review_report_whole(spark, sf_dir):
+    """Reports with the whole rewrite."""
+    return _digest(spans.review_report(clean_results(spark, sf_dir)), "report")
+
+
+def results_json_whole(spark, sf_dir):
+    """Results as they come, with rewrite and original text."""
+    return _digest(sources.results_json(clean_results(spark, sf_dir)), "json")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         texts_source, gate_texts, build_prompts, respond_udf, respond_once, lexicon_hits, extract_object, strip_think, parse_direct, parse_truncated, parse_commas, parse_combined, parse_salvage, repair_strategy_counts,
         severity_coercion, segment_severity, merge_segments, severity_counts, segment_counts, bias_type_topk, label_rates_cube, consistency_audit, locate_segments, number_segments, valid_spans, select_spans,
         match_quality, attach_source, rejects, pending_texts, top_texts, explode_segments, mark_original, mark_rewrite, review_report, rewrite_fidelity, results_json,
+        mark_rewrite_whole, review_report_whole, results_json_whole,
     )
 } | {"validate_results": validate, "outcomes": all_outcomes}
 
