@@ -3,12 +3,13 @@
 A window is WINDOW consecutive words of one text. Each word that lies in a window whose words also start earlier (a
 smaller id, or the same document before) is removed; windows are judged on the input.
 
-1. Winnowing picks anchors, short word runs that equal windows share; an anchor that two texts or two places of one text
-   share recurs. Only windows whose anchor recurs are looked at further.
+1. One pass over the texts writes a narrow row a document, with its anchors: winnowing picks short word runs that equal
+   windows share. An anchor that two texts or two places of one text share recurs. Only windows whose anchor recurs are
+   looked at further.
 2. Recurring windows are confirmed: each window's first place is its least (document, start), taken before the shuffle.
-3. Documents are dealt to shards. A shard gets the words of the recurring windows that its documents may hold, from the
-   documents where they come first, compiles an Aho-Corasick automaton of them over a vocabulary of whole words, and
-   streams its documents to find every occurrence. That search is on the words themselves: no hash decides a removal.
+3. Documents are dealt to shards, very long ones in parts. A shard gets the words of the recurring windows that its
+   documents may hold, from the documents where they come first, compiles an Aho-Corasick automaton of them, and streams
+   its documents to find every occurrence. That search is on the words themselves: no hash decides a removal.
 
 Exact copies of a text are settled without any of that: all their windows come earlier in the first copy. Filters of a
 fixed size (FILTER_BITS) are broadcast to keep most rows that join nothing out of shuffles; they drop no match, and the
@@ -16,7 +17,8 @@ joins decide where they are full.
 
 Edge cases: a null text has no words; texts with fewer words than a window keep all; of rows with one id and different
 texts, the first by digest comes in its place and the others after all other documents, as do null ids; of rows equal
-in id and text the first counts as earlier; an empty table gives an empty result; further columns are kept or ignored.
+in id and text the first counts as earlier; an empty table gives an empty result; further columns, whatever their names,
+are kept or ignored.
 """
 
 from __future__ import annotations
@@ -25,33 +27,38 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import materialise
+from .storage import materialise, neutral, scratch
 from .tokens import slices
-from .words import hashed_words, minimiser_positions, spans, window_hashes
+from .words import hashed_texts, minimiser_positions, spans, window_hashes
 
 WINDOW = 20
 ANCHOR = 10
 FILTER_BITS = 1 << 26
-#: Window occurrences in the documents of a shard, about; an automaton takes some 1.5 kB for each distinct one.
-SHARD_WINDOWS = 30_000
-_SPACES = r"[\x20\x09-\x0D]+"
+#: Window occurrences in the documents of a shard, about; an automaton takes some 0.5 kB for each distinct one.
+SHARD_WINDOWS = 60_000
+#: Windows of a document that are searched together; a longer document is dealt in parts.
+PART_WINDOWS = 1 << 16
 _LATER = 1 << 62
-_UNKNOWN, _FIRST_CHAR = 0x1, 0xE000
 
 
-def _anchors(words: np.ndarray, window: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    grams = window_hashes(words, k)
-    at = minimiser_positions(grams, window - k + 1) if len(words) >= window else np.empty(0, np.int64)
-    return at, grams[at] if len(at) else grams[:0]
+def _raw_texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
+    return batch.column(column).cast(pa.binary()).fill_null(b"").to_pylist()
 
 
-def _bits(values: np.ndarray) -> np.ndarray:
-    return (values.astype(np.int64) & (FILTER_BITS - 1)).astype(np.int64)
+def _anchors(texts: list[bytes], window: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Word hashes of all texts, where each text's begin, and of each anchor the text, the place and the hash."""
+    words, bounds = hashed_texts(texts)
+    own = np.repeat(np.arange(len(texts)), np.diff(bounds))
+    whole = np.flatnonzero(own[: len(own) - window + 1] == own[window - 1 :]) if len(own) >= window else own[:0]
+    grams = window_hashes(words, k)
+    at = minimiser_positions(grams, window - k + 1, whole) if len(whole) else whole
+    return words, bounds, own[at], at, grams[at] if len(at) else words[:0]
 
 
 def filter_of(values: DataFrame, column: str) -> np.ndarray:
@@ -66,77 +73,70 @@ def filter_of(values: DataFrame, column: str) -> np.ndarray:
 
 
 def passes(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
-    at = _bits(values)
+    at = values.astype(np.int64) & (FILTER_BITS - 1)
     return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
 
 
-def _word_rows(text: str) -> np.ndarray:
-    return hashed_words(text.encode("utf-8", "surrogatepass"))
-
-
-def _plain(text_col: str) -> Column:
-    return F.trim(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), _SPACES, " "))
-
+def _lists(own: np.ndarray, values: np.ndarray, n: int) -> pa.ListArray:
+    """Values by their text (ascending) as one list a text."""
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(own, np.arange(n + 1)), pa.int32()), pa.array(values.view(np.int64)))
 
-def inventory(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """A narrow row a document: id, digest of the text, n_words, sha256 of its words joined by single spaces."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    words = F.coalesce(F.regexp_count(F.col(text_col), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.unhex(F.md5(text.cast("binary"))).alias("digest"), words.alias("n_words"), F.sha2(_plain(text_col), 256).alias("plain"))
 
+def survey(docs: DataFrame, window: int, k: int, id_col: str, text_col: str) -> DataFrame:
+    """A narrow row a document: id, digest of the text, n_words, sha256 of its words joined by single spaces, its anchors
+    once each, and those that it holds twice or more."""
+    names = ["id", "digest", "n_words", "plain", "anchors", "twice"]
 
-def keyed(rows: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                texts = _raw_texts(part)
+                _, bounds, own, _, grams = _anchors(texts, window, k)
+                order = np.lexsort((grams, own))
+                own, grams = own[order], grams[order]
+                first = np.flatnonzero(np.append(True, (own[1:] != own[:-1]) | (grams[1:] != grams[:-1]))) if len(own) else own
+                twice = first[np.diff(np.append(first, len(own))) > 1]
+                digests = pa.array([hashlib.md5(t).digest() for t in texts], pa.binary())
+                plain = pa.array([hashlib.sha256(b" ".join(t.split())).digest() for t in texts], pa.binary())
+                columns = [part.column("id"), digests, pa.array(np.diff(bounds), pa.int64()), plain, _lists(own[first], grams[first], len(texts)), _lists(own[twice], grams[twice], len(texts))]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    return texts.mapInArrow(run, "id long, digest binary, n_words long, plain binary, anchors array<long>, twice array<long>")
+
+
+def keyed(rows: DataFrame, keep) -> DataFrame:
     """(id, digest) -> key that orders documents, whether it is its text's first, and how often the row comes."""
-    each = rows.groupBy("id", "digest").agg(F.count("*").alias("copies"), F.min("n_words").alias("n_words"), F.min("plain").alias("plain"))
+    each = keep(rows.groupBy("id", "digest").agg(F.count("*").alias("copies"), F.min("n_words").alias("n_words"), F.min("plain").alias("plain")), "each")
     primary = each.where("id IS NOT NULL").groupBy("id").agg(F.min("digest").alias("main"))
     late = F.lit(_LATER) + F.shiftrightunsigned(F.xxhash64("id", "digest"), 2)
     key = F.when(F.col("digest") == F.col("main"), F.col("id")).otherwise(late)
-    named = each.join(primary, "id", "left").withColumn("key", key).drop("main")
-    first = named.groupBy("digest").agg(F.min("key").alias("first"))
+    named = keep(each.join(primary, "id", "left").withColumn("key", key).drop("main"), "named")
+    # Written apart from the join below: a text with very many copies is then a skewed join that Spark splits.
+    first = keep(named.groupBy("digest").agg(F.min("key").alias("first")), "first_copies")
     return named.join(first, "digest").withColumn("is_first", F.col("key") == F.col("first")).drop("first")
 
 
-def _recurring_anchors(texts: DataFrame, window: int, k: int) -> DataFrame:
+def _recurring_anchors(rows: DataFrame) -> DataFrame:
     """Hashes of anchors that two different texts, or two places of one, share."""
-    schema = pa.schema([("anchor", pa.int64()), ("tag", pa.int64())])
+    tag = F.conv(F.hex(F.substring("digest", 1, 5)), 16, 10).cast("long")
+    each = rows.select(tag.alias("tag"), F.explode("anchors").alias("anchor"))
+    again = rows.select(F.lit(-1).cast("long").alias("tag"), F.explode("twice").alias("anchor"))
+    return each.unionByName(again).groupBy("anchor").agg(F.min("tag").alias("low"), F.max("tag").alias("high")).where("low < high").select("anchor")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch):
-                anchors, tags = [], []
-                for text in part.column("text").to_pylist():
-                    found = _anchors(_word_rows(text or ""), window, k)[1]
-                    if not len(found):
-                        continue
-                    own, times = np.unique(found, return_counts=True)
-                    tag = int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=5).digest(), "little")
-                    twice = own[times > 1]
-                    anchors += [own, twice]
-                    tags += [np.full(len(own), tag), np.full(len(twice), -1)]
-                if anchors:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(anchors).view(np.int64)), pa.array(np.concatenate(tags))], schema=schema)
-
-    rows = texts.select("text").mapInArrow(run, "anchor long, tag long")
-    return rows.groupBy("anchor").agg(F.min("tag").alias("low"), F.max("tag").alias("high")).where("low < high").select("anchor")
-
-
-def _occurrences(texts: DataFrame, window: int, k: int, bits) -> DataFrame:
-    schema = pa.schema([("anchor", pa.int64()), ("id", pa.int64())])
+
+def _occurrences(rows: DataFrame, bits) -> DataFrame:
+    """(anchor, id) of the anchors that pass the filter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
-                anchors, ids = [], []
-                for doc_id, text in zip(part.column("id").to_pylist(), part.column("text").to_pylist()):
-                    found = np.unique(_anchors(_word_rows(text or ""), window, k)[1])
-                    found = found[passes(bits.value, found)]
-                    if len(found):
-                        anchors.append(found.view(np.int64))
-                        ids += [doc_id] * len(found)
-                if anchors:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(anchors)), pa.array(ids, pa.int64())], schema=schema)
+            lists = batch.column("anchors")
+            values = lists.flatten().to_numpy()
+            held = passes(bits.value, values)
+            row = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy())[held]
+            yield pa.RecordBatch.from_arrays([pa.array(values[held]), batch.column("id").take(pa.array(row))], names=["anchor", "id"])
 
-    return texts.mapInArrow(run, "anchor long, id long")
+    return rows.select("id", "anchors").mapInArrow(run, "anchor long, id long")
 
 
 def _candidates(texts: DataFrame, bits) -> DataFrame:
@@ -144,15 +144,13 @@ def _candidates(texts: DataFrame, bits) -> DataFrame:
     schema = pa.schema([("id", pa.int64()), ("digest", pa.binary()), ("packed", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdCompressor(level=3)
+        press = zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            for part in slices(batch):
-                ids = part.column("id")
-                keep = passes(bits.value, ids.fill_null(0).to_numpy(zero_copy_only=False)) | ids.is_null().to_numpy(zero_copy_only=False)
-                part = part.filter(pa.array(keep))
-                if part.num_rows:
-                    raw = [(t or "").encode("utf-8", "surrogatepass") for t in part.column("text").to_pylist()]
-                    yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([hashlib.md5(r).digest() for r in raw], pa.binary()), pa.array([press.compress(r) for r in raw], pa.binary())], schema=schema)
+            ids = batch.column("id")
+            keep = passes(bits.value, ids.fill_null(0).to_numpy(zero_copy_only=False)) | ids.is_null().to_numpy(zero_copy_only=False)
+            for part in slices(batch.filter(pa.array(keep))):
+                raw = _raw_texts(part)
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([hashlib.md5(r).digest() for r in raw], pa.binary()), pa.array([press.compress(r) for r in raw], pa.binary())], schema=schema)
 
     return texts.mapInArrow(run, "id long, digest binary, packed binary")
 
@@ -167,18 +165,20 @@ def _spots(window: int, k: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in range(batch.num_rows):
-                words = hashed_words(_unpacked(batch.column("packed")[row].as_py()))
-                at, found = _anchors(words, window, k)
-                at = at[np.isin(found.view(np.int64), batch.column("anchors")[row].values.to_numpy())]
-                n = len(words) - window + 1
-                if n <= 0 or not len(at):
+            for part in slices(batch, "packed", 1 << 18):
+                texts = [_unpacked(p) for p in part.column("packed").to_pylist()]
+                words, bounds, own, at, grams = _anchors(texts, window, k)
+                recurring = np.isin(grams.view(np.int64), part.column("anchors").flatten().to_numpy())
+                own, at = own[recurring], at[recurring]
+                if not len(at):
                     continue
-                near = np.zeros(n + 1, np.int32)  # windows that hold one of these anchors
-                np.add.at(near, np.maximum(0, at + k - window), 1)
-                np.add.at(near, np.minimum(n, at + 1), -1)
-                starts = np.flatnonzero(np.cumsum(near[:n]))
-                yield pa.RecordBatch.from_arrays([pa.array(window_hashes(words, window)[starts].view(np.int64)), pa.array(np.full(len(starts), batch.column("key")[row].as_py())), pa.array(starts.astype(np.int32))], schema=schema)
+                near = np.zeros(len(words) + 1, np.int32)  # windows that hold one of these anchors, within the text
+                np.add.at(near, np.maximum(bounds[own], at + k - window), 1)
+                np.add.at(near, np.minimum(bounds[own + 1] - window, at) + 1, -1)
+                starts = np.flatnonzero(np.cumsum(near[:-1]))
+                text = np.searchsorted(bounds, starts, "right") - 1
+                keys = part.column("key").to_numpy()[text]
+                yield pa.RecordBatch.from_arrays([pa.array(window_hashes(words, window)[starts].view(np.int64)), pa.array(keys), pa.array((starts - bounds[text]).astype(np.int32))], schema=schema)
 
     return run
 
@@ -189,47 +189,105 @@ def _phrases(window: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for row in batch.to_pylist():
-                words = _unpacked(row["packed"]).split()
-                starts = np.array(sorted(row["starts"]))
-                for part in np.split(starts, np.flatnonzero(np.diff(starts) > 1) + 1):
-                    rows.append((row["shard"], 0, row["key"], int(part[0]), b" ".join(words[part[0] : part[-1] + window])))
-            if rows:
+            for part in slices(batch, "packed", 1 << 18):
+                rows = []
+                for row in part.to_pylist():
+                    words = _unpacked(row["packed"]).split()
+                    starts = np.array(sorted(row["starts"]))
+                    for run_ in np.split(starts, np.flatnonzero(np.diff(starts) > 1) + 1):
+                        rows.append((row["shard"], 0, row["key"], int(run_[0]), b" ".join(words[run_[0] : run_[-1] + window])))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
     return run
 
 
+def _parts(window: int):
+    """(key, packed) of long texts -> (key, start, packed): parts of PART_WINDOWS windows each."""
+    schema = pa.schema([("key", pa.int64()), ("start", pa.int32()), ("packed", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            for key, packed in zip(batch.column("key").to_pylist(), batch.column("packed")):
+                words = _unpacked(packed.as_py()).split()
+                for start in range(0, len(words) - window + 1, PART_WINDOWS):
+                    cut = press.compress(b" ".join(words[start : start + PART_WINDOWS + window - 1]))
+                    yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((key, start, cut), schema)], schema=schema)
+
+    return run
+
+
 class PhraseAutomaton:
-    """Every window of some passages, to be found in documents word by word."""
+    """Every window of some passages, to be found in texts word by word.
 
-    def __init__(self, window: int):
-        import ahocorasick
+    Words are numbered, and so are all runs of `step` words in the passages. A window is the numbers of window / step runs,
+    written in letters of one byte each, so that no state has many branches. A text is read once from each of its first
+    `step` words, and only where a window's length of words is known.
+    """
 
-        self.window, self.letters, self.places, self.found = window, {}, [], ahocorasick.Automaton(ahocorasick.STORE_INTS)
-        self.ready = False
+    def __init__(self, window: int):
+        self.window, self.step = window, max(d for d in range(1, 6) if window % d == 0)
+        self.numbers: dict[bytes, int] = {}
+        self.passages: list[tuple[int, int, np.ndarray]] = []
+        self.found = None
 
     def add(self, owner: int, start: int, words: list[bytes]) -> None:
-        letters = self.letters
-        coded = np.array([letters.setdefault(w, len(letters) + _FIRST_CHAR) for w in words], "<u4").tobytes().decode("utf-32-le")
-        for i in range(len(words) - self.window + 1):
-            self.found.add_word(coded[i : i + self.window], len(self.places))
-            self.places.append((owner, start + i))
-
-    def later(self, key: int, words: list[bytes]) -> np.ndarray:
-        """Which words lie in windows that come first somewhere else than here."""
+        numbers = self.numbers
+        self.passages.append((owner, start, np.array([numbers.setdefault(w, len(numbers) + 1) for w in words], np.uint32)))
+
+    def _spelt(self, runs: np.ndarray) -> np.ndarray:
+        """Letters of each run; of unknown ones (-1) a letter that is nowhere in the automaton."""
+        letters = runs[:, None] >> 8 * np.arange(self.letters) & 255
+        letters[runs < 0] = 256
+        return letters.astype("<u4")
+
+    def compile(self) -> None:
+        import ahocorasick
+
+        self.found = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        views = [np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(w, self.step)).view(f"V{4 * self.step}").ravel() for _, _, w in self.passages]
+        known, which = np.unique(np.concatenate(views), return_inverse=True)
+        raw, size = known.tobytes(), 4 * self.step
+        self.runs = {raw[i * size : (i + 1) * size]: i for i in range(len(known))}
+        self.letters = max(1, (len(known).bit_length() + 7) // 8)
+        owners, starts, at, width = [], [], 0, self.letters * self.window // self.step
+        for (owner, start, words), view in zip(self.passages, views):
+            spelt, n = self._spelt(which[at : at + len(view)].astype(np.int64)), len(words) - self.window + 1
+            text = np.concatenate([spelt[i : i + n] for i in range(0, self.window, self.step)], axis=1).tobytes().decode("utf-32-le")
+            for i in range(n):
+                self.found.add_word(text[i * width : (i + 1) * width], len(owners) + i)
+            owners += [owner] * n
+            starts += range(start, start + n)
+            at += len(view)
+        self.owners, self.starts = np.array(owners, np.int64), np.array(starts, np.int64)
+        self.passages.clear()
+        self.found.make_automaton()
+
+    def _occurrences(self, numbers: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(start, place) of the windows in a run of known words."""
+        raw, size, look, span = numbers.tobytes(), 4 * self.step, self.runs.get, self.window // self.step
+        runs = np.array([look(raw[4 * i : 4 * i + size], -1) for i in range(len(numbers) - self.step + 1)], np.int64)
+        for phase in range(self.step):
+            for end, place in self.found.iter(self._spelt(runs[phase :: self.step]).tobytes().decode("utf-32-le")):
+                if not (end + 1) % self.letters:  # where a run ends
+                    yield phase + ((end + 1) // self.letters - span) * self.step, place
+
+    def later(self, key: int, words: list[bytes], first: int = 0) -> np.ndarray:
+        """Which words lie in windows that come first somewhere else than here; `first` is the place of words[0] in its text."""
         covered = np.zeros(len(words) + 1, np.int64)
-        if self.places and len(words) >= self.window:
-            if not self.ready:
-                self.found.make_automaton()
-                self.ready = True
-            get = self.letters.get
-            for end, place in self.found.iter(np.array([get(w, _UNKNOWN) for w in words], "<u4").tobytes().decode("utf-32-le")):
-                start = end - self.window + 1
-                if self.places[place] != (key, start):
-                    covered[start] += 1
-                    covered[end + 1] -= 1
+        if self.found is None and self.passages:
+            self.compile()
+        if self.found is not None and len(words) >= self.window:
+            get = self.numbers.get
+            numbers = np.array([get(w, 0) for w in words], np.uint32)
+            steps = np.diff(np.concatenate([[0], (numbers > 0).astype(np.int8), [0]]))
+            for begin, end in zip(np.flatnonzero(steps == 1), np.flatnonzero(steps == -1)):
+                if end - begin >= self.window and (hits := list(self._occurrences(numbers[begin:end]))):
+                    starts, places = np.array(hits).T
+                    starts = starts + begin
+                    starts = starts[(self.owners[places] != key) | (self.starts[places] != starts + first)]
+                    np.add.at(covered, starts, 1)
+                    np.add.at(covered, starts + self.window, -1)
         return np.cumsum(covered[:-1]) > 0
 
 
@@ -248,16 +306,26 @@ def _cut(raw: bytes, gone: np.ndarray) -> str:
     return b"".join(pieces).decode("utf-8", "surrogatepass")
 
 
+_LEFT = "key long, n_removed long, kept_sha256 string, kept_text string"
+_LEFT_SCHEMA = pa.schema([("key", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept_text", pa.string())])
+
+
+def _left(key: int, raw: bytes, words: list[bytes], gone: np.ndarray) -> tuple:
+    kept = b" ".join([w for w, g in zip(words, gone.tolist()) if not g])
+    return key, int(gone.sum()), hashlib.sha256(kept).hexdigest(), _cut(raw, gone)
+
+
 def _searched(window: int):
-    """Rows of a shard, its passages first -> what is left of its documents."""
-    schema = pa.schema([("key", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept_text", pa.string())])
+    """Rows of a shard, its passages first -> what is left of its documents; of parts the words' places that go, in pairs."""
+    schema = _LEFT_SCHEMA.append(pa.field("gone", pa.list_(pa.int64())))
+    columns = ("shard", "kind", "key", "start", "packed")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, automaton = None, PhraseAutomaton(window)
         for batch in batches:
             rows = []
             for i in range(batch.num_rows):
-                own, kind, key, start, packed = (batch.column(c)[i].as_py() for c in schema_in)
+                own, kind, key, start, packed = (batch.column(c)[i].as_py() for c in columns)
                 if own != shard:
                     shard, automaton = own, PhraseAutomaton(window)
                 if kind == 0:
@@ -265,40 +333,70 @@ def _searched(window: int):
                     continue
                 raw = _unpacked(packed)
                 words = raw.split()
-                gone = automaton.later(key, words)
-                if gone.any():
-                    kept = b" ".join([w for w, g in zip(words, gone.tolist()) if not g])
-                    rows.append((key, int(gone.sum()), hashlib.sha256(kept).hexdigest(), _cut(raw, gone)))
+                gone = automaton.later(key, words, start)
+                if not gone.any():
+                    continue
+                if kind == 1:
+                    rows.append((*_left(key, raw, words, gone), None))
+                else:
+                    pairs = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]]))) + start
+                    rows.append((key, None, None, None, pairs.tolist()))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
-    schema_in = ("shard", "kind", "key", "start", "packed")
     return run
 
 
-def changed(docs: DataFrame, keys: DataFrame, window: int = WINDOW, k: int = ANCHOR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _joined_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, gone, packed) of long texts -> what is left of them."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            raw = _unpacked(row["packed"])
+            words = raw.split()
+            covered, pairs = np.zeros(len(words) + 1, np.int64), np.array(row["gone"]).reshape(-1, 2)
+            np.add.at(covered, pairs[:, 0], 1)
+            np.add.at(covered, pairs[:, 1], -1)
+            one = _left(row["key"], raw, words, np.cumsum(covered[:-1]) > 0)
+            yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(one, _LEFT_SCHEMA)], schema=_LEFT_SCHEMA)
+
+
+def _changed(docs: DataFrame, surveyed: DataFrame, keys: DataFrame, window: int, k: int, id_col: str, text_col: str, keep) -> DataFrame:
     """Of first copies that lose words: key, n_removed, kept_sha256, kept_text."""
     context = docs.sparkSession.sparkContext
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    recurring = materialise(_recurring_anchors(texts, window, k), "anchors")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    recurring = keep(_recurring_anchors(surveyed), "anchors")
     known = context.broadcast(filter_of(recurring, "anchor"))  # 8 MB
-    held = _occurrences(texts, window, k, known).join(recurring, "anchor").groupBy("id").agg(F.collect_set("anchor").alias("anchors"))
-    held = materialise(held, "held")
+    held = keep(_occurrences(surveyed, known).join(recurring, "anchor").groupBy("id").agg(F.collect_set("anchor").alias("anchors")), "held")
     wanted = context.broadcast(filter_of(held.where("id IS NOT NULL"), "id"))  # 8 MB
-    firsts = keys.where("is_first").select("id", "digest", "key")
-    named = _candidates(texts, wanted).join(firsts.join(held, firsts["id"].eqNullSafe(held["id"])).select(firsts["id"].alias("_id"), firsts["digest"].alias("_digest"), "key", "anchors"), F.col("id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")))
-    packed = materialise(named.dropDuplicates(["key"]).select("key", "packed", "anchors"), "texts", "uncompressed")
-    spots = materialise(packed.mapInArrow(_spots(window, k), "window long, key long, start int"), "windows")
-    first = spots.groupBy("window").agg(F.min(F.struct("key", "start")).alias("place"), F.count("*").alias("n")).where("n > 1").select("window", F.col("place.key").alias("owner"), F.col("place.start").alias("begin"))
+    firsts = keys.where("is_first").select("id", "digest", "key", "n_words")
+    named = firsts.join(held, firsts["id"].eqNullSafe(held["id"])).select(firsts["id"].alias("own_id"), F.col("digest").alias("own_digest"), "key", "n_words", "anchors")
+    met = _candidates(texts, wanted).join(named, F.col("id").eqNullSafe(F.col("own_id")) & (F.col("digest") == F.col("own_digest")))
+    packed = keep(met.dropDuplicates(["key"]).select("key", "n_words", "packed", "anchors"), "texts", "uncompressed")
+    spots = keep(packed.select("key", "packed", "anchors").mapInArrow(_spots(window, k), "window long, key long, start int"), "windows")
+    # Written apart from the join below: a very frequent window is then a skewed join that Spark splits.
+    first = keep(spots.groupBy("window").agg(F.min(F.struct("key", "start")).alias("place"), F.count("*").alias("n")).where("n > 1").select("window", F.col("place.key").alias("owner"), F.col("place.start").alias("begin")), "firsts")
     again = spots.join(first, "window").where("key != owner OR start != begin")
-    n = spots.count()
-    shard = F.pmod(F.xxhash64("key"), F.lit(n // SHARD_WINDOWS + 1))
+    shards = spots.count() // SHARD_WINDOWS + 1
+    shard = F.pmod(F.xxhash64("key", F.expr(f"start div {PART_WINDOWS}")), F.lit(shards))
     asked = again.select(shard.alias("shard"), "owner", "begin").groupBy("owner", "shard").agg(F.collect_set("begin").alias("starts"))
     phrases = asked.join(packed.select(F.col("key").alias("owner"), "packed"), "owner").select("shard", F.col("owner").alias("key"), "starts", "packed")
-    schema = "shard long, kind int, key long, start int, packed binary"
-    rows = phrases.mapInArrow(_phrases(window), schema).unionByName(packed.select(shard.alias("shard"), F.lit(1).alias("kind"), "key", F.lit(0).alias("start"), "packed"))
+    schema, is_long = "shard long, kind int, key long, start int, packed binary", F.col("n_words") >= PART_WINDOWS + window
+    whole = packed.where(~is_long).select("key", F.lit(0).alias("start"), "packed").select(shard.alias("shard"), F.lit(1).alias("kind"), "key", "start", "packed")
+    parts = packed.where(is_long).select("key", "packed").mapInArrow(_parts(window), "key long, start int, packed binary").select(shard.alias("shard"), F.lit(2).alias("kind"), "key", "start", "packed")
+    rows = phrases.mapInArrow(_phrases(window), schema).unionByName(whole).unionByName(parts)
     dealt = rows.repartition("shard").sortWithinPartitions("shard", "kind", "key", "start")
-    return dealt.mapInArrow(_searched(window), "key long, n_removed long, kept_sha256 string, kept_text string")
+    found = keep(dealt.mapInArrow(_searched(window), f"{_LEFT}, gone array<long>"), "found")
+    joined = found.where("gone IS NOT NULL").groupBy("key").agg(F.flatten(F.collect_list("gone")).alias("gone")).join(packed.where(is_long).select("key", "packed"), "key")
+    return found.where("gone IS NULL").drop("gone").unionByName(joined.select("key", "gone", "packed").mapInArrow(_joined_parts, _LEFT))
+
+
+def _searched_docs(docs: DataFrame, window: int, k: int, id_col: str, text_col: str, *columns: str) -> DataFrame:
+    """One row for each id and text: key, id, digest, n_words, plain, copies, is_first, and these columns of what is left."""
+    with scratch(docs.sparkSession, "passages") as keep:
+        surveyed = keep(survey(docs, window, k, id_col, text_col), "survey")
+        keys = keep(keyed(surveyed, keep), "keys")
+        left = _changed(docs, surveyed, keys, window, k, id_col, text_col, keep).select("key", *columns)
+        return materialise(keys.join(left, "key", "left"), "passages")
 
 
 _NOTHING = hashlib.sha256(b"").hexdigest()
@@ -306,33 +404,42 @@ _NOTHING = hashlib.sha256(b"").hexdigest()
 
 def summary(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: id, n_words, n_removed, kept_sha256 of the kept words joined by one space."""
-    keys = materialise(keyed(materialise(inventory(docs, id_col, text_col), "inventory")), "keys")
-    left = changed(docs, keys, window, k, id_col, text_col).drop("kept_text")
-    each = keys.join(left, "key", "left").withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-    copy = ~(F.col("is_first") & (F.col("nth") == 1)) & (F.col("n_words") >= window)
+    keys = _searched_docs(docs, window, k, id_col, text_col, "n_removed", "kept_sha256")
+    each = keys.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     first = F.col("is_first") & (F.col("nth") == 1)
+    copy, plain = ~first & (F.col("n_words") >= window), F.lower(F.hex("plain"))
     removed = F.when(copy, F.col("n_words")).when(first, F.coalesce("n_removed", F.lit(0))).otherwise(0).cast("long")
-    sha = F.when(copy, F.lit(_NOTHING)).when(first, F.coalesce("kept_sha256", "plain")).otherwise(F.col("plain"))
+    sha = F.when(copy, F.lit(_NOTHING)).when(first, F.coalesce(F.col("kept_sha256"), plain)).otherwise(plain)
     return each.select("id", "n_words", removed.alias("n_removed"), sha.alias("kept_sha256"))
 
 
 def cleaned(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the repeated passages cut out of the texts; other columns and the number of rows stay.
+    """docs with the repeated passages cut out of the texts; other columns and the number of rows stay, n_chars is set anew.
 
-    Later copies of a whole text keep an empty text. Of rows equal in id and text one counts as the first.
+    Later copies of a whole text keep an empty text. Of rows equal in id and text one counts as the first. Only rows that a
+    filter of their ids lets through meet what is left of them; the others stay where they are.
     """
-    rows = materialise(inventory(docs, id_col, text_col), "inventory")
-    keys = materialise(keyed(rows), "keys")
-    left = materialise(changed(docs, keys, window, k, id_col, text_col).select("key", "kept_text"), "kept")
-    fate = keys.join(left, "key", "left").where("NOT is_first OR copies > 1 OR kept_text IS NOT NULL").select(F.col("id").alias("_id"), F.col("digest").alias("_digest"), F.col("n_words").alias("_words"), F.col("is_first").alias("_first"), F.col("kept_text").alias("_kept"), F.col("copies").alias("_copies"))
-    digest = F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
-    met = docs.withColumn("_own", digest).join(fate, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_digest")), "left")
-    # Rows equal in id and text are numbered by their place; others never meet in a group.
-    again = F.col("_copies") > 1
-    nth = F.row_number().over(Window.partitionBy(F.when(again, F.col("_own")), F.when(again, F.col(id_col)), F.when(~F.coalesce(again, F.lit(False)), F.col("_spread"))).orderBy("_spread"))
-    met = met.withColumn("_spread", F.monotonically_increasing_id()).withColumn("_nth", F.when(again, nth).otherwise(1))
-    first = F.coalesce(F.col("_first"), F.lit(True)) & (F.col("_nth") == 1)
-    text = F.when(first, F.coalesce("_kept", text_col)).when(F.col("_words") >= window, F.lit("")).otherwise(F.col(text_col))
-    names = {c: text if c == text_col else F.col(c) for c in docs.columns}
-    out = met.select(*[v.alias(c) for c, v in names.items()])
+    plain, id_, text = neutral(docs, id_col, text_col)
+    keys = _searched_docs(docs, window, k, id_col, text_col, "kept_text")
+    fate = keys.where("NOT is_first OR copies > 1 OR kept_text IS NOT NULL").select(F.col("id").alias("own_id"), F.col("digest").alias("own_digest"), "n_words", "is_first", "kept_text", "copies")
+    bits = docs.sparkSession.sparkContext.broadcast(filter_of(fate.select(F.xxhash64("own_id").alias("at")), "at"))  # 8 MB
+
+    @F.pandas_udf("boolean")
+    def may_change(at: pd.Series) -> pd.Series:
+        return pd.Series(passes(bits.value, at.to_numpy()))
+
+    marked = plain.withColumn("may_change", may_change(F.xxhash64(F.col(id_).cast("long"))))
+    digest = F.unhex(F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")))
+    met = marked.where("may_change").withColumns({"id": F.col(id_).cast("long"), "digest": digest})
+    met = met.join(fate, F.col("id").eqNullSafe(F.col("own_id")) & (F.col("digest") == F.col("own_digest")), "left").withColumn("row", F.monotonically_increasing_id())
+    met = materialise(met.drop("own_id", "own_digest", "may_change"), "met")
+    # Of rows equal in id and text the first written one leads.
+    repeated = F.coalesce(F.col("copies") > 1, F.lit(False))
+    leads = met.where(repeated).groupBy("id", "digest").agg(F.min("row").alias("lead")).select(F.col("id").alias("own_id"), F.col("digest").alias("own_digest"), "lead")
+    led = met.where(repeated).join(leads, F.col("id").eqNullSafe(F.col("own_id")) & (F.col("digest") == F.col("own_digest"))).withColumn("leads", F.col("row") == F.col("lead"))
+    every = met.where(~repeated).withColumn("leads", F.lit(True)).unionByName(led.drop("own_id", "own_digest", "lead"))
+    first = F.coalesce(F.col("is_first"), F.lit(True)) & F.col("leads")
+    cut = F.when(first, F.coalesce("kept_text", text)).when(F.col("n_words") >= window, F.lit("")).otherwise(F.col(text))
+    columns = plain.columns
+    out = every.select(*[cut.alias(c) if c == text else F.col(c) for c in columns]).unionByName(marked.where(~F.col("may_change")).select(*columns)).toDF(*docs.columns)
     return out.withColumn("n_chars", F.length(text_col).cast("long")) if "n_chars" in docs.columns else out

@@ -96,8 +96,21 @@ def window_hashes(words: np.ndarray, k: int) -> np.ndarray:
     return mixed_bits(out)
 
 
-def minimiser_positions(hashes: np.ndarray, width: int) -> np.ndarray:
-    """Winnowing: positions that hold the (rightmost) least hash of some run of width hashes; equal runs choose alike."""
+def hashed_texts(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts in turn, and where each text's begin (and the last one's end)."""
+    data = np.frombuffer(b" ".join(texts), np.uint8)
+    if lower:
+        data = _LOWER[data]
+    starts, ends = spans(data)
+    first_bytes = np.cumsum([0, *[len(t) + 1 for t in texts]])
+    return word_hashes(data, starts, ends), np.searchsorted(starts, first_bytes)
+
+
+def minimiser_positions(hashes: np.ndarray, width: int, runs: np.ndarray | None = None) -> np.ndarray:
+    """Winnowing: positions that hold the (rightmost) least hash of some run of width hashes; equal runs choose alike.
+
+    Where `runs` is given, only runs that begin there choose.
+    """
     n = len(hashes)
     if n < width:
         return np.empty(0, np.int64)
@@ -111,7 +124,7 @@ def minimiser_positions(hashes: np.ndarray, width: int) -> np.ndarray:
         least = np.minimum(least[: n - width + 1], least[width - have :][: n - width + 1])
     chosen = np.zeros(n, bool)
     value = least[: n - width + 1]
-    pending = np.arange(n - width + 1)
+    pending = np.arange(n - width + 1) if runs is None else runs
     for back in range(width - 1, -1, -1):
         hit = hashes[pending + back] == value[pending]
         chosen[pending[hit] + back] = True
