@@ -42,9 +42,19 @@ def materialise(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return _written(df, new_path(df.sparkSession, name), codec)
 
 
-def remove(spark: SparkSession, path: str) -> None:
+def _file_system(spark: SparkSession, path: str):
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    files, where = _file_system(spark, path)
+    return files.exists(where)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    files, where = _file_system(spark, path)
+    files.delete(where, True)
 
 
 @contextmanager
