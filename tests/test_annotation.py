@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tonewright.functions import spans as span_columns
 from tonewright.operators import outcomes, parse, prepare, respond, segments, validate
-from tonewright.plans.annotate import annotate, judge
+from tonewright.plans.annotate import annotate, annotate_recorded, judge
 from tonewright.schema import SEGMENT
 from tonewright.sources import texts as sources
 from tonewright.streaming.annotate import annotate_stream
@@ -52,7 +52,7 @@ PARSES = [
     ("F17", G[:-1], "salvage", "schema_mismatch"), ("F18", G[:-1] + "\n", "truncated", None), ("F19", REORDERED[:-1], "truncated", None),
     ("F20", LINES, "commas", None), ("F21", COMBINED, "combined", None), ("F22", G.replace('"Insult."', '"He said "no" ok"'), "salvage", None),
     ("F23", f"[{G}]", "direct", None), ("F24", f"```json\n{G} extra }}\n```", "salvage", None), ("F24a", '{"binary_label":"unbiased",' + G[1:], "direct", None),
-    ("F24b", '{"wrong_field":"wrong_value"}', "direct", "schema_mismatch"), ("F24c", "this is not json at all", None, "not_json"), ("null", None, None, "not_json"), ("empty", "", None, "not_json"),
+    ("F24b", '{"colour":["blue"],"n":1}', "direct", "schema_mismatch"), ("F24c", "No object here, sorry.", None, "not_json"), ("null", None, None, "not_json"), ("empty", "", None, "not_json"),
 ]
 
 
@@ -148,10 +148,15 @@ def test_every_text_has_one_outcome(spark):
 
 
 def test_large_lexicons_are_joined(spark, monkeypatch):
-    texts = spark.createDataFrame([t for t in TEXTS if t[1]], "text_id long, text string")
-    small = sorted((r["text_id"], r["hits"]) for r in respond.lexicon_hits(texts, lexicon(spark)).collect())
+    """Phrases of one, two and more characters, a repeated one, repeated and null ids and texts: both ways find the same."""
+    rows = [*TEXTS, (7, "zz AB zz idiot end"), (7, "q"), (None, "an ab q"), (8, "")]
+    texts = spark.createDataFrame(rows, "text_id long, text string")
+    phrases = spark.createDataFrame([(p, p[::-1], "low", "t", "r") for p in ("idiot", "ab", "q", "Q", "ab", "end", "not there")], LEXICON)
+    found = lambda: sorted(((r["text_id"] or -1, r["text"] or "", r["hits"]) for r in respond.lexicon_hits(texts, phrases).collect()))
+    small = found()
+    assert len(small) == len(rows) and [h["phrase"] for _, text, hits in small for h in hits if text.startswith("zz")] == ["ab", "ab", "idiot", "end"]
     monkeypatch.setattr(respond, "MAX_LITERALS", 0)
-    assert sorted((r["text_id"], r["hits"]) for r in respond.lexicon_hits(texts, lexicon(spark)).collect()) == small
+    assert found() == small
 
 
 def test_responder_failures_stay_with_their_row(spark):
@@ -167,11 +172,42 @@ def test_responder_failures_stay_with_their_row(spark):
     rows = {r["text_id"]: r for r in respond.respond(texts, failing).collect()}
     assert rows[1]["raw_output"] == "idiot." and rows[2]["raw_output"] is None and "no" in rows[2]["error"] and rows[3]["raw_output"] == "idiot."
     assert {r["text_id"]: r["raw_output"] for r in respond.respond_once(texts, failing).collect()} == {1: "idiot.", 2: None, 3: "idiot."}
+    nulls = spark.createDataFrame([(1, None, "a"), (2, None, "b"), (3, "xyz idiot.", None)], "text_id long, text string, error string")
+    for way in (respond.respond, respond.respond_once):
+        assert sorted((r["text_id"], r["error"]) for r in way(nulls, failing).collect()) == [(1, None), (2, None), (3, None)]
+    assert respond.respond(texts, failing, max_prompt_chars=7).where("text_id = 1").first()["raw_output"] == "hat an"
+
+
+def test_responder_end_to_end(spark):
+    """From texts to results with a responder in Python; its error is the reject's detail."""
+    base = dict(GOOD)
+
+    def model():
+        def answer(talks):
+            if any("well" in talk[-1]["content"] for talk in talks):
+                raise RuntimeError("no memory")
+            return [json.dumps(base | {"unbiased_text": talk[-1]["content"]}) for talk in talks]
+
+        return answer
+
+    texts = spark.createDataFrame(TEXTS, "text_id long, text string")
+    for way in (respond.respond, respond.respond_once):
+        good, bad = outcomes.split_outcomes(annotate(texts, lambda t, way=way: way(t, model)))
+        assert {r["text_id"]: r["biased_segments"][0]["start"] for r in good.collect()} == {1: 8, 3: 8}
+        assert {r["text_id"]: (r["stage"], r["reason"], r["detail"]) for r in bad.collect() if r["stage"] != "gate"} == {2: ("respond", "no_answer", "RuntimeError: no memory")}
+
+
+def test_recorded_answers(spark, tmp_path):
+    spark.createDataFrame([(1, G, 5), (3, "nothing", 5)], "text_id int, raw_output string, more int").write.parquet(f"{tmp_path}/answers")
+    texts = spark.createDataFrame(TEXTS[:4], "text_id long, text string")
+    good, bad = outcomes.split_outcomes(annotate_recorded(texts, sources.read_responses(spark, f"{tmp_path}/answers")))
+    assert [r["text_id"] for r in good.collect()] == [1]
+    assert {r["text_id"]: (r["stage"], r["reason"]) for r in bad.collect()} == {2: ("respond", "no_answer"), 3: ("parse", "not_json"), 4: ("gate", "empty")}
 
 
 def test_prompts(spark):
     (row,) = prepare.build_prompts(spark.createDataFrame(TEXTS[:1], "text_id long, text string")).collect()
-    assert [m["role"] for m in row["messages"]] == ["system", "user"] and row["messages"][1]["content"].endswith("TEXT:\nWhat an idiot.")
+    assert [m["role"] for m in row["messages"]] == ["system", "user"] and row["messages"][1]["content"].endswith("\n\nWhat an idiot.")
     assert all(f in row["messages"][0]["content"] for f in GOOD)
 
 

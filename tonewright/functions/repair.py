@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .text import quoted, stripped
 
+# The JSON keys and the shapes (fences, missing commas, single fields) that the patterns of this module know.
 #: Possessive throughout: outputs of any length match without backtracking.
 _TOKEN = r'(?s)"[^"\\]*+(?:\\.[^"\\]*+)*+(?:"|\\?+)|[{}\[\]]|[^"{}\[\]]++'
 _CLOSED = r'(?s)\A"[^"\\]*+(?:\\.[^"\\]*+)*+"\z'

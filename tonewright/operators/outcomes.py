@@ -7,10 +7,14 @@ from pyspark.sql import functions as F
 
 
 def split_outcomes(judged: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(results, rejects) of a judged table; write it first, or both read the responder's output anew."""
-    drop = ("data", "raw_output", "reject_reason", "reject_field", "stage")
+    """(results, rejects) of a judged table; write it first, or both read the responder's output anew.
+
+    A reject's detail is the responder's error, or the names of all fields that break the schema.
+    """
+    drop = ("data", "raw_output", "error", "reject_reason", "reject_field", "stage")
     results = judged.where("reject_reason IS NULL").drop(*drop)
-    rejects = judged.where("reject_reason IS NOT NULL").select("text_id", "raw_output", "stage", F.col("reject_reason").alias("reason"))
+    detail = [F.col(c) for c in ("error", "reject_field") if c in judged.columns]
+    rejects = judged.where("reject_reason IS NOT NULL").select("text_id", "raw_output", "stage", F.col("reject_reason").alias("reason"), F.coalesce(*detail, F.lit(None).cast("string")).alias("detail"))
     return results, rejects
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import stripped
@@ -15,7 +15,7 @@ INSTRUCTIONS = """You review texts for biased wording. Answer with one JSON obje
 severity says how strong the bias of the whole text is: 0 none, 2 low, 3 medium, 4 high. original is copied from the text
 letter by letter. unbiased_text is the whole text with only the listed phrases changed. For an unbiased text severity is
 0, bias_found is false, biased_segments is empty and unbiased_text equals the text."""
-QUESTION = "Analyze the following text for bias.\n\nTEXT:\n"
+QUESTION = "Which words of this text are biased?\n\n"
 
 
 def gate_texts(texts: DataFrame, max_chars: int | None = MAX_CHARS) -> DataFrame:
@@ -25,7 +25,12 @@ def gate_texts(texts: DataFrame, max_chars: int | None = MAX_CHARS) -> DataFrame
     return trimmed.withColumn("reject_reason", F.when(F.col("text") == "", "empty").when(long_, "too_long"))
 
 
+def messages(text: Column) -> Column:
+    """The two chat messages for a text."""
+    message = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
+    return F.array(message("system", F.lit(INSTRUCTIONS)), message("user", F.concat(F.lit(QUESTION), text)))
+
+
 def build_prompts(texts: DataFrame) -> DataFrame:
     """text_id and the two chat messages. Build them next to the responder: instructions aren't to be shuffled."""
-    message = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
-    return texts.select("text_id", F.array(message("system", F.lit(INSTRUCTIONS)), message("user", F.concat(F.lit(QUESTION), F.col("text")))).alias("messages"))
+    return texts.select("text_id", messages(F.col("text")).alias("messages"))

@@ -10,47 +10,66 @@ from pyspark.sql import functions as F
 
 from ..functions.text import quoted
 from ..schema import GLOBAL_SEVERITIES
-from .prepare import build_prompts
+from ..storage import materialise
+from .prepare import messages
 
 #: A factory, called once a task (load the model there); what it gives answers a batch of conversations.
 Responder = Callable[[], Callable[[list], Sequence]]
 #: Rows of a lexicon that are held as literals; a larger one is joined.
 MAX_LITERALS = 2000
+#: Characters of a phrase by which a larger one is joined.
+GRAM = 3
 
 
-def respond(texts: DataFrame, responder: Responder, batch: int = 64) -> DataFrame:
-    """(text_id, raw_output, error): the responder's answers; a failing row has no output and a reason."""
+def respond(texts: DataFrame, responder: Responder, batch: int = 64, max_prompt_chars: int | None = None) -> DataFrame:
+    """Adds raw_output and error: the responder's answers; a failing row has no output and a reason.
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    Limits of new tokens are the responder's own. Of a text longer than max_prompt_chars the responder sees the beginning
+    alone, like a model that cuts its prompt; None cuts nothing.
+    """
+
+    @F.pandas_udf("raw_output string, error string")
+    def ask(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         answer = responder()
-        for frame in frames:
-            for at in range(0, len(frame), batch):
-                part = frame.iloc[at : at + batch]
-                talks = [[dict(role=m["role"], content=m["content"]) for m in talk] for talk in part["messages"]]
+        for part in parts:
+            outputs: list = []
+            errors: list = []
+            for at in range(0, len(part), batch):
+                talks = [[dict(role=m["role"], content=m["content"]) for m in talk] for talk in part.iloc[at : at + batch]]
                 try:
-                    outputs, errors = list(answer(talks)), [None] * len(part)
+                    given = list(answer(talks))
+                    if len(given) != len(talks):
+                        raise ValueError(f"{len(given)} answers to {len(talks)} prompts")
+                    outputs += given
+                    errors += [None] * len(talks)
                 except Exception:  # one bad row must not lose its batch
-                    outputs, errors = [], []
                     for talk in talks:
                         try:
-                            outputs.append(answer([talk])[0])
+                            (given,) = answer([talk])
+                            outputs.append(given)
                             errors.append(None)
                         except Exception as why:
                             outputs.append(None)
                             errors.append(f"{type(why).__name__}: {why}")
-                yield pd.DataFrame({"text_id": part["text_id"].to_numpy(), "raw_output": outputs, "error": errors})
+            yield pd.DataFrame({"raw_output": pd.Series(outputs, dtype=object), "error": pd.Series(errors, dtype=object)})
 
-    return build_prompts(texts).mapInPandas(run, "text_id long, raw_output string, error string")
+    shown = F.coalesce("text", F.lit(""))
+    prompt = messages(F.substring(shown, 1, max_prompt_chars) if max_prompt_chars is not None else shown)
+    answered = texts.withColumn("tonewright_answer", ask.asNondeterministic()(prompt))
+    kept = [c for c in texts.columns if c not in ("raw_output", "error")]
+    return answered.select(*kept, "tonewright_answer.raw_output", "tonewright_answer.error")
 
 
-def respond_once(texts: DataFrame, responder: Responder, batch: int = 64) -> DataFrame:
-    """As respond, but each distinct text is answered once; for responders that decode deterministically."""
-    keyed = texts.withColumn("_key", F.sha2("text", 256))
-    first = keyed.groupBy("_key").agg(F.min("text_id").alias("text_id"))
-    asked = keyed.join(first, ["_key", "text_id"], "left_semi").dropDuplicates(["_key"])
-    answers = respond(asked.select("text_id", "text"), responder, batch)
-    named = first.join(answers, "text_id").drop("text_id")
-    return keyed.select("text_id", "_key").join(named, "_key").drop("_key")
+def respond_once(texts: DataFrame, responder: Responder, batch: int = 64, max_prompt_chars: int | None = None) -> DataFrame:
+    """As respond, but each distinct text is answered once; for responders that decode deterministically.
+
+    Answers are written before they meet their texts, so a text that comes very often is a skewed join that Spark splits.
+    """
+    key = "tonewright_key"
+    keyed = texts.withColumn(key, F.coalesce(F.sha2("text", 256), F.lit("")))
+    asked = keyed.groupBy(key).agg(F.first("text").alias("text"))
+    answers = materialise(respond(asked, responder, batch, max_prompt_chars).select(key, "raw_output", "error"), "answers")
+    return keyed.drop("raw_output", "error").join(answers, key).drop(key)
 
 
 def _literals(rows: list) -> Column:
@@ -62,24 +81,31 @@ def lexicon_hits(texts: DataFrame, lexicon: DataFrame) -> DataFrame:
     """Adds hits: the lexicon's phrases in each text, without regard to case, in the order of their first place.
 
     A lexicon of up to MAX_LITERALS rows becomes one constant, so nothing is joined or shuffled. A larger one is joined
-    by the phrases' first three characters with the distinct trigrams of the texts.
+    by the phrases' first GRAM characters (all of a shorter phrase) with the distinct grams of such lengths in the texts.
+    Both ways give the same hits: repeated lexicon rows count as often, and rows of texts that repeat an id stay apart.
     """
     rows = lexicon.orderBy("phrase").limit(MAX_LITERALS + 1).collect()
-    lower = F.lower(F.col("text"))
     found = lambda at, x: F.struct(at.alias("at"), *[x[c].alias(c) for c in ("phrase", "replacement", "severity", "bias_type", "reasoning")])
     kind = "array<struct<at:int,phrase:string,replacement:string,severity:string,bias_type:string,reasoning:string>>"
+    if not rows:
+        return texts.withColumn("hits", F.array().cast(kind))
     if len(rows) <= MAX_LITERALS:
-        if not rows:
-            return texts.withColumn("hits", F.array().cast(kind))
-        hits = F.transform(F.filter(_literals(rows), lambda x: F.contains(lower, F.lower(x["phrase"]))), lambda x: found(F.call_function("locate", F.lower(x["phrase"]), lower), x))
-        return texts.withColumn("hits", F.array_sort(hits).cast(kind))
-    gram = lambda text: F.substring(text, 1, 3)
-    grams = texts.select("text_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("text"), F.lit(1))), lambda i: F.substring(lower, i, F.lit(3))))).alias("gram"))
-    keyed = lexicon.withColumn("gram", gram(F.lower("phrase")))
-    pairs = grams.join(keyed, "gram").join(texts.select("text_id", "text"), "text_id").where(F.contains(lower, F.lower("phrase")))
-    entry = found(F.call_function("locate", F.lower(F.col("phrase")), lower), {c: F.col(c) for c in ("phrase", "replacement", "severity", "bias_type", "reasoning")})
-    grouped = pairs.groupBy("text_id").agg(F.array_sort(F.collect_set(entry)).cast(kind).alias("hits"))
-    return texts.join(grouped, "text_id", "left").withColumn("hits", F.coalesce("hits", F.array().cast(kind)))
+        # The lowered text is bound once, not lowered again for each phrase.
+        held = lambda low: F.filter(_literals(rows), lambda x: F.contains(low, F.lower(x["phrase"])))
+        hits = F.transform(F.array(F.lower(F.coalesce("text", F.lit("")))), lambda low: F.transform(held(low), lambda x: found(F.call_function("locate", F.lower(x["phrase"]), low), x)))
+        return texts.withColumn("hits", F.array_sort(hits[0]).cast(kind))
+    row, low = "tonewright_row", F.col("tonewright_low")
+    kept = materialise(texts.withColumn(row, F.monotonically_increasing_id()), "texts")  # rows get numbers that stay
+    lowered = kept.select(row, F.lower(F.coalesce("text", F.lit(""))).alias("tonewright_low"))
+    keyed = lexicon.withColumn("gram", F.substring(F.lower("phrase"), 1, GRAM))
+    sizes = [r[0] for r in keyed.select(F.length("gram")).distinct().collect()]  # 0 to GRAM
+    places = F.sequence(F.lit(1), F.greatest(F.length(low), F.lit(1)))
+    of_size = lambda n: F.transform(places, lambda i: F.substring(low, i, F.lit(n)))
+    grams = F.array_distinct(F.flatten(F.array(*map(of_size, sizes))))
+    pairs = lowered.select(row, F.explode(grams).alias("gram")).join(keyed, "gram").drop("gram").join(lowered, row).where(F.contains(low, F.lower("phrase")))
+    entry = found(F.call_function("locate", F.lower(F.col("phrase")), low), {c: F.col(c) for c in ("phrase", "replacement", "severity", "bias_type", "reasoning")})
+    grouped = materialise(pairs.groupBy(row).agg(F.array_sort(F.collect_list(entry)).cast(kind).alias("hits")), "hits")
+    return kept.join(grouped, row, "left").withColumn("hits", F.coalesce("hits", F.array().cast(kind))).select(*texts.columns, "hits")
 
 
 def _answer(hits: Column) -> Column:

@@ -103,16 +103,16 @@ def located(text: Column, segments: Column) -> Column:
 
     What isn't found keeps its offsets; a missing start counts as 0 in the order, and equals keep their order.
     """
-    lower = F.lower(text)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SEGMENT}>").alias("out"))
+    # The lowered text goes along with the fold, so it is lowered once.
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SEGMENT}>").alias("out"), F.lower(text).alias("low"))
 
     def step(s: Column, x: Column) -> Column:
         phrase = F.lower(x["original"])
-        ahead = F.call_function("locate", phrase, lower, s["at"] + 1)
-        found = F.when(ahead > 0, ahead).otherwise(F.call_function("locate", phrase, lower)) - 1
+        ahead = F.call_function("locate", phrase, s["low"], s["at"] + 1)
+        found = F.when(ahead > 0, ahead).otherwise(F.call_function("locate", phrase, s["low"])) - 1
         end = found + F.length(x["original"])
         here = F.struct(x["original"], x["replacement"], x["severity"], x["bias_type"], x["reasoning"], F.when(found >= 0, found).otherwise(x["start"]).alias("start"), F.when(found >= 0, end).otherwise(x["end"]).alias("end")).cast(SEGMENT)
-        return F.struct(F.when(found >= 0, end).otherwise(s["at"]).alias("at"), F.concat(s["out"], F.array(here)).alias("out"))
+        return F.struct(F.when(found >= 0, end).otherwise(s["at"]).alias("at"), F.concat(s["out"], F.array(here)).alias("out"), s["low"].alias("low"))
 
     out = F.aggregate(segments, start, step, lambda s: s["out"])
     keyed = F.transform(out, lambda x, i: F.struct(F.coalesce(x["start"], F.lit(0)).alias("by"), i.alias("pos"), x.alias("segment")))

@@ -28,7 +28,7 @@ def validate_results(parsed: DataFrame) -> DataFrame:
     """Adds binary_label, severity, bias_found, biased_segments, unbiased_text, reject_reason and reject_field.
 
     Segments with one phrase are merged before they are judged. Where reject_reason (not_json, bad_segment or
-    schema_mismatch) is set, the result's columns are null.
+    schema_mismatch) is set, the result's columns are null; reject_field names all fields that break the schema.
     """
     field = lambda n: F.try_variant_get("data", f"$.{n}", "variant")
     kind = lambda n: F.schema_of_variant(field(n))
@@ -50,7 +50,7 @@ def validate_results(parsed: DataFrame) -> DataFrame:
         ("biased_segments", F.col("_merged").isNotNull() & ~segments.invalid(items)),
         ("unbiased_text", F.col("_rewrite").isNotNull()),
     ]
-    broken = F.coalesce(*[F.when(~F.coalesce(fine, F.lit(False)), F.lit(name)) for name, fine in checks])
+    broken = F.nullif(F.concat_ws(",", *[F.when(~F.coalesce(fine, F.lit(False)), F.lit(name)) for name, fine in checks]), F.lit(""))
     reason = F.when(F.col("data").isNull(), "not_json").when(F.coalesce(F.col("_merged.bad"), F.lit(False)), "bad_segment").when(F.col("_broken").isNotNull(), "schema_mismatch")
     judged = rows.withColumn("_broken", broken).withColumn("reject_reason", reason)
     good = F.col("reject_reason").isNull()

@@ -12,27 +12,41 @@ from ..operators.prepare import gate_texts
 from ..operators.segments import located
 from ..operators.validate import validate_results
 from ..schema import MAX_CHARS
-from ..storage import materialise
+from ..storage import Keep, materialise, scratch
 
 
-def judge(answered: DataFrame) -> DataFrame:
-    """Answered texts (text_id, text, raw_output, attributes) parsed, merged, validated and located; one row each.
+def judge(answered: DataFrame, keep: Keep = materialise) -> DataFrame:
+    """Answered texts (text_id, text, raw_output, attributes, maybe the responder's error) parsed, merged, validated and
+    located; one row each.
 
     All of it is columns of one row: no shuffle. Answers, parsed data and outcomes are each written once: a responder runs
-    once whatever reads its output, and no filter is pushed into (and copied through) the steps below it.
+    once whatever reads its output, and no filter is pushed into (and copied through) the steps below it. The first two are
+    removed at the end; `keep` writes the outcomes.
     """
-    parsed = validate_results(materialise(parse_responses(materialise(answered, "answers")), "parsed"))
+    with scratch(answered.sparkSession, "judge") as step:
+        return keep(_placed(validate_results(step(parse_responses(step(answered, "answers")), "parsed"))), "outcomes")
+
+
+def _placed(parsed: DataFrame) -> DataFrame:
     placed = F.when(F.col("reject_reason").isNull(), located(F.col("text"), F.col("biased_segments")))
-    stage = F.when(F.col("reject_reason").isNotNull(), F.when(F.col("raw_output").isNull(), "respond").when(F.col("reject_reason") == "not_json", "parse").otherwise("validate"))
-    return materialise(parsed.withColumn("biased_segments", placed).withColumn("stage", stage).withColumnRenamed("text", "original_text").drop("data"), "outcomes")
+    unanswered = F.col("raw_output").isNull()
+    reason = F.when(unanswered, "no_answer").otherwise(F.col("reject_reason"))
+    stage = F.when(F.col("reject_reason").isNotNull(), F.when(unanswered, "respond").when(F.col("reject_reason") == "not_json", "parse").otherwise("validate"))
+    return parsed.withColumns({"biased_segments": placed, "stage": stage, "reject_reason": F.when(F.col("reject_reason").isNotNull(), reason)}).withColumnRenamed("text", "original_text").drop("data")
 
 
-def annotate(texts: DataFrame, respond: Callable[[DataFrame], DataFrame], max_chars: int | None = MAX_CHARS) -> DataFrame:
-    """One outcome for each text. respond adds raw_output to a table of texts.
+def annotate(texts: DataFrame, respond: Callable[[DataFrame], DataFrame], max_chars: int | None = MAX_CHARS, keep: Keep = materialise) -> DataFrame:
+    """One outcome for each text. respond adds raw_output (and error, where it fails) to a table of texts.
 
     Texts that the gate refuses never reach the responder.
     """
     gated = gate_texts(texts, max_chars)
-    good = judge(respond(gated.where("reject_reason IS NULL").drop("reject_reason")))
+    good = judge(respond(gated.where("reject_reason IS NULL").drop("reject_reason")), keep)
     refused = gated.where("reject_reason IS NOT NULL").withColumnRenamed("text", "original_text").withColumn("stage", F.lit("gate"))
     return good.unionByName(refused, allowMissingColumns=True)
+
+
+def annotate_recorded(texts: DataFrame, responses: DataFrame, max_chars: int | None = MAX_CHARS) -> DataFrame:
+    """One outcome for each text, from recorded answers (text_id, raw_output); a text without one has no answer."""
+    recorded = responses.select(F.col("text_id").alias("recorded_id"), "raw_output")
+    return annotate(texts, lambda rows: rows.join(recorded, F.col("text_id") == F.col("recorded_id"), "left").drop("recorded_id"), max_chars)

@@ -6,16 +6,19 @@ that SQL can state what the repair ladder has to make of each.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import repair, severity
 from ..operators import outcomes, prepare, respond, rollups, segments, spans
 from ..operators.parse import parse_responses
-from ..operators.validate import validate_results
 from ..schema import LEXICON as LEXICON_SCHEMA
 from ..sources import texts as sources
-from .annotate import annotate, judge
+from ..storage import materialise, new_path
+from .annotate import annotate
+from .annotate import annotate_recorded as recorded
 
 LEXICON = [
     ("clown", "colleague", "medium", "ridicule", "Ridicules a person."),
@@ -106,39 +109,87 @@ def lexicon_hits(spark, sf_dir):
     return hits.select("text_id", F.explode("hits").alias("h")).select("text_id", F.col("h.phrase").alias("phrase"), (F.col("h.at") - 1).cast("long").alias("start"))
 
 
-def _step(spark, sf_dir, made) -> DataFrame:
-    """Whether a step gives back the undamaged answer, for each damaged one."""
-    texts = documents(spark, sf_dir)
-    rows = damaged(texts).join(answered(texts).select("text_id", F.col("raw_output").alias("whole")), "text_id")
-    return rows.select("text_id", made(F.col("raw_output"), F.col("whole")).alias("ok"))
+def _text_of_step(spark, sf_dir, made) -> DataFrame:
+    """What a step on texts makes of each damaged answer."""
+    return damaged(documents(spark, sf_dir)).select("text_id", F.md5(made(F.col("raw_output")).cast("binary")).alias("text_md5"))
 
 
 def extract_object(spark, sf_dir):
-    return _step(spark, sf_dir, lambda raw, whole: repair.extracted(raw) == whole)
+    return _text_of_step(spark, sf_dir, repair.extracted)
 
 
 def strip_think(spark, sf_dir):
-    return _step(spark, sf_dir, lambda raw, whole: repair.without_thoughts(raw) == whole)
+    return _text_of_step(spark, sf_dir, repair.without_thoughts)
+
+
+def _fields_of_step(spark, sf_dir, made, whole: bool = True) -> DataFrame:
+    """The fields that a reading step gets from each damaged answer; nulls where it gets none."""
+    rows = materialise(damaged(documents(spark, sf_dir)).select("text_id", made(repair.extracted(F.col("raw_output"))).alias("data")), "step")
+    field = lambda name, kind: F.try_variant_get("data", f"$.{name}", kind)
+    rewrite = [F.md5(field("unbiased_text", "string").cast("binary")).alias("rewrite_md5")] if whole else []
+    return rows.select("text_id", field("binary_label", "string").alias("binary_label"), field("severity", "long").alias("severity"), field("bias_found", "boolean").alias("bias_found"), F.size(field("biased_segments", "array<variant>")).cast("long").alias("n_segments"), *rewrite)
 
 
 def parse_direct(spark, sf_dir):
-    return _step(spark, sf_dir, lambda raw, whole: repair.parsed(repair.extracted(raw)).isNotNull())
+    return _fields_of_step(spark, sf_dir, repair.parsed)
 
 
 def parse_truncated(spark, sf_dir):
-    return _step(spark, sf_dir, lambda raw, whole: repair.parsed(repair.closed(repair.extracted(raw))).isNotNull())
+    return _fields_of_step(spark, sf_dir, lambda text: repair.parsed(repair.closed(text)))
 
 
 def parse_commas(spark, sf_dir):
-    return _step(spark, sf_dir, lambda raw, whole: repair.parsed(repair.with_commas(repair.extracted(raw))).isNotNull())
+    return _fields_of_step(spark, sf_dir, lambda text: repair.parsed(repair.with_commas(text)))
 
 
 def parse_combined(spark, sf_dir):
-    return _step(spark, sf_dir, lambda raw, whole: repair.parsed(repair.with_commas(repair.closed(repair.extracted(raw)))).isNotNull())
+    return _fields_of_step(spark, sf_dir, lambda text: repair.parsed(repair.with_commas(repair.closed(text))))
 
 
 def parse_salvage(spark, sf_dir):
-    return _step(spark, sf_dir, lambda raw, whole: repair.salvaged(repair.extracted(raw)).isNotNull())
+    return _fields_of_step(spark, sf_dir, repair.salvaged, whole=False)
+
+
+def model():
+    """A responder in Python that knows the lexicon, and fails on texts whose length divides by 9."""
+
+    def answer(talks):
+        out = []
+        for talk in talks:
+            text = talk[-1]["content"].removeprefix(prepare.QUESTION)
+            if len(text) % 9 == 0:
+                raise ValueError("unlucky length")
+            found = sorted((text.lower().find(row[0]), row) for row in LEXICON if row[0] in text.lower())
+            names = ("original", "replacement", "severity", "bias_type", "reasoning")
+            rewrite, at = "", 0
+            for start, row in found:
+                rewrite, at = rewrite + text[at:start] + row[1], start + len(row[0])
+            level = max([{"high": 4, "medium": 3, "low": 2}[row[2]] for _, row in found], default=0)
+            whole = {"binary_label": "biased" if found else "unbiased", "severity": level, "bias_found": bool(found), "biased_segments": [dict(zip(names, row)) for _, row in found], "unbiased_text": rewrite + text[at:]}
+            out.append(json.dumps(whole, ensure_ascii=False))
+        return out
+
+    return answer
+
+
+def _outcome_columns(judged: DataFrame) -> DataFrame:
+    detail = F.coalesce(*[F.col(c) for c in ("error", "reject_field") if c in judged.columns])
+    return judged.select(
+        "text_id", F.coalesce("stage", F.lit("result")).alias("outcome"), F.when(F.col("stage").isNotNull(), F.col("reject_reason")).alias("reason"), detail.alias("detail"),
+        F.col("severity").cast("long").alias("severity"), F.size("biased_segments").cast("long").alias("n_segments"), F.md5(F.col("unbiased_text").cast("binary")).alias("rewrite_md5"),
+    )
+
+
+def annotate_udf(spark, sf_dir):
+    """The whole way with a responder in Python, each distinct text answered once."""
+    return _outcome_columns(annotate(documents(spark, sf_dir), lambda texts: respond.respond_once(texts, model), max_chars=None))
+
+
+def annotate_recorded(spark, sf_dir):
+    """The whole way from recorded answers, which every fifth text lacks."""
+    texts, path = documents(spark, sf_dir), new_path(spark, "recorded")
+    damaged(texts).where("pmod(text_id, 5) != 4").select("text_id", "raw_output").write.parquet(path)
+    return _outcome_columns(recorded(texts, sources.read_responses(spark, path), max_chars=None))
 
 
 def repair_strategy_counts(spark, sf_dir):
@@ -151,16 +202,23 @@ def validate(spark, sf_dir):
     return j.select("text_id", F.coalesce("reject_reason", F.lit("result")).alias("outcome"), "reject_field", "binary_label", F.col("severity").cast("long").alias("severity"), "bias_found", F.size("biased_segments").cast("long").alias("n_segments"))
 
 
-_RAW_SEVERITIES = ['"high"', '" Low "', "1", "6", "-1", "2.5", "3.0", '"9"', '"abc"', "true", "null", "3"]
-
-
 def severity_coercion(spark, sf_dir):
-    raw = F.element_at(F.array(*[F.lit(x) for x in _RAW_SEVERITIES]), (F.pmod("text_id", F.lit(len(_RAW_SEVERITIES))) + 1).cast("int"))
-    return documents(spark, sf_dir).select("text_id", F.coalesce(severity.from_variant(F.try_parse_json(raw)), F.lit(-9)).cast("long").alias("severity"))
+    """The answers' severities, written in six ways by text_id: number, text, word, above the scale, below it, fraction."""
+    rows = answered(documents(spark, sf_dir))
+    level = F.get_json_object("raw_output", "$.severity")
+    word = F.when(level == "0", "NONE").when(level == "2", "Low").when(level == "3", "medium").otherwise("high")
+    ways = [level, F.concat(F.lit('"'), level, F.lit('"')), F.concat(F.lit('" '), word, F.lit(' "')), (level.cast("int") + 5).cast("string"), (-1 - level.cast("int")).cast("string"), F.concat(level, F.lit(".0"))]
+    raw = F.element_at(F.array(*ways), (F.pmod("text_id", F.lit(len(ways))) + 1).cast("int"))
+    return rows.select("text_id", severity.from_variant(F.try_parse_json(raw)).cast("long").alias("severity"))
 
 
 def segment_severity(spark, sf_dir):
-    return documents(spark, sf_dir).select("text_id", severity.of_segment(F.concat(F.lit(" "), F.element_at(F.array(*[F.lit(x) for x in ("HIGH", "low", "Medium", "extreme")]), (F.pmod("text_id", F.lit(4)) + 1).cast("int")))).alias("severity"))
+    """The hits' severities, written in four ways by text_id: upper case, among spaces, capitalised, with a word before it."""
+    hits = respond.lexicon_hits(documents(spark, sf_dir), lexicon(spark)).select("text_id", F.explode("hits").alias("h"))
+    level = F.col("h.severity")
+    ways = [F.upper(level), F.concat(F.lit(" "), level, F.lit("\t")), F.initcap(level), F.concat(F.lit("very "), level)]
+    raw = F.element_at(F.array(*ways), (F.pmod("text_id", F.lit(len(ways))) + 1).cast("int"))
+    return hits.select("text_id", F.col("h.phrase").alias("phrase"), severity.of_segment(raw).alias("severity"))
 
 
 def merge_segments(spark, sf_dir):
@@ -189,9 +247,13 @@ def label_rates_cube(spark, sf_dir):
 
 
 def consistency_audit(spark, sf_dir):
-    """Answers whose flag is turned for every third text: the audit finds them."""
+    """Answers with a turned flag, a severity, a segment or a changed rewrite for some texts: the audit finds them."""
     r = clean_results(spark, sf_dir)
-    return rollups.consistency_audit(r.withColumn("bias_found", F.when(F.pmod("text_id", F.lit(3)) == 0, ~F.col("bias_found")).otherwise(F.col("bias_found"))))
+    every = lambda n, changed, column: F.when(F.pmod("text_id", F.lit(n)) == 0, changed).otherwise(F.col(column))
+    kind = r.schema["biased_segments"].dataType
+    one = F.array(F.struct(*[F.lit("x").alias(f.name) if f.dataType.simpleString() == "string" else F.lit(None).cast(f.dataType).alias(f.name) for f in kind.elementType])).cast(kind)
+    changed = {"bias_found": every(3, ~F.col("bias_found"), "bias_found"), "severity": every(7, F.lit(3), "severity"), "biased_segments": every(11, one, "biased_segments"), "unbiased_text": every(13, F.concat("unbiased_text", F.lit(" x")), "unbiased_text")}
+    return rollups.consistency_audit(r.withColumns(changed))
 
 
 def locate_segments(spark, sf_dir):
@@ -269,7 +331,7 @@ def review_report(spark, sf_dir):
 def rewrite_fidelity(spark, sf_dir):
     """Rebuilt texts against the responder's rewrites, a word of which is changed for every fifth text."""
     r = clean_results(spark, sf_dir).withColumn("unbiased_text", F.when(F.pmod("text_id", F.lit(5)) == 0, F.concat("unbiased_text", F.lit(" more"))).otherwise(F.col("unbiased_text")))
-    return spans.apply_replacements(r).select("text_id", "faithful")
+    return _digest(spans.apply_replacements(r), "rebuilt", "faithful")
 
 
 def results_json(spark, sf_dir):
@@ -278,8 +340,8 @@ def results_json(spark, sf_dir):
 
 
 
-def _digest(rows: DataFrame, column: str) -> DataFrame:
-    return rows.select("text_id", F.md5(F.col(column).cast("binary")).alias(f"{column}_md5"))
+def _digest(rows: DataFrame, column: str, *others: str) -> DataFrame:
+    return rows.select("text_id", F.md5(F.col(column).cast("binary")).alias(f"{column}_md5"), *others)
 
 
 def mark_rewrite_whole(spark, sf_dir):
@@ -303,7 +365,7 @@ QUERIES = {
         texts_source, gate_texts, build_prompts, respond_udf, respond_once, lexicon_hits, extract_object, strip_think, parse_direct, parse_truncated, parse_commas, parse_combined, parse_salvage, repair_strategy_counts,
         severity_coercion, segment_severity, merge_segments, severity_counts, segment_counts, bias_type_topk, label_rates_cube, consistency_audit, locate_segments, number_segments, valid_spans, select_spans,
         match_quality, attach_source, rejects, pending_texts, top_texts, explode_segments, mark_original, mark_rewrite, review_report, rewrite_fidelity, results_json,
-        mark_rewrite_whole, review_report_whole, results_json_whole,
+        mark_rewrite_whole, review_report_whole, results_json_whole, annotate_udf, annotate_recorded,
     )
 } | {"validate_results": validate, "outcomes": all_outcomes}
 
@@ -327,6 +389,25 @@ hits AS (SELECT d.text_id, d.k, d.source, d.lang, l.*, strpos(lower(d.text), l.p
 t AS (SELECT d.*, coalesce(n, 0)::BIGINT AS n, coalesce(level, 0)::BIGINT AS level, coalesce(n_high, 0)::BIGINT AS n_high FROM d LEFT JOIN (
     SELECT text_id, count(*) AS n, max(CASE severity WHEN 'high' THEN 4 WHEN 'medium' THEN 3 ELSE 2 END) AS level, count(*) FILTER (severity = 'high') AS n_high FROM hits GROUP BY text_id) USING (text_id))
 """
+#: Each text's rewrite, its answer as JSON, and the parts of that.
+_ANSWER = (
+    _BASE
+    + r""", r AS (SELECT t.*, coalesce(made, '') || substr(t.text, coalesce(last_stop, 0) + 1) AS rewrite, coalesce(items, '') AS items, CASE WHEN n > 0 THEN 'biased' ELSE 'unbiased' END AS label FROM t LEFT JOIN (
+    SELECT text_id, max(stop) AS last_stop, string_agg(substr(text, before + 1, start - before) || replacement, '' ORDER BY start) AS made,
+        string_agg('{"original":"' || phrase || '","replacement":"' || replacement || '","severity":"' || severity || '","bias_type":"' || bias_type || '","reasoning":"' || reasoning || '"}', ',' ORDER BY start) AS items
+    FROM (SELECT h.*, d.text, coalesce(lag(stop) OVER (PARTITION BY h.text_id ORDER BY start), 0) AS before FROM hits h JOIN d USING (text_id)) GROUP BY text_id) USING (text_id)),
+p AS (SELECT *, '"binary_label":"' || label || '"' AS f1, '"severity":' || level AS f2, '"bias_found":' || (n > 0) AS f3, '"biased_segments":[' || items || ']' AS f4, '"unbiased_text":' || to_json(rewrite)::VARCHAR AS f5 FROM r),
+a AS (SELECT *, '{' || f1 || ',' || f2 || ',' || f3 || ',' || f4 || ',' || f5 || '}' AS whole FROM p)
+"""
+)
+
+
+def _fields_sql(read: str, counted: str = "n", whole: bool = True) -> str:
+    """Fields of the answers that a step reads (those with the condition `read`)."""
+    rewrite = f", CASE WHEN {read} THEN md5(rewrite) END AS rewrite_md5" if whole else ""
+    return _ANSWER + f"SELECT text_id, CASE WHEN {read} THEN label END AS binary_label, CASE WHEN {read} THEN level END AS severity, CASE WHEN {read} THEN n > 0 END AS bias_found, CASE WHEN {read} THEN {counted} END AS n_segments{rewrite} FROM r"
+
+
 _STRATEGY = "CASE WHEN k <= 3 THEN 'direct' WHEN k = 4 THEN 'truncated' WHEN k = 5 THEN 'commas' WHEN k = 6 THEN 'salvage' ELSE 'none' END"
 
 ORACLE_SQL = {
@@ -336,23 +417,23 @@ ORACLE_SQL = {
     "respond_udf": "SELECT doc_id AS text_id, md5(list_extract(string_split(text, chr(10)), -1)) AS answer_md5, false AS failed FROM documents",
     "respond_once": "SELECT doc_id AS text_id, md5(list_extract(string_split(text, chr(10)), -1)) AS answer_md5 FROM documents",
     "lexicon_hits": _BASE + "SELECT text_id, phrase, start FROM hits",
-    "extract_object": _BASE + "SELECT text_id, k <= 3 AS ok FROM d",
-    "strip_think": _BASE + "SELECT text_id, k IN (0, 3) AS ok FROM d",
-    "parse_direct": _BASE + "SELECT text_id, k <= 3 AS ok FROM d",
-    "parse_truncated": _BASE + "SELECT text_id, k <= 4 AS ok FROM d",
-    "parse_commas": _BASE + "SELECT text_id, k <= 3 OR k = 5 AS ok FROM d",
-    "parse_combined": _BASE + "SELECT text_id, k <= 5 AS ok FROM d",
-    "parse_salvage": _BASE + "SELECT text_id, k <= 6 AS ok FROM d",
+    "extract_object": _ANSWER + "SELECT text_id, md5(CASE WHEN k <= 3 THEN whole WHEN k = 4 THEN '{' || f5 || ',' || f1 || ',' || f2 || ',' || f3 || ',' || f4 WHEN k = 5 THEN '{' || chr(10) || concat_ws(chr(10), f1, f2, f3, f4, f5) || '}' WHEN k = 6 THEN '{' || f1 || ',' || f2 || ',' || f3 || ',' || f4 || ',\"unbiased_text\":' ELSE 'Nothing of that kind was found.' END) AS text_md5 FROM a",
+    "strip_think": _ANSWER + "SELECT text_id, md5(CASE WHEN k IN (0, 3) THEN whole WHEN k = 1 THEN '```json' || chr(10) || whole || chr(10) || '```' WHEN k = 2 THEN 'Here it is:' || chr(10) || whole || chr(10) || 'Hope this helps.' WHEN k = 4 THEN '{' || f5 || ',' || f1 || ',' || f2 || ',' || f3 || ',' || f4 WHEN k = 5 THEN '{' || chr(10) || concat_ws(chr(10), f1, f2, f3, f4, f5) || '}' WHEN k = 6 THEN '{' || f1 || ',' || f2 || ',' || f3 || ',' || f4 || ',' || substr(f5, 1, 18) ELSE 'Nothing of that kind was found.' END) AS text_md5 FROM a",
+    "parse_direct": _fields_sql("k <= 3"),
+    "parse_truncated": _fields_sql("k <= 4"),
+    "parse_commas": _fields_sql("k <= 3 OR k = 5"),
+    "parse_combined": _fields_sql("k <= 5"),
+    "parse_salvage": _fields_sql("k <= 6", "CASE WHEN k IN (4, 5) THEN 0 ELSE n END", whole=False),
     "repair_strategy_counts": _BASE + f"SELECT {_STRATEGY} AS strategy, count(*)::BIGINT AS n FROM d GROUP BY 1",
     "validate_results": _BASE + "SELECT text_id, CASE WHEN k <= 5 THEN 'result' WHEN k = 6 THEN 'schema_mismatch' ELSE 'not_json' END AS outcome, CASE WHEN k = 6 THEN 'unbiased_text' END AS reject_field, CASE WHEN k <= 5 THEN CASE WHEN n > 0 THEN 'biased' ELSE 'unbiased' END END AS binary_label, CASE WHEN k <= 5 THEN level END AS severity, CASE WHEN k <= 5 THEN n > 0 END AS bias_found, CASE WHEN k <= 5 THEN n END AS n_segments FROM t",
-    "severity_coercion": "SELECT doc_id AS text_id, [4, 2, 2, 4, 0, 4, 3, 4, 2, 2, -9, 3][doc_id % 12 + 1]::BIGINT AS severity FROM documents",
-    "segment_severity": "SELECT doc_id AS text_id, ['high', 'low', 'medium', 'medium'][doc_id % 4 + 1] AS severity FROM documents",
+    "severity_coercion": _BASE + "SELECT text_id, CASE text_id % 6 WHEN 3 THEN 4 WHEN 4 THEN 0 ELSE level END::BIGINT AS severity FROM t",
+    "segment_severity": _BASE + "SELECT text_id, phrase, CASE WHEN text_id % 4 = 3 THEN 'medium' ELSE severity END AS severity FROM hits",
     "merge_segments": _BASE + "SELECT text_id, phrase AS original, 'high' AS severity, bias_type || ' / second look' AS bias_type, reasoning || ' Seen twice.' AS reasoning FROM hits",
     "severity_counts": _BASE + "SELECT source, lang, coalesce(sum(h), 0)::BIGINT AS high, coalesce(sum(m), 0)::BIGINT AS medium, coalesce(sum(l), 0)::BIGINT AS low, count(*)::BIGINT AS n_texts FROM d LEFT JOIN (SELECT text_id, count(*) FILTER (severity = 'high') AS h, count(*) FILTER (severity = 'medium') AS m, count(*) FILTER (severity = 'low') AS l FROM hits GROUP BY text_id) USING (text_id) WHERE k <= 5 GROUP BY source, lang",
     "segment_counts": _BASE + "SELECT text_id, n AS n_segments FROM t WHERE k <= 5",
     "bias_type_topk": _BASE + "SELECT bias_type, count(*)::BIGINT AS n FROM (SELECT trim(unnest(string_split(bias_type, '/'))) AS bias_type FROM hits WHERE k <= 5) GROUP BY 1 ORDER BY n DESC, bias_type LIMIT 5",
     "label_rates_cube": _BASE + "SELECT source, lang, grouping(source, lang)::BIGINT AS level, count(*)::BIGINT AS n_texts, round(avg((n > 0)::INT::DOUBLE), 6) AS biased_share, round(avg(t.level::DOUBLE), 6) AS mean_severity, round(avg((k > 3)::INT::DOUBLE), 6) AS repaired_share FROM t WHERE k <= 5 GROUP BY CUBE (source, lang)",
-    "consistency_audit": _BASE + "SELECT 0::BIGINT AS unbiased_with_severity, count(*) FILTER (n = 0 AND text_id % 3 = 0)::BIGINT AS unbiased_with_flag, 0::BIGINT AS unbiased_with_segments, 0::BIGINT AS unbiased_but_changed, count(*) FILTER (n = 0 AND text_id % 3 = 0)::BIGINT AS flag_without_segments, count(*) FILTER (n > 0 AND text_id % 3 = 0)::BIGINT AS biased_without_flag, count(*)::BIGINT AS n_results FROM t",
+    "consistency_audit": _BASE + "SELECT count(*) FILTER (n = 0 AND text_id % 7 = 0)::BIGINT AS unbiased_with_severity, count(*) FILTER (n = 0 AND text_id % 3 = 0)::BIGINT AS unbiased_with_flag, count(*) FILTER (n = 0 AND text_id % 11 = 0)::BIGINT AS unbiased_with_segments, count(*) FILTER (n = 0 AND text_id % 13 = 0)::BIGINT AS unbiased_but_changed, count(*) FILTER (n = 0 AND text_id % 3 = 0 AND text_id % 11 != 0)::BIGINT AS flag_without_segments, count(*) FILTER (n > 0 AND text_id % 3 = 0)::BIGINT AS biased_without_flag, count(*)::BIGINT AS n_results FROM t",
     "locate_segments": _BASE + "SELECT text_id, phrase AS original, start, stop AS \"end\" FROM hits",
     "number_segments": _BASE + "SELECT text_id, phrase AS original, row_number() OVER (PARTITION BY text_id ORDER BY start)::BIGINT AS ordinal FROM hits WHERE k <= 5",
     "valid_spans": _BASE + "SELECT text_id, n + 1 AS n_all, n AS n_valid FROM t",
@@ -367,6 +448,10 @@ ORACLE_SQL = {
     "mark_original": _BASE + f"SELECT d.text_id, md5(coalesce(marks, '') || {_esc('substr(d.text, coalesce(last_stop, 0) + 1)')}) AS html_md5 FROM d LEFT JOIN (SELECT text_id, max(stop) AS last_stop, string_agg({_esc('substr(text, before + 1, start - before)')} || '<mark class=\"severity-' || severity || '\">' || {_esc('substr(text, start + 1, stop - start)')} || '</mark>', '' ORDER BY start) AS marks FROM (SELECT h.*, d.text, coalesce(lag(stop) OVER (PARTITION BY h.text_id ORDER BY start), 0) AS before FROM hits h JOIN d USING (text_id)) GROUP BY text_id) m ON m.text_id = d.text_id",
     "mark_rewrite": _BASE + "SELECT text_id, coalesce('Now:' || ' ' || html, 'Now: ') AS html FROM d LEFT JOIN (SELECT text_id, string_agg('<mark class=\"replaced\">' || replacement || '</mark>', ' &amp; ' ORDER BY start) AS html FROM (SELECT * FROM hits) GROUP BY text_id) USING (text_id)",
     "review_report": _BASE + "SELECT text_id, coalesce('Segments found: ' || n || chr(10) || each, 'No biased segments.' || chr(10)) || chr(10) || 'Neutral rewrite:' || chr(10) || '(as above)' AS report FROM d LEFT JOIN (SELECT text_id, count(*) AS n, string_agg('[' || nr || '] ' || upper(severity) || chr(10) || 'Original: ' || phrase || chr(10) || 'Replacement: ' || replacement || chr(10) || 'Bias type: ' || bias_type || chr(10) || 'Reasoning: ' || reasoning, chr(10) ORDER BY nr) AS each FROM (SELECT *, row_number() OVER (PARTITION BY text_id ORDER BY start) AS nr FROM hits) GROUP BY text_id) USING (text_id)",
-    "rewrite_fidelity": _BASE + "SELECT text_id, text_id % 5 != 0 AS faithful FROM d",
+    "rewrite_fidelity": _ANSWER + "SELECT text_id, md5(rewrite) AS rebuilt_md5, text_id % 5 != 0 AS faithful FROM r",
+    "annotate_udf": _ANSWER + "SELECT text_id, CASE WHEN length(text) % 9 = 0 THEN CASE WHEN text = '' THEN 'gate' ELSE 'respond' END ELSE 'result' END AS outcome, CASE WHEN text = '' THEN 'empty' WHEN length(text) % 9 = 0 THEN 'no_answer' END AS reason, CASE WHEN text != '' AND length(text) % 9 = 0 THEN 'ValueError: unlucky length' END AS detail, CASE WHEN length(text) % 9 != 0 THEN level END AS severity, CASE WHEN length(text) % 9 != 0 THEN n END AS n_segments, CASE WHEN length(text) % 9 != 0 THEN md5(rewrite) END AS rewrite_md5 FROM r",
+    "annotate_recorded": _ANSWER + "SELECT text_id, CASE WHEN text = '' THEN 'gate' WHEN text_id % 5 = 4 THEN 'respond' WHEN k = 7 THEN 'parse' WHEN k = 6 THEN 'validate' ELSE 'result' END AS outcome, CASE WHEN text = '' THEN 'empty' WHEN text_id % 5 = 4 THEN 'no_answer' WHEN k = 7 THEN 'not_json' WHEN k = 6 THEN 'schema_mismatch' END AS reason, CASE WHEN text != '' AND text_id % 5 != 4 AND k = 6 THEN 'unbiased_text' END AS detail, CASE WHEN good THEN level END AS severity, CASE WHEN good THEN n END AS n_segments, CASE WHEN good THEN md5(rewrite) END AS rewrite_md5 FROM (SELECT *, text != '' AND text_id % 5 != 4 AND k <= 5 AS good FROM r)",
+    "results_json_whole": _ANSWER + "SELECT text_id, md5('{' || f1 || ',' || f2 || ',' || f3 || ',\"biased_segments\":[' || coalesce(placed, '') || '],' || f5 || ',\"original_text\":' || to_json(text)::VARCHAR || '}') AS json_md5 FROM a LEFT JOIN (SELECT text_id, string_agg('{\"original\":\"' || phrase || '\",\"replacement\":\"' || replacement || '\",\"severity\":\"' || severity || '\",\"bias_type\":\"' || bias_type || '\",\"reasoning\":\"' || reasoning || '\",\"start\":' || start || ',\"end\":' || stop || '}', ',' ORDER BY start) AS placed FROM hits GROUP BY text_id) USING (text_id)",
+    "review_report_whole": _ANSWER + "SELECT text_id, md5(coalesce('Segments found: ' || n || chr(10) || each, 'No biased segments.' || chr(10)) || chr(10) || 'Neutral rewrite:' || chr(10) || rewrite) AS report_md5 FROM r LEFT JOIN (SELECT text_id, string_agg('[' || nr || '] ' || upper(severity) || chr(10) || 'Original: ' || phrase || chr(10) || 'Replacement: ' || replacement || chr(10) || 'Bias type: ' || bias_type || chr(10) || 'Reasoning: ' || reasoning, chr(10) ORDER BY nr) AS each FROM (SELECT *, row_number() OVER (PARTITION BY text_id ORDER BY start) AS nr FROM hits) GROUP BY text_id) USING (text_id)",
     "results_json": _BASE + "SELECT text_id, '{\"binary_label\":\"' || CASE WHEN n > 0 THEN 'biased' ELSE 'unbiased' END || '\",\"severity\":' || level || ',\"bias_found\":' || (n > 0) || ',\"biased_segments\":[' || coalesce(items, '') || '],\"unbiased_text\":\"x\",\"original_text\":null}' AS json FROM t LEFT JOIN (SELECT text_id, string_agg('{\"original\":\"' || phrase || '\",\"replacement\":\"' || replacement || '\",\"severity\":\"' || severity || '\",\"bias_type\":\"' || bias_type || '\",\"reasoning\":\"' || reasoning || '\",\"start\":' || start || ',\"end\":' || stop || '}', ',' ORDER BY start) AS items FROM hits GROUP BY text_id) USING (text_id)",
 }

@@ -10,20 +10,20 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators.outcomes import split_outcomes
 from ..plans.annotate import annotate
 from ..schema import MAX_CHARS
+from ..storage import scratch
 
 
 def annotate_stream(texts: DataFrame, respond: Callable[[DataFrame], DataFrame], results_path: str, rejects_path: str, checkpoint: str, max_chars: int | None = MAX_CHARS, **trigger) -> StreamingQuery:
     """Results and rejects of a stream, written by micro-batch; no state is kept.
 
-    A batch is persisted, so the responder runs once for both sinks. A batch that is run again replaces its own folder.
+    A batch's outcomes are written once, so the responder runs once for both sinks, and are removed when both are done. A
+    batch that is run again replaces its own folder.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        judged = annotate(batch, respond, max_chars).persist()
-        try:
+        with scratch(batch.sparkSession, f"batch{number}") as keep:
+            judged = annotate(batch, respond, max_chars, keep)
             for rows, path in zip(split_outcomes(judged), (results_path, rejects_path)):
                 rows.write.mode("overwrite").parquet(f"{path}/batch={number}")
-        finally:
-            judged.unpersist()
 
     return texts.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
