@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import materialise
+from .storage import materialise, scratch
 
 ROUNDS = 40
 
@@ -34,14 +34,16 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Each round is a written table, so lineage stays short and a lost executor costs one round at most. The number of
     rounds grows with the logarithm of the longest path.
     """
-    now = materialise(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("src"), F.least(a, b).alias("dst")).distinct(), "edges")
-    before = None
-    for _ in range(ROUNDS):
-        now = materialise(_small_star(_large_star(now)), "round")
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first()
-        if state == before:
-            break
-        before = state
-    else:
-        raise RuntimeError(f"components have not settled after {ROUNDS} rounds")
-    return now.select(F.col("src").alias("id"), F.col("dst").alias("component")).unionByName(now.select(F.col("dst").alias("id"), F.col("dst").alias("component"))).distinct()
+    with scratch(edges.sparkSession, "components") as keep:
+        now = keep(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("src"), F.least(a, b).alias("dst")).distinct(), "edges")
+        before = None
+        for _ in range(ROUNDS):
+            now = keep(_small_star(_large_star(now)), "round")
+            state = now.agg(F.count("*"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first()
+            if state == before:
+                break
+            before = state
+        else:
+            raise RuntimeError(f"components have not settled after {ROUNDS} rounds")
+        found = now.select(F.col("src").alias("id"), F.col("dst").alias("component")).unionByName(now.select(F.col("dst").alias("id"), F.col("dst").alias("component"))).distinct()
+        return materialise(found, "components")

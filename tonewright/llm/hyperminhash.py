@@ -22,9 +22,9 @@ _PROBES = np.argsort(mixed_bits(np.arange(1, REGISTERS * REGISTERS + 1, dtype=np
 CHANCE = 0.169919487 / (1 << MANTISSA)
 
 
-def shingle_set(text: str, k: int, lower: bool = True) -> np.ndarray:
+def shingle_set(text: str | bytes, k: int, lower: bool = True) -> np.ndarray:
     """Sorted distinct hashes of a text's k-word shingles; of all its words as one where there are fewer."""
-    words = hashed_words(text.encode("utf-8", "surrogatepass"), lower)
+    words = hashed_words(text if isinstance(text, bytes) else text.encode("utf-8", "surrogatepass"), lower)
     if not len(words):
         return words
     return np.unique(window_hashes(words, k) if len(words) > k else window_hashes(words, len(words)))

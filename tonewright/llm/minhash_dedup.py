@@ -12,12 +12,14 @@
 With 32 bands of 5 registers a pair at the threshold 0.8 shares no bucket in 3 of a million cases, above it in fewer.
 
 Edge cases: a document without words links with nothing; one with fewer words than a shingle has all its words as one
-shingle; a null id links with nothing and has a null component; rows that repeat an id count as one document, that of
-the first of its texts in order; an empty table gives an empty result; further columns are ignored.
+shingle; a null id links with nothing and has a null component; rows that repeat an id are documents of their own, and a
+component's id is the least of all its rows; rows equal in id and text are one document; an empty table gives an empty
+result; further columns, whatever their names, are kept or ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +30,8 @@ from pyspark.sql import functions as F
 from .blocks import dealt
 from .components import components
 from .hyperminhash import REGISTERS, band_keys, estimate, floor_of, shingle_set, signature, sketch
-from .storage import materialise
+from .documents import digest_of, may_be_in, met
+from .storage import Keep, materialise, neutral, scratch
 from .tokens import slices
 
 SHINGLE_WORDS, LEAST = 5, 80  # per cent
@@ -38,27 +41,29 @@ _COLUMNS_AT_ONCE = 4096
 
 
 def sketches(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
-    """One row a document: id, n_shingles, signature of the set, registers, band keys (null for an empty set)."""
-    schema = pa.schema([("id", pa.int64()), ("n_shingles", pa.int64()), ("signature", pa.binary()), ("registers", pa.binary()), ("keys", pa.list_(pa.int64()))])
+    """One row a document: id, digest of the text, n_shingles, signature of the set, registers, band keys (null for an empty set)."""
+    schema = pa.schema([("id", pa.int64()), ("digest", pa.binary()), ("n_shingles", pa.int64()), ("signature", pa.binary()), ("registers", pa.binary()), ("keys", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                sets = [shingle_set(t or "", k) for t in part.column("text").to_pylist()]
+                texts = part.column("text").cast(pa.binary()).fill_null(b"").to_pylist()
+                sets = [shingle_set(t, k) for t in texts]
                 made = [sketch(s) if len(s) else None for s in sets]
                 full = [m for m in made if m is not None]
                 keys = iter(band_keys(np.array(full))) if full else iter(())
-                columns = [part.column("id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([signature(s) if len(s) else None for s in sets], pa.binary()), pa.array([m.tobytes() if m is not None else None for m in made], pa.binary()), pa.array([next(keys) if m is not None else None for m in made], schema.field("keys").type)]
+                columns = [part.column("id"), pa.array([hashlib.md5(t).digest() for t in texts], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array([signature(s) if len(s) else None for s in sets], pa.binary()), pa.array([m.tobytes() if m is not None else None for m in made], pa.binary()), pa.array([next(keys) if m is not None else None for m in made], schema.field("keys").type)]
                 yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return source.mapInArrow(run, "id long, n_shingles long, signature binary, registers binary, keys array<long>")
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    return source.mapInArrow(run, "id long, digest binary, n_shingles long, signature binary, registers binary, keys array<long>")
 
 
-def shared_buckets(classes: DataFrame) -> DataFrame:
+def shared_buckets(classes: DataFrame, keep: Keep) -> DataFrame:
     """Classes in buckets of two or more: id, bucket (a hash of band and key), the bucket's first class and its size."""
     bands = classes.select("id", F.posexplode("keys").alias("band", "key")).select("id", F.xxhash64("band", "key").alias("bucket"))
-    first = bands.groupBy("bucket").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    # Written apart from the join: a bucket with very many classes is then a skewed join that Spark splits.
+    first = keep(bands.groupBy("bucket").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1"), "buckets")
     return bands.join(first, "bucket").select("id", "bucket", "first", "n")
 
 
@@ -121,7 +126,7 @@ def _bucket_links(least: int):
     return run
 
 
-def bucket_links(shared: DataFrame, found: DataFrame, classes: DataFrame, least: int) -> DataFrame:
+def bucket_links(shared: DataFrame, found: DataFrame, classes: DataFrame, least: int, keep: Keep) -> DataFrame:
     """Further pairs whose estimate can reach the threshold, of buckets whose classes lie in several of the clusters found.
 
     Every pair of such a bucket is compared but those within its largest cluster and those that already are connected.
@@ -131,7 +136,7 @@ def bucket_links(shared: DataFrame, found: DataFrame, classes: DataFrame, least:
     parts = many.groupBy("bucket", "component").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("mark"))
     buckets = parts.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.sum("n").alias("n"), F.count("*").alias("parts"), F.bit_xor("mark").alias("mark")).where("parts > 1")
     once = buckets.groupBy("n", "mark").agg(F.min(F.struct("bucket", "largest")).alias("b")).select("b.*")
-    rows = materialise(many.join(once, "bucket").select("id", "bucket", "component", (F.col("component") == F.col("largest")).alias("inner")), "open_buckets")
+    rows = keep(many.join(once, "bucket").select("id", "bucket", "component", (F.col("component") == F.col("largest")).alias("inner")), "open_buckets")
     pairs = dealt(rows, "bucket", F.col("inner").cast("int"), "id", BLOCK_ROWS, within=~F.col("inner"))
     met = pairs.join(classes.select("id", "n_shingles", "registers"), "id").repartition("bucket", "first", "second").sortWithinPartitions("bucket", "first", "second")
     return met.select("bucket", "first", "second", "id", "n_shingles", "component", "registers", "block").mapInArrow(_bucket_links(least), "a long, b long")
@@ -172,7 +177,7 @@ def close_pairs(sets: list[np.ndarray], least: int) -> list[tuple[int, int]]:
 def _links(k: int, least: int):
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def links_of(rows: list[tuple[int, str]]) -> list[tuple[int, int]]:
+    def links_of(rows: list[tuple[int, bytes]]) -> list[tuple[int, int]]:
         ids = [i for i, _ in rows]
         root = list(range(len(ids)))
 
@@ -183,7 +188,7 @@ def _links(k: int, least: int):
             return x
 
         out = []
-        for i, j in close_pairs([shingle_set(t or "", k) for _, t in rows], least):
+        for i, j in close_pairs([shingle_set(t, k) for _, t in rows], least):
             a, b = find(i), find(j)
             if a != b:  # links that connect are enough for the components
                 root[b] = a
@@ -194,7 +199,7 @@ def _links(k: int, least: int):
         key, rows = None, {}
         for batch in batches:
             found = []
-            for own, doc_id, text in zip(zip(*(batch.column(c).to_pylist() for c in ("cluster", "first", "second"))), batch.column("id").to_pylist(), batch.column("text").to_pylist()):
+            for own, doc_id, text in zip(zip(*(batch.column(c).to_pylist() for c in ("cluster", "first", "second"))), batch.column("id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist()):
                 if own != key:
                     found += links_of(list(rows.items())) if len(rows) > 1 else []
                     key, rows = own, {}
@@ -207,37 +212,60 @@ def _links(k: int, least: int):
     return run
 
 
-def exact_links(clusters: DataFrame, docs: DataFrame, k: int, least: int) -> DataFrame:
-    """Links within clusters (id, component, n_shingles), compared on the whole texts of docs (id, text).
+def exact_links(clusters: DataFrame, texts: DataFrame, k: int, least: int) -> DataFrame:
+    """Links within clusters (id, component, n_shingles), compared on the whole texts of the classes (id, text).
 
     A cluster is cut into classes of set sizes, each a quarter wider than the last, and these into blocks; only blocks
     of the same or of neighbouring classes can hold links, and each pair of such blocks is one group.
     """
     position = F.floor(F.log("n_shingles") / np.log(100 / least) - 1e-9)
     pairs = dealt(clusters.select("id", "n_shingles", F.col("component").alias("cluster")), "cluster", position, "id", BLOCK_ROWS, "n_shingles", BLOCK_SHINGLES)
-    rows = pairs.join(docs, "id").repartition("cluster", "first", "second").sortWithinPartitions("cluster", "first", "second", "id")
+    rows = pairs.join(texts, "id").repartition("cluster", "first", "second").sortWithinPartitions("cluster", "first", "second", "id")
     return rows.select("cluster", "first", "second", "id", "text").mapInArrow(_links(k, least), "a long, b long")
 
 
+def _joined(docs: DataFrame, k: int, least: int, id_col: str, text_col: str) -> DataFrame:
+    """One row a document: id, digest, n_shingles, number of its group (null without one) and the group's least id."""
+    with scratch(docs.sparkSession, "near_duplicates") as keep:
+        made = keep(sketches(docs, k, id_col, text_col), "sketches")
+        sets = made.where("signature IS NOT NULL AND id IS NOT NULL").groupBy("signature")
+        sets = sets.agg(F.min(F.struct("id", "digest")).alias("least"), *[F.first(c).alias(c) for c in ("n_shingles", "registers", "keys")])
+        classes = keep(sets.select("signature", "least.*", "n_shingles", "registers", "keys").withColumnRenamed("id", "least").withColumn("id", F.monotonically_increasing_id()), "classes")
+        sketched = classes.select("id", "n_shingles", "registers")
+        shared = keep(shared_buckets(classes.select("id", "keys"), keep), "shared_buckets")
+        similar = keep(similar_pairs(candidate_pairs(shared), sketched, least), "similar")
+        similar = similar.unionByName(bucket_links(shared, components(similar), sketched, least, keep))
+        clusters = keep(components(similar).join(classes.select("id", "n_shingles", "least", "digest"), "id"), "clusters")
+        texts = docs.select(F.col(id_col).cast("long").alias("least"), F.col(text_col).cast("string").alias("text"))
+        texts = texts.where(may_be_in(clusters, "least")(F.col("least"))).withColumn("digest", digest_of(F.col("text")))
+        texts = texts.join(clusters.select("id", "least", "digest"), ["least", "digest"]).select("id", "text")
+        groups = components(exact_links(clusters, texts, k, least)).withColumnRenamed("component", "group")
+        named = keep(classes.select("signature", "id", "least").join(groups, "id", "left").withColumn("group", F.coalesce("group", "id")), "named")
+        ids = keep(named.groupBy("group").agg(F.min("least").alias("component")), "components")
+        whole = keep(named.select("signature", "group").join(ids, "group"), "groups")
+        linked = made.where("signature IS NOT NULL AND id IS NOT NULL").select("id", "digest", "n_shingles", "signature").join(whole, "signature").drop("signature")
+        alone = made.where("signature IS NULL OR id IS NULL").select("id", "digest", "n_shingles", F.lit(None).cast("long").alias("group"), F.col("id").alias("component"))
+        return materialise(linked.unionByName(alone), "near_duplicates")
+
+
 def grouped(docs: DataFrame, k: int = SHINGLE_WORDS, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: id, n_shingles, component (the least id it reaches), kept (it is the component's first)."""
-    made = materialise(sketches(docs, k, id_col, text_col), "sketches")
-    members = made.groupBy("signature").agg(F.min("id").alias("class"), F.count("*").alias("n")).where("signature IS NOT NULL AND class IS NOT NULL")
-    classes = made.where("signature IS NOT NULL").join(members, "signature").where("id = class").dropDuplicates(["id"])
-    classes = materialise(classes.select("id", "n_shingles", "registers", "keys"), "classes")
-    shared = materialise(shared_buckets(classes.select("id", "keys")), "shared_buckets")
-    similar = materialise(similar_pairs(candidate_pairs(shared), classes, least), "similar")
-    similar = similar.unionByName(bucket_links(shared, components(similar), classes, least))
-    clusters = components(similar).join(classes.select("id", "n_shingles"), "id")
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    found = components(exact_links(materialise(clusters, "clusters"), texts, k, least)).select(F.col("id").alias("class"), "component")
-    whole = made.select("id", "n_shingles", "signature").join(members.select("signature", "class"), "signature", "left").join(found, "class", "left")
-    component = F.when(F.col("id").isNotNull(), F.coalesce("component", "class", "id"))
-    return whole.select("id", "n_shingles", component.alias("component"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+    rows = _joined(docs, k, least, id_col, text_col)
+    return rows.select("id", "n_shingles", "component", F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"))
 
 
 def deduplicated(docs: DataFrame, k: int = SHINGLE_WORDS, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs with one document of each group; rows that repeat an id are one document."""
-    kept = grouped(docs, k, least, id_col, text_col).where("kept").select(F.col("id").alias("_kept")).distinct()
-    named = docs.where(F.col(id_col).isNotNull()).join(kept, F.col(id_col) == F.col("_kept"), "left_semi").dropDuplicates([id_col])
-    return named.unionByName(docs.where(F.col(id_col).isNull()))
+    """The rows of docs with one document of each group: that of the least id and, where it repeats, of the least digest.
+
+    Rows with a null id all stay; of rows equal in id and text one does. Only rows that a filter of the ids to be dropped
+    lets through are shuffled.
+    """
+    plain, id_, text = neutral(docs, id_col, text_col)
+    rows = _joined(docs, k, least, id_col, text_col).where("id IS NOT NULL")
+    each = rows.groupBy("id", "digest", "group", "component").agg(F.count("*").alias("copies"))
+    first = each.where("id = component AND group IS NOT NULL").groupBy("group").agg(F.min("digest").alias("main"))
+    fate = each.join(first, "group", "left").withColumn("stays", F.col("group").isNull() | ((F.col("id") == F.col("component")) & (F.col("digest") == F.col("main"))))
+    fate = materialise(fate.where("NOT stays OR copies > 1").select(F.col("id").alias("own_id"), F.col("digest").alias("own_digest"), "copies", "stays"), "fate")
+    rest, some = met(plain, id_, text, fate)
+    stays = F.coalesce(F.col("stays"), F.lit(True)) & F.col("leads")
+    return some.where(stays).select(*plain.columns).unionByName(rest).toDF(*docs.columns)

@@ -12,8 +12,7 @@ smaller id, or the same document before) is removed; windows are judged on the i
    its documents to find every occurrence. That search is on the words themselves: no hash decides a removal.
 
 Exact copies of a text are settled without any of that: all their windows come earlier in the first copy. Filters of a
-fixed size (FILTER_BITS) are broadcast to keep most rows that join nothing out of shuffles; they drop no match, and the
-joins decide where they are full.
+fixed size are broadcast to keep most rows that join nothing out of shuffles (see documents.py).
 
 Edge cases: a null text has no words; texts with fewer words than a window keep all; of rows with one id and different
 texts, the first by digest comes in its place and the others after all other documents, as do null ids; of rows equal
@@ -27,19 +26,18 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .documents import filter_of, met, passes
 from .storage import materialise, neutral, scratch
 from .tokens import slices
 from .words import hashed_texts, minimiser_positions, spans, window_hashes
 
 WINDOW = 20
 ANCHOR = 10
-FILTER_BITS = 1 << 26
 #: Window occurrences in the documents of a shard, about; an automaton takes some 0.5 kB for each distinct one.
 SHARD_WINDOWS = 60_000
 #: Windows of a document that are searched together; a longer document is dealt in parts.
@@ -61,22 +59,6 @@ def _anchors(texts: list[bytes], window: int, k: int) -> tuple[np.ndarray, np.nd
     return words, bounds, own[at], at, grams[at] if len(at) else words[:0]
 
 
-def filter_of(values: DataFrame, column: str) -> np.ndarray:
-    """A bit for each hash value of a column: FILTER_BITS bits whatever the input, built by bitmap aggregates."""
-    at = F.col(column).bitwiseAND(F.lit(FILTER_BITS - 1))
-    made = values.select(at.alias("at")).groupBy(F.expr("bitmap_bucket_number(at + 1)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(at + 1))").alias("bits"))
-    out = np.zeros(FILTER_BITS // 8, np.uint8)
-    for row in made.toLocalIterator():
-        raw = np.frombuffer(bytes(row["bits"]), np.uint8)
-        out[(row["bucket"] - 1) * len(raw) : row["bucket"] * len(raw)] = raw
-    return out
-
-
-def passes(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
-    at = values.astype(np.int64) & (FILTER_BITS - 1)
-    return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
-
-
 def _lists(own: np.ndarray, values: np.ndarray, n: int) -> pa.ListArray:
     """Values by their text (ascending) as one list a text."""
     return pa.ListArray.from_arrays(pa.array(np.searchsorted(own, np.arange(n + 1)), pa.int32()), pa.array(values.view(np.int64)))
@@ -422,24 +404,8 @@ def cleaned(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR, id_col: str
     plain, id_, text = neutral(docs, id_col, text_col)
     keys = _searched_docs(docs, window, k, id_col, text_col, "kept_text")
     fate = keys.where("NOT is_first OR copies > 1 OR kept_text IS NOT NULL").select(F.col("id").alias("own_id"), F.col("digest").alias("own_digest"), "n_words", "is_first", "kept_text", "copies")
-    bits = docs.sparkSession.sparkContext.broadcast(filter_of(fate.select(F.xxhash64("own_id").alias("at")), "at"))  # 8 MB
-
-    @F.pandas_udf("boolean")
-    def may_change(at: pd.Series) -> pd.Series:
-        return pd.Series(passes(bits.value, at.to_numpy()))
-
-    marked = plain.withColumn("may_change", may_change(F.xxhash64(F.col(id_).cast("long"))))
-    digest = F.unhex(F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")))
-    met = marked.where("may_change").withColumns({"id": F.col(id_).cast("long"), "digest": digest})
-    met = met.join(fate, F.col("id").eqNullSafe(F.col("own_id")) & (F.col("digest") == F.col("own_digest")), "left").withColumn("row", F.monotonically_increasing_id())
-    met = materialise(met.drop("own_id", "own_digest", "may_change"), "met")
-    # Of rows equal in id and text the first written one leads.
-    repeated = F.coalesce(F.col("copies") > 1, F.lit(False))
-    leads = met.where(repeated).groupBy("id", "digest").agg(F.min("row").alias("lead")).select(F.col("id").alias("own_id"), F.col("digest").alias("own_digest"), "lead")
-    led = met.where(repeated).join(leads, F.col("id").eqNullSafe(F.col("own_id")) & (F.col("digest") == F.col("own_digest"))).withColumn("leads", F.col("row") == F.col("lead"))
-    every = met.where(~repeated).withColumn("leads", F.lit(True)).unionByName(led.drop("own_id", "own_digest", "lead"))
+    rest, some = met(plain, id_, text, fate)
     first = F.coalesce(F.col("is_first"), F.lit(True)) & F.col("leads")
     cut = F.when(first, F.coalesce("kept_text", text)).when(F.col("n_words") >= window, F.lit("")).otherwise(F.col(text))
-    columns = plain.columns
-    out = every.select(*[cut.alias(c) if c == text else F.col(c) for c in columns]).unionByName(marked.where(~F.col("may_change")).select(*columns)).toDF(*docs.columns)
+    out = some.select(*[cut.alias(c) if c == text else F.col(c) for c in plain.columns]).unionByName(rest).toDF(*docs.columns)
     return out.withColumn("n_chars", F.length(text_col).cast("long")) if "n_chars" in docs.columns else out

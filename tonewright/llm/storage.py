@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from ..storage import materialise, new_path, scratch, shared_folder
+from ..storage import Keep, exists, materialise, new_path, scratch, shared_folder
 
-__all__ = ["materialise", "neutral", "new_path", "scratch", "shared_folder"]
+__all__ = ["Keep", "exists", "materialise", "neutral", "new_path", "scratch", "shared_folder"]
 
 
 def neutral(rows: DataFrame, *names: str) -> tuple:
