@@ -19,8 +19,12 @@ BLOCK = 512
 _ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
 
-def build(tokens: np.ndarray, n_planes: int = 16, level: int = 1) -> bytes:
-    """The file of a sequence of ids below 2**n_planes."""
+def build(tokens: np.ndarray, level: int = 1) -> bytes:
+    """The file of a sequence of ids from 0 to 2**32 - 1; the greatest one says how many planes it has."""
+    least, greatest = (int(tokens.min()), int(tokens.max())) if len(tokens) else (0, 0)
+    if least < 0 or greatest >= 1 << 32:
+        raise ValueError("ids must be from 0 to 2**32 - 1")
+    n_planes = max(1, greatest.bit_length())
     tokens = tokens.astype(np.uint16 if n_planes <= 16 else np.uint32)
     out, press = [_HEAD.pack(MAGIC, VERSION, n_planes, len(tokens))], zstandard.ZstdCompressor(level=level)
     for plane in range(n_planes - 1, -1, -1):
@@ -32,7 +36,7 @@ def build(tokens: np.ndarray, n_planes: int = 16, level: int = 1) -> bytes:
         packed = press.compress(bits.tobytes() + before.tobytes())
         zeros = len(tokens) - int(before[-1])
         out += [_PLANE.pack(zeros, len(packed)), packed]
-        tokens = np.concatenate([tokens[~ones], tokens[ones]])
+        tokens = np.concatenate([tokens[np.flatnonzero(~ones)], tokens[np.flatnonzero(ones)]])
     return b"".join(out)
 
 
@@ -87,6 +91,8 @@ class WaveletMatrix:
         return token
 
     def _range(self, token: int, lo: int, hi: int) -> tuple[int, int]:
+        if not 0 <= token < 1 << self.n_planes:  # no token of this file
+            return lo, lo
         for k in range(self.n_planes):
             a, b = self._rank1(k, lo), self._rank1(k, hi)
             lo, hi = (self.zeros[k] + a, self.zeros[k] + b) if token >> (self.n_planes - 1 - k) & 1 else (lo - a, hi - b)
@@ -118,7 +124,7 @@ class WaveletMatrix:
         for k in range(self.n_planes - 1, -1, -1):
             ones = np.unpackbits(self._plane(k)[0], count=self.n, bitorder="little").view(bool)
             out = np.empty(self.n, kind)
-            out[~ones] = now[: self.zeros[k]]
-            out[ones] = now[self.zeros[k] :] | kind(1 << (self.n_planes - 1 - k))
+            out[np.flatnonzero(~ones)] = now[: self.zeros[k]]
+            out[np.flatnonzero(ones)] = now[self.zeros[k] :] | kind(1 << (self.n_planes - 1 - k))
             now = out
         return now
