@@ -19,8 +19,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import materialise
-from .tokens import encoder, slices, words_kept_with_space
+from .storage import materialise, scratch
+from .tokens import TEXT_BYTES, encoder, raw_texts, slices
 
 WINDOW = 1024
 OPEN_WINDOWS = 256
@@ -56,7 +56,7 @@ class OpenWindows:
 
 def _pieces(path: str, end_id: int, size: int, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(path, words_kept_with_space), end_id.to_bytes(4, "little")
+        encode, end = encoder(path, spaced=True), end_id.to_bytes(4, "little")
         windows = OpenWindows(TaskContext.get().partitionId() * _TASK, size, most)
         waiting: dict[int, list] = {}  # pieces of open windows
 
@@ -64,9 +64,9 @@ def _pieces(path: str, end_id: int, size: int, most: int):
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip([*zip(*rows), [is_open] * len(rows)], _PIECES)], schema=_PIECES)
 
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most=TEXT_BYTES):
                 ready = []
-                for doc_id, ids in zip(part.column("id").to_pylist(), encode([t or "" for t in part.column("text").to_pylist()])):
+                for doc_id, ids in zip(part.column("id").to_pylist(), encode(raw_texts(part))):
                     ids += end
                     n, start = len(ids) // 4, 0
                     while n - start >= size:
@@ -107,25 +107,27 @@ def _merge_round(size: int, most: int, number: int):
 
 def packed(docs: DataFrame, vocabulary: str, end_id: int = 0, size: int = WINDOW, open_windows: int = OPEN_WINDOWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a piece: id, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence, offset."""
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     pieces = materialise(source.mapInArrow(_pieces(vocabulary, end_id, size, open_windows), PIECES), "pieces")
     loose = pieces.where("open")
-    bundles = materialise(loose.groupBy("window").agg(F.sum("length").alias("fill")), "round0")
-    tasks = pieces.agg(F.max(F.expr(f"window div {_TASK}"))).first()[0]
-    places = bundles.select("window", F.col("window").alias("bundle"), F.lit(0).cast("long").alias("base"))
-    items, groups, number = bundles.select(F.col("window").alias("bundle"), "fill"), (tasks or 0) + 1, 0
-    while True:
-        number += 1
-        last = groups <= FAN_IN
-        # Windows of FAN_IN tasks meet in one; ids of a round hold the task that made them.
-        group = F.expr(f"pmod(bundle, {_ROUND}) div {_TASK}") / F.lit(FAN_IN)
-        dealt = items.repartition(1) if last else items.repartitionByRange(-(-groups // FAN_IN), F.floor(group))
-        merged = materialise(dealt.sortWithinPartitions(F.desc("fill"), "bundle").mapInArrow(_merge_round(size, open_windows if not last else FAN_IN * open_windows, number), "bundle long, into long, base long, open boolean"), f"round{number}")
-        places = places.join(merged.select("bundle", "into", F.col("base").alias("more")), "bundle").select("window", F.col("into").alias("bundle"), (F.col("base") + F.col("more")).alias("base"))
-        if last:
-            break
-        items = merged.join(items, "bundle").groupBy("into").agg(F.sum("fill").alias("fill")).withColumnRenamed("into", "bundle")
-        groups = -(-groups // FAN_IN)
+    with scratch(docs.sparkSession, "packing") as keep:
+        bundles = keep(loose.groupBy("window").agg(F.sum("length").alias("fill")), "round0")
+        tasks = pieces.agg(F.max(F.expr(f"window div {_TASK}"))).first()[0]
+        places = bundles.select("window", F.col("window").alias("bundle"), F.lit(0).cast("long").alias("base"))
+        items, groups, number = bundles.select(F.col("window").alias("bundle"), "fill"), (tasks or 0) + 1, 0
+        while True:
+            number += 1
+            last = groups <= FAN_IN
+            # Windows of FAN_IN tasks meet in one; ids of a round hold the task that made them.
+            group = F.expr(f"pmod(bundle, {_ROUND}) div {_TASK}") / F.lit(FAN_IN)
+            dealt = items.repartition(1) if last else items.repartitionByRange(-(-groups // FAN_IN), F.floor(group))
+            merged = keep(dealt.sortWithinPartitions(F.desc("fill"), "bundle").mapInArrow(_merge_round(size, open_windows if not last else FAN_IN * open_windows, number), "bundle long, into long, base long, open boolean"), f"round{number}")
+            places = places.join(merged.select("bundle", "into", F.col("base").alias("more")), "bundle").select("window", F.col("into").alias("bundle"), (F.col("base") + F.col("more")).alias("base"))
+            if last:
+                break
+            items = merged.join(items, "bundle").groupBy("into").agg(F.sum("fill").alias("fill")).withColumnRenamed("into", "bundle")
+            groups = -(-groups // FAN_IN)
+        places = materialise(places, "places")
     columns = ["id", "start", "length", "ids", "doc_tokens"]
     placed = loose.join(places, "window").select(*columns, F.col("bundle").alias("sequence"), (F.col("base") + F.col("offset")).alias("offset"))
     return pieces.where(~F.col("open")).select(*columns, F.col("window").alias("sequence"), "offset").unionByName(placed)

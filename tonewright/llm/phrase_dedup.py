@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .documents import filter_of, met, passes
 from .storage import materialise, neutral, scratch
-from .tokens import slices
+from .tokens import raw_texts, slices
 from .words import hashed_texts, minimiser_positions, spans, window_hashes
 
 WINDOW = 20
@@ -45,10 +45,6 @@ PART_WINDOWS = 1 << 16
 _LATER = 1 << 62
 
 
-def _raw_texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
-    return batch.column(column).cast(pa.binary()).fill_null(b"").to_pylist()
-
-
 def _anchors(texts: list[bytes], window: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Word hashes of all texts, where each text's begin, and of each anchor the text, the place and the hash."""
     words, bounds = hashed_texts(texts)
@@ -72,7 +68,7 @@ def survey(docs: DataFrame, window: int, k: int, id_col: str, text_col: str) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                texts = _raw_texts(part)
+                texts = raw_texts(part)
                 _, bounds, own, _, grams = _anchors(texts, window, k)
                 order = np.lexsort((grams, own))
                 own, grams = own[order], grams[order]
@@ -131,7 +127,7 @@ def _candidates(texts: DataFrame, bits) -> DataFrame:
             ids = batch.column("id")
             keep = passes(bits.value, ids.fill_null(0).to_numpy(zero_copy_only=False)) | ids.is_null().to_numpy(zero_copy_only=False)
             for part in slices(batch.filter(pa.array(keep))):
-                raw = _raw_texts(part)
+                raw = raw_texts(part)
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([hashlib.md5(r).digest() for r in raw], pa.binary()), pa.array([press.compress(r) for r in raw], pa.binary())], schema=schema)
 
     return texts.mapInArrow(run, "id long, digest binary, packed binary")

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .storage import materialise
-from .tokens import encoder, slices, words_without_space
+from .tokens import TEXT_BYTES, encoder, raw_texts, slices
 from .wavelet import WaveletMatrix, build
 
 SHARD_TOKENS = 1 << 19
@@ -29,7 +29,7 @@ SHARDS = "part int, seq int, n_tokens long, doc_ids array<long>, lengths array<l
 
 def _encoded(path: str, end_id: int, shard_tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end, part, seq = encoder(path, words_without_space), end_id.to_bytes(4, "little"), TaskContext.get().partitionId(), 0
+        encode, end, part, seq = encoder(path, spaced=False), end_id.to_bytes(4, "little"), TaskContext.get().partitionId(), 0
         doc_ids, held, size = [], [], 0
 
         def shard() -> pa.RecordBatch:
@@ -38,8 +38,8 @@ def _encoded(path: str, end_id: int, shard_tokens: int):
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(row, _SHARDS)], schema=_SHARDS)
 
         for batch in batches:
-            for rows in slices(batch):
-                for doc_id, ids in zip(rows.column("id").to_pylist(), encode([t or "" for t in rows.column("text").to_pylist()])):
+            for rows in slices(batch, most=TEXT_BYTES):
+                for doc_id, ids in zip(rows.column("id").to_pylist(), encode(raw_texts(rows))):
                     doc_ids.append(doc_id)
                     held.append(ids + end)
                     size += len(ids) // 4 + 1
@@ -54,7 +54,7 @@ def _encoded(path: str, end_id: int, shard_tokens: int):
 
 def write_shards(docs: DataFrame, path: str, vocabulary: str, end_id: int, shard_tokens: int = SHARD_TOKENS, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Write the corpus' shards as a table under path."""
-    tied = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).withColumns({"tie": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
+    tied = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).withColumns({"tie": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
     ordered = tied.repartitionByRange(F.col("id").asc_nulls_first(), F.col("tie"), F.col("row")).sortWithinPartitions(F.col("id").asc_nulls_first(), "tie", "row")
     ordered.select("id", "text").mapInArrow(_encoded(vocabulary, end_id, shard_tokens), SHARDS).write.option("compression", "uncompressed").parquet(path)
 

@@ -1,112 +1,202 @@
 """Exact token ids of whole texts, each distinct word encoded once a worker.
 
-Both vocabularies split a text into words before any merge, so the ids of a text are those of its words in turn. The
-tokenizers library encodes the words that a bounded cache doesn't hold; texts are cut only where its own pre-tokeniser
-surely cuts, so the ids equal those of the whole text.
+Both vocabularies split a text into words before any merge, so the ids of a text are those of its words in turn. Words
+are cut with numpy over many texts at once, and only where the vocabulary's own pre-tokeniser surely cuts; the tokenizers
+library encodes those that a bounded cache doesn't hold, so the ids equal those of the whole text. Words of Latin letters
+need none of its normalising and splitting: many are encoded as one text by the same model without these steps. Texts
+that hold other white space than single spaces and line breaks, or a special token's beginning, are encoded as a whole.
 """
 
 from __future__ import annotations
 
 import os
-import re
-from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
-#: Words whose ids a worker keeps; at about 250 bytes each, a bound on its memory.
+from .words import SPACE, word_hashes
+
+#: Words whose ids a worker keeps; at about 200 bytes each, a bound on its memory.
 CACHE_WORDS = 1_000_000
 #: Words that are encoded as one text.
 TOGETHER = 512
-#: UTF-8 bytes of text that are split into words at a time.
+#: UTF-8 bytes of text that are worked on at a time, and that are encoded at a time.
 SLICE_BYTES = 1 << 20
-_CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
+TEXT_BYTES = 1 << 22
+#: Bytes of a word from which on it is looked up by itself, whatever its hash.
+LONG_WORD = 64
 
 
-def words_kept_with_space(text: str) -> list:
-    """Pieces for byte-level BPE: a word keeps the one space before it, a single line break stands alone."""
-    if " ".join(text.split()) != text.replace("\n", " ") or "\0" in text:
-        return _CUT.split(text)  # white space but single spaces and breaks within: cut before single ones only
-    return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0") if text else []
+def _marked(which: list[int]) -> np.ndarray:
+    out = np.zeros(256, bool)
+    out[which] = True
+    return out
 
 
-def words_without_space(text: str) -> list:
-    """Pieces for a vocabulary that drops white space and case; ASCII letters are lowered so that fewer words differ."""
-    return text.encode("utf-8", "surrogatepass").lower().split()
+_LETTER = _marked([*range(65, 91), *range(97, 123)])
+#: ASCII symbols but the apostrophe: both vocabularies cut between a letter and one of these.
+_SYMBOL = _marked([b for b in range(33, 127) if not chr(b).isalnum() and b != 39])
 
 
-def stop_cut(word: str | bytes) -> bool:
-    """Whether a word is a Latin letter and one full stop or comma at its end: both vocabularies cut there."""
-    if len(word) < 2:
-        return False
-    if isinstance(word, bytes):
-        return word[-1] in b".," and (word[-2:-1].isalpha() or len(word) > 2 and word[-3] == 0xC3 and 0x80 <= word[-2] <= 0xBF and word[-2] not in (0x97, 0xB7))
-    return word[-1] in ".," and word[-2] < "\u0100" and word[-2].isalpha() and word[-2] not in "\u00aa\u00ba\u00b5"
+def _visible_bytes() -> dict[int, str]:
+    """The characters that byte-level vocabularies write for bytes: printable ones as they are, the others from U+0100 on."""
+    same = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in same]
+    return {b: chr(b) for b in same} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
-class WordEncoder:
-    """texts -> ids as bytes (little-endian unsigned 32-bit), with a cache of words."""
+_VISIBLE = _visible_bytes()
 
-    def __init__(self, path: str, pieces: Callable[[str], list]):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the threads; the library's own only wait for work
-        from tokenizers import Tokenizer
 
-        self.tokenizer, self.pieces, self.known = Tokenizer.from_file(path), pieces, {}
-        spaced = pieces is words_kept_with_space
-        size = self.tokenizer.get_vocab_size()
-        tokens = [self.tokenizer.id_to_token(i) or "" for i in range(size)]
-        # Tokens that begin a word, or end one: they part the ids of words that are encoded as one text.
-        self.edge, self.at_start = np.array([t.startswith("\u0120") if spaced else t.endswith("</w>") for t in tokens]), spaced
+class WordEncoder:
+    """UTF-8 texts -> ids as bytes (little-endian unsigned 32-bit), with a cache of words.
 
-    def plain(self, word: str) -> bool:
-        """Whether a word surely has one such token, whatever stands beside it."""
-        return word[:1] == " " != word and word.isprintable() and word.count(" ") == 1 if self.at_start else word.isalpha()
+    `spaced` vocabularies (byte-level BPE) write a word with the one space before it; the others drop white space and case.
+    """
 
-    def learn(self, words: set) -> None:
-        together, alone = [], []
-        for w in words:
-            word = w.decode("utf-8", "surrogatepass") if isinstance(w, bytes) else w
-            (together if self.plain(word) else alone).append((w, word))
-        parts = [together[at : at + TOGETHER] for at in range(0, len(together), TOGETHER)]
-        texts = [("" if self.at_start else " ").join([w for _, w in part]) for part in parts]
-        for part, coded in zip(parts, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
-            ids = np.array(coded.ids, "<u4")
+    def __init__(self, path: str, spaced: bool):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the threads; the library's own only wait for work
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        self.tokenizer, self.bare, self.spaced = Tokenizer.from_file(path), Tokenizer.from_file(path), spaced
+        self.bare.normalizer, self.bare.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit()
+        tokens = [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size())]
+        self.edge = np.array([t.startswith(_VISIBLE[32]) if spaced else t.endswith("</w>") for t in tokens])
+        self.breaks = self.tokenizer.token_to_id(_VISIBLE[10])
+        self.known: dict[bytes, bytes] = {}
+
+    def _jointly(self, words: list[bytes], text: str, between: str = " ") -> None:
+        """Ids of words from one text (parted by NUL), by the tokens that begin or end a word, or by breaks."""
+        if text.isascii():
+            text = text.replace(" ", _VISIBLE[32])
+        else:
+            text = text.encode().decode("latin-1").translate(_VISIBLE | {0: "\0"})
+        ids = np.array(self.bare.encode_batch_fast([text.replace("\0", between)], add_special_tokens=False)[0].ids, "<u4")
+        if between != " ":
+            ends = np.append(np.flatnonzero(ids == self.breaks), len(ids))
+            begins = np.append(0, ends[:-1] + 1)
+        else:
             edges = np.flatnonzero(self.edge[ids])
-            if len(edges) != len(part):
-                alone += part
-                continue
-            cuts = [*(edges * 4).tolist(), 4 * len(ids)] if self.at_start else [0, *((edges + 1) * 4).tolist()]
+            begins = edges if self.spaced else np.append(0, edges[:-1] + 1)
+            ends = np.append(begins[1:], len(ids))
+        if len(begins) == len(words):
             raw = ids.tobytes()
-            self.known.update((w, raw[a:b]) for (w, _), a, b in zip(part, cuts, cuts[1:]))
-        for at in range(0, len(alone), 4096):
-            coded = self.tokenizer.encode_batch_fast([w for _, w in alone[at : at + 4096]], add_special_tokens=False)
-            self.known.update((w, array("I", e.ids).tobytes()) for (w, _), e in zip(alone[at : at + 4096], coded))
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [self.pieces(t) for t in texts]
+            self.known.update(zip(words, [raw[x:y] for x, y in zip((4 * begins).tolist(), (4 * ends).tolist())]))
+        else:  # some word isn't one to the vocabulary
+            self._alone(words)
+
+    def _alone(self, words: list[bytes]) -> None:
+        for at in range(0, len(words), 4096):
+            part = words[at : at + 4096]
+            texts = [w.decode("utf-8", "surrogatepass") for w in part]
+            self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)))
+
+    def learn(self, words: list[bytes]) -> None:
+        plain, bare, wide, alone = [], [], [], []
+        for w in words:
+            if w.isalpha():
+                (bare if self.spaced else plain).append(w)
+            elif self.spaced and w[0] == 32 and w[1:].isalpha():
+                plain.append(w)
+            elif w.isascii():
+                alone.append(w)
+            else:
+                wide.append(w)
+        latin, bare_latin = [], []
+        for w in wide:
+            text = w.decode("utf-8", "surrogatepass")
+            letters = text[1:] if self.spaced and text[0] == " " else text
+            if not letters.isalpha() or max(letters) >= "\u0250" or "\u0130" in letters:
+                alone.append(w)
+            elif self.spaced:
+                (bare_latin if letters is text else latin).append((w, text))
+            else:
+                latin.append((w, text.lower()))
+        line_break = f" {_VISIBLE[10]} "
+        for group, between in ((plain, " "), (bare, line_break)):
+            for at in range(0, len(group), TOGETHER):
+                part = group[at : at + TOGETHER]
+                self._jointly(part, b"\0".join(part).decode(), between)
+        for group, between in ((latin, " "), (bare_latin, line_break)):
+            for at in range(0, len(group), TOGETHER):
+                part, texts = zip(*group[at : at + TOGETHER])
+                self._jointly(list(part), "\0".join(texts), between)
+        self._alone(alone)
+
+    def _cut(self, data: np.ndarray, ends_of_texts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First and past-the-last byte of each word, and which texts can't be cut so. Each text ends with an added space."""
+        space = SPACE[data]
+        before = np.append(True, space[:-1])
+        tail = np.append(False, _LETTER[data[:-1]]) & _SYMBOL[data]
+        if not self.spaced:
+            begin = ~space & (before | tail)
+            end = np.append((begin | space)[1:], True) & ~space
+            return np.flatnonzero(begin), np.flatnonzero(end) + 1, np.zeros(len(ends_of_texts), bool)
+        last = np.zeros(len(data), bool)
+        last[ends_of_texts] = True
+        after = np.append(space[1:], True)
+        blank = (data == 32) & ~last
+        odd = np.flatnonzero(space & ~last & ((before | after) | (data != 32) & (data != 10)))
+        bad = np.zeros(len(ends_of_texts), bool)
+        bad[np.searchsorted(ends_of_texts, odd)] = True
+        # A word begins with its space; a line break is one of its own, and so parts the word after it from any space.
+        begin = ~last & (blank | (data == 10) | ~space & (np.append(True, (last | (data == 10))[:-1]) | tail))
+        end = np.append((begin | last)[1:], True) & ~last
+        return np.flatnonzero(begin), np.flatnonzero(end) + 1, bad
+
+    def __call__(self, texts: list[bytes]) -> list[bytes]:
+        if not texts:
+            return []
+        raw = b" ".join([*texts, b""])
+        if not self.spaced:
+            raw = raw.lower()
+        ends_of_texts = np.cumsum([len(t) + 1 for t in texts]) - 1
+        data = np.frombuffer(raw, np.uint8)
+        starts, ends, bad = self._cut(data, ends_of_texts)
+        hashes = word_hashes(data, starts, ends) if len(starts) else np.empty(0, np.uint64)
+        long_ = np.flatnonzero(ends - starts >= LONG_WORD)
+        hashes[long_] = np.arange(len(long_), dtype=np.uint64)  # each by itself
+        _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+        words = [raw[x:y] for x, y in zip(starts[first].tolist(), ends[first].tolist())]
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
-        new = set().union(*split).difference(self.known) if split else ()
-        if new:
-            stopped = [w for w in new if stop_cut(w)]
-            self.learn(new.difference(stopped).union([w[:-1] for w in stopped], [w[-1:] for w in stopped]).difference(self.known))
-            self.known.update((w, self.known[w[:-1]] + self.known[w[-1:]]) for w in stopped)
-        get = self.known.__getitem__
-        return [b"".join(map(get, words)) for words in split]
-
-
-_ENCODERS: dict[tuple[str, str], WordEncoder] = {}
-
-
-def encoder(path: str, pieces: Callable[[str], list]) -> WordEncoder:
+        get = self.known.get
+        ids = list(map(get, words))
+        if None in ids:
+            self.learn([w for w, x in zip(words, ids) if x is None])
+            ids = [get(w) if x is None else x for w, x in zip(words, ids)]
+        sizes = np.array([len(x) for x in ids], np.int64) // 4
+        flat, froms = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(sizes) - sizes
+        each = sizes[which]
+        upto = np.cumsum(each)
+        out = flat[np.repeat(froms[which] - (upto - each), each) + np.arange(len(each) and upto[-1])].tobytes()
+        cuts = 4 * np.append(0, upto)[np.searchsorted(starts, np.append(-1, ends_of_texts))]
+        made = [out[x:y] for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+        whole = [i for i, t in enumerate(texts) if bad[i] or b"<|" in t]
+        if whole:
+            coded = self.tokenizer.encode_batch_fast([texts[i].decode("utf-8", "surrogatepass") for i in whole], add_special_tokens=False)
+            for i, e in zip(whole, coded):
+                made[i] = np.array(e.ids, "<u4").tobytes()
+        return made
+
+
+_ENCODERS: dict[tuple[str, bool], WordEncoder] = {}
+
+
+def encoder(path: str, spaced: bool) -> WordEncoder:
     """The worker's encoder for a vocabulary file; tasks of one worker share it."""
-    key = (path, pieces.__name__)
+    key = (path, spaced)
     if key not in _ENCODERS:
-        _ENCODERS[key] = WordEncoder(path, pieces)
+        _ENCODERS[key] = WordEncoder(path, spaced)
     return _ENCODERS[key]
 
 
+def raw_texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
+    """A column's texts as UTF-8; null is empty."""
+    return batch.column(column).cast(pa.binary()).fill_null(b"").to_pylist()
+
+
 def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Runs of a batch's rows with about `most` bytes of text each; one row at least."""
     import pyarrow.compute as pc

@@ -13,8 +13,8 @@ import numpy as np
 PIECE = 1 << 18
 _U = np.uint64
 _P, _Q = 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+SPACE = np.zeros(256, bool)
+SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -56,7 +56,7 @@ def _sums(x: np.ndarray, base: int) -> np.ndarray:
 def spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First and past-the-last byte of each word of one text's bytes."""
     word = np.zeros(len(data) + 2, np.int8)
-    word[1:-1] = ~_SPACE[data]
+    word[1:-1] = ~SPACE[data]
     step = np.diff(word)
     return np.flatnonzero(step == 1), np.flatnonzero(step == -1)
 
