@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .storage import materialise, scratch
@@ -38,11 +38,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         now = keep(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("src"), F.least(a, b).alias("dst")).distinct(), "edges")
         before = None
         for _ in range(ROUNDS):
-            now = keep(_small_star(_large_star(now)), "round")
-            state = now.agg(F.count("*"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first()
-            if state == before:
+            seen = Observation()  # counted while the round is written
+            now = keep(_small_star(_large_star(now)).observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)")).alias("mark")), "round")
+            if seen.get == before:
                 break
-            before = state
+            before = seen.get
         else:
             raise RuntimeError(f"components have not settled after {ROUNDS} rounds")
         found = now.select(F.col("src").alias("id"), F.col("dst").alias("component")).unionByName(now.select(F.col("dst").alias("id"), F.col("dst").alias("component"))).distinct()

@@ -32,7 +32,7 @@ from .components import components
 from .hyperminhash import REGISTERS, band_keys, estimate, floor_of, shingle_set, signature, sketch
 from .documents import digest_of, may_be_in, met
 from .storage import Keep, materialise, neutral, scratch
-from .tokens import slices
+from .tokens import raw_texts, slices
 
 SHINGLE_WORDS, LEAST = 5, 80  # per cent
 #: Documents and shingles of a block.
@@ -47,7 +47,7 @@ def sketches(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                texts = part.column("text").cast(pa.binary()).fill_null(b"").to_pylist()
+                texts = raw_texts(part)
                 sets = [shingle_set(t, k) for t in texts]
                 made = [sketch(s) if len(s) else None for s in sets]
                 full = [m for m in made if m is not None]
@@ -263,7 +263,8 @@ def deduplicated(docs: DataFrame, k: int = SHINGLE_WORDS, least: int = LEAST, id
     plain, id_, text = neutral(docs, id_col, text_col)
     rows = _joined(docs, k, least, id_col, text_col).where("id IS NOT NULL")
     each = rows.groupBy("id", "digest", "group", "component").agg(F.count("*").alias("copies"))
-    first = each.where("id = component AND group IS NOT NULL").groupBy("group").agg(F.min("digest").alias("main"))
+    # Written apart from the join: a group with very many documents is then a skewed join that Spark splits.
+    first = materialise(each.where("id = component AND group IS NOT NULL").groupBy("group").agg(F.min("digest").alias("main")), "firsts")
     fate = each.join(first, "group", "left").withColumn("stays", F.col("group").isNull() | ((F.col("id") == F.col("component")) & (F.col("digest") == F.col("main"))))
     fate = materialise(fate.where("NOT stays OR copies > 1").select(F.col("id").alias("own_id"), F.col("digest").alias("own_digest"), "copies", "stays"), "fate")
     rest, some = met(plain, id_, text, fate)

@@ -10,7 +10,8 @@ The rank within a source is a sum of three counts (larger sizes; lower lanes of
 that neither a hot source nor thousands of documents of one size meet in one task.
 
 Edge cases: a null text has size 0; null is a source of its own, the last; sources without words have target 0;
-repeated rows are documents of their own; an empty table gives an empty result; further columns are ignored.
+repeated rows are documents of their own; an empty table gives an empty result; further columns, whatever their names,
+are kept or ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import materialise
+from .storage import materialise, neutral
 
 WORD = r"[^\x20\x09-\x0D]+"
 LANES = 256
@@ -92,8 +93,9 @@ def mixed(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), cap: int = 3, see
 
     The rows are numbered in one written table; they are planned on their sizes alone and meet their texts again by number.
     """
-    numbered = materialise(docs.withColumns({"_row": F.monotonically_increasing_id(), "_size": n_words(text_col)}), "numbered")
-    lane = F.pmod(F.xxhash64("_row"), F.lit(LANES)).cast("int")
-    rows = numbered.select(F.col(id_col).alias("id"), "_row", F.col(source_col).alias("source"), F.col("_size").alias("size"), lane.alias("lane"))
-    plan = planned_sizes(rows, weights, cap, seed).where("copies > 0").select("_row", "copies")
-    return numbered.join(plan, "_row").withColumn("_nth", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    plain, id_, text, source = neutral(docs, id_col, text_col, source_col)
+    numbered = materialise(plain.withColumns({"row": F.monotonically_increasing_id(), "words": n_words(text)}), "numbered")
+    lane = F.pmod(F.xxhash64("row"), F.lit(LANES)).cast("int")
+    rows = numbered.select(F.col(id_).alias("id"), "row", F.col(source).alias("source"), F.col("words").alias("size"), lane.alias("lane"))
+    plan = planned_sizes(rows, weights, cap, seed).where("copies > 0").select("row", "copies")
+    return numbered.join(plan, "row").withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*plain.columns).toDF(*docs.columns)
