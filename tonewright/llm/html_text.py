@@ -39,7 +39,7 @@ _BLOCK = frozenset(
 )
 #: Elements that a block start closes, or another of their own kind.
 _SHORT = {"p": _BLOCK, "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "option": frozenset(["option"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "tr": frozenset(["tr"])}
-_ASIDE = frozenset("nav header footer aside form button fieldset dialog menu head legend label input".split())
+_ASIDE = frozenset("nav header footer aside button fieldset dialog menu head legend label input".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 #: Words of a class or id that say what an element is for.
 _NAMES = frozenset(
@@ -54,13 +54,30 @@ _SOFT = frozenset("header side banner tags notice alert search legal form".split
 _TALK = frozenset("comment comments commentlist reply replies disqus discussion respond".split())
 #: What follows one of these tells what the page is like, not what the element is for.
 _LIKE = frozenset("has have with without no".split())
+#: Before one of these, `related` speaks of what the article treats.
+_TREATED = frozenset("work works research literature studies".split())
+#: Elements deeper than this count as part of the one at this depth, as in browsers.
+MAX_DEPTH = 512
 
 
 class _Open:
-    __slots__ = ("name", "aside", "number")
+    __slots__ = ("name", "aside", "number", "parent")
 
-    def __init__(self, name: str, aside: str, number: int):
-        self.name, self.aside, self.number = name, aside, number
+    def __init__(self, name: str, aside: str, number: int, parent: _Open | None):
+        self.name, self.aside, self.number, self.parent = name, aside, number, parent
+
+
+#: Text ('' for what stands beside the article), its length without link texts, innermost element, name of the line's element.
+Line = tuple[str, int, _Open | None, str]
+
+
+def _containers(one: _Open | None) -> list[tuple[int, str]]:
+    """Number and name of an element and all those around it, the outermost first."""
+    found = []
+    while one is not None:
+        found.append((one.number, one.name))
+        one = one.parent
+    return found[::-1]
 
 
 def _aside(name: str, attributes: str, in_article: bool) -> str:
@@ -77,21 +94,22 @@ def _aside(name: str, attributes: str, in_article: bool) -> str:
                 continue
             for one in value.split():
                 ordered = [w.lower() for w in _WORDS.findall(one)]
-                words = {w for before, w in zip(["", *ordered], ordered) if before not in _LIKE}
+                words = {w for before, w, after in zip(["", *ordered], ordered, [*ordered[1:], ""]) if before not in _LIKE and not (w == "related" and after in _TREATED)}
                 if hit := words & _NAMES:
                     if not (words & _OWN and hit <= _SOFT):
                         named = "talk" if hit & _TALK or named == "talk" else "named"
         elif key == "role" and value.lower() in _ROLES or key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             return "sure"
-    return named
+    return named or ("named" if name == "form" else "")
 
 
-def _spared(lines: list[tuple[str, int, tuple, str]], named: dict[int, str]) -> set[int]:
+def _spared(lines: list[Line], named: dict[int, str]) -> set[int]:
     """Named asides that hold the article after all: a main, the only articles, or more than half of the unlinked text."""
     total, outside, held, mains, articles = 0, False, {}, set(), set()
-    for text, length, containers, _ in lines:
+    for text, length, innermost, _ in lines:
         if not text:
             continue
+        containers = _containers(innermost)
         inside = [(at, number) for at, (number, _) in enumerate(containers) if number in named]
         if any(named[number] == "talk" for _, number in inside):
             continue
@@ -107,24 +125,24 @@ def _spared(lines: list[tuple[str, int, tuple, str]], named: dict[int, str]) ->
     return mains | (set() if outside else articles) | {number for number, n in held.items() if 2 * n > total}
 
 
-def page_lines(page: str) -> list[tuple[str, int, tuple, str]]:
-    """Lines in page order: text ('' for what stands beside the article), length without link texts, containers, element."""
-    lines: list[tuple[str, int, tuple, str]] = []
+def page_lines(page: str) -> list[Line]:
+    """Lines in page order."""
+    lines: list[Line] = []
     named: dict[int, str] = {}
     open_: list[_Open] = []
     parts: list[str] = []
     state = {"links": 0, "kind": "", "number": 0}
-    asides = link_depth = 0
+    asides = link_depth = too_deep = 0
 
     def flush() -> None:
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            lines.append((text, max(0, len(text) - state["links"]), tuple((o.number, o.name) for o in open_), state["kind"]))
+            lines.append((text, max(0, len(text) - state["links"]), open_[-1] if open_ else None, state["kind"]))
         parts.clear()
         state["links"] = 0
 
     def gap(one: _Open) -> None:
-        lines.extend([("", 0, ((one.number, one.name),), "")] * WINDOW_LINES)
+        lines.extend([("", 0, one, "")] * WINDOW_LINES)
 
     def close(upto: int) -> None:
         nonlocal asides
@@ -172,6 +190,9 @@ def page_lines(page: str) -> list[tuple[str, int, tuple, str]]:
                 flush()
             if name == "a":
                 link_depth = max(0, link_depth - 1)
+            if block and too_deep:
+                too_deep -= 1
+                continue
             for i in range(len(open_) - 1, -1, -1):
                 if open_[i].name == name:
                     close(i)
@@ -192,10 +213,14 @@ def page_lines(page: str) -> list[tuple[str, int, tuple, str]]:
             link_depth = 0
         if name in _VOID:
             continue
+        if len(open_) >= MAX_DEPTH:
+            too_deep += block
+            continue
+        # A class or id of an inline element doesn't take its words out of their line.
         aside = _aside(name, attributes, any(o.name == "article" for o in open_))
-        if block or aside:
+        if block or aside == "sure":
             state["number"] += 1
-            one = _Open(name, aside, state["number"])
+            one = _Open(name, aside, state["number"], open_[-1] if open_ else None)
             if aside and not asides:
                 flush()
                 gap(one)
@@ -208,9 +233,9 @@ def page_lines(page: str) -> list[tuple[str, int, tuple, str]]:
     if not named:
         return lines
     for number in _spared(lines, named):
-        lines = [x for x in lines if x[0] or x[2][0][0] != number]  # nothing parts it from what stands beside it
+        lines = [x for x in lines if x[0] or x[2].number != number]  # nothing parts it from what stands beside it
         del named[number]
-    return [x if x[0] and not any(number in named for number, _ in x[2]) else ("", 0, (), "") for x in lines]
+    return [x if x[0] and not any(number in named for number, _ in _containers(x[2])) else ("", 0, None, "") for x in lines]
 
 
 def stretches(lengths: list[int], width: int = WINDOW_LINES) -> list[tuple[int, int, int]]:
@@ -241,21 +266,21 @@ def main_text(page: str | None) -> str:
         return ""
     # A line of links alone still counts as one character: what stands between asides decides, not links in the article.
     runs = stretches([max(1, x[1]) if x[0] else 0 for x in lines])
-    best = max(runs, key=lambda r: sum(lines[i][1] for i in range(r[0], r[1])) + (r[2] >= SURGE_CHARS))
+    best = max(runs, key=lambda r: (r[2] >= SURGE_CHARS, sum(lines[i][1] for i in range(r[0], r[1]))))
     body = [i for i in range(best[0], best[1]) if lines[i][0]]
     holder = None
     for kind in ("article", "main"):
         sizes: dict[int, int] = {}
         for i in body:
-            for number, name in lines[i][2]:
+            for number, name in _containers(lines[i][2]):
                 if name == kind:
                     sizes[number] = sizes.get(number, 0) + lines[i][1] + 1
         if sizes and (holder is None):
             holder = max(sizes, key=sizes.get)
     if holder is not None:
-        kept = [i for i in texts if any(number == holder for number, _ in lines[i][2])]
+        kept = [i for i in texts if any(number == holder for number, _ in _containers(lines[i][2]))]
         if not any(lines[i][3] == "h1" for i in kept):
-            kept = [i for i in texts if i < kept[0] and lines[i][3] == "h1" and any(name in ("main", "article") for _, name in lines[i][2])] + kept
+            kept = [i for i in texts if i < kept[0] and lines[i][3] == "h1" and any(name in ("main", "article") for _, name in _containers(lines[i][2]))] + kept
     else:  # no element says where the article ends: all that isn't an aside
         kept = texts
     return "\n\n".join(lines[i][0] for i in kept)
@@ -264,13 +289,14 @@ def main_text(page: str | None) -> str:
 def extracted(pages: DataFrame, html_col: str = "html", text_col: str = "text") -> DataFrame:
     """The pages' columns but the html, and the main text. A column named as text_col is replaced."""
     others = [c for c in pages.columns if c not in (html_col, text_col)]
-    kept = pages.select(*[F.col(f"`{c}`") for c in others], F.col(html_col).cast("string").alias("_page"))
+    page = next(name for name in (f"page{i}" for i in range(len(others) + 1)) if name not in {c.lower() for c in others})
+    kept = pages.select(*[F.col(f"`{c}`") for c in others], F.col(f"`{html_col}`").cast("string").alias(page))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "_page"):
-                texts = pa.array([main_text(x) for x in part.column("_page").to_pylist()], pa.string())
+            for part in slices(batch, page):
+                texts = pa.array([main_text(x) for x in part.column(page).to_pylist()], pa.string())
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], texts], names=[*part.schema.names[:-1], text_col])
 
     return kept.mapInArrow(run, f"{schema}, `{text_col}` string" if schema else f"`{text_col}` string")
