@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .storage import materialise
+from .storage import exists, materialise
 
 N_SLOTS = 4096
 #: Parts of a slot that are numbered apart, so that an id that repeats a great many times isn't one task's work.
@@ -97,10 +97,34 @@ def load_map(spark: SparkSession, path: str, version: int | None = None) -> Data
     return stored.where(F.col("version") == wanted).select("version", "slot", "shard")
 
 
-def assigned(docs: DataFrame, n_shards: int, map_path: str, id_col: str = "doc_id", text_col: str = "text", n_slots: int = N_SLOTS) -> DataFrame:
+def edited_map(spark: SparkSession, path: str, stats: DataFrame, n_shards: int, n_slots: int = N_SLOTS, rebalance: bool = False) -> DataFrame:
+    """The latest version (version, slot, shard) of the stored map, edited where it has to be.
+
+    Without a stored map, versions 1 (dealt in turn) and 2 (levelled by stats' bytes) are stored. A stored map is taken as
+    it is; `rebalance` levels it anew, and each further shard asked for takes its share out of the others.
+    """
+    if not exists(spark, path):
+        first = first_map(spark, n_shards, n_slots)
+        save_map(first, path)
+        save_map(rebalanced(first, stats, n_shards), path)
+        return load_map(spark, path)
+    latest = load_map(spark, path)
+    held = latest.agg((F.max("shard") + 1).alias("shards"), F.count("*").alias("slots")).first()  # one row
+    if held["slots"] != n_slots or held["shards"] > n_shards:
+        raise ValueError(f"the stored map has {held['slots']} slots and {held['shards']} shards")
+    for shards in range(held["shards"], n_shards):
+        save_map(grown(latest, stats, shards), path)
+        latest = load_map(spark, path)
+    if rebalance:
+        save_map(rebalanced(latest, stats, n_shards), path)
+    return load_map(spark, path)
+
+
+def assigned(docs: DataFrame, n_shards: int, map_path: str, id_col: str = "doc_id", text_col: str = "text", n_slots: int = N_SLOTS, rebalance: bool = False) -> DataFrame:
     """One row a record: id, size, crc32 of the text, virtual slot, shard and place (0, 1, ... without gaps within its shard).
 
-    Stores versions 1 and 2 of the map under map_path. The texts are read once; what is shuffled is four numbers a record.
+    The map is the one stored under map_path, see `edited_map`: a second call gives the same shards. The texts are read
+    once; what is shuffled is four numbers a record.
     """
     spark = docs.sparkSession
     records = materialise(
@@ -113,10 +137,8 @@ def assigned(docs: DataFrame, n_shards: int, map_path: str, id_col: str = "doc_i
         ),
         "records",
     )
-    first = first_map(spark, n_shards, n_slots)
-    save_map(first, map_path)
-    save_map(rebalanced(first, slot_bytes(records), n_shards), map_path)
-    slot_map = load_map(spark, map_path).select("slot", "shard")  # n_slots rows, whatever the input
+    slot_map = edited_map(spark, map_path, slot_bytes(records), n_shards, n_slots, rebalance)
+    slot_map = slot_map.select("slot", "shard")  # n_slots rows, whatever the input
     counts = records.groupBy("slot", "lane").agg(F.count("*").alias("n")).join(F.broadcast(slot_map), "slot")
     before = Window.partitionBy("shard").orderBy("slot", "lane").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("slot", "lane", "shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
