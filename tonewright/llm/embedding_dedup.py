@@ -11,13 +11,15 @@ in cells as wide as a window of the same miss rate and cut into blocks of bounde
 neighbouring cells meet. A pair of blocks returns numbers of links and links that connect, never its list of pairs.
 
 Edge cases: vectors that are null, empty, zero or hold null or non-finite components, and rows with a null label or
-id, link with nothing; vectors of different lengths don't link; rows that repeat an id are vectors of their own; an
-empty table gives an empty result; further columns are ignored.
+id, link with nothing; vectors of different lengths don't link; rows that repeat an id are vectors of their own, and a
+component's id is the least of all its rows; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
 
+import functools
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .blocks import dealt
 from .components import components
-from .storage import materialise
+from .storage import materialise, scratch
 
 PROJECTIONS = 48
 SPREADS = 1.5  # half a window, in standard deviations of a pair at the threshold
@@ -52,7 +54,12 @@ def needed_collisions(projections: int = PROJECTIONS, spreads: float = SPREADS,
 
 
 def directions(dim: int, n: int = PROJECTIONS) -> np.ndarray:
-    return np.random.Generator(np.random.PCG64([SEED, dim])).standard_normal((dim, n))
+    return np.random.Generator(np.random.PCG64([SEED, dim])).standard_normal((n, dim)).T
+
+
+@functools.lru_cache(maxsize=64)
+def _first_direction(dim: int) -> np.ndarray:
+    return directions(dim, 1)[:, 0]
 
 
 def window_counts(queries: np.ndarray, others: np.ndarray, half: float) -> np.ndarray:
@@ -121,33 +128,43 @@ def _block_links(least: float):
     return run
 
 
+def _with_cells(width: float):
+    """Adds the cell of each vector, scaled to length 1, on the first direction of its own length."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("vector")
+            values, ends = lists.flatten().to_numpy(), np.cumsum(lists.value_lengths().to_numpy())
+            cells = []
+            for begin, end in zip(np.append(0, ends[:-1]), ends):
+                x = values[begin:end]
+                cells.append(int(np.floor(x @ _first_direction(end - begin) / np.linalg.norm(x) / width)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells, pa.int64())], names=[*batch.schema.names, "cell"])
+
+    return run
+
+
 def grouped(vectors: DataFrame, least: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """One row a vector: id, n_links, component (the least id it reaches), kept."""
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"), F.col(label_col).cast("string").alias("label"))
     bad = F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     usable = F.coalesce(F.col("id").isNotNull() & F.col("label").isNotNull() & (F.size("vector") > 0) & ~bad & F.exists("vector", lambda x: x != 0), F.lit(False))
     own = F.when(usable, F.md5(F.to_json(F.struct("vector")).cast("binary")))
-    rows = materialise(rows.select("id", "label", F.when(usable, F.col("vector")).alias("vector"), own.alias("own")), "vectors")
-    classes = rows.where("own IS NOT NULL").groupBy("label", "own").agg(F.min("id").alias("class"), F.count("*").alias("times"))
-    firsts = rows.select("id", "label", "own", "vector").join(classes, ["label", "own"]).where("id = class").dropDuplicates(["label", "own"])
-    norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda t, x: t + x * x))
-    firsts = materialise(firsts.select("id", "times", "vector", F.concat_ws(":", F.size("vector"), "label").alias("group"), norm.alias("norm"), F.xxhash64("own").alias("deal")), "classes")
-
-    # Cells on the first direction, as wide as a window that a pair at the threshold leaves with a chance of MISS.
-    dims = firsts.select(F.size("vector").alias("n")).distinct().limit(4096)  # lengths of vectors, not rows
-    along = [(r["n"], [float(x) for x in directions(r["n"])[:, 0]]) for r in dims.collect()]
-    project = F.lit(None).cast("double")
-    for n, line in along:
-        weights = F.array(*[F.lit(x) for x in line])
-        project = F.when(F.size("vector") == n, F.aggregate(F.zip_with("vector", weights, lambda x, w: x * w), F.lit(0.0), lambda t, x: t + x)).otherwise(project)
-    cell = F.floor(project / F.col("norm") / (6.2 * spread(least)))
-    placed = firsts.withColumn("cell", cell)
-    pairs = dealt(placed.drop("norm"), "group", F.col("cell"), "deal", BLOCK_ROWS)
-    found = pairs.groupBy("group", "first", "second").applyInArrow(_block_links(least), "id long, other long, links long")
-    found = materialise(found, "links")
-    degrees = found.groupBy("id").agg(F.sum("links").alias("links")).withColumnRenamed("id", "class")
-    joined = components(found.where("other IS NOT NULL").select(F.col("id").alias("a"), F.col("other").alias("b"))).withColumnRenamed("id", "class")
-    whole = rows.select("id", "label", "own").join(classes, ["label", "own"], "left").join(degrees, "class", "left").join(joined, "class", "left")
-    component = F.coalesce("component", "class", "id")
+    with scratch(vectors.sparkSession, "vectors") as keep:
+        rows = keep(rows.select("id", "label", F.when(usable, F.col("vector")).alias("vector"), own.alias("own")), "vectors")
+        classes = rows.where("own IS NOT NULL").groupBy("label", "own").agg(F.min("id").alias("least"), F.count("*").alias("times"), F.first("vector").alias("vector"))
+        # Classes have numbers of their own: an id may stand for several vectors.
+        classes = keep(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
+        placed = classes.select("id", "times", "vector", F.concat_ws(":", F.size("vector"), "label").alias("group"), F.xxhash64("own").alias("deal"))
+        placed = placed.mapInArrow(_with_cells(6.2 * spread(least)), "id long, times long, vector array<double>, `group` string, deal long, cell long")
+        pairs = dealt(placed, "group", F.col("cell"), "deal", BLOCK_ROWS)
+        found = keep(pairs.groupBy("group", "first", "second").applyInArrow(_block_links(least), "id long, other long, links long"), "links")
+        degrees = found.groupBy("id").agg(F.sum("links").alias("links"))
+        joined = components(found.where("other IS NOT NULL").select(F.col("id").alias("a"), F.col("other").alias("b"))).withColumnRenamed("component", "root")
+        named = classes.select("id", "label", "own", "times", "least").join(degrees, "id", "left").join(joined, "id", "left").withColumn("root", F.coalesce("root", "id"))
+        named = keep(named, "named")
+        named = keep(named.join(named.groupBy("root").agg(F.min("least").alias("component")), "root").select("label", "own", "times", "links", "component"), "components")
+        whole = materialise(rows.select("id", "label", "own").join(named, ["label", "own"], "left").select("id", "times", "links", "component"), "links")
+    component = F.coalesce("component", "id")
     links = F.coalesce(F.col("links"), F.lit(0)) + F.coalesce(F.col("times") - 1, F.lit(0))
     return whole.select("id", links.cast("long").alias("n_links"), component.alias("component"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
