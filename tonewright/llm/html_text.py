@@ -84,9 +84,9 @@ def _aside(name: str, attributes: str, in_article: bool) -> str:
     """Whether an element holds something beside the article: 'sure', 'talk' or 'named' (by a class or id), or ''."""
     if name in _ASIDE and not (name == "header" and in_article):
         return "sure"
+    named = "named" if name == "form" else ""
     if not attributes or attributes.isspace():
-        return ""
-    named = ""
+        return named
     for m in _ATTRIBUTE.finditer(attributes):
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if key in ("class", "id"):
@@ -100,7 +100,7 @@ def _aside(name: str, attributes: str, in_article: bool) -> str:
                         named = "talk" if hit & _TALK or named == "talk" else "named"
         elif key == "role" and value.lower() in _ROLES or key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             return "sure"
-    return named or ("named" if name == "form" else "")
+    return named
 
 
 def _spared(lines: list[Line], named: dict[int, str]) -> set[int]:
