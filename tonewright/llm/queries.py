@@ -39,8 +39,11 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = quality.judged(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
-    return rows.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "chars_per_token", "byte_share", "token_entropy")
+    import public_tokenizers
+
+    vocabularies = (vocabulary("piece_bpe_32k.model"), vocabulary("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    rows = quality.judged(table(spark, sf_dir, "documents"), vocabularies)
+    return rows.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "chars_per_token", "byte_share", "token_entropy", "chars_per_token_multi")
 
 
 def op7_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
