@@ -10,7 +10,8 @@ for every corpus, so one task fits. Scoring runs over all rows and whole texts w
 
 Edge cases: a null or empty text has the score of no features; without labelled rows of both classes every score is
 the share of label 1 (0 without any); a label that is null or neither 0 nor 1 isn't learned; repeated rows are scored
-as often as they come; further columns are ignored.
+as often as they come; of a labelled id with several texts the least is learned, of one with both labels label 0; further
+columns are kept.
 """
 
 from __future__ import annotations
@@ -28,9 +29,10 @@ from .tokens import slices
 SIZES = (3, 4, 5, 6)
 BITS = 20
 PER_CLASS = 4000
-#: Features need this many training texts and this much of a log-count ratio (towards label 1: what speaks for label 0 adds up in long texts).
-LEAST_TEXTS, LEAST_RATIO = 3, 1.0
-ROUNDS, RATE, DECAY = 150, 0.05, 1e-3
+#: Features need this many training texts and this much of a log-count ratio, towards either label.
+LEAST_TEXTS, LEAST_RATIO = 5, 2.0
+#: Steps of the fit, their size, and the weight of a penalty on squared weights.
+ROUNDS, RATE, DECAY = 150, 0.02, 1.0
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 #: Characters that are hashed at a time.
 PIECE = 1 << 20
@@ -63,7 +65,7 @@ def fitted(texts: list[str], labels: np.ndarray, sizes: tuple[int, ...] = SIZES,
         counts[int(label), grams] += 1
     # Log-count ratio of the share of each class's texts that hold the n-gram.
     ratio = np.log((counts[1] + 1) / (positives + 2)) - np.log((counts[0] + 1) / (rows - positives + 2))
-    chosen = (counts.sum(0) >= LEAST_TEXTS) & (ratio >= LEAST_RATIO)
+    chosen = (counts.sum(0) >= LEAST_TEXTS) & (np.abs(ratio) >= LEAST_RATIO)
     number = np.full(1 << bits, -1, np.int32)
     number[chosen] = np.arange(chosen.sum())
     ratio = ratio[chosen]
@@ -111,9 +113,9 @@ def model(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", per_clas
     """(table of weights, bias), learned from labelled rows that aren't held out. Its size doesn't depend on the input."""
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(id_col).agg(F.min(label_col).alias("label"))
     parts = [known.where(F.col("label") == k).orderBy(F.xxhash64(id_col), id_col).limit(per_class) for k in (0, 1)]
-    chosen = F.broadcast(parts[0].unionByName(parts[1]).select(F.col(id_col).alias("_id"), "label"))  # at most 2 * per_class ids
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(chosen, "_id").dropDuplicates(["_id"])
-    found = texts.select("_id", "text", "label").repartition(1).sortWithinPartitions("_id").mapInArrow(_fit, "buckets binary, weights binary, bias double").first()
+    chosen = F.broadcast(parts[0].unionByName(parts[1]).select(F.col(id_col).alias("id"), "label"))  # at most 2 * per_class ids
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(chosen, "id").groupBy("id", "label").agg(F.min("text").alias("text"))
+    found = texts.select("id", "text", "label").repartition(1).sortWithinPartitions("id").mapInArrow(_fit, "buckets binary, weights binary, bias double").first()
     table = np.zeros(1 << BITS, np.float32)
     if found is None:
         return table, -40.0
