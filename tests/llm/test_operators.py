@@ -17,6 +17,7 @@ from tonewright.llm.words import hashed_words, window_hashes
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
+VOCABULARIES = (public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, slot int, score string"
 
 
@@ -78,6 +79,18 @@ def test_html_without_article_keeps_all_but_asides(shape):
     assert html_text.main_text(page) == "\n\n".join(want)
 
 
+def test_html_inline_names_forms_and_depth():
+    text = "body words " * 30
+    assert html_text.main_text('<p>We used <code class="search">grep</code> on it.</p>') == "We used grep on it."
+    assert html_text.main_text('<p>Before <span class="alert">careful</span> after.</p>') == "Before careful after."
+    assert html_text.main_text(f"<body><form id=aspnetForm><nav>Menu</nav><div><p>{text}</p></div></form></body>") == text.strip()
+    assert html_text.main_text(f"<article><p>{text}</p><section class='related-work'><p>Earlier work.</p></section></article>").endswith("Earlier work.")
+    for name in ("elementor-widget-container", "widget-content", "legal"):
+        assert html_text.main_text(f"<body><div class={name}><p>{text}</p></div></body>") == text.strip()
+    deep = html_text.main_text("<div>x" * 3000 + "</div>" * 3000 + "<p>end</p>")
+    assert deep.count("x") == 3000 and deep.endswith("end")
+
+
 def test_html_names_do_not_drop_the_article():
     text = "many words " * 40
     body, want = f"<h1>T</h1><p>{text}</p><p>Short.</p>", f"T\n\n{text.strip()}\n\nShort."
@@ -139,6 +152,19 @@ def test_sharding_levels_bytes_and_numbers_rows(spark, tmp_path):
     texts = {r["doc_id"]: r["text"] for r in documents(spark).collect()}
     assert all(r["crc"] == zlib.crc32((texts[r["id"]] or "").encode()) and r["size"] == len((texts[r["id"]] or "").encode()) + 8 for r in rows if r["id"] is not None)
     assert sharding.assigned(empty(spark), 5, f"{tmp_path}/none", n_slots=64).count() == 0
+    # The stored map is used again, and grown: a further shard takes rows only into itself.
+    held = lambda rows: collections.Counter((r["id"], r["crc"], r["shard"]) for r in rows)
+    assert held(sharding.assigned(docs, 5, f"{tmp_path}/map", n_slots=256).collect()) == held(rows)
+    even = docs.where("text IS NULL OR length(text) < 5000")
+    rows = sharding.assigned(even, 5, f"{tmp_path}/even", n_slots=256).collect()
+    more = sharding.assigned(even, 6, f"{tmp_path}/even", n_slots=256).collect()
+    before = {(r["id"], r["crc"]): r["shard"] for r in rows}
+    assert len(more) == len(rows) and all(r["shard"] in (5, before[r["id"], r["crc"]]) for r in more) and any(r["shard"] == 5 for r in more)
+    assert {r["version"] for r in spark.read.parquet(f"{tmp_path}/even").select("version").distinct().collect()} == {1, 2, 3}
+    sharding.assigned(even, 6, f"{tmp_path}/even", n_slots=256, rebalance=True)
+    assert sharding.load_map(spark, f"{tmp_path}/even").agg(F.max("version"), F.count("*")).first() == (4, 256)
+    with pytest.raises(ValueError):
+        sharding.assigned(even, 5, f"{tmp_path}/even", n_slots=256)
 
 
 def test_slot_maps_are_edited_little(spark):
@@ -186,11 +212,20 @@ def test_packing_holds_every_id_once(spark):
     assert packing.packed(empty(spark), public_tokenizers.path("byte_bpe_50k.json")).count() == 0
 
 
-def test_rare_white_space_hides_no_runs_of_breaks():
-    texts = ["a\tb\tc\n\n\nd", "x\u00a0y\u00a0z\n\n\nnext", "a\u2003b\n\nc", "a\x1cb  c", " a b", "a b\n", "a b\nc d", "\n", ""]
-    encode = tokens.WordEncoder(public_tokenizers.path("byte_bpe_50k.json"), tokens.words_kept_with_space)
-    want = [ids[:-1].tobytes() for ids in ids_of("byte_bpe_50k.json", texts, 0)]
-    assert encode(texts) == want and [encode([t])[0] for t in texts] == want
+ODD_TEXTS = [
+    "a\tb\tc\n\n\nd", "x\u00a0y\u00a0z\n\n\nnext", "a\u2003b\n\nc", "a\x1cb  c", "a\x1c b \x1dc", " a b", "a b\n", "a b\nc d", "\n", "", " ", "  a", "\n\na", " \n a", "a \n b", "a\n b", "x  y   z  w", "x\n.y\n,z .", "a\r\nb", "a\0b c",
+    "\u0130stanbul \u00c9\u00c0 x's don't it's 'tis a'b isn't.", "\ufb01n \u00bd x\u00b2 \u00aa \u00ba \u00b5 \u0178_a_b a_b. _x", "\u65e5\u672c\u8a9e \u30c6, \u043f\u0440!! \u043c", "<|endoftext|> x<|endoftext|>", "\u00c9's 1st 2nd, $$$ Stra\u00dfe! \u00df \u0149",
+    "\u00e9a x\u0301 \u00e9.", "\u200b a", "x" * 70 + " " + "x" * 70 + "y", "word.### word.'s word'.s", "a \u2013 b \u2013. c", "Ab.cD.e,", "\u00c9COLE \u00c9lan \u00c0\u00c9.",
+]
+
+
+@pytest.mark.parametrize("name, spaced", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_word_encoders_equal_the_library(name, spaced):
+    """Odd white space, symbols beside letters, contractions, other scripts, special strings: together and one by one."""
+    encode = tokens.WordEncoder(public_tokenizers.path(name), spaced)
+    want = [ids[:-1].tobytes() for ids in ids_of(name, ODD_TEXTS, 0)]
+    raw = [t.encode() for t in ODD_TEXTS]
+    assert encode(raw) == want and [encode([t])[0] for t in raw] == want and encode([]) == []
 
 
 def test_bounded_windows_emit_the_fullest():
@@ -223,6 +258,7 @@ def test_token_files_round_trip(spark, tmp_path):
 def test_wavelet_matrix(n):
     tokens = np.random.default_rng(n).integers(0, 50_000 if n % 2 else 7, n)
     matrix = WaveletMatrix(build(tokens))
+    assert matrix.n_planes == max(1, int(tokens.max(initial=0)).bit_length()) and matrix.count(1 << 40) == 0
     assert (matrix.tokens() == tokens).all() and len(matrix) == n
     for i in range(0, n, 97):
         token = int(tokens[i])
@@ -231,6 +267,15 @@ def test_wavelet_matrix(n):
         assert [matrix.select(token, k) for k in range(min(4, matrix.count(token)))] == np.flatnonzero(tokens == token)[:4].tolist()
 
 
+def test_wavelet_planes_come_from_the_ids():
+    tokens = np.array([70_000, 3, (1 << 32) - 1, 70_000])
+    matrix = WaveletMatrix(build(tokens))
+    assert matrix.tokens().tolist() == tokens.tolist() and matrix.count(70_000) == 2 and matrix.select(70_000, 1) == 3
+    for bad in ([-1], [1 << 32]):
+        with pytest.raises(ValueError):
+            build(np.array(bad))
+
+
 # --- 5
 
 
@@ -250,10 +295,10 @@ def test_base_counts_and_bands(spark):
     pick = random.Random(2)
     plain = [" ".join(pick.choice(["the", "house", "of", "water", "and", "people", "made", "some", "light"]) + pick.choice("abcdefgh") for _ in range(100)) for _ in range(150)]
     odd = [" ".join(f"{pick.choice('qxzjk')}%%{pick.randint(0, 99)}$$$" for _ in range(100)) for _ in range(5)]
-    rows = quality.judged(documents(spark, plain + odd + ["", None]), public_tokenizers.path("piece_bpe_32k.model")).collect()
+    rows = quality.judged(documents(spark, plain + odd + ["", None]), VOCABULARIES).collect()
     fate = {r["id"] // 3: r["kept"] for r in rows}
     assert sum(fate[i] for i in range(150)) >= 148 and not any(fate[i] for i in range(150, 157))
-    assert quality.judged(empty(spark), public_tokenizers.path("piece_bpe_32k.model")).count() == 0
+    assert quality.judged(empty(spark), VOCABULARIES).count() == 0
 
 
 @pytest.mark.parametrize("n", [1, 3, 30, 99, 100])
@@ -263,7 +308,7 @@ def test_languages_with_few_texts_have_their_own_band(spark, n):
     plain = [" ".join(pick.choice(["the", "house", "of", "water", "and", "people"]) + pick.choice("abcdefgh") for _ in range(100)) for _ in range(300)]
     rare = [" ".join("".join(chr(0x1200 + pick.randrange(300)) for _ in range(pick.randint(2, 6))) for _ in range(100)) for _ in range(n)]
     rows = [(i, t, "en" if i < len(plain) else "am") for i, t in enumerate(plain + rare)]
-    judged = quality.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string"), public_tokenizers.path("piece_bpe_32k.model"))
+    judged = quality.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string"), VOCABULARIES)
     assert judged.where("`group` = 'am' AND kept").count() == n and judged.where("`group` = 'en' AND kept").count() >= 298
 
 
@@ -302,8 +347,10 @@ def test_near_duplicates_equal_brute_force(spark, k):
 def test_near_duplicates_of_odd_tables(spark):
     rows = minhash_dedup.grouped(with_odd_rows(spark)).collect()
     assert len(rows) == documents(spark).count() + 2 and [r["component"] for r in rows if r["id"] is None] == [None]
-    left = minhash_dedup.deduplicated(with_odd_rows(spark))
-    assert left.columns == documents(spark).columns and [r["n"] for r in left.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").collect()] == []
+    two = spark.createDataFrame([(0, "quite another text than the first", None, None, 1, 1, "x")] * 2, SCHEMA)
+    left = minhash_dedup.deduplicated(with_odd_rows(spark).unionByName(two).withColumn("stays", F.lit(1)).withColumn("row", F.lit(2)))
+    assert left.columns == [*documents(spark).columns, "stays", "row"] and left.where("doc_id = 0").count() == 2
+    assert [r["n"] for r in left.where("doc_id > 0").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").collect()] == []
     assert minhash_dedup.grouped(empty(spark)).count() == 0
 
 
