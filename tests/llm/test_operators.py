@@ -388,10 +388,16 @@ def test_sketches_estimate_similarity():
     assert registers.dtype == np.uint16 and registers[2] == registers[3] == 0 and registers[4] == 1023 and (registers[:2] >> 10 == 63).all()
 
 
-def test_components(spark):
+@pytest.mark.parametrize("local", [0, 30, 1 << 18])
+def test_components(spark, monkeypatch, local):
+    """By rounds alone, by a few and one task, and by one task alone."""
+    from tonewright.llm import components as module
+
+    monkeypatch.setattr(module, "LOCAL_EDGES", local)
     pairs = [(i, i + 1) for i in range(1, 40)] + [(100, 7), (200, 201), (201, 200), (300, 300)]
     found = {r["id"]: r["component"] for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
     assert found == {i: 1 for i in [*range(1, 41), 100]} | {200: 200, 201: 200}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
 # --- 8

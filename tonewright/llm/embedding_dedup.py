@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import dealt
-from .components import components
+from .components import components, labelled
 from .storage import materialise, scratch
 
 PROJECTIONS = 48
@@ -89,17 +89,8 @@ def linked(left: np.ndarray, right: np.ndarray, least: float) -> tuple[np.ndarra
 
 
 def _forest(n: int, i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
-    """Of the pairs, enough to connect what they connect: least labels passed along until nothing changes."""
-    label = np.arange(n)
-    while len(i):
-        least = np.minimum(label[i], label[j])
-        now = label.copy()
-        np.minimum.at(now, i, least)
-        np.minimum.at(now, j, least)
-        now = now[now]
-        if (now == label).all():
-            break
-        label = now
+    """Of the pairs, enough to connect what they connect."""
+    label = labelled(n, i, j)
     return [(int(label[x]), x) for x in np.flatnonzero(label != np.arange(n))]
 
 
