@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tonewright.llm import minhash_dedup, mixing, packing, phrase_dedup, toxicity
-from tonewright.llm.storage import materialise, neutral
+from tonewright.llm.storage import neutral, scratch
 from tonewright.session import ship
 
 TOXIC = 0.5
@@ -82,7 +82,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages in turn; what a stage hands on goes when the last one has written its pieces."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    with scratch(spark, "pipeline") as keep:
+        for name, stage in STAGES[:-1]:
+            docs = keep(stage(spark, docs, sf_dir), name)
+        return STAGES[-1][1](spark, docs, sf_dir)

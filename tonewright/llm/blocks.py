@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .storage import Keep
+
 _BLOCK = "struct<a:bigint,b:int>"
 _PAIRS = f"array<struct<first:{_BLOCK},second:{_BLOCK}>>"
 
 
-def dealt(rows: DataFrame, group: str, position: Column, id_col: str, most: int, weight: str | None = None, most_weight: int = 1, within: Column | None = None) -> DataFrame:
+def dealt(rows: DataFrame, keep: Keep, group: str, position: Column, id_col: str, most: int, weight: str | None = None, most_weight: int = 1, within: Column | None = None) -> DataFrame:
     """rows once for each pair of blocks that may hold partners: with columns block (the row's own), first and second (the pair).
 
     Partners share `group`, and their `position` (an integer) differs by one at most. What shares group and position is
@@ -20,7 +22,8 @@ def dealt(rows: DataFrame, group: str, position: Column, id_col: str, most: int,
     classed = rows.withColumn("_class", position.cast("long"))
     size = F.ceil(F.count("*") / most)
     size = F.greatest(size, F.ceil(F.sum(weight) / most_weight)) if weight else size
-    counts = classed.groupBy(group, "_class").agg(size.cast("int").alias("_blocks"))
+    # Written apart from the joins: small ones shuffle nothing, and in large ones Spark splits what shares a position.
+    counts = keep(classed.groupBy(group, "_class").agg(size.cast("int").alias("_blocks")), "blocks")
     beside = {n: counts.select(group, (F.col("_class") - shift).alias("_class"), F.col("_blocks").alias(n)) for n, shift in (("_above", 1), ("_below", -1))}
     met = classed.join(counts, [group, "_class"])
     for one in beside.values():

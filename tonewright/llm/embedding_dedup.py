@@ -83,7 +83,10 @@ def linked(left: np.ndarray, right: np.ndarray, least: float) -> tuple[np.ndarra
     along = directions(dim)
     i, j = np.nonzero(window_counts(a @ along, b @ along, SPREADS * spread(least)) >= needed_collisions())
     norm_a, norm_b = np.linalg.norm(left, axis=1), np.linalg.norm(right, axis=1)
-    good = [np.einsum("ij,ij->i", left[i[k : k + _PAIRS_AT_ONCE]], right[j[k : k + _PAIRS_AT_ONCE]]) >= least * norm_a[i[k : k + _PAIRS_AT_ONCE]] * norm_b[j[k : k + _PAIRS_AT_ONCE]] for k in range(0, len(i), _PAIRS_AT_ONCE)]
+    good = []
+    for at in range(0, len(i), _PAIRS_AT_ONCE):
+        x, y = i[at : at + _PAIRS_AT_ONCE], j[at : at + _PAIRS_AT_ONCE]
+        good.append(np.einsum("ij,ij->i", left[x], right[y]) >= least * norm_a[x] * norm_b[y])
     good = np.concatenate(good) if good else np.empty(0, bool)
     return i[good], j[good]
 
@@ -148,7 +151,7 @@ def grouped(vectors: DataFrame, least: float = 0.93, id_col: str = "vec_id", vec
         classes = keep(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
         placed = classes.select("id", "times", "vector", F.concat_ws(":", F.size("vector"), "label").alias("group"), F.xxhash64("own").alias("deal"))
         placed = placed.mapInArrow(_with_cells(6.2 * spread(least)), "id long, times long, vector array<double>, `group` string, deal long, cell long")
-        pairs = dealt(placed, "group", F.col("cell"), "deal", BLOCK_ROWS)
+        pairs = dealt(keep(placed, "placed"), keep, "group", F.col("cell"), "deal", BLOCK_ROWS)
         found = keep(pairs.groupBy("group", "first", "second").applyInArrow(_block_links(least), "id long, other long, links long"), "links")
         degrees = found.groupBy("id").agg(F.sum("links").alias("links"))
         joined = components(found.where("other IS NOT NULL").select(F.col("id").alias("a"), F.col("other").alias("b"))).withColumnRenamed("component", "root")

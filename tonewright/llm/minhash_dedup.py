@@ -52,7 +52,14 @@ def sketches(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
                 made = [sketch(s) if len(s) else None for s in sets]
                 full = [m for m in made if m is not None]
                 keys = iter(band_keys(np.array(full))) if full else iter(())
-                columns = [part.column("id"), pa.array([hashlib.md5(t).digest() for t in texts], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array([signature(s) if len(s) else None for s in sets], pa.binary()), pa.array([m.tobytes() if m is not None else None for m in made], pa.binary()), pa.array([next(keys) if m is not None else None for m in made], schema.field("keys").type)]
+                columns = [
+                    part.column("id"),
+                    pa.array([hashlib.md5(t).digest() for t in texts], pa.binary()),
+                    pa.array([len(s) for s in sets], pa.int64()),
+                    pa.array([signature(s) if len(s) else None for s in sets], pa.binary()),
+                    pa.array([m.tobytes() if m is not None else None for m in made], pa.binary()),
+                    pa.array([next(keys) if m is not None else None for m in made], schema.field("keys").type),
+                ]
                 yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -137,7 +144,7 @@ def bucket_links(shared: DataFrame, found: DataFrame, classes: DataFrame, least:
     buckets = parts.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.sum("n").alias("n"), F.count("*").alias("parts"), F.bit_xor("mark").alias("mark")).where("parts > 1")
     once = buckets.groupBy("n", "mark").agg(F.min(F.struct("bucket", "largest")).alias("b")).select("b.*")
     rows = keep(many.join(once, "bucket").select("id", "bucket", "component", (F.col("component") == F.col("largest")).alias("inner")), "open_buckets")
-    pairs = dealt(rows, "bucket", F.col("inner").cast("int"), "id", BLOCK_ROWS, within=~F.col("inner"))
+    pairs = dealt(rows, keep, "bucket", F.col("inner").cast("int"), "id", BLOCK_ROWS, within=~F.col("inner"))
     met = pairs.join(classes.select("id", "n_shingles", "registers"), "id").repartition("bucket", "first", "second").sortWithinPartitions("bucket", "first", "second")
     return met.select("bucket", "first", "second", "id", "n_shingles", "component", "registers", "block").mapInArrow(_bucket_links(least), "a long, b long")
 
@@ -212,14 +219,14 @@ def _links(k: int, least: int):
     return run
 
 
-def exact_links(clusters: DataFrame, texts: DataFrame, k: int, least: int) -> DataFrame:
+def exact_links(clusters: DataFrame, texts: DataFrame, k: int, least: int, keep: Keep) -> DataFrame:
     """Links within clusters (id, component, n_shingles), compared on the whole texts of the classes (id, text).
 
     A cluster is cut into classes of set sizes, each a quarter wider than the last, and these into blocks; only blocks
     of the same or of neighbouring classes can hold links, and each pair of such blocks is one group.
     """
     position = F.floor(F.log("n_shingles") / np.log(100 / least) - 1e-9)
-    pairs = dealt(clusters.select("id", "n_shingles", F.col("component").alias("cluster")), "cluster", position, "id", BLOCK_ROWS, "n_shingles", BLOCK_SHINGLES)
+    pairs = dealt(clusters.select("id", "n_shingles", F.col("component").alias("cluster")), keep, "cluster", position, "id", BLOCK_ROWS, "n_shingles", BLOCK_SHINGLES)
     rows = pairs.join(texts, "id").repartition("cluster", "first", "second").sortWithinPartitions("cluster", "first", "second", "id")
     return rows.select("cluster", "first", "second", "id", "text").mapInArrow(_links(k, least), "a long, b long")
 
@@ -239,7 +246,7 @@ def _joined(docs: DataFrame, k: int, least: int, id_col: str, text_col: str) ->
         texts = docs.select(F.col(id_col).cast("long").alias("least"), F.col(text_col).cast("string").alias("text"))
         texts = texts.where(may_be_in(clusters, "least")(F.col("least"))).withColumn("digest", digest_of(F.col("text")))
         texts = texts.join(clusters.select("id", "least", "digest"), ["least", "digest"]).select("id", "text")
-        groups = components(exact_links(clusters, texts, k, least)).withColumnRenamed("component", "group")
+        groups = components(exact_links(clusters, texts, k, least, keep)).withColumnRenamed("component", "group")
         named = keep(classes.select("signature", "id", "least").join(groups, "id", "left").withColumn("group", F.coalesce("group", "id")), "named")
         ids = keep(named.groupBy("group").agg(F.min("least").alias("component")), "components")
         whole = keep(named.select("signature", "group").join(ids, "group"), "groups")

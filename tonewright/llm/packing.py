@@ -121,7 +121,9 @@ def packed(docs: DataFrame, vocabulary: str, end_id: int = 0, size: int = WINDOW
             # Windows of FAN_IN tasks meet in one; ids of a round hold the task that made them.
             group = F.expr(f"pmod(bundle, {_ROUND}) div {_TASK}") / F.lit(FAN_IN)
             dealt = items.repartition(1) if last else items.repartitionByRange(-(-groups // FAN_IN), F.floor(group))
-            merged = keep(dealt.sortWithinPartitions(F.desc("fill"), "bundle").mapInArrow(_merge_round(size, open_windows if not last else FAN_IN * open_windows, number), "bundle long, into long, base long, open boolean"), f"round{number}")
+            most = FAN_IN * open_windows if last else open_windows
+            laid = dealt.sortWithinPartitions(F.desc("fill"), "bundle").mapInArrow(_merge_round(size, most, number), "bundle long, into long, base long, open boolean")
+            merged = keep(laid, f"round{number}")
             places = places.join(merged.select("bundle", "into", F.col("base").alias("more")), "bundle").select("window", F.col("into").alias("bundle"), (F.col("base") + F.col("more")).alias("base"))
             if last:
                 break

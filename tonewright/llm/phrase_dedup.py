@@ -352,7 +352,8 @@ def _changed(docs: DataFrame, surveyed: DataFrame, keys: DataFrame, window: int,
     packed = keep(met.dropDuplicates(["key"]).select("key", "n_words", "packed", "anchors"), "texts", "uncompressed")
     spots = keep(packed.select("key", "packed", "anchors").mapInArrow(_spots(window, k), "window long, key long, start int"), "windows")
     # Written apart from the join below: a very frequent window is then a skewed join that Spark splits.
-    first = keep(spots.groupBy("window").agg(F.min(F.struct("key", "start")).alias("place"), F.count("*").alias("n")).where("n > 1").select("window", F.col("place.key").alias("owner"), F.col("place.start").alias("begin")), "firsts")
+    places = spots.groupBy("window").agg(F.min(F.struct("key", "start")).alias("place"), F.count("*").alias("n")).where("n > 1")
+    first = keep(places.select("window", F.col("place.key").alias("owner"), F.col("place.start").alias("begin")), "firsts")
     again = spots.join(first, "window").where("key != owner OR start != begin")
     shards = spots.count() // SHARD_WINDOWS + 1
     shard = F.pmod(F.xxhash64("key", F.expr(f"start div {PART_WINDOWS}")), F.lit(shards))

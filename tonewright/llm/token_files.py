@@ -66,7 +66,8 @@ def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, lengths = WaveletMatrix(one["file"]).tokens().astype("<u4"), np.array(one["lengths"], np.int64)
             ends = np.cumsum(lengths)
             texts = [ids[e - k : e].tobytes() for e, k in zip(ends, lengths)]
-            yield pa.RecordBatch.from_arrays([pa.array(one["doc_ids"], pa.int64()), pa.array(one["first"] + ends - lengths, pa.int64()), pa.array(lengths, pa.int64()), pa.array(texts, pa.binary())], names=["id", "start", "n_tokens", "ids"])
+            columns = [pa.array(one["doc_ids"], pa.int64()), pa.array(one["first"] + ends - lengths, pa.int64()), pa.array(lengths, pa.int64()), pa.array(texts, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "start", "n_tokens", "ids"])
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
