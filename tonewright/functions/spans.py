@@ -63,7 +63,10 @@ def report(found: Column, segments: Column, rewrite: Column) -> Column:
     """A block of plain text for review: number of segments, each with its fields, and the rewrite."""
     each = F.transform(
         segments,
-        lambda s, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), F.upper(s["severity"]), F.lit("\nOriginal: "), s["original"], F.lit("\nReplacement: "), s["replacement"], F.lit("\nBias type: "), s["bias_type"], F.lit("\nReasoning: "), s["reasoning"]),
+        lambda s, i: F.concat(
+            *[F.lit("["), (i + 1).cast("string"), F.lit("] "), F.upper(s["severity"]), F.lit("\nOriginal: "), s["original"]],
+            *[F.lit("\nReplacement: "), s["replacement"], F.lit("\nBias type: "), s["bias_type"], F.lit("\nReasoning: "), s["reasoning"]],
+        ),
     )
     count = F.when(found, F.concat(F.lit("Segments found: "), F.size(segments).cast("string")))
     none = F.when(F.size(segments) == 0, "No biased segments.")

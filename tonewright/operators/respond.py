@@ -111,9 +111,15 @@ def lexicon_hits(texts: DataFrame, lexicon: DataFrame) -> DataFrame:
 def _answer(hits: Column) -> Column:
     """The contract's JSON for a text and its hits, fields in the prompt's order; values are quoted by the JSON writer."""
     level = F.array_max(F.transform(hits, lambda h: F.when(h["severity"] == "high", GLOBAL_SEVERITIES["high"]).when(h["severity"] == "medium", GLOBAL_SEVERITIES["medium"]).otherwise(GLOBAL_SEVERITIES["low"])))
-    segments = F.transform(hits, lambda h: F.struct(h["phrase"].alias("original"), h["replacement"].alias("replacement"), h["severity"].alias("severity"), h["bias_type"].alias("bias_type"), h["reasoning"].alias("reasoning")))
+    segments = F.transform(hits, lambda h: F.struct(h["phrase"].alias("original"), *[h[n].alias(n) for n in ("replacement", "severity", "bias_type", "reasoning")]))
     any_ = F.size(hits) > 0
-    return F.struct(F.when(any_, "biased").otherwise("unbiased").alias("binary_label"), F.coalesce(level, F.lit(0)).alias("severity"), any_.alias("bias_found"), segments.alias("biased_segments"), rewritten(F.col("text"), hits).alias("unbiased_text"))
+    return F.struct(
+        F.when(any_, "biased").otherwise("unbiased").alias("binary_label"),
+        F.coalesce(level, F.lit(0)).alias("severity"),
+        any_.alias("bias_found"),
+        segments.alias("biased_segments"),
+        rewritten(F.col("text"), hits).alias("unbiased_text"),
+    )
 
 
 def rewritten(text: Column, hits: Column) -> Column:
@@ -135,5 +141,12 @@ def lexicon_respond(texts: DataFrame, lexicon: DataFrame) -> DataFrame:
 
 def json_fields(raw: Column) -> dict[str, Column]:
     """The fields of a well-formed answer as JSON texts, to write them in another order or shape."""
-    fields = F.from_json(raw, "binary_label string, severity int, bias_found boolean, biased_segments array<struct<original:string,replacement:string,severity:string,bias_type:string,reasoning:string>>, unbiased_text string")
-    return {"binary_label": quoted(fields["binary_label"]), "severity": fields["severity"].cast("string"), "bias_found": fields["bias_found"].cast("string"), "biased_segments": F.to_json(fields["biased_segments"]), "unbiased_text": quoted(fields["unbiased_text"])}
+    segment = "struct<original:string,replacement:string,severity:string,bias_type:string,reasoning:string>"
+    fields = F.from_json(raw, f"binary_label string, severity int, bias_found boolean, biased_segments array<{segment}>, unbiased_text string")
+    return {
+        "binary_label": quoted(fields["binary_label"]),
+        "severity": fields["severity"].cast("string"),
+        "bias_found": fields["bias_found"].cast("string"),
+        "biased_segments": F.to_json(fields["biased_segments"]),
+        "unbiased_text": quoted(fields["unbiased_text"]),
+    }

@@ -33,7 +33,11 @@ def label_rates(results: DataFrame, *by: str) -> DataFrame:
     """Share of biased texts, mean severity and share of repaired outputs, with all totals."""
     mean = lambda c: F.round(F.avg(c), 6)
     return results.cube(*by).agg(
-        F.grouping_id().cast("long").alias("level"), F.count("*").alias("n_texts"), mean((F.col("binary_label") == "biased").cast("double")).alias("biased_share"), mean(F.col("severity").cast("double")).alias("mean_severity"), mean((F.col("repair_strategy") != "direct").cast("double")).alias("repaired_share")
+        F.grouping_id().cast("long").alias("level"),
+        F.count("*").alias("n_texts"),
+        mean((F.col("binary_label") == "biased").cast("double")).alias("biased_share"),
+        mean(F.col("severity").cast("double")).alias("mean_severity"),
+        mean((F.col("repair_strategy") != "direct").cast("double")).alias("repaired_share"),
     )
 
 

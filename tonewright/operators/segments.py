@@ -78,7 +78,14 @@ def _whole(text: Column, kind: Column) -> Column:
 
 def invalid(items: Column) -> Column:
     """Whether a merged segment breaks the schema."""
-    return F.exists(items, lambda x: ~(_ok_text(x["replacement_kind"]) & _ok_text(x["severity_kind"]) & _ok_text(x["bias_type_kind"]) & _ok_text(x["reasoning_kind"]) & _whole(x["start"], x["start_kind"])["fine"] & _whole(x["end"], x["end_kind"])["fine"]))
+
+    def fine(x: Column) -> Column:
+        good = _whole(x["start"], x["start_kind"])["fine"] & _whole(x["end"], x["end_kind"])["fine"]
+        for name in _TEXTS:
+            good = good & _ok_text(x[f"{name}_kind"])
+        return good
+
+    return F.exists(items, lambda x: ~fine(x))
 
 
 def typed(items: Column) -> Column:
@@ -111,7 +118,8 @@ def located(text: Column, segments: Column) -> Column:
         ahead = F.call_function("locate", phrase, s["low"], s["at"] + 1)
         found = F.when(ahead > 0, ahead).otherwise(F.call_function("locate", phrase, s["low"])) - 1
         end = found + F.length(x["original"])
-        here = F.struct(x["original"], x["replacement"], x["severity"], x["bias_type"], x["reasoning"], F.when(found >= 0, found).otherwise(x["start"]).alias("start"), F.when(found >= 0, end).otherwise(x["end"]).alias("end")).cast(SEGMENT)
+        offsets = [F.when(found >= 0, found).otherwise(x["start"]).alias("start"), F.when(found >= 0, end).otherwise(x["end"]).alias("end")]
+        here = F.struct(*[x[n] for n in ("original", *_TEXTS)], *offsets).cast(SEGMENT)
         return F.struct(F.when(found >= 0, end).otherwise(s["at"]).alias("at"), F.concat(s["out"], F.array(here)).alias("out"), s["low"].alias("low"))
 
     out = F.aggregate(segments, start, step, lambda s: s["out"])
