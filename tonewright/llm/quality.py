@@ -71,13 +71,23 @@ class Fertility:
         with open(multi, "rb") as file:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
         self.multi = tiktoken.Encoding("multi", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.multi_starts = np.zeros(max(ranks.values()) + 1, bool)
+        self.multi_starts[[rank for token, rank in ranks.items() if token.startswith(b" ")]] = True
         self.known: dict[bytes, bytes] = {}
 
+    def multi_counts(self, texts: list[str]) -> list[int]:
+        """Tokens of each word in the second vocabulary, from one text: the token that begins with a space begins a word."""
+        ids = np.array(self.multi.encode_ordinary("".join([f" {t}" for t in texts])))
+        firsts = np.flatnonzero(self.multi_starts[ids])
+        if len(firsts) != len(texts):
+            return [len(self.multi.encode_ordinary(f" {t}")) for t in texts]
+        return np.diff(np.append(firsts, len(ids))).tolist()
+
     def learn(self, words: list[bytes]) -> None:
         for at in range(0, len(words), 4096):
             part = words[at : at + 4096]
             texts = [w.decode("utf-8", "surrogatepass") for w in part]
-            counts = [(-len(self.multi.encode_ordinary(f" {t}"))).to_bytes(4, "little", signed=True) for t in texts]
+            counts = [(-n).to_bytes(4, "little", signed=True) for n in self.multi_counts(texts)]
             ids = np.array(self.model.encode(" ".join(texts), num_threads=1), np.int32)
             firsts = np.flatnonzero(self.starts[ids]) if len(ids) else ids
             if len(firsts) == len(part) and firsts[0] == 0:
