@@ -228,6 +228,25 @@ def test_word_encoders_equal_the_library(name, spaced):
     assert encode(raw) == want and [encode([t])[0] for t in raw] == want and encode([]) == []
 
 
+@pytest.mark.parametrize("name, spaced", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_word_encoders_equal_the_library_on_random_texts(name, spaced):
+    """20,000 texts with white space of all kinds at their ends and within, alone and in batches."""
+    pick, edges = random.Random(5), ["", "", " ", "\n", "\t", "\r", "\x0b", "\x0c", "\r\n", "  "]
+    bits = [*edges, "a", "Word", "two", "\u00e9", "\u00dcnder", "x1", "12", "...", "'s", "don't", "\u0130st", "\u6f22\u5b57", "\U0001f600", "_", "-", "<|x", "\ufb01"]
+    text = lambda: pick.choice(edges) + "".join(pick.choice(bits) + pick.choice(["", " ", " ", "\n"]) for _ in range(pick.randint(0, 12))) + pick.choice(edges)
+    texts, encode = [text() for _ in range(20_000)], tokens.WordEncoder(public_tokenizers.path(name), spaced)
+    want = [ids[:-1].tobytes() for ids in ids_of(name, texts, 0)]
+    for size, part in ((1, texts[:2000]), (50, texts[2000:])):
+        found = [x for at in range(0, len(part), size) for x in encode([t.encode() for t in part[at : at + size]])]
+        assert found == (want[:2000] if size == 1 else want[2000:])
+
+
+def test_packing_texts_that_begin_with_white_space(spark):
+    texts = ["\tIndented first line of a document.", "\r\nWindows text here", "\x0cPage two", "\x0b\x0bdown", " \t", "plain text"]
+    rows = packing.packed(documents(spark, texts), public_tokenizers.path("byte_bpe_50k.json")).collect()
+    assert {r["id"] // 3: r["ids"] for r in rows} == {i: ids.tobytes() for i, ids in enumerate(ids_of("byte_bpe_50k.json", texts, 0))}
+
+
 def test_bounded_windows_emit_the_fullest():
     windows = packing.OpenWindows(0, 10, 2)
     assert [windows.place(n) for n in (6, 7, 3, 5)] == [(0, 0, None), (1, 0, None), (1, 7, None), (2, 0, None)]

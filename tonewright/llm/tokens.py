@@ -124,36 +124,46 @@ class WordEncoder:
                 self._jointly(list(part), "\0".join(texts), between)
         self._alone(alone)
 
-    def _cut(self, data: np.ndarray, ends_of_texts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """First and past-the-last byte of each word, and which texts can't be cut so. Each text ends with an added space."""
+    def _odd(self, data: np.ndarray, ends_of_texts: np.ndarray) -> np.ndarray:
+        """Which texts hold white space that their vocabulary's words don't begin with: next to other white space, at an end, tabs."""
+        space = SPACE[data]
+        last = np.zeros(len(data), bool)
+        last[ends_of_texts] = True
+        before, after = np.append(True, space[:-1]), np.append(space[1:], True)
+        odd = np.zeros(len(ends_of_texts), bool)
+        odd[np.searchsorted(ends_of_texts, np.flatnonzero(space & ~last & (before | after | (data != 32) & (data != 10))))] = True
+        return odd
+
+    def _cut(self, data: np.ndarray, ends_of_texts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First and past-the-last byte of each word. Each text ends with an added space, and none is odd to a spaced vocabulary."""
         space = SPACE[data]
-        before = np.append(True, space[:-1])
         tail = np.append(False, _LETTER[data[:-1]]) & _SYMBOL[data]
         if not self.spaced:
-            begin = ~space & (before | tail)
+            begin = ~space & (np.append(True, space[:-1]) | tail)
             end = np.append((begin | space)[1:], True) & ~space
-            return np.flatnonzero(begin), np.flatnonzero(end) + 1, np.zeros(len(ends_of_texts), bool)
+            return np.flatnonzero(begin), np.flatnonzero(end) + 1
         last = np.zeros(len(data), bool)
         last[ends_of_texts] = True
-        after = np.append(space[1:], True)
-        blank = (data == 32) & ~last
-        odd = np.flatnonzero(space & ~last & ((before | after) | (data != 32) & (data != 10)))
-        bad = np.zeros(len(ends_of_texts), bool)
-        bad[np.searchsorted(ends_of_texts, odd)] = True
         # A word begins with its space; a line break is one of its own, and so parts the word after it from any space.
-        begin = ~last & (blank | (data == 10) | ~space & (np.append(True, (last | (data == 10))[:-1]) | tail))
+        begin = ~last & (space | np.append(True, (last | (data == 10))[:-1]) | tail)
         end = np.append((begin | last)[1:], True) & ~last
-        return np.flatnonzero(begin), np.flatnonzero(end) + 1, bad
+        return np.flatnonzero(begin), np.flatnonzero(end) + 1
+
+    @staticmethod
+    def _joined(texts: list[bytes], lower: bool) -> tuple[bytes, np.ndarray, np.ndarray]:
+        """The texts with a space after each, as bytes and as numbers, and where each one's space stands."""
+        raw = b" ".join([*texts, b""])
+        raw = raw.lower() if lower else raw
+        return raw, np.frombuffer(raw, np.uint8), np.cumsum([len(t) + 1 for t in texts]) - 1
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         if not texts:
             return []
-        raw = b" ".join([*texts, b""])
-        if not self.spaced:
-            raw = raw.lower()
-        ends_of_texts = np.cumsum([len(t) + 1 for t in texts]) - 1
-        data = np.frombuffer(raw, np.uint8)
-        starts, ends, bad = self._cut(data, ends_of_texts)
+        raw, data, ends_of_texts = self._joined(texts, not self.spaced)
+        bad = self._odd(data, ends_of_texts) if self.spaced else np.zeros(len(texts), bool)
+        if bad.any():  # they are encoded whole, below
+            raw, data, ends_of_texts = self._joined([b"" if odd else t for odd, t in zip(bad, texts)], False)
+        starts, ends = self._cut(data, ends_of_texts)
         hashes = word_hashes(data, starts, ends) if len(starts) else np.empty(0, np.uint64)
         long_ = np.flatnonzero(ends - starts >= LONG_WORD)
         hashes[long_] = np.arange(len(long_), dtype=np.uint64)  # each by itself
