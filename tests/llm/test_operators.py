@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tonewright.llm import embedding_dedup, html_text, hyperminhash, minhash_dedup, mixing, packing, phrase_dedup, quality, sharding, token_files, tokens, toxicity
+from tonewright.llm import embedding_dedup, html_text, hyperminhash, minhash_dedup, mixing, packing, periodic_runs, phrase_dedup, quality, sharding, token_files, tokens, toxicity
 from tonewright.llm.components import components
 from tonewright.llm.wavelet import WaveletMatrix, build
 from tonewright.llm.words import hashed_words, window_hashes
@@ -519,3 +519,80 @@ def test_word_hashes_do_not_depend_on_place(monkeypatch):
     monkeypatch.setattr("tonewright.llm.words.PIECE", 16)
     assert (hashed_words(text) == whole).all()
     assert window_hashes(whole, 3)[0] == window_hashes(whole[2:], 3)[0]
+
+
+# --- 13
+
+
+def brute_runs(words, least, times):
+    found, n = [], len(words)
+    for q in range(1, n // times + 1):
+        i = 0
+        while i < n - q:
+            if words[i] != words[i + q]:
+                i += 1
+                continue
+            start = i
+            while i < n - q and words[i] == words[i + q]:
+                i += 1
+            stretch = words[start : i + q]
+            if len(stretch) >= max(least, times * q) and not any(all(stretch[x] == stretch[x + p] for x in range(len(stretch) - p)) for p in range(1, q)):
+                found.append((start, len(stretch), q))
+    return sorted(found, key=lambda r: (r[0], r[2]))
+
+
+def periodic_texts(seed, n):
+    """Stretches of few words repeated up to eight times, with random words between; nested periods and ties among them."""
+    pick = random.Random(seed)
+    for _ in range(n):
+        words = []
+        for _ in range(pick.randint(0, 5)):
+            base = [f"w{pick.randint(0, pick.choice([1, 2, 5]))}" for _ in range(pick.randint(1, 9))]
+            words += base * pick.randint(1, 8) + base[: pick.randint(0, len(base))] + [f"w{pick.randint(0, 3)}" for _ in range(pick.choice([0, 1, 2, 3, 7, 20]))]
+        yield words
+    yield from (["w0"] * 500, ["w0", "w1"] * 300, ["w0"] * 5 + ["w1"], (["w0"] * 5 + ["w1"]) * 50)
+
+
+@pytest.mark.parametrize("least, times", [(6, 4), (5, 3), (9, 2)])
+def test_periodic_runs_equal_brute_force(least, times):
+    texts = list(periodic_texts(least, 800))
+    numbers = [np.array([int(w[1:]) for w in t], np.int64) for t in texts]
+    found = [r for at in range(0, len(texts), 100) for r in periodic_runs.runs(numbers[at : at + 100], least, times)]
+    assert found == [brute_runs(t, least, times) for t in texts] and sum(map(len, found)) > 500
+
+
+def test_classes_of_lags_have_grams_no_shorter_than_their_lags():
+    for least, times in ((6, 4), (20, 2), (2, 3)):
+        dealt = list(periodic_runs.classes(10_000, least, times))
+        assert [lo for lo, _, _ in dealt] == [1, *[hi + 1 for _, hi, _ in dealt[:-1]]] and times * (dealt[-1][1] + 1) > 10_000
+        assert all(hi <= k == min(periodic_runs.overlap(q, least, times) for q in range(lo, hi + 1)) for lo, hi, k in dealt)
+
+
+def test_collapsed_runs(spark):
+    texts = [" ".join(t) for t in periodic_texts(3, 60)] + some_texts(n=5)
+    rows = {r["id"]: r for r in periodic_runs.collapsed_runs(documents(spark, texts)).collect()}
+    for i, text in enumerate(texts):
+        words = WORD.findall(text or "")
+        want = brute_runs(words, 6, 4)
+        gone = {x for start, length, period in want for x in range(start + period, start + length)}
+        found = rows[i * 3]
+        assert (found["n_words"], [tuple(r) for r in found["runs"]], found["collapsed"]) == (len(words), want, " ".join(w for x, w in enumerate(words) if x not in gone))
+    assert periodic_runs.collapsed_runs(with_odd_rows(spark)).where("id IS NULL").first()["collapsed"] == "lost words here"
+    assert periodic_runs.collapsed_runs(empty(spark)).count() == 0
+
+
+def test_periods_are_planted_as_agreed(spark):
+    from tonewright.llm import queries
+
+    texts = [" ".join(f"w{j}" for j in range(i % 70)) for i in range(400)] + [None, "", " \n"]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    changed = 0
+    for i, text in queries.with_periods(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        words, h = WORD.findall(texts[i] or ""), zlib.crc32(str(i).encode())
+        if h % 10 == 0 and words:
+            first = h // 10 % len(words)
+            period = 1 + (len(words) - first) // (3 + h // 10 % 8)
+            words = [w if k < first else words[first + (k - first) % period] for k, w in enumerate(words)]
+            changed += 1
+        assert WORD.findall(text or "") == words
+    assert changed > 20

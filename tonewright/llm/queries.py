@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, html_text, minhash_dedup, mixing, packing, phrase_dedup, quality, sharding, token_files, toxicity
+from . import embedding_dedup, html_text, minhash_dedup, mixing, packing, periodic_runs, phrase_dedup, quality, sharding, token_files, toxicity
 from .storage import new_path
 
+WORD = r"[^\x20\x09-\x0D]+"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -86,9 +88,72 @@ def op10_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select(F.col("id").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_collision_counting, op3_sharding, op4_packing, op5_fertility, op6_token_files, op7_hyperminhash, op8_toxicity, op9_mixing, op10_phrase_automata)}
+def with_periods(docs: DataFrame) -> DataFrame:
+    """documents, of which a tenth gets periodic words from some place on; its hashed id says where and how long a period."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+
+    def planted(words):
+        n = F.size(words)
+        first = g % n
+        period = 1 + F.floor((n - first) / (3 + g % 8))
+        source = lambda i: F.when(i < first, i).otherwise(first + (i - first) % period).cast("int")
+        return F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: words[source(i)]), " ")
+
+    words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
+    changed = F.transform(F.array(words), lambda w: F.when(F.size(w) > 0, planted(w)).otherwise(""))[0]
+    return docs.select("doc_id", F.when(h % 10 == 0, changed).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = periodic_runs.collapsed_runs(with_periods(table(spark, sf_dir, "documents")))
+    longest = F.element_at(F.array_sort(F.transform("runs", lambda r: F.struct((-r["length"]).alias("less"), r["start"].alias("start"), r["period"].alias("period")))), 1)
+    length = -F.when(F.size("runs") > 0, longest["less"])
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string"))), "\n")
+    return rows.select(
+        F.col("id").alias("doc_id"),
+        F.size("runs").cast("long").alias("n_runs"),
+        F.when(F.size("runs") > 0, longest["start"]).alias("start"),
+        length.alias("length"),
+        F.when(F.size("runs") > 0, longest["period"]).alias("period"),
+        F.when(F.size("runs") > 0, F.floor(1000 * length / longest["period"])).cast("long").alias("exponent_milli"),
+        F.sha2(F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise("").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_collision_counting, op3_sharding, op4_packing, op5_fertility, op6_token_files, op7_hyperminhash, op8_toxicity, op9_mixing, op10_phrase_automata, op13_periodic_runs)}
+
+#: crc(id) is CRC-32 of decimal numbers, by the usual table of 256 values made here from the polynomial.
+_CRC = """tab AS (
+    SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce(range(8), lambda c, b: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) AS v FROM range(256) r(i))
+), crc AS (
+    SELECT id, xor(list_reduce(list_transform(string_split(id::VARCHAR, ''), lambda x: ascii(x)::BIGINT), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295::BIGINT), 4294967295::BIGINT) AS h
+    FROM (SELECT DISTINCT {id} AS id FROM {table}) CROSS JOIN tab
+)"""
 
 ORACLE_SQL = {
+    "op13_periodic_runs": "WITH " + _CRC.format(id="doc_id", table="documents") + r""", d AS (
+    SELECT doc_id, w, len(w)::BIGINT AS n, h, h // 10 AS g FROM (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents) JOIN crc ON id = doc_id
+), f AS (
+    SELECT *, CASE WHEN n > 0 THEN g % n ELSE 0 END AS a FROM d
+), e AS (
+    SELECT doc_id, n, i, w[1 + CASE WHEN h % 10 = 0 AND i >= a THEN a + (i - a) % (1 + (n - a) // (3 + g % 8)) ELSE i END] AS word FROM (SELECT *, unnest(range(n)) AS i FROM f)
+), pair AS (
+    SELECT a.doc_id, b.i - a.i AS q, a.i FROM e a JOIN e b ON a.doc_id = b.doc_id AND a.word = b.word AND b.i > a.i AND 4 * (b.i - a.i) <= a.n
+), r AS (
+    SELECT doc_id, min(i) AS start, count(*) + q AS length, q AS period FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM pair) GROUP BY doc_id, q, island HAVING count(*) + q >= greatest(6, 4 * q)
+), run AS (
+    SELECT * FROM r a WHERE NOT EXISTS (SELECT 1 FROM r b WHERE b.doc_id = a.doc_id AND b.period < a.period AND b.start <= a.start AND b.start + b.length >= a.start + a.length)
+), s AS (
+    SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines, first(struct_pack(start := start, length := length, period := period) ORDER BY length DESC, start, period) AS top FROM run GROUP BY doc_id
+), k AS (
+    SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept FROM e WHERE NOT EXISTS (SELECT 1 FROM run WHERE run.doc_id = e.doc_id AND i >= start + period AND i < start + length) GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, top.start::BIGINT AS start, top.length::BIGINT AS length, top.period::BIGINT AS period, (1000 * top.length // top.period)::BIGINT AS exponent_milli,
+    sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM d LEFT JOIN s USING (doc_id) LEFT JOIN k USING (doc_id)
+""",
     "op9_mixing": r"""
 WITH d AS (
     SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
