@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tonewright.llm import embedding_dedup, html_text, hyperminhash, minhash_dedup, mixing, packing, periodic_runs, phrase_dedup, quality, sharding, token_files, tokens, toxicity
+from tonewright.llm import embedding_dedup, html_text, hyperminhash, minhash_dedup, mixing, packing, periodic_runs, phrase_dedup, quality, sharding, token_files, tokens, toxicity, weighted_sampling
 from tonewright.llm.components import components
 from tonewright.llm.wavelet import WaveletMatrix, build
 from tonewright.llm.words import hashed_words, window_hashes
@@ -521,6 +521,64 @@ def test_word_hashes_do_not_depend_on_place(monkeypatch):
     assert window_hashes(whole, 3)[0] == window_hashes(whole[2:], 3)[0]
 
 
+# --- 12
+
+
+def alike(a, b):
+    """Generalised Jaccard similarity of two texts' words."""
+    x, y = (collections.Counter(WORD.findall(t)) for t in (a, b))
+    return sum((x & y).values()) / sum((x | y).values()) if x or y else 1.0
+
+
+@pytest.mark.parametrize("part_rows", [4, 512])
+def test_fingerprints_of_documents_in_order(spark, monkeypatch, part_rows):
+    """Order, edited texts and likeness against a plain version: null ids last, repeated ids by text, equal rows apart."""
+    monkeypatch.setattr(weighted_sampling, "PART_ROWS", part_rows)
+    rows = sorted([((i * 37) % 101, t or "") for i, t in enumerate(some_texts())] + [(5, "b again"), (5, "a again"), (7, "same"), (7, "same")]) + [(None, ""), (None, "no id"), (None, "no id")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = weighted_sampling.fingerprints(frame).collect()
+    want, pairs = collections.Counter(), collections.defaultdict(list)
+    for (i, text), (_, after) in zip(rows, rows[1:] + rows[:1]):
+        quarter = len(text) // 4
+        edited = text[: len(text) - quarter] + after[:quarter]
+        sha = hashlib.sha256(edited.encode()).hexdigest()
+        want[i, len(text), sha] += 1
+        pairs[i, sha].append((alike(text, edited), alike(text, after)))
+    assert collections.Counter((r["id"], r["n_chars"], r["edited_sha256"]) for r in found) == want
+    errors = []
+    for r in found:
+        near = [sum(x == y for x, y in zip(r["samples"], r[c])) / weighted_sampling.N_SAMPLES for c in ("edited_samples", "next_samples")]
+        true = pairs[r["id"], r["edited_sha256"]].pop()
+        assert len(r["samples"]) == weighted_sampling.N_SAMPLES and all(x in (0.0, 1.0) or abs(x - y) < 0.4 for x, y in zip(near, true))
+        assert all(y not in (0.0, 1.0) or x == y for x, y in zip(near, true))
+        errors += [x - y for x, y in zip(near, true)]
+    assert abs(np.mean(errors)) < 0.03 and np.std(errors) < 0.09
+    assert weighted_sampling.fingerprints(empty(spark)).count() == 0
+
+
+@pytest.mark.parametrize("weights", [({"a": 3, "b": 1}, {"a": 1, "b": 5}), ({"a": 50}, {"a": 20, "b": 3}), ({chr(97 + i): 1 + i for i in range(20)}, {chr(100 + i): 20 - i for i in range(20)})])
+def test_samples_agree_as_often_as_weights_are_alike(spark, weights):
+    """One pair of texts in 80 wordings, 2,560 samples: the share that agrees is the generalised Jaccard similarity."""
+    texts = lambda i: [" ".join(f"{w}{i} " * n for w, n in x.items()) for x in weights]
+    rows = spark.createDataFrame([(i % 4, i, *texts(i)) for i in range(80)], "part int, nth int, text string, other string")
+    found = weighted_sampling.sampled(rows, "text", "other", [F.col("nth")]).select(weighted_sampling.likeness(F.col("samples"), F.col("beside")).alias("x")).collect()
+    true = alike(*texts(0))
+    assert len(found) == 80 and abs(np.mean([r["x"] for r in found]) - true) < 4 * (true * (1 - true) / 2560) ** 0.5
+
+
+def test_gamma_cells_have_the_distribution():
+    x = np.array(weighted_sampling.gamma_quantiles())
+    at = np.arange(len(x))
+    p = 2.0 ** -(at // weighted_sampling.CELLS) * (0.5 + (at % weighted_sampling.CELLS + 0.5) / (2 * weighted_sampling.CELLS))
+    assert np.allclose(-np.expm1(-x) - x * np.exp(-x), p, rtol=1e-6) and (x > 0).all()
+
+
+def test_fingerprints_stay_with_dataframe_functions(spark):
+    made = weighted_sampling.fingerprints(documents(spark))
+    plan = made._jdf.queryExecution().toString()
+    assert not any(word in plan for word in ("Python", "Pandas", "Arrow")) and plan.split("Initial Plan")[-1].count("hashpartitioning(part") <= 2
+
+
 # --- 13
 
 

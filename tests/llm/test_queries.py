@@ -24,6 +24,7 @@ COLUMNS = {
     "op8_toxicity": "doc_id bigint, held_out boolean, score double, predicted int",
     "op9_mixing": "doc_id bigint, size bigint, source_size bigint, target double, taken bigint",
     "op10_phrase_automata": "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string",
+    "op12_weighted_sampling": "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double",
     "op13_periodic_runs": "doc_id bigint, n_runs bigint, start bigint, length bigint, period bigint, exponent_milli bigint, runs_sha256 string, collapsed_sha256 string",
 }
 VECTORS = [(5, [1.0, 0.0], 1), (5, [0.0, 1.0], 1), (6, [1.0, 0.01], 1), (7, [0.01, 1.0], 1), (8, [0.02, 1.0], 1), (9, None, 1), (10, [None, 1.0], 1), (11, [0.0, 0.0], 1), (12, [1.0, 0.0], None), (None, [1.0, 0.0], 1), (13, [float("nan"), 1.0], 1), (14, [], 1), (6, [1.0, 0.01], 1)]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, html_text, minhash_dedup, mixing, packing, periodic_runs, phrase_dedup, quality, sharding, token_files, toxicity
+from . import embedding_dedup, html_text, minhash_dedup, mixing, packing, periodic_runs, phrase_dedup, quality, sharding, token_files, toxicity, weighted_sampling
 from .storage import new_path
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -88,6 +88,20 @@ def op10_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select(F.col("id").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
 
 
+def op12_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = weighted_sampling.fingerprints(table(spark, sf_dir, "documents"))
+    samples, beside = F.col("samples"), F.col("edited_samples")
+    return rows.select(
+        F.col("id").alias("doc_id"),
+        "n_chars",
+        "edited_sha256",
+        weighted_sampling.written(samples).alias("fingerprint"),
+        weighted_sampling.written(beside).alias("edited_fingerprint"),
+        weighted_sampling.likeness(samples, beside).alias("near_edited"),
+        weighted_sampling.likeness(samples, F.col("next_samples")).alias("near_next"),
+    )
+
+
 def with_periods(docs: DataFrame) -> DataFrame:
     """documents, of which a tenth gets periodic words from some place on; its hashed id says where and how long a period."""
     h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
@@ -122,7 +136,7 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_collision_counting, op3_sharding, op4_packing, op5_fertility, op6_token_files, op7_hyperminhash, op8_toxicity, op9_mixing, op10_phrase_automata, op13_periodic_runs)}
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_collision_counting, op3_sharding, op4_packing, op5_fertility, op6_token_files, op7_hyperminhash, op8_toxicity, op9_mixing, op10_phrase_automata, op12_weighted_sampling, op13_periodic_runs)}
 
 #: crc(id) is CRC-32 of decimal numbers, by the usual table of 256 values made here from the polynomial.
 _CRC = """tab AS (
