@@ -10,7 +10,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tonewright.llm import embedding_dedup, html_text, hyperminhash, minhash_dedup, mixing, packing, periodic_runs, phrase_dedup, quality, sharding, token_files, tokens, toxicity, weighted_sampling
+from tonewright.llm import embedding_dedup, html_text, hyperminhash, minhash_dedup, mixing, packing, periodic_runs, phrase_dedup, prefix_trie, quality, sharding, token_files, tokens, toxicity, weighted_sampling
+from tonewright.llm import storage
 from tonewright.llm.components import components
 from tonewright.llm.wavelet import WaveletMatrix, build
 from tonewright.llm.words import hashed_words, window_hashes
@@ -521,6 +522,70 @@ def test_word_hashes_do_not_depend_on_place(monkeypatch):
     assert window_hashes(whole, 3)[0] == window_hashes(whole[2:], 3)[0]
 
 
+# --- 11
+
+
+def brute_trie(rows, every=5, reach=9):
+    """Nodes as (conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256)."""
+    own = collections.defaultdict(list)
+    for conv, _, role, text in sorted((r for r in rows if r[0] is not None), key=lambda r: (r[0], r[1] is not None, r[1] or 0)):
+        own[conv].append((role or "", text or ""))
+    members, ends = collections.defaultdict(list), collections.defaultdict(list)
+    for c in sorted(own):
+        h = zlib.crc32(str(c).encode()) % reach
+        turns = tuple(own.get(c - c % every, [])[:h] + own[c][h:])
+        for d in range(len(turns) + 1):
+            members[turns[:d]].append(c)
+        ends[turns].append(c)
+    kids, leaves, saved = collections.Counter(p[:-1] for p in members if p), collections.Counter(), collections.Counter()
+    for p in members:
+        for d in range(len(p) + 1):
+            leaves[p[:d]] += not kids[p]
+            saved[p[:d]] += (len(members[p]) - 1) * (len(p[-1][1].encode()) if p else 0)
+    sha = lambda p: hashlib.sha256(",".join(map(str, ends[p])).encode()).hexdigest()
+    return collections.Counter((m[0], len(p), members[p[:-1]][0] if p else None, len(m), kids[p], leaves[p], saved[p], sha(p)) for p, m in members.items())
+
+
+def conversations(seed):
+    """Few different turns, so that prefixes meet; one long conversation, copies of one, null and missing values."""
+    pick = random.Random(seed)
+    rows = [(c, t, pick.choice(["user", "assistant", None]), pick.choice(["a", "bb", "\u00e9", None, ""])) for c in range(120) if c % 11 for t in range(pick.randint(1, 7))]
+    rows += [(c, t, "user", f"copy {t}") for c in range(200, 260) for t in range(4)]
+    rows += [(300, t, "user", f"turn {t % 3}") for t in range(400)] + [(305, None, "user", "first"), (305, -1, None, "second"), (None, 1, "user", "lost"), (306, 5, "user", "only")]
+    pick.shuffle(rows)
+    return rows
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_trie_equals_brute_force(spark, monkeypatch, small):
+    """With bounds as they are and with tiny ones: many shards, bands, blocks, pieces and spilled messages."""
+    if small:
+        for name, n in (("SHARD_NODES", 20), ("TOP_NODES", 7), ("BLOCK", 3), ("PIECE", 2), ("QUEUED", 4)):
+            monkeypatch.setattr(prefix_trie, name, n)
+        rows = conversations(1)
+        rows = [r for r in rows if r[0] != 300 or r[1] < 60]
+    else:
+        rows = conversations(2)
+    frame = spark.createDataFrame([(*r, "x") for r in rows], "conv_id long, turn int, role string, text string, depth string").repartition(3)
+    with storage.scratch(spark, "test") as keep:
+        found = prefix_trie.trie(*prefix_trie.grafted(keep(prefix_trie.numbered(frame, keep), "numbered"), keep)).collect()
+    assert collections.Counter(map(tuple, found)) == brute_trie(rows)
+
+
+@pytest.mark.parametrize("most", [2, 5, 1000])
+def test_spilling_queue(most):
+    pick, queue, plain = random.Random(most), prefix_trie.SpillingQueue(most), []
+    for _ in range(3000):
+        if plain and pick.random() < 0.4:
+            assert queue.least() == min(plain) and queue.pop() == min(plain)
+            plain.remove(min(plain))
+        else:
+            item = (pick.randint(0, 50), pick.randint(0, 3))
+            queue.push(item)
+            plain.append(item)
+    assert [queue.pop() for _ in plain] == sorted(plain) and queue.least() is None and (queue.n_runs > 0) == (most < 1000)
+
+
 # --- 12
 
 

@@ -24,6 +24,7 @@ COLUMNS = {
     "op8_toxicity": "doc_id bigint, held_out boolean, score double, predicted int",
     "op9_mixing": "doc_id bigint, size bigint, source_size bigint, target double, taken bigint",
     "op10_phrase_automata": "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string",
+    "op11_prefix_trie": "conv_id bigint, depth bigint, parent_conv_id bigint, n_convs bigint, n_children bigint, n_leaves bigint, saved_tokens bigint, ends_sha256 string",
     "op12_weighted_sampling": "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double",
     "op13_periodic_runs": "doc_id bigint, n_runs bigint, start bigint, length bigint, period bigint, exponent_milli bigint, runs_sha256 string, collapsed_sha256 string",
 }
@@ -38,6 +39,7 @@ def tables(spark, tmp_path_factory, request):
         "documents": (documents, "doc_id long, text string, lang string, source string, n_chars long, row int, id string, digest string, key string, words string, copies string"),
         "labels": ([(0, 1), (3, 0), (3, 1), (5, 1), (7, None), (None, 1), (8, 0), (9, 0), (99, 1)], "doc_id long, toxic int"),
         "embeddings": ([(*v, "z") for v in VECTORS], "vec_id long, embedding array<float>, label int, id string"),
+        "conversations": ([(0, 1, "user", "a", 1), (0, None, None, None, 1), (1, 1, "user", "a", 1), (None, 1, "user", "x", 1), (4, 2, "user", "", 1), (4, 2, "user", "", 1)], "conv_id long, turn int, role string, text string, n_convs int"),
         "pages": ([(1, "u", "<p>text</p>", "q"), (None, None, None, None), (2, "u", "", "q"), (1, "u", "<p>text</p>", "q"), (3, None, "<div>" * 3000 + "deep", "q")], "page_id long, url string, html string, page0 string"),
     }
     for name, (rows, schema) in frames.items():
@@ -55,6 +57,9 @@ def test_query_on_odd_and_empty_tables(spark, tables, name):
     if empty:
         assert rows == []
         return
+    if name == "op11_prefix_trie":
+        assert sum(r["n_convs"] for r in rows if r["depth"] == 0) == 3 and sum(r["n_children"] for r in rows) == len(rows) - 1
+        return
     key, table = {"op1_html_extraction": ("page_id", "pages"), "op2_collision_counting": ("vec_id", "embeddings")}.get(name, ("doc_id", "documents"))
     wanted = collections.Counter(r[0] for r in spark.read.parquet(f"{folder}/{table}.parquet").select(key).collect())
     found = collections.Counter(r[key] for r in rows if name != "op4_packing" or r["start"] == 0)

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, html_text, minhash_dedup, mixing, packing, periodic_runs, phrase_dedup, quality, sharding, token_files, toxicity, weighted_sampling
-from .storage import new_path
+from . import embedding_dedup, html_text, minhash_dedup, mixing, packing, periodic_runs, phrase_dedup, prefix_trie, quality, sharding, token_files, toxicity, weighted_sampling
+from .storage import new_path, scratch
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -88,6 +88,12 @@ def op10_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select(F.col("id").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with scratch(spark, "turns") as keep:
+        turns = keep(prefix_trie.numbered(table(spark, sf_dir, "conversations"), keep), "numbered")
+        return prefix_trie.trie(*prefix_trie.grafted(turns, keep))
+
+
 def op12_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = weighted_sampling.fingerprints(table(spark, sf_dir, "documents"))
     samples, beside = F.col("samples"), F.col("edited_samples")
@@ -136,7 +142,7 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_collision_counting, op3_sharding, op4_packing, op5_fertility, op6_token_files, op7_hyperminhash, op8_toxicity, op9_mixing, op10_phrase_automata, op12_weighted_sampling, op13_periodic_runs)}
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_collision_counting, op3_sharding, op4_packing, op5_fertility, op6_token_files, op7_hyperminhash, op8_toxicity, op9_mixing, op10_phrase_automata, op11_prefix_trie, op12_weighted_sampling, op13_periodic_runs)}
 
 #: crc(id) is CRC-32 of decimal numbers, by the usual table of 256 values made here from the polynomial.
 _CRC = """tab AS (
@@ -147,6 +153,24 @@ _CRC = """tab AS (
 )"""
 
 ORACLE_SQL = {
+    "op11_prefix_trie": "WITH " + _CRC.format(id="conv_id", table="conversations") + r""", o AS (
+    SELECT conv_id, list(struct_pack(r := coalesce(role, ''), t := coalesce(text, '')) ORDER BY turn NULLS FIRST) AS turns FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+), c AS (
+    SELECT o.conv_id, list_concat(coalesce(b.turns, [])[1:(h % 9)::BIGINT], o.turns[(h % 9 + 1)::BIGINT:]) AS turns FROM o JOIN crc ON id = o.conv_id LEFT JOIN o b ON b.conv_id = o.conv_id - o.conv_id % 5
+), m AS (
+    SELECT conv_id, d, len(turns) AS n, md5(turns[1:d]::VARCHAR) AS k, CASE WHEN d > 0 THEN md5(turns[1:d - 1]::VARCHAR) END AS p, CASE WHEN d > 0 THEN strlen(turns[d].t) ELSE 0 END AS bytes FROM (SELECT *, unnest(range(len(turns) + 1)) AS d FROM c)
+), nodes AS (
+    SELECT d, k, any_value(p) AS p, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(bytes) AS bytes, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (n = d) AS ends FROM m GROUP BY d, k
+), kids AS (
+    SELECT d - 1 AS d, p AS k, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY d, p
+), each AS (
+    SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN kids USING (d, k)
+), above AS (
+    SELECT m.d, m.k, count(*) FILTER (n_children = 0) AS n_leaves, sum((n_convs - 1) * each.bytes) AS saved FROM each JOIN m ON m.conv_id = each.conv_id AND m.d <= each.d GROUP BY m.d, m.k
+)
+SELECT e.conv_id, e.d::BIGINT AS depth, parent.conv_id AS parent_conv_id, e.n_convs::BIGINT AS n_convs, e.n_children::BIGINT AS n_children, n_leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, sha256(coalesce(e.ends, '')) AS ends_sha256
+FROM each e JOIN above USING (d, k) LEFT JOIN nodes parent ON parent.d = e.d - 1 AND parent.k = e.p
+""",
     "op13_periodic_runs": "WITH " + _CRC.format(id="doc_id", table="documents") + r""", d AS (
     SELECT doc_id, w, len(w)::BIGINT AS n, h, h // 10 AS g FROM (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents) JOIN crc ON id = doc_id
 ), f AS (
