@@ -1,11 +1,13 @@
 """Row fixtures of the repair ladder, validation, merging, locating and spans."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from tonewright.functions import spans as span_columns
+from tonewright.operators import phrases as phrases_module
 from tonewright.operators import outcomes, parse, prepare, respond, segments, validate
 from tonewright.plans.annotate import annotate, annotate_recorded, judge
 from tonewright.schema import SEGMENT
@@ -147,16 +149,38 @@ def test_every_text_has_one_outcome(spark):
     assert outcomes.pending_texts(texts, good, bad).count() == 0
 
 
-def test_large_lexicons_are_joined(spark, monkeypatch):
-    """Phrases of one, two and more characters, a repeated one, repeated and null ids and texts: both ways find the same."""
+def test_shards_of_a_lexicon_find_the_same(spark, monkeypatch):
+    """Phrases of one, two and more characters, a repeated one, an empty and a null one, repeated and null ids and texts."""
     rows = [*TEXTS, (7, "zz AB zz idiot end"), (7, "q"), (None, "an ab q"), (8, "")]
     texts = spark.createDataFrame(rows, "text_id long, text string")
-    phrases = spark.createDataFrame([(p, p[::-1], "low", "t", "r") for p in ("idiot", "ab", "q", "Q", "ab", "end", "not there")], LEXICON)
-    found = lambda: sorted(((r["text_id"] or -1, r["text"] or "", r["hits"]) for r in respond.lexicon_hits(texts, phrases).collect()))
+    phrases = [("idiot", "ab", "q", "Q", "ab", "end", "not there", "zz idiot", "", None)]
+    lexicon = spark.createDataFrame([(p, None if p is None else p[::-1], "low", "t", "r") for p in phrases[0]], LEXICON)
+    found = lambda: sorted(((r["text_id"] or -1, r["text"] or "", r["hits"]) for r in respond.lexicon_hits(texts, lexicon).collect()))
     small = found()
-    assert len(small) == len(rows) and [h["phrase"] for _, text, hits in small for h in hits if text.startswith("zz")] == ["ab", "ab", "idiot", "end"]
-    monkeypatch.setattr(respond, "MAX_LITERALS", 0)
+    assert len(small) == len(rows) and [(h["at"], h["phrase"], h["until"]) for _, text, hits in small for h in hits if text.startswith("zz")] == [(1, "", 1), (4, "ab", 6), (4, "ab", 6), (7, "zz idiot", 15), (10, "idiot", 15), (16, "end", 19)]
+    monkeypatch.setattr(phrases_module, "SHARD_CHARS", 12)
     assert found() == small
+    assert respond.lexicon_hits(texts, lexicon.limit(0)).where("size(hits) = 0").count() == len(rows)
+
+
+def test_many_phrases_equal_plain_search(spark):
+    pick = random.Random(4)
+    word = lambda: "".join(pick.choice("abAB\u00e9\u0130") for _ in range(pick.randint(1, 5)))
+    phrases, texts = sorted({word() for _ in range(400)}), [" ".join(word() for _ in range(30)) for _ in range(50)]
+    lexicon = spark.createDataFrame([(p, "x", "low", "t", "r") for p in phrases], LEXICON)
+    for i, text, hits in respond.lexicon_hits(spark.createDataFrame(list(enumerate(texts)), "text_id long, text string"), lexicon).collect():
+        low = text.lower()
+        assert {h["phrase"] for h in hits} == {p for p in phrases if p.lower() in low}
+        for h in hits:  # the place is the first one; letters that only a part of a phrase's lowered form falls on belong to it
+            before = text[: h["at"] - 1].lower()
+            assert len(before) <= low.find(h["phrase"].lower()) and h["phrase"].lower() in text[h["at"] - 1 : h["until"] - 1].lower()
+
+
+def test_places_are_those_of_the_text_before_lowering(spark):
+    texts = spark.createDataFrame([(1, "\u0130\u0130\u0130 xx idiot yy"), (2, "an \u0130diot \u0130"), (3, "IDIOT")], "text_id long, text string")
+    lexicon = spark.createDataFrame([("idiot", "person", "high", "insult", "Insults."), ("\u0130", "i", "low", "letter", "Long.")], LEXICON)
+    good = outcomes.split_outcomes(annotate(texts, lambda t: respond.lexicon_respond(t, lexicon)))[0]
+    assert {r["text_id"]: r["unbiased_text"] for r in good.collect()} == {1: "i\u0130\u0130 xx person yy", 2: "an idiot \u0130", 3: "person"}
 
 
 def test_responder_failures_stay_with_their_row(spark):

@@ -10,15 +10,12 @@ from pyspark.sql import functions as F
 
 from ..functions.text import quoted
 from ..schema import GLOBAL_SEVERITIES
-from ..storage import materialise
+from ..storage import Keep, materialise
+from .phrases import lexicon_hits
 from .prepare import messages
 
 #: A factory, called once a task (load the model there); what it gives answers a batch of conversations.
 Responder = Callable[[], Callable[[list], Sequence]]
-#: Rows of a lexicon that are held as literals; a larger one is joined.
-MAX_LITERALS = 2000
-#: Characters of a phrase by which a larger one is joined.
-GRAM = 3
 
 
 def respond(texts: DataFrame, responder: Responder, batch: int = 64, max_prompt_chars: int | None = None) -> DataFrame:
@@ -60,7 +57,7 @@ def respond(texts: DataFrame, responder: Responder, batch: int = 64, max_prompt_
     return answered.select(*kept, "tonewright_answer.raw_output", "tonewright_answer.error")
 
 
-def respond_once(texts: DataFrame, responder: Responder, batch: int = 64, max_prompt_chars: int | None = None) -> DataFrame:
+def respond_once(texts: DataFrame, responder: Responder, batch: int = 64, max_prompt_chars: int | None = None, keep: Keep = materialise) -> DataFrame:
     """As respond, but each distinct text is answered once; for responders that decode deterministically.
 
     Answers are written before they meet their texts, so a text that comes very often is a skewed join that Spark splits.
@@ -68,46 +65,10 @@ def respond_once(texts: DataFrame, responder: Responder, batch: int = 64, max_pr
     key = "tonewright_key"
     keyed = texts.withColumn(key, F.coalesce(F.sha2("text", 256), F.lit("")))
     asked = keyed.groupBy(key).agg(F.first("text").alias("text"))
-    answers = materialise(respond(asked, responder, batch, max_prompt_chars).select(key, "raw_output", "error"), "answers")
+    answers = keep(respond(asked, responder, batch, max_prompt_chars).select(key, "raw_output", "error"), "answers")
     return keyed.drop("raw_output", "error").join(answers, key).drop(key)
 
 
-def _literals(rows: list) -> Column:
-    entry = lambda r, i: F.struct(F.lit(i).alias("nr"), *[F.lit(r[c]).alias(c) for c in ("phrase", "replacement", "severity", "bias_type", "reasoning")])
-    return F.array(*[entry(r, i) for i, r in enumerate(rows)])
-
-
-def lexicon_hits(texts: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """Adds hits: the lexicon's phrases in each text, without regard to case, in the order of their first place.
-
-    A lexicon of up to MAX_LITERALS rows becomes one constant, so nothing is joined or shuffled. A larger one is joined
-    by the phrases' first GRAM characters (all of a shorter phrase) with the distinct grams of such lengths in the texts.
-    Both ways give the same hits: repeated lexicon rows count as often, and rows of texts that repeat an id stay apart.
-    """
-    rows = lexicon.orderBy("phrase").limit(MAX_LITERALS + 1).collect()
-    found = lambda at, x: F.struct(at.alias("at"), *[x[c].alias(c) for c in ("phrase", "replacement", "severity", "bias_type", "reasoning")])
-    kind = "array<struct<at:int,phrase:string,replacement:string,severity:string,bias_type:string,reasoning:string>>"
-    if not rows:
-        return texts.withColumn("hits", F.array().cast(kind))
-    if len(rows) <= MAX_LITERALS:
-        # The lowered text is bound once, not lowered again for each phrase.
-        held = lambda low: F.filter(_literals(rows), lambda x: F.contains(low, F.lower(x["phrase"])))
-        hits = F.transform(F.array(F.lower(F.coalesce("text", F.lit("")))), lambda low: F.transform(held(low), lambda x: found(F.call_function("locate", F.lower(x["phrase"]), low), x)))
-        return texts.withColumn("hits", F.array_sort(hits[0]).cast(kind))
-    row, low = "tonewright_row", F.col("tonewright_low")
-    kept = materialise(texts.withColumn(row, F.monotonically_increasing_id()), "texts")  # rows get numbers that stay
-    lowered = kept.select(row, F.lower(F.coalesce("text", F.lit(""))).alias("tonewright_low"))
-    keyed = lexicon.withColumn("gram", F.substring(F.lower("phrase"), 1, GRAM))
-    sizes = [r[0] for r in keyed.select(F.length("gram")).distinct().collect()]  # 0 to GRAM
-    places = F.sequence(F.lit(1), F.greatest(F.length(low), F.lit(1)))
-    of_size = lambda n: F.transform(places, lambda i: F.substring(low, i, F.lit(n)))
-    grams = F.array_distinct(F.flatten(F.array(*map(of_size, sizes))))
-    pairs = lowered.select(row, F.explode(grams).alias("gram")).join(keyed, "gram").drop("gram").join(lowered, row).where(F.contains(low, F.lower("phrase")))
-    entry = found(F.call_function("locate", F.lower(F.col("phrase")), low), {c: F.col(c) for c in ("phrase", "replacement", "severity", "bias_type", "reasoning")})
-    grouped = materialise(pairs.groupBy(row).agg(F.array_sort(F.collect_list(entry)).cast(kind).alias("hits")), "hits")
-    return kept.join(grouped, row, "left").withColumn("hits", F.coalesce("hits", F.array().cast(kind))).select(*texts.columns, "hits")
-
-
 def _answer(hits: Column) -> Column:
     """The contract's JSON for a text and its hits, fields in the prompt's order; values are quoted by the JSON writer."""
     level = F.array_max(F.transform(hits, lambda h: F.when(h["severity"] == "high", GLOBAL_SEVERITIES["high"]).when(h["severity"] == "medium", GLOBAL_SEVERITIES["medium"]).otherwise(GLOBAL_SEVERITIES["low"])))
@@ -127,15 +88,14 @@ def rewritten(text: Column, hits: Column) -> Column:
     start = F.struct(F.lit(1).alias("at"), F.lit("").alias("out"))
 
     def step(s: Column, h: Column) -> Column:
-        end = h["at"] + F.length(h["phrase"])
-        return F.when(h["at"] < s["at"], s).otherwise(F.struct(end.alias("at"), F.concat(s["out"], F.substring(text, s["at"], h["at"] - s["at"]), h["replacement"]).alias("out")))
+        return F.when(h["at"] < s["at"], s).otherwise(F.struct(h["until"].alias("at"), F.concat(s["out"], F.substring(text, s["at"], h["at"] - s["at"]), h["replacement"]).alias("out")))
 
     return F.aggregate(hits, start, step, lambda s: F.concat(s["out"], F.substring(text, s["at"], F.length(text))))
 
 
-def lexicon_respond(texts: DataFrame, lexicon: DataFrame) -> DataFrame:
+def lexicon_respond(texts: DataFrame, lexicon: DataFrame, keep: Keep = materialise) -> DataFrame:
     """Adds raw_output: what a responder that knows the lexicon alone would answer."""
-    hits = lexicon_hits(texts, lexicon)
+    hits = lexicon_hits(texts, lexicon, keep)
     return hits.withColumn("raw_output", F.to_json(_answer(F.col("hits")))).drop("hits")
 
 

@@ -109,6 +109,20 @@ def lexicon_hits(spark, sf_dir):
     return hits.select("text_id", F.explode("hits").alias("h")).select("text_id", F.col("h.phrase").alias("phrase"), (F.col("h.at") - 1).cast("long").alias("start"))
 
 
+def corpus_lexicon(texts: DataFrame) -> DataFrame:
+    """A lexicon that grows with the texts: every word of eight plain letters or more that two of them hold."""
+    words = texts.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{8,}"), F.lit(0)))).alias("phrase"))
+    frequent = words.groupBy("phrase").agg(F.count("*").alias("n")).where("n >= 2")
+    return frequent.select("phrase", *[F.lit(x).alias(c) for c, x in (("replacement", "word"), ("severity", "low"), ("bias_type", "frequent"), ("reasoning", "Comes twice."))])
+
+
+def lexicon_hits_corpus(spark, sf_dir):
+    """Hits of a lexicon of thousands of rows, made from the corpus."""
+    texts = documents(spark, sf_dir)
+    hits = respond.lexicon_hits(texts, corpus_lexicon(texts))
+    return hits.select("text_id", F.explode("hits").alias("h")).select("text_id", F.col("h.phrase").alias("phrase"), (F.col("h.at") - 1).cast("long").alias("start"), (F.col("h.until") - 1).cast("long").alias("end"))
+
+
 def _text_of_step(spark, sf_dir, made) -> DataFrame:
     """What a step on texts makes of each damaged answer."""
     return damaged(documents(spark, sf_dir)).select("text_id", F.md5(made(F.col("raw_output")).cast("binary")).alias("text_md5"))
@@ -362,7 +376,7 @@ def results_json_whole(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        texts_source, gate_texts, build_prompts, respond_udf, respond_once, lexicon_hits, extract_object, strip_think, parse_direct, parse_truncated, parse_commas, parse_combined, parse_salvage, repair_strategy_counts,
+        texts_source, gate_texts, build_prompts, respond_udf, respond_once, lexicon_hits, lexicon_hits_corpus, extract_object, strip_think, parse_direct, parse_truncated, parse_commas, parse_combined, parse_salvage, repair_strategy_counts,
         severity_coercion, segment_severity, merge_segments, severity_counts, segment_counts, bias_type_topk, label_rates_cube, consistency_audit, locate_segments, number_segments, valid_spans, select_spans,
         match_quality, attach_source, rejects, pending_texts, top_texts, explode_segments, mark_original, mark_rewrite, review_report, rewrite_fidelity, results_json,
         mark_rewrite_whole, review_report_whole, results_json_whole, annotate_udf, annotate_recorded,
@@ -417,6 +431,10 @@ ORACLE_SQL = {
     "respond_udf": "SELECT doc_id AS text_id, md5(list_extract(string_split(text, chr(10)), -1)) AS answer_md5, false AS failed FROM documents",
     "respond_once": "SELECT doc_id AS text_id, md5(list_extract(string_split(text, chr(10)), -1)) AS answer_md5 FROM documents",
     "lexicon_hits": _BASE + "SELECT text_id, phrase, start FROM hits",
+    "lexicon_hits_corpus": r"""
+WITH w AS (SELECT unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]{8,}'))) AS phrase FROM documents), lex AS (SELECT phrase FROM w GROUP BY phrase HAVING count(*) >= 2),
+hits AS (SELECT doc_id AS text_id, phrase, strpos(lower(text), phrase)::BIGINT - 1 AS start FROM documents JOIN lex ON contains(lower(text), phrase))
+SELECT text_id, phrase, start, start + length(phrase)::BIGINT AS "end" FROM hits""",
     "extract_object": _ANSWER + "SELECT text_id, md5(CASE WHEN k <= 3 THEN whole WHEN k = 4 THEN '{' || f5 || ',' || f1 || ',' || f2 || ',' || f3 || ',' || f4 WHEN k = 5 THEN '{' || chr(10) || concat_ws(chr(10), f1, f2, f3, f4, f5) || '}' WHEN k = 6 THEN '{' || f1 || ',' || f2 || ',' || f3 || ',' || f4 || ',\"unbiased_text\":' ELSE 'Nothing of that kind was found.' END) AS text_md5 FROM a",
     "strip_think": _ANSWER + "SELECT text_id, md5(CASE WHEN k IN (0, 3) THEN whole WHEN k = 1 THEN '```json' || chr(10) || whole || chr(10) || '```' WHEN k = 2 THEN 'Here it is:' || chr(10) || whole || chr(10) || 'Hope this helps.' WHEN k = 4 THEN '{' || f5 || ',' || f1 || ',' || f2 || ',' || f3 || ',' || f4 WHEN k = 5 THEN '{' || chr(10) || concat_ws(chr(10), f1, f2, f3, f4, f5) || '}' WHEN k = 6 THEN '{' || f1 || ',' || f2 || ',' || f3 || ',' || f4 || ',' || substr(f5, 1, 18) ELSE 'Nothing of that kind was found.' END) AS text_md5 FROM a",
     "parse_direct": _fields_sql("k <= 3"),
