@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tonewright.functions import spans as span_columns
 from tonewright.operators import phrases as phrases_module
-from tonewright.operators import outcomes, parse, prepare, respond, segments, validate
+from tonewright.operators import merging, outcomes, parse, prepare, respond, segments, validate
 from tonewright.plans.annotate import annotate, annotate_recorded, judge
 from tonewright.schema import SEGMENT
 from tonewright.sources import texts as sources
@@ -105,6 +105,31 @@ def test_merging(spark):
     assert {r["reject_reason"] for r in rows[len(MERGES) :]} == {"bad_segment"}
 
 
+@pytest.mark.parametrize("block", [2, 1024])
+def test_merging_rows_equals_merging_arrays(spark, monkeypatch, block):
+    """Random segments, slashes, blanks, nested reasonings and nulls: the table's form against the answer's own."""
+    monkeypatch.setattr(merging, "BLOCK", block)
+    pick, answers = random.Random(block), []
+    for i in range(150):
+        items = []
+        for _ in range(pick.randint(0, 12)):
+            values = {"original": pick.choice(["x", " x", "y ", "z", " ", None]), "replacement": pick.choice(["r", "s", None]), "severity": pick.choice(["low", "HIGH", "medium", "odd", None]),
+                      "bias_type": pick.choice(["a", " a ", "b", "a / b", "c/d", "", " ", None]), "reasoning": pick.choice(["A.", "A. B.", "B.", " B. ", "", "Long A. B. C.", None])}
+            items.append({k: v for k, v in values.items() if v is not None})
+        answers.append((i, items))
+    fields = ("original", "replacement", "severity", "bias_type", "reasoning")
+    rows = spark.createDataFrame([(i, p, *[x.get(f) for f in fields]) for i, items in answers for p, x in enumerate(items)], "text_id long, pos int, " + ", ".join(f"{f} string" for f in fields))
+    arrays = spark.createDataFrame([(i, json.dumps(items)) for i, items in answers], "text_id long, raw string")
+    merged = arrays.select("text_id", segments.merged(F.try_variant_get(F.try_parse_json("raw"), "$", "array<variant>")).alias("m")).collect()
+    want = {r["text_id"]: [tuple(x[f] for f in fields) for x in r["m"]["items"]] for r in merged if not r["m"]["bad"]}
+    found, clashes = {i: [] for i, _ in answers}, set()
+    for r in sorted(merging.merge_segment_rows(rows).collect(), key=lambda r: (r["text_id"], r["pos"])):
+        found[r["text_id"]].append(tuple(r[f] for f in fields))
+        clashes |= {r["text_id"]} if r["clash"] else set()
+    assert clashes == {r["text_id"] for r in merged if r["m"]["bad"]} and clashes
+    assert {i: x for i, x in found.items() if i not in clashes} == want and len(want) > 30
+
+
 @pytest.mark.parametrize(
     ("text", "originals", "expected"),
     [

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import repair, severity
-from ..operators import outcomes, prepare, respond, rollups, segments, spans
+from ..operators import merging, outcomes, prepare, respond, rollups, segments, spans
 from ..operators.parse import parse_responses
 from ..schema import LEXICON as LEXICON_SCHEMA
 from ..sources import texts as sources
@@ -244,6 +244,25 @@ def merge_segments(spark, sf_dir):
     return merged.select("text_id", F.posexplode("m.items").alias("pos", "s")).select("text_id", F.col("s.original").alias("original"), F.col("s.severity").alias("severity"), F.col("s.bias_type").alias("bias_type"), F.col("s.reasoning").alias("reasoning"))
 
 
+def segment_rows(texts: DataFrame) -> DataFrame:
+    """Every hit three times, in every text and once more all in one text (null): rows as raw answers would give them."""
+    hits = respond.lexicon_hits(texts, lexicon(texts.sparkSession)).select("text_id", F.posexplode("hits").alias("nr", "h"))
+    looks = F.array(
+        *[F.struct(F.lit(n).alias("look"), level.alias("severity"), kind.alias("bias_type"), why.alias("reasoning"))
+          for n, (level, kind, why) in enumerate(((F.lit("low"), F.col("h.bias_type"), F.col("h.reasoning")), (F.lit("high"), F.lit(" second look "), F.lit("Seen twice.")), (F.lit(None).cast("string"), F.lit("second look"), F.lit("twice"))))]
+    )
+    rows = hits.select("text_id", "nr", "h", F.explode(looks).alias("l"))
+    own = rows.select("text_id", (F.col("nr") * 3 + F.col("l.look")).cast("long").alias("pos"), F.col("h.phrase").alias("original"), "h.replacement", "l.severity", "l.bias_type", "l.reasoning")
+    joint = rows.select(F.lit(None).cast("long").alias("text_id"), (F.col("text_id") * 1000 + F.col("nr") * 3 + F.col("l.look")).alias("pos"), F.concat(F.lit(" "), F.col("h.phrase")).alias("original"), "h.replacement", "l.severity", "l.bias_type", "l.reasoning")
+    return own.unionByName(joint)
+
+
+def merge_segment_rows(spark, sf_dir):
+    """Merging over a table of segments, half of whose rows are in one text."""
+    merged = merging.merge_segment_rows(segment_rows(documents(spark, sf_dir)))
+    return merged.select("text_id", "pos", "original", "replacement", "severity", "bias_type", "reasoning", "clash")
+
+
 def severity_counts(spark, sf_dir):
     return rollups.severity_counts(results(spark, sf_dir), "source", "lang")
 
@@ -377,7 +396,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         texts_source, gate_texts, build_prompts, respond_udf, respond_once, lexicon_hits, lexicon_hits_corpus, extract_object, strip_think, parse_direct, parse_truncated, parse_commas, parse_combined, parse_salvage, repair_strategy_counts,
-        severity_coercion, segment_severity, merge_segments, severity_counts, segment_counts, bias_type_topk, label_rates_cube, consistency_audit, locate_segments, number_segments, valid_spans, select_spans,
+        severity_coercion, segment_severity, merge_segments, merge_segment_rows, severity_counts, segment_counts, bias_type_topk, label_rates_cube, consistency_audit, locate_segments, number_segments, valid_spans, select_spans,
         match_quality, attach_source, rejects, pending_texts, top_texts, explode_segments, mark_original, mark_rewrite, review_report, rewrite_fidelity, results_json,
         mark_rewrite_whole, review_report_whole, results_json_whole, annotate_udf, annotate_recorded,
     )
@@ -447,6 +466,13 @@ SELECT text_id, phrase, start, start + length(phrase)::BIGINT AS "end" FROM hits
     "severity_coercion": _BASE + "SELECT text_id, CASE text_id % 6 WHEN 3 THEN 4 WHEN 4 THEN 0 ELSE level END::BIGINT AS severity FROM t",
     "segment_severity": _BASE + "SELECT text_id, phrase, CASE WHEN text_id % 4 = 3 THEN 'medium' ELSE severity END AS severity FROM hits",
     "merge_segments": _BASE + "SELECT text_id, phrase AS original, 'high' AS severity, bias_type || ' / second look' AS bias_type, reasoning || ' Seen twice.' AS reasoning FROM hits",
+    "merge_segment_rows": _BASE + """, seg AS (
+    SELECT *, row_number() OVER (PARTITION BY text_id ORDER BY start, phrase) - 1 AS nr FROM hits
+), own AS (
+    SELECT text_id, (nr * 3)::BIGINT AS pos, phrase AS original, replacement, bias_type, reasoning, 1 AS n FROM seg UNION ALL
+    SELECT NULL, min(text_id * 1000 + nr * 3)::BIGINT, ' ' || phrase, any_value(replacement), any_value(bias_type), any_value(reasoning), count(*) FROM seg GROUP BY phrase
+)
+SELECT text_id, pos, original, replacement, 'high' AS severity, bias_type || ' / second look' || CASE WHEN contains(bias_type, '/') THEN repeat(' / ' || bias_type, (n - 1)::BIGINT) ELSE '' END AS bias_type, reasoning || ' Seen twice.' AS reasoning, false AS clash FROM own""",
     "severity_counts": _BASE + "SELECT source, lang, coalesce(sum(h), 0)::BIGINT AS high, coalesce(sum(m), 0)::BIGINT AS medium, coalesce(sum(l), 0)::BIGINT AS low, count(*)::BIGINT AS n_texts FROM d LEFT JOIN (SELECT text_id, count(*) FILTER (severity = 'high') AS h, count(*) FILTER (severity = 'medium') AS m, count(*) FILTER (severity = 'low') AS l FROM hits GROUP BY text_id) USING (text_id) WHERE k <= 5 GROUP BY source, lang",
     "segment_counts": _BASE + "SELECT text_id, n AS n_segments FROM t WHERE k <= 5",
     "bias_type_topk": _BASE + "SELECT bias_type, count(*)::BIGINT AS n FROM (SELECT trim(unnest(string_split(bias_type, '/'))) AS bias_type FROM hits WHERE k <= 5) GROUP BY 1 ORDER BY n DESC, bias_type LIMIT 5",
