@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 from tonewright.functions import spans as span_columns
 from tonewright.operators import phrases as phrases_module
 from tonewright.operators import merging, outcomes, parse, prepare, respond, segments, validate
+from tonewright.plans import runs
 from tonewright.plans.annotate import annotate, annotate_recorded, judge
 from tonewright.schema import SEGMENT
 from tonewright.sources import texts as sources
+from tonewright.storage import scratch
 from tonewright.streaming.annotate import annotate_stream
 
 G = '{"binary_label":"biased","severity":3,"bias_found":true,"biased_segments":[{"original":"idiot","replacement":"person","severity":"high","bias_type":"slur","reasoning":"Insult."}],"unbiased_text":"A person."}'
@@ -254,6 +256,159 @@ def test_recorded_answers(spark, tmp_path):
     assert {r["text_id"]: (r["stage"], r["reason"]) for r in bad.collect()} == {2: ("respond", "no_answer"), 3: ("parse", "not_json"), 4: ("gate", "empty")}
 
 
+def test_recorded_answers_that_repeat(spark):
+    """One outcome a text: an answer recorded twice is one, of different ones none counts, a null beside another is nothing."""
+    answers = [(1, G), (1, G), (2, G), (2, "{}"), (3, None), (3, G), (4, None), (9, G)]
+    texts = spark.createDataFrame([(i, f"text {i} of an idiot") for i in (1, 2, 3, 4, 5)], "text_id long, text string")
+    good, bad = outcomes.split_outcomes(annotate_recorded(texts, spark.createDataFrame(answers, "text_id long, raw_output string")))
+    assert sorted(r["text_id"] for r in good.collect()) == [1, 3]
+    assert sorted((r["text_id"], r["stage"], r["reason"], r["detail"]) for r in bad.collect()) == [(2, "respond", "no_answer", "different answers are recorded"), (4, "respond", "no_answer", None), (5, "respond", "no_answer", None)]
+
+
+def test_prompts_are_cut_at_tokens(spark):
+    """The longest beginning that ends with a token and fits, in words, letters of several tokens and white space."""
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tokenizer, pick = Tokenizer.from_file(path), random.Random(2)
+    size = lambda t: len(tokenizer.encode(t, add_special_tokens=False).ids)
+    bits = ["word ", "another", " ", "\n\n", "\u6f22\u5b57", "\U0001f600", "\u0130", "don't ", "12345", "   "]
+    texts = ["".join(pick.choice(bits) for _ in range(pick.randint(0, 60))) for _ in range(200)] + ["x" * 50_000, "\U0001f9ff" * 30, None, ""]
+    frame = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    for most in (1, 7, 40):
+        for i, text, cut in frame.withColumn("cut", respond.cut_to_tokens(F.col("text"), path, most)).collect():
+            if text is None or size(text) <= most:
+                assert cut == text
+                continue
+            assert text.startswith(cut) and size(cut) <= most and cut != text
+            if len(text) < 1000 and most > 3:  # what is lost at the end is the tokens of a letter, or of what it joined
+                assert size(cut) >= most - 4, (text, cut)
+    instructions = size(prepare.INSTRUCTIONS) + size(prepare.QUESTION)
+    limit = respond.TokenLimit(instructions + 5, path)
+    said = respond.respond(spark.createDataFrame([(1, "one two three four five six seven"), (2, "short")], "text_id long, text string"), lambda: lambda talks: [t[-1]["content"].removeprefix(prepare.QUESTION) for t in talks], limit=limit)
+    assert {r["text_id"]: r["raw_output"] for r in said.collect()} == {1: "one two three four five", 2: "short"}
+    with pytest.raises(ValueError):
+        respond.room_for_text(respond.TokenLimit(instructions, path))
+
+
+def test_batches_of_like_length(spark):
+    """Same answers, each row once, failures with their row, and less padding than in the order that rows come in."""
+    pick = random.Random(3)
+    rows = [(i % 300, " ".join("w" * pick.randint(1, 9) for _ in range(pick.choice([1, 5, 200])))) for i in range(400)] + [(None, None), (7, ""), (8, "fails here")]
+
+    def model():
+        def answer(talks):
+            if any("fails" in t[-1]["content"] for t in talks):
+                raise ValueError("no")
+            return [t[-1]["content"][-20:] for t in talks]
+
+        return answer
+
+    texts = spark.createDataFrame(rows, "text_id long, text string").repartition(3)
+    found = respond.respond_by_length(texts, model, batch_chars=20_000, batch=16).collect()
+    key = lambda r: (r["text_id"] or -1, r["text"] or "", r["raw_output"] or "", r["error"] or "")
+    assert sorted(map(key, found)) == sorted(map(key, respond.respond(texts, model).collect())) and sum(r["error"] is not None for r in found) == 1
+    assert all(len(r["text"] or "") <= r["batch_length"] for r in found)
+    used = sum(len(r["text"] or "") for r in found)
+    plain = [len(t or "") for _, t in rows]
+    unsorted = sum(max(plain[at]) * len(plain[at]) for at in respond.padded_batches(plain, 20_000, 16))
+    assert 1 - used / sum(r["batch_length"] for r in found) < 0.25 < 1 - used / unsorted
+    assert list(respond.padded_batches([5, 5, 9, 100, 1], 20, 3)) == [slice(0, 2), slice(2, 3), slice(3, 4), slice(4, 5)] and list(respond.padded_batches([], 5, 5)) == []
+
+
+def test_a_responders_resources_hold_for_its_stage_alone(spark, monkeypatch):
+    from pyspark.resource import ResourceProfileBuilder, TaskResourceRequests
+
+    profile, seen, plain = ResourceProfileBuilder().require(TaskResourceRequests().resource("gpu", 1)).build, [], type(spark.range(0)).mapInArrow
+    monkeypatch.setattr(type(spark.range(0)), "mapInArrow", lambda self, f, schema, barrier=False, profile=None: seen.append(profile) or plain(self, f, schema))
+    respond.respond_by_length(spark.createDataFrame(TEXTS, "text_id long, text string"), lambda: lambda talks: ["x"] * len(talks), profile=profile)
+    assert seen == [profile]
+
+
+def tables_left(spark):
+    from pathlib import Path
+
+    return {str(p) for p in Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://")).glob("tonewright/*/*")}
+
+
+def test_tables_of_a_run_go_with_it(spark, tmp_path, monkeypatch):
+    """A batch run leaves its outcomes alone, a stream nothing, whatever the responder writes."""
+    monkeypatch.setattr(phrases_module, "SHARD_CHARS", 3)
+    texts = spark.createDataFrame(TEXTS, "text_id long, text string")
+    words = spark.createDataFrame([(p, "x", "low", "t", "r") for p in ("idiot", "well", "all")], LEXICON)
+    echo = lambda: lambda talks: [G] * len(talks)
+    ways = [lambda t, keep: respond.lexicon_respond(t, words, keep), lambda t, keep: respond.respond_once(t, echo, keep=keep), lambda t, keep: respond.respond_by_length(t, echo, keep=keep)]
+    texts.write.parquet(f"{tmp_path}/in")
+    for n, way in enumerate(ways):
+        before = tables_left(spark)
+        annotate(texts, way)
+        assert [p.rsplit("/", 1)[1] for p in tables_left(spark) - before] == ["outcomes"]
+        before = tables_left(spark)
+        annotate_stream(spark.readStream.schema(texts.schema).parquet(f"{tmp_path}/in"), way, f"{tmp_path}/good{n}", f"{tmp_path}/bad{n}", f"{tmp_path}/state{n}").awaitTermination(120)
+        assert tables_left(spark) == before and spark.read.parquet(f"{tmp_path}/good{n}").count() == 3
+
+
+def test_stored_answers_are_asked_for_once(spark, tmp_path):
+    """A second run, a stream and a run after a failure ask for what the store lacks; unpublished batches don't count."""
+    asked = spark.sparkContext.accumulator(0)
+
+    def model():
+        def answer(talks):
+            if any("fails" in t[-1]["content"] for t in talks):
+                raise ValueError("no")
+            asked.add(len(talks))
+            return [G] * len(talks)
+
+        return answer
+
+    def run(rows, version="1"):
+        before = asked.value
+        with scratch(spark, "test") as keep:
+            found = respond.respond_stored(spark.createDataFrame(rows, "text_id long, text string"), model, f"{tmp_path}/store", version, keep=keep).collect()
+        return {r["text_id"]: r["raw_output"] for r in found}, asked.value - before
+
+    first = [(1, "a"), (2, "b"), (3, "a"), (4, None), (5, "fails")]
+    assert run(first) == ({1: G, 2: G, 3: G, 4: G, 5: None}, 3)
+    assert run(first) == ({1: G, 2: G, 3: G, 4: G, 5: None}, 0)
+    assert run([*first, (6, "c")])[1] == 1 and run([(6, "c")], "2")[1] == 1
+    (batch,) = [p for p in (tmp_path / "store" / "2").iterdir()]
+    (batch / "_SUCCESS").unlink()
+    assert run([(6, "c")], "2")[1] == 1
+    respond.compact_answers(spark, f"{tmp_path}/store", "1")
+    assert len(list((tmp_path / "store" / "1").iterdir())) == 1 and run([*first, (6, "c")])[1] == 0
+
+
+def test_a_killed_run_goes_on(spark, tmp_path):
+    """A run that dies between two parts, and in a part: the next one does the rest, and each text has one outcome."""
+    texts = spark.createDataFrame([(i, f"text {i} of an idiot") for i in range(40)] + [(99, " "), (None, "no id")], "text_id long, text string")
+    words, calls = lexicon(spark), []
+
+    def way(fail):
+        def answer(rows, keep):
+            calls.append(rows.count())
+            if len(calls) == fail:
+                raise RuntimeError("killed")
+            return respond.lexicon_respond(rows, words, keep)
+
+        return answer
+
+    for fail in (2, 4):
+        with pytest.raises(RuntimeError):
+            runs.annotate_parts(texts, way(fail), f"{tmp_path}/out", parts=4)
+        done = runs.published(spark, f"{tmp_path}/out")
+        assert len(done) == fail // 2 and runs.pending(texts, f"{tmp_path}/out", 4).count() == texts.count() - sum(runs.outcomes_of(spark, f"{tmp_path}/out", k).count() for k in ("results", "rejects"))
+    runs.annotate_parts(texts, way(0), f"{tmp_path}/out", parts=4)
+    good, bad = (runs.outcomes_of(spark, f"{tmp_path}/out", kind) for kind in ("results", "rejects"))
+    assert sorted(r["text_id"] for r in good.where("text_id IS NOT NULL").collect()) == list(range(40)) and good.where("text_id IS NULL").count() == 1
+    assert [(r["text_id"], r["reason"]) for r in bad.collect()] == [(99, "empty")]
+    before = len(calls)
+    runs.annotate_parts(texts, way(0), f"{tmp_path}/out", parts=4)
+    assert len(calls) == before and runs.pending(texts, f"{tmp_path}/out", 4).count() == 0
+    with pytest.raises(ValueError):
+        runs.annotate_parts(texts, way(0), f"{tmp_path}/out", parts=5)
+
+
 def test_prompts(spark):
     (row,) = prepare.build_prompts(spark.createDataFrame(TEXTS[:1], "text_id long, text string")).collect()
     assert [m["role"] for m in row["messages"]] == ["system", "user"] and row["messages"][1]["content"].endswith("\n\nWhat an idiot.")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import inspect
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -35,18 +36,34 @@ def _placed(parsed: DataFrame) -> DataFrame:
     return parsed.withColumns({"biased_segments": placed, "stage": stage, "reject_reason": F.when(F.col("reject_reason").isNotNull(), reason)}).withColumnRenamed("text", "original_text").drop("data")
 
 
-def annotate(texts: DataFrame, respond: Callable[[DataFrame], DataFrame], max_chars: int | None = MAX_CHARS, keep: Keep = materialise) -> DataFrame:
+def annotate(texts: DataFrame, respond: Callable[..., DataFrame], max_chars: int | None = MAX_CHARS, keep: Keep = materialise) -> DataFrame:
     """One outcome for each text. respond adds raw_output (and error, where it fails) to a table of texts.
 
-    Texts that the gate refuses never reach the responder.
+    Texts that the gate refuses never reach the responder. A responder with a parameter `keep` gets one for the tables
+    that it needs; they are removed when the outcomes are written.
     """
     gated = gate_texts(texts, max_chars)
-    good = judge(respond(gated.where("reject_reason IS NULL").drop("reject_reason")), keep)
+    asked = gated.where("reject_reason IS NULL").drop("reject_reason")
+    with scratch(texts.sparkSession, "responder") as own:
+        good = judge(respond(asked, keep=own) if "keep" in inspect.signature(respond).parameters else respond(asked), keep)
     refused = gated.where("reject_reason IS NOT NULL").withColumnRenamed("text", "original_text").withColumn("stage", F.lit("gate"))
     return good.unionByName(refused, allowMissingColumns=True)
 
 
-def annotate_recorded(texts: DataFrame, responses: DataFrame, max_chars: int | None = MAX_CHARS) -> DataFrame:
-    """One outcome for each text, from recorded answers (text_id, raw_output); a text without one has no answer."""
-    recorded = responses.select(F.col("text_id").alias("recorded_id"), "raw_output")
-    return annotate(texts, lambda rows: rows.join(recorded, F.col("text_id") == F.col("recorded_id"), "left").drop("recorded_id"), max_chars)
+def one_answer(responses: DataFrame) -> DataFrame:
+    """recorded_id, raw_output and error: one row a text. An answer that is recorded twice is one; of different ones none counts.
+
+    A null output beside another one is no answer of its own.
+    """
+    each = responses.groupBy(F.col("text_id").alias("recorded_id")).agg(F.min("raw_output").alias("least"), F.max("raw_output").alias("most"))
+    same = F.col("least") == F.col("most")
+    return each.select("recorded_id", F.when(same, F.col("least")).alias("raw_output"), F.when(~same, "different answers are recorded").alias("error"))
+
+
+def annotate_recorded(texts: DataFrame, responses: DataFrame, max_chars: int | None = MAX_CHARS, keep: Keep = materialise) -> DataFrame:
+    """One outcome for each text, from recorded answers (text_id, raw_output).
+
+    A text without one has no answer, and neither has one with several that differ: its reject's detail says so.
+    """
+    recorded = one_answer(responses)
+    return annotate(texts, lambda rows: rows.join(recorded, F.col("text_id") == F.col("recorded_id"), "left").drop("recorded_id"), max_chars, keep)

@@ -15,8 +15,10 @@ from ..functions import repair, severity
 from ..operators import merging, outcomes, prepare, respond, rollups, segments, spans
 from ..operators.parse import parse_responses
 from ..schema import LEXICON as LEXICON_SCHEMA
+from ..schema import REJECTS, RESULTS
 from ..sources import texts as sources
-from ..storage import materialise, new_path
+from ..storage import Keep, materialise, new_path
+from ..streaming import annotate as streaming
 from .annotate import annotate
 from .annotate import annotate_recorded as recorded
 
@@ -42,8 +44,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sources.as_texts(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text")
 
 
-def answered(texts: DataFrame) -> DataFrame:
-    return respond.lexicon_respond(texts, lexicon(texts.sparkSession))
+def answered(texts: DataFrame, keep: Keep = materialise) -> DataFrame:
+    return respond.lexicon_respond(texts, lexicon(texts.sparkSession), keep)
 
 
 def damaged(texts: DataFrame) -> DataFrame:
@@ -100,6 +102,22 @@ def respond_udf(spark, sf_dir):
     return respond.respond(documents(spark, sf_dir).select("text_id", "text"), echo).select("text_id", F.md5(F.col("raw_output").cast("binary")).alias("answer_md5"), F.col("error").isNotNull().alias("failed"))
 
 
+def respond_by_length(spark, sf_dir):
+    """Answers in batches of like length; each says the length that its batch is padded to."""
+    answers = respond.respond_by_length(documents(spark, sf_dir).select("text_id", "text"), echo)
+    return answers.select("text_id", F.md5(F.col("raw_output").cast("binary")).alias("answer_md5"), F.col("error").isNotNull().alias("failed"), (F.length("text") <= F.col("batch_length")).alias("fits"))
+
+
+def prompt_tokens(spark, sf_dir):
+    """The last line that a responder sees of prompts of 512 tokens of a public vocabulary, and how much of the text."""
+    import public_tokenizers
+
+    limit = respond.TokenLimit(512, public_tokenizers.path("byte_bpe_50k.json"))
+    texts = documents(spark, sf_dir).select("text_id", "text")
+    shown = respond.cut_to_tokens(F.col("text"), limit.path, respond.room_for_text(limit))
+    return texts.select("text_id", F.length(shown).cast("long").alias("n_shown"), F.md5(shown.cast("binary")).alias("shown_md5"), (F.length(shown) < F.length("text")).alias("cut"))
+
+
 def respond_once(spark, sf_dir):
     return respond.respond_once(documents(spark, sf_dir).select("text_id", "text"), echo).select("text_id", F.md5(F.col("raw_output").cast("binary")).alias("answer_md5"))
 
@@ -196,16 +214,29 @@ def _outcome_columns(judged: DataFrame) -> DataFrame:
 
 def annotate_udf(spark, sf_dir):
     """The whole way with a responder in Python, each distinct text answered once."""
-    return _outcome_columns(annotate(documents(spark, sf_dir), lambda texts: respond.respond_once(texts, model), max_chars=None))
+    return _outcome_columns(annotate(documents(spark, sf_dir), lambda texts, keep: respond.respond_once(texts, model, keep=keep), max_chars=None))
 
 
 def annotate_recorded(spark, sf_dir):
-    """The whole way from recorded answers, which every fifth text lacks."""
+    """The whole way from recorded answers, which every fifth text lacks; every third has its own twice, every eleventh another one."""
     texts, path = documents(spark, sf_dir), new_path(spark, "recorded")
-    damaged(texts).where("pmod(text_id, 5) != 4").select("text_id", "raw_output").write.parquet(path)
+    once = damaged(texts).where("pmod(text_id, 5) != 4").select("text_id", "raw_output")
+    other = once.where("pmod(text_id, 11) = 0").select("text_id", F.concat("raw_output", F.lit(" again")).alias("raw_output"))
+    once.unionByName(once.where("pmod(text_id, 3) = 0")).unionByName(other).write.parquet(path)
     return _outcome_columns(recorded(texts, sources.read_responses(spark, path), max_chars=None))
 
 
+def annotate_stream(spark, sf_dir):
+    """The whole way over a stream of the table's files, from its sinks: results and rejects as they were written."""
+    rows = spark.readStream.schema(spark.read.parquet(f"{sf_dir}/documents.parquet").schema).parquet(f"{sf_dir}/documents.parquet*")
+    results_path, rejects_path, state = (new_path(spark, name) for name in ("results", "rejects", "state"))
+    words = lexicon(spark)
+    streaming.annotate_stream(sources.as_texts(rows, "doc_id", "text"), lambda texts, keep: respond.lexicon_respond(texts, words, keep), results_path, rejects_path, state).awaitTermination()
+    good = spark.read.schema(RESULTS).parquet(results_path).select("text_id", F.lit("result").alias("outcome"), F.lit(None).cast("string").alias("reason"), F.col("severity").cast("long").alias("severity"), F.size("biased_segments").cast("long").alias("n_segments"), F.md5(F.col("unbiased_text").cast("binary")).alias("rewrite_md5"))
+    bad = spark.read.schema(REJECTS).parquet(rejects_path).select("text_id", F.col("stage").alias("outcome"), "reason")
+    return good.unionByName(bad, allowMissingColumns=True)
+
+
 def repair_strategy_counts(spark, sf_dir):
     parsed = parse_responses(damaged(documents(spark, sf_dir)).select("text_id", "raw_output"))
     return parsed.groupBy(F.coalesce("repair_strategy", F.lit("none")).alias("strategy")).agg(F.count("*").alias("n"))
@@ -395,10 +426,10 @@ def results_json_whole(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        texts_source, gate_texts, build_prompts, respond_udf, respond_once, lexicon_hits, lexicon_hits_corpus, extract_object, strip_think, parse_direct, parse_truncated, parse_commas, parse_combined, parse_salvage, repair_strategy_counts,
+        texts_source, gate_texts, build_prompts, respond_udf, respond_by_length, prompt_tokens, respond_once, lexicon_hits, lexicon_hits_corpus, extract_object, strip_think, parse_direct, parse_truncated, parse_commas, parse_combined, parse_salvage, repair_strategy_counts,
         severity_coercion, segment_severity, merge_segments, merge_segment_rows, severity_counts, segment_counts, bias_type_topk, label_rates_cube, consistency_audit, locate_segments, number_segments, valid_spans, select_spans,
         match_quality, attach_source, rejects, pending_texts, top_texts, explode_segments, mark_original, mark_rewrite, review_report, rewrite_fidelity, results_json,
-        mark_rewrite_whole, review_report_whole, results_json_whole, annotate_udf, annotate_recorded,
+        mark_rewrite_whole, review_report_whole, results_json_whole, annotate_udf, annotate_recorded, annotate_stream,
     )
 } | {"validate_results": validate, "outcomes": all_outcomes}
 
@@ -494,7 +525,9 @@ SELECT text_id, pos, original, replacement, 'high' AS severity, bias_type || ' /
     "review_report": _BASE + "SELECT text_id, coalesce('Segments found: ' || n || chr(10) || each, 'No biased segments.' || chr(10)) || chr(10) || 'Neutral rewrite:' || chr(10) || '(as above)' AS report FROM d LEFT JOIN (SELECT text_id, count(*) AS n, string_agg('[' || nr || '] ' || upper(severity) || chr(10) || 'Original: ' || phrase || chr(10) || 'Replacement: ' || replacement || chr(10) || 'Bias type: ' || bias_type || chr(10) || 'Reasoning: ' || reasoning, chr(10) ORDER BY nr) AS each FROM (SELECT *, row_number() OVER (PARTITION BY text_id ORDER BY start) AS nr FROM hits) GROUP BY text_id) USING (text_id)",
     "rewrite_fidelity": _ANSWER + "SELECT text_id, md5(rewrite) AS rebuilt_md5, text_id % 5 != 0 AS faithful FROM r",
     "annotate_udf": _ANSWER + "SELECT text_id, CASE WHEN length(text) % 9 = 0 THEN CASE WHEN text = '' THEN 'gate' ELSE 'respond' END ELSE 'result' END AS outcome, CASE WHEN text = '' THEN 'empty' WHEN length(text) % 9 = 0 THEN 'no_answer' END AS reason, CASE WHEN text != '' AND length(text) % 9 = 0 THEN 'ValueError: unlucky length' END AS detail, CASE WHEN length(text) % 9 != 0 THEN level END AS severity, CASE WHEN length(text) % 9 != 0 THEN n END AS n_segments, CASE WHEN length(text) % 9 != 0 THEN md5(rewrite) END AS rewrite_md5 FROM r",
-    "annotate_recorded": _ANSWER + "SELECT text_id, CASE WHEN text = '' THEN 'gate' WHEN text_id % 5 = 4 THEN 'respond' WHEN k = 7 THEN 'parse' WHEN k = 6 THEN 'validate' ELSE 'result' END AS outcome, CASE WHEN text = '' THEN 'empty' WHEN text_id % 5 = 4 THEN 'no_answer' WHEN k = 7 THEN 'not_json' WHEN k = 6 THEN 'schema_mismatch' END AS reason, CASE WHEN text != '' AND text_id % 5 != 4 AND k = 6 THEN 'unbiased_text' END AS detail, CASE WHEN good THEN level END AS severity, CASE WHEN good THEN n END AS n_segments, CASE WHEN good THEN md5(rewrite) END AS rewrite_md5 FROM (SELECT *, text != '' AND text_id % 5 != 4 AND k <= 5 AS good FROM r)",
+    "annotate_recorded": _ANSWER + "SELECT text_id, CASE WHEN text = '' THEN 'gate' WHEN text_id % 5 = 4 OR text_id % 11 = 0 THEN 'respond' WHEN k = 7 THEN 'parse' WHEN k = 6 THEN 'validate' ELSE 'result' END AS outcome, CASE WHEN text = '' THEN 'empty' WHEN text_id % 5 = 4 OR text_id % 11 = 0 THEN 'no_answer' WHEN k = 7 THEN 'not_json' WHEN k = 6 THEN 'schema_mismatch' END AS reason, CASE WHEN text = '' OR text_id % 5 = 4 THEN NULL WHEN text_id % 11 = 0 THEN 'different answers are recorded' WHEN k = 6 THEN 'unbiased_text' END AS detail, CASE WHEN good THEN level END AS severity, CASE WHEN good THEN n END AS n_segments, CASE WHEN good THEN md5(rewrite) END AS rewrite_md5 FROM (SELECT *, text != '' AND text_id % 5 != 4 AND text_id % 11 != 0 AND k <= 5 AS good FROM r)",
+    "respond_by_length": "SELECT doc_id AS text_id, md5(list_extract(string_split(text, chr(10)), -1)) AS answer_md5, false AS failed, true AS fits FROM documents",
+    "annotate_stream": _ANSWER + "SELECT text_id, CASE WHEN good THEN 'result' ELSE 'gate' END AS outcome, CASE WHEN text = '' THEN 'empty' WHEN NOT good THEN 'too_long' END AS reason, CASE WHEN good THEN level END AS severity, CASE WHEN good THEN n END AS n_segments, CASE WHEN good THEN md5(rewrite) END AS rewrite_md5 FROM (SELECT *, length(text) BETWEEN 1 AND 5000 AS good FROM r)",
     "results_json_whole": _ANSWER + "SELECT text_id, md5('{' || f1 || ',' || f2 || ',' || f3 || ',\"biased_segments\":[' || coalesce(placed, '') || '],' || f5 || ',\"original_text\":' || to_json(text)::VARCHAR || '}') AS json_md5 FROM a LEFT JOIN (SELECT text_id, string_agg('{\"original\":\"' || phrase || '\",\"replacement\":\"' || replacement || '\",\"severity\":\"' || severity || '\",\"bias_type\":\"' || bias_type || '\",\"reasoning\":\"' || reasoning || '\",\"start\":' || start || ',\"end\":' || stop || '}', ',' ORDER BY start) AS placed FROM hits GROUP BY text_id) USING (text_id)",
     "review_report_whole": _ANSWER + "SELECT text_id, md5(coalesce('Segments found: ' || n || chr(10) || each, 'No biased segments.' || chr(10)) || chr(10) || 'Neutral rewrite:' || chr(10) || rewrite) AS report_md5 FROM r LEFT JOIN (SELECT text_id, string_agg('[' || nr || '] ' || upper(severity) || chr(10) || 'Original: ' || phrase || chr(10) || 'Replacement: ' || replacement || chr(10) || 'Bias type: ' || bias_type || chr(10) || 'Reasoning: ' || reasoning, chr(10) ORDER BY nr) AS each FROM (SELECT *, row_number() OVER (PARTITION BY text_id ORDER BY start) AS nr FROM hits) GROUP BY text_id) USING (text_id)",
     "results_json": _BASE + "SELECT text_id, '{\"binary_label\":\"' || CASE WHEN n > 0 THEN 'biased' ELSE 'unbiased' END || '\",\"severity\":' || level || ',\"bias_found\":' || (n > 0) || ',\"biased_segments\":[' || coalesce(items, '') || '],\"unbiased_text\":\"x\",\"original_text\":null}' AS json FROM t LEFT JOIN (SELECT text_id, string_agg('{\"original\":\"' || phrase || '\",\"replacement\":\"' || replacement || '\",\"severity\":\"' || severity || '\",\"bias_type\":\"' || bias_type || '\",\"reasoning\":\"' || reasoning || '\",\"start\":' || start || ',\"end\":' || stop || '}', ',' ORDER BY start) AS items FROM hits GROUP BY text_id) USING (text_id)",

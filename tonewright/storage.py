@@ -57,6 +57,14 @@ def remove(spark: SparkSession, path: str) -> None:
     files.delete(where, True)
 
 
+def finished(spark: SparkSession, path: str) -> list[str]:
+    """Folders in a folder whose writing has ended: Spark writes their _SUCCESS last."""
+    files, where = _file_system(spark, path)
+    if not files.exists(where):
+        return []
+    return sorted(str(f.getPath()) for f in files.listStatus(where) if f.isDirectory() and exists(spark, f"{f.getPath()}/_SUCCESS"))
+
+
 @contextmanager
 def scratch(spark: SparkSession, name: str) -> Iterator[Keep]:
     """As materialise, for tables that only the block needs: they go at its end. What outlives it is materialised in it."""

@@ -13,7 +13,7 @@ from ..schema import MAX_CHARS
 from ..storage import scratch
 
 
-def annotate_stream(texts: DataFrame, respond: Callable[[DataFrame], DataFrame], results_path: str, rejects_path: str, checkpoint: str, max_chars: int | None = MAX_CHARS, **trigger) -> StreamingQuery:
+def annotate_stream(texts: DataFrame, respond: Callable[..., DataFrame], results_path: str, rejects_path: str, checkpoint: str, max_chars: int | None = MAX_CHARS, **trigger) -> StreamingQuery:
     """Results and rejects of a stream, written by micro-batch; no state is kept.
 
     A batch's outcomes are written once, so the responder runs once for both sinks, and are removed when both are done. A
