@@ -321,6 +321,24 @@ def test_base_counts_and_bands(spark):
     assert quality.judged(empty(spark), VOCABULARIES).count() == 0
 
 
+def test_measures_do_not_hang_on_neighbours():
+    """Each word's tokens are those that it has alone, whatever is encoded with it: word marks, spaces of other kinds, control characters."""
+    pick = random.Random(6)
+    odd = ["\u2581", "ab\u2581cd", "\u2581\u2581x", "a\u00a0b", "\u2003", "x\u0085y", "\ufdfa", "\u0149a", "\u00a8", "\x00", "\x1c", "<s>", "</s>", "<unk>", "<0x41>", "\u6f22\u5b57", "\U0001f600", "it's", "\u00c9t\u00e9", "\ufb01n", "1.", "--", "\u00ad", "\u200b"]
+    words = odd + ["".join(pick.choice("abcXYZ09.'\u00e9\u2581\u00df") for _ in range(pick.randint(1, 8))) for _ in range(500)]
+    words = [w for w in dict.fromkeys(words) if WORD.fullmatch(w)]
+    alone = quality.Fertility(*VOCABULARIES)
+    for w in words:
+        alone.learn([w.encode()])
+    for _ in range(30):
+        pick.shuffle(words)
+        together = quality.Fertility(*VOCABULARIES)
+        for at in range(0, len(words), 50):
+            together.learn([w.encode() for w in words[at : at + 50]])
+        assert together.known == alone.known
+    assert all(alone.known[w.encode()][:-4] == np.array(alone.model.encode(w), np.int32).tobytes() for w in words)
+
+
 @pytest.mark.parametrize("n", [1, 3, 30, 99, 100])
 def test_languages_with_few_texts_have_their_own_band(spark, n):
     """A rare script is far from the band of all texts, and keeps its texts however few they are."""

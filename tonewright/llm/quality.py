@@ -76,7 +76,7 @@ class Fertility:
         self.known: dict[bytes, bytes] = {}
 
     def multi_counts(self, texts: list[str]) -> list[int]:
-        """Tokens of each word in the second vocabulary, from one text: the token that begins with a space begins a word."""
+        """Tokens of each plain word in the second vocabulary, from one text: the token that begins with a space begins a word."""
         ids = np.array(self.multi.encode_ordinary("".join([f" {t}" for t in texts])))
         firsts = np.flatnonzero(self.multi_starts[ids])
         if len(firsts) != len(texts):
@@ -84,17 +84,26 @@ class Fertility:
         return np.diff(np.append(firsts, len(ids))).tolist()
 
     def learn(self, words: list[bytes]) -> None:
-        for at in range(0, len(words), 4096):
-            part = words[at : at + 4096]
-            texts = [w.decode("utf-8", "surrogatepass") for w in part]
-            counts = [(-n).to_bytes(4, "little", signed=True) for n in self.multi_counts(texts)]
-            ids = np.array(self.model.encode(" ".join(texts), num_threads=1), np.int32)
-            firsts = np.flatnonzero(self.starts[ids]) if len(ids) else ids
+        """The tokens of new words. Only plain ones are encoded together: no neighbour may change what a word is made of."""
+        texts = [w.decode("utf-8", "surrogatepass") for w in words]
+        plain = [(w, t) for w, t in zip(words, texts) if t.isascii() or t.isalpha() and max(t) < "\u0250"]
+        for at in range(0, len(plain), 4096):
+            part, each = zip(*plain[at : at + 4096])
+            ids = np.array(self.model.encode(" ".join(each), num_threads=1), np.int32)
+            firsts = np.flatnonzero(self.starts[ids])
             if len(firsts) == len(part) and firsts[0] == 0:
-                each = [x.tobytes() for x in np.split(ids, firsts[1:])]
-            else:  # some word isn't one word to the vocabulary
-                each = [np.array(self.model.encode(t, num_threads=1), np.int32).tobytes() for t in texts]
-            self.known.update((w, x + n) for w, x, n in zip(part, each, counts))
+                self._note(part, [x.tobytes() for x in np.split(ids, firsts[1:])], self.multi_counts(each))
+            else:
+                self._alone(part, each)
+        known = {w for w, _ in plain}
+        other = [(w, t) for w, t in zip(words, texts) if w not in known]
+        self._alone(tuple(w for w, _ in other), tuple(t for _, t in other))
+
+    def _alone(self, words: tuple[bytes, ...], texts: tuple[str, ...]) -> None:
+        self._note(words, [np.array(self.model.encode(t, num_threads=1), np.int32).tobytes() for t in texts], [len(self.multi.encode_ordinary(f" {t}")) for t in texts])
+
+    def _note(self, words: tuple[bytes, ...], ids: list[bytes], counts: list[int]) -> None:
+        self.known.update((w, x + (-n).to_bytes(4, "little", signed=True)) for w, x, n in zip(words, ids, counts))
 
     def __call__(self, words: list[bytes], n_chars: int) -> tuple[int, float, float, float, float]:
         """n_tokens, chars_per_token, byte_share, token_entropy, chars_per_token_multi."""
