@@ -80,6 +80,30 @@ def test_html_without_article_keeps_all_but_asides(shape):
     assert html_text.main_text(page) == "\n\n".join(want)
 
 
+def bare_page(pick):
+    """A page without article, main or telling names, and the words of its text: link columns and odd lines stand around it."""
+    word = lambda: "".join(pick.choice("abcdefghij") for _ in range(pick.randint(2, 9)))
+    words = lambda a, b: " ".join(word() for _ in range(pick.randint(a, b)))
+    links = lambda: "".join(f"<{t}><a href=x>{words(1, 3)}</a></{t}>" for t in [pick.choice(["div", "li", "td"])] for _ in range(pick.randint(3, 9)))
+    blocks = [f"<h2>{words(2, 5)}</h2>"] + [f"<{t}>{words(20, 90) if t == 'p' or pick.random() < 0.5 else words(12, 20)}</{t}>" for t in [pick.choice(["p", "p", "div"]) for _ in range(pick.randint(3, 9))]] + [f"<p>{words(2, 4)}.</p>"]
+    odd = lambda: f"<div>{words(1, 3)}</div>"
+    page = f"<body><div>{odd()}{links()}</div><div>{''.join(blocks)}</div><div>{links()}{odd()}{odd()}</div></body>"
+    return page, [re.sub("<[^>]*>", "", b) for b in blocks]
+
+
+def test_html_without_article_is_bound_by_surge_and_dive(monkeypatch):
+    """Menus of links and odd lines without a name go, the article's blocks stay; without the sums they don't go."""
+    pick, hit, found_words, wanted_words = random.Random(9), 0, 0, 0
+    pages = [bare_page(pick) for _ in range(200)]
+    for page, blocks in pages:
+        found, want = (collections.Counter(x.split()) for x in (html_text.main_text(page), " ".join(blocks)))
+        hit, found_words, wanted_words = hit + (found & want).total(), found_words + found.total(), wanted_words + want.total()
+    assert hit / found_words > 0.98 and hit / wanted_words > 0.98
+    whole = [html_text.main_text(page) for page, _ in pages]
+    monkeypatch.setattr(html_text, "stretches", lambda lengths, width=3: [(0, len(lengths), 1)])
+    assert sum(a != html_text.main_text(page) for a, (page, _) in zip(whole, pages)) > 190
+
+
 def test_html_inline_names_forms_and_depth():
     text = "body words " * 30
     assert html_text.main_text('<p>We used <code class="search">grep</code> on it.</p>') == "We used grep on it."

@@ -6,7 +6,9 @@ where the article or most of the unlinked text lies in it. Text lengths are summ
 runs from where the sum leaves zero to where it falls back to it, and surges where the sum passes a threshold. The
 stretch with the most text shows which article or main element holds the article; the result is the text of all
 stretches in it, in page order, so short paragraphs, headings and what follows an advert in the article are kept. On
-pages without such an element nothing says where the article ends, so all lines but the blank ones are kept.
+pages without such an element the surge and dive points bound the result: link texts weigh nothing, asides are left out, and
+of each stretch that surges what stands between its first and last window of SURGE_CHARS is kept, with the text-like lines
+(headings, paragraphs, list items, longer lines) right before and after. A page without any surge is kept as a whole.
 
 Edge cases: a null or empty page has an empty text; unclosed tags, comments and quotes end where a browser would end
 them or with the page; without any markup the whole text is one block.
@@ -27,6 +29,8 @@ from .tokens import slices
 #: Lines whose lengths are summed, and the sum at which a stretch counts as text.
 WINDOW_LINES = 3
 SURGE_CHARS = 80
+#: Unlinked text that makes a line text-like whatever its element.
+LONG_LINE = 40
 
 _MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
 _ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -56,6 +60,7 @@ _TALK = frozenset("comment comments commentlist reply replies disqus discussion
 _LIKE = frozenset("has have with without no".split())
 #: Before one of these, `related` speaks of what the article treats.
 _TREATED = frozenset("work works research literature studies".split())
+_TEXTUAL = frozenset("h1 h2 h3 h4 h5 h6 p li blockquote pre dd dt figcaption caption td summary".split())
 #: Elements deeper than this count as part of the one at this depth, as in browsers.
 MAX_DEPTH = 512
 
@@ -256,6 +261,28 @@ def stretches(lengths: list[int], width: int = WINDOW_LINES) -> list[tuple[int,
     return found
 
 
+def _text_like(line: Line) -> bool:
+    return line[1] > 0 and (line[3] in _TEXTUAL or line[1] >= LONG_LINE)
+
+
+def between_surges(lines: list[Line]) -> list[Line]:
+    """Of lines without asides those from a stretch's surge to its dive, for each stretch that surges; all, where none does."""
+    lengths, kept = [x[1] for x in lines], []
+    for first, last, peak in stretches(lengths):
+        if peak < SURGE_CHARS:
+            continue
+        sums = [sum(lengths[max(first, i - WINDOW_LINES + 1) : i + 1]) for i in range(first, last)]
+        high = [first + i for i, n in enumerate(sums) if n >= SURGE_CHARS]
+        heaviest = lambda end: max(range(max(first, end - WINDOW_LINES + 1), end + 1), key=lengths.__getitem__)
+        surge, dive = heaviest(high[0]), heaviest(high[-1])
+        while surge > first and _text_like(lines[surge - 1]):
+            surge -= 1
+        while dive + 1 < last and _text_like(lines[dive + 1]):
+            dive += 1
+        kept += lines[surge : dive + 1]
+    return kept or lines
+
+
 def main_text(page: str | None) -> str:
     """The article of a page; blocks are separated by an empty line."""
     if not page:
@@ -281,8 +308,8 @@ def main_text(page: str | None) -> str:
         kept = [i for i in texts if any(number == holder for number, _ in _containers(lines[i][2]))]
         if not any(lines[i][3] == "h1" for i in kept):
             kept = [i for i in texts if i < kept[0] and lines[i][3] == "h1" and any(name in ("main", "article") for _, name in _containers(lines[i][2]))] + kept
-    else:  # no element says where the article ends: all that isn't an aside
-        kept = texts
+    else:  # no element says where the article begins and ends: the sums do
+        return "\n\n".join(x[0] for x in between_surges([lines[i] for i in texts]))
     return "\n\n".join(lines[i][0] for i in kept)
 
 
