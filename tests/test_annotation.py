@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tonewright.functions import repair
 from tonewright.functions import spans as span_columns
 from tonewright.operators import phrases as phrases_module
 from tonewright.operators import merging, outcomes, parse, prepare, respond, segments, validate
@@ -99,6 +100,25 @@ MERGES = [
 BAD_MERGES = [[seg(), seg(bias_type="x")], [seg(), 5], [{"original": None}], [seg(bias_type=1), seg()]]
 
 
+DEEP = '{"a":' * 9 + "1" + "}" * 9
+EXTRACTED = [
+    (DEEP + " }", DEEP), ("x " + DEEP[:-1] + ' "s', DEEP[:-1]), ('{"a":[1,{"b":"]}"}]} tail {}', '{"a":[1,{"b":"]}"}]}'), ('{"a":[{]},1} b}', '{"a":[{]},1}'),
+    ('{"a":"\\"}{"}, {', '{"a":"\\"}{"}'), ("{}{}", "{}"), ("\u2003none\x1c\u00a0", "none"), (" \n ", ""), ('{"a":"open', '{"a":'),
+]
+CLOSED = [
+    (DEEP[:-2], DEEP), (DEEP, DEEP), ('{"a":[{"b":[1,2]},{"c":"x', '{"a":[{"b":[1,2]},{"c":"x"}]}'), ('{"a":[1]}]{', '{"a":[1]}]{}'), ("[{]}[", "[{]}[]"),
+    ('{"a":"\\"[', '{"a":"\\"["}'), ("", ""), ('{"k":"[{"', '{"k":"[{"}'),
+]
+
+
+def test_closed_brackets_count_as_one_token(spark):
+    """Deeper than a token reaches, mixed kinds, brackets in strings and escaped quotes."""
+    for cases, made in ((EXTRACTED, repair.extracted), (CLOSED, repair.closed)):
+        rows = spark.createDataFrame([(i, raw) for i, (raw, _) in enumerate(cases)], "i int, raw string").select("i", made(F.col("raw")).alias("out")).collect()
+        for row in rows:
+            assert row["out"] == cases[row["i"]][1], (made.__name__, cases[row["i"]], row["out"])
+
+
 def test_merging(spark):
     rows = validated(spark, [with_segments(*items) for items, _ in MERGES] + [with_segments(*items) for items in BAD_MERGES])
     for (items, expected), row in zip(MERGES, rows):

@@ -1,7 +1,7 @@
 """Getting a JSON object out of a model's raw output: steps as columns.
 
-The folds run over tokens (a string, a bracket, or what lies between), so they are linear in the output's length. They
-are interpreted, and are meant for the few outputs that a direct parse can't read.
+The folds run over tokens (a closed bracket with all that it holds, a string, a bracket, or what lies between), so they
+are linear in the output's length, and interpreted steps are few: one at most for each token outside closed brackets.
 """
 
 from __future__ import annotations
@@ -9,11 +9,22 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import quoted, stripped
+from .text import once, quoted, stripped
 
 # The JSON keys and the shapes (fences, missing commas, single fields) that the patterns of this module know.
 #: Possessive throughout: outputs of any length match without backtracking.
-_TOKEN = r'(?s)"[^"\\]*+(?:\\.[^"\\]*+)*+(?:"|\\?+)|[{}\[\]]|[^"{}\[\]]++'
+_STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+'
+_BESIDE = r'[^"{}\[\]]++'
+
+
+def _shut(levels: int) -> str:
+    """A pattern of a bracket that closes, with brackets in it down to the given number of levels."""
+    within = rf'(?:{_BESIDE}|{_STRING}"' + (f"|{_shut(levels - 1)}" if levels > 1 else "") + ")*+"
+    return rf"\{{{within}\}}|\[{within}\]"
+
+
+#: Brackets nested more deeply are tokens of their own: slower, with the same outcome.
+_TOKEN = rf'(?s){_shut(4)}|{_STRING}(?:"|\\?+)|[{{}}\[\]]|{_BESIDE}'
 _CLOSED = r'(?s)\A"[^"\\]*+(?:\\.[^"\\]*+)*+"\z'
 _FENCE = r"(?s)```(?:json)?(?U:\s*)(\{.*\})(?U:\s*)```"
 _NO_COMMA = r'(?U)(["\d\]}\w])\s*\n(\s*")'
@@ -34,19 +45,23 @@ def extracted(raw: Column) -> Column:
     def step(s: Column, token: Column) -> Column:
         text, after = token.startswith('"'), s["at"] + F.length(token)
         depth = s["depth"] + F.when(token == "{", 1).when(token == "}", -1).otherwise(0)
-        moved = F.struct(after.alias("at"), depth.alias("depth"), F.when(text, s["end"]).otherwise(after).alias("end"), ((token == "}") & (depth == 0)).alias("done"))
+        moved = F.struct(after.alias("at"), depth.alias("depth"), F.when(text, s["end"]).otherwise(after).alias("end"), (~text & token.endswith("}") & (depth == 0)).alias("done"))
         return F.when(s["done"], s).otherwise(moved)
 
     cut = F.aggregate(_tokens(body), start, step, lambda s: s["end"])
-    fence = F.regexp_extract(raw, _FENCE, 1)
-    return F.when(fence != "", stripped(fence)).when(F.locate("{", raw) == 0, stripped(raw)).otherwise(stripped(F.substring(body, F.lit(1), cut)))
+    bare = F.when(F.locate("{", raw) == 0, stripped(raw)).otherwise(stripped(F.substring(body, F.lit(1), cut)))
+    return once(F.regexp_extract(raw, _FENCE, 1), lambda fence: F.when(fence != "", stripped(fence)).otherwise(bare))
 
 
 def without_thoughts(text: Column) -> Column:
     """What follows the first closing tag of a think block; nothing, if one only opens."""
     tag = "</think>"
-    rest = F.substring(text, F.locate(tag, text) + len(tag), F.length(text))
-    return F.when(text.contains(tag), stripped(rest)).when(text.contains("<think>"), F.lit("")).otherwise(text)
+
+    def rest(t: Column) -> Column:
+        after = F.substring(t, F.locate(tag, t) + len(tag), F.length(t))
+        return F.when(t.contains(tag), stripped(after)).when(t.contains("<think>"), F.lit("")).otherwise(t)
+
+    return once(text, rest)
 
 
 def closed(text: Column) -> Column:
@@ -58,8 +73,10 @@ def closed(text: Column) -> Column:
         now = F.when(opens, F.concat(s["open"], token)).when(closes, F.substring(s["open"], F.lit(1), F.greatest(F.length(s["open"]) - 1, F.lit(0)))).otherwise(s["open"])
         return F.struct(now.alias("open"), (token.startswith('"') & ~token.rlike(_CLOSED)).alias("text"))
 
-    tail = F.aggregate(_tokens(text), start, step, lambda s: F.concat(F.when(s["text"], '"').otherwise(""), F.translate(F.reverse(s["open"]), "{[", "}]")))
-    return F.concat(text, tail)
+    def tail(s: Column) -> Column:
+        return F.concat(F.when(s["text"], '"').otherwise(""), F.translate(F.reverse(s["open"]), "{[", "}]"))
+
+    return once(text, lambda t: F.concat(t, F.aggregate(_tokens(t), start, step, tail)))
 
 
 def with_commas(text: Column) -> Column:
@@ -67,20 +84,21 @@ def with_commas(text: Column) -> Column:
     return F.regexp_replace(text, _NO_COMMA, "$1,\n$2")
 
 
+def _alone(text: Column) -> Column:
+    """The one JSON value that a text holds, as a variant, else null. Two readings rule out what follows the value."""
+    beside = F.try_parse_json(F.concat(F.lit('{"r":'), text, F.lit("}")))
+    values = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), "$", "array<variant>")
+    return once(values, lambda v: F.when((F.size(v) == 1) & beside.isNotNull(), v[0]))
+
+
 def parsed(text: Column) -> Column:
-    """A JSON object as a variant; null for anything else. Two readings rule out what follows the object."""
-    within, beside = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), F.try_parse_json(F.concat(F.lit('{"r":'), text, F.lit("}")))
-    one = F.try_variant_get(within, "$", "array<variant>")
-    whole = within.isNotNull() & beside.isNotNull() & (F.size(one) == 1) & F.schema_of_variant(one[0]).startswith("OBJECT")
-    return F.when(whole, one[0])
+    """A JSON object as a variant; null for anything else."""
+    return once(text, lambda t: F.when(t.rlike(r"\A[ \t\r\n]*+\{"), _alone(t)))
 
 
 def parsed_list(text: Column) -> Column:
-    """As parsed, for an array."""
-    within = F.try_parse_json(F.concat(F.lit('{"r":'), text, F.lit("}")))
-    inner = F.try_variant_get(within, "$.r", "variant")
-    alone = F.size(F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), "$", "array<variant>")) == 1
-    return F.when(alone & F.schema_of_variant(inner).startswith("ARRAY"), F.to_json(inner))
+    """As parsed, for an array; its text."""
+    return once(text, lambda t: F.when(t.rlike(r"\A[ \t\r\n]*+\["), F.to_json(_alone(t))))
 
 
 def salvaged(text: Column) -> Column:

@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_EDGES = r"(?U)\A[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z"
+#: Goes to the end at once and back to the last character that isn't white space.
+_INNER = r"(?sU)\A[\s\x1c-\x1f]*+(.*[^\s\x1c-\x1f])?"
+
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once however often use reads it."""
+    return F.transform(F.array(value), use)[0]
 
 
 def stripped(text: Column) -> Column:
     """Text without white space of any kind at its ends."""
-    return F.regexp_replace(text, _EDGES, "")
+    return F.regexp_extract(text, _INNER, 1)
 
 
 def quoted(text: Column) -> Column:

@@ -51,11 +51,13 @@ def parse_responses(responses: DataFrame, raw_col: str = "raw_output") -> DataFr
     # A repeated key or a NaN makes both readers of a bare value fail; what is broken otherwise is read in vain, but is rare.
     read = shut.withColumn("_lenient", F.try_parse_json(F.pandas_udf(_lenient, "string")(lenient)))
     open_ = F.when(F.coalesce("_fast", "_direct", "_lenient").isNull(), text)
-    ladder = read.withColumn("_truncated", F.when(open_.isNotNull(), repair.parsed(repair.closed(open_))))
-    ladder = ladder.withColumn("_commas", F.when(open_.isNotNull() & F.col("_truncated").isNull(), repair.parsed(repair.with_commas(open_))))
-    still = open_.isNotNull() & F.col("_truncated").isNull() & F.col("_commas").isNull()
-    ladder = ladder.withColumn("_combined", F.when(still, repair.parsed(repair.with_commas(repair.closed(open_)))))
-    ladder = ladder.withColumn("_salvage", F.when(still & F.col("_combined").isNull(), repair.salvaged(open_)))
+    ladder = read.withColumn("_open", open_).withColumn("_shut", repair.closed(F.col("_open")))
+    cut = F.col("_shut") != F.col("_open")
+    ladder = ladder.withColumn("_truncated", F.when(cut, repair.parsed(F.col("_shut"))))
+    ladder = ladder.withColumn("_commas", F.when(F.col("_truncated").isNull(), repair.parsed(repair.with_commas(F.col("_open")))))
+    still = F.col("_truncated").isNull() & F.col("_commas").isNull()
+    ladder = ladder.withColumn("_combined", F.when(still & cut, repair.parsed(repair.with_commas(F.col("_shut")))))
+    ladder = ladder.withColumn("_salvage", F.when(still & F.col("_combined").isNull(), repair.salvaged(F.col("_open"))))
     steps = {"direct": F.coalesce("_fast", "_direct", "_lenient"), **{s: F.col(f"_{s}") for s in STRATEGIES[1:]}}
     strategy = F.coalesce(*[F.when(c.isNotNull(), F.lit(s)) for s, c in steps.items()])
     return ladder.withColumns({"data": F.coalesce(*steps.values()), "repair_strategy": strategy}).select(*responses.columns, "data", "repair_strategy")

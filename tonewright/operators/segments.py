@@ -54,19 +54,23 @@ def merged(items: Column) -> Column:
     """(bad, items) of an array of variants: segments with one phrase as one, in the order of their first."""
     start = F.struct(F.lit(False).alias("bad"), F.array().cast(f"array<{_RAW}>").alias("items"))
 
+    def read(item: Column) -> Column:
+        wrong = ~F.schema_of_variant(item).startswith("OBJECT") | ~_ok_text(F.schema_of_variant(F.try_variant_get(item, "$.original", "variant")))
+        return F.struct(_raw(item).alias("new"), F.coalesce(wrong, F.lit(True)).alias("wrong"))
+
     def step(s: Column, item: Column) -> Column:
-        new, wrong = _raw(item), ~F.schema_of_variant(item).startswith("OBJECT") | ~_ok_text(F.schema_of_variant(F.try_variant_get(item, "$.original", "variant")))
+        new, wrong = item["new"], item["wrong"]
         same = F.filter(s["items"], lambda x: x["key"] == new["key"])
         fresh = F.concat(s["items"], F.array(new))
         joined = F.transform(s["items"], lambda x: F.when(x["key"] == new["key"], _met(x, new)).otherwise(x))
         blank = F.coalesce(new["key"], F.lit("")) == ""
         clash = (F.size(same) > 0) & F.coalesce(_clash(same[0], new), F.lit(False))
         return F.struct(
-            (s["bad"] | F.coalesce(wrong, F.lit(True)) | (~blank & clash)).alias("bad"),
-            F.when(s["bad"] | F.coalesce(wrong, F.lit(True)) | blank | clash, s["items"]).when(F.size(same) == 0, fresh).otherwise(joined).alias("items"),
+            (s["bad"] | wrong | (~blank & clash)).alias("bad"),
+            F.when(s["bad"] | wrong | blank | clash, s["items"]).when(F.size(same) == 0, fresh).otherwise(joined).alias("items"),
         )
 
-    return F.aggregate(items, start, step)
+    return F.aggregate(F.transform(items, read), start, step)
 
 
 def _whole(text: Column, kind: Column) -> Column:

@@ -20,12 +20,12 @@ def judge(answered: DataFrame, keep: Keep = materialise) -> DataFrame:
     """Answered texts (text_id, text, raw_output, attributes, maybe the responder's error) parsed, merged, validated and
     located; one row each.
 
-    All of it is columns of one row: no shuffle. Answers, parsed data and outcomes are each written once: a responder runs
-    once whatever reads its output, and no filter is pushed into (and copied through) the steps below it. The first two are
-    removed at the end; `keep` writes the outcomes.
+    All of it is columns of one row: no shuffle. Answers and outcomes are each written once: a responder runs once whatever
+    reads its output, and no filter is pushed into (and copied through) the steps below it. The answers are removed at the
+    end; `keep` writes the outcomes.
     """
     with scratch(answered.sparkSession, "judge") as step:
-        return keep(_placed(validate_results(step(parse_responses(step(answered, "answers")), "parsed"))), "outcomes")
+        return keep(_placed(validate_results(parse_responses(step(answered, "answers")))), "outcomes")
 
 
 def _placed(parsed: DataFrame) -> DataFrame:
