@@ -3,8 +3,10 @@
 A source's weight gives its share of all words; its target stops at ``cap`` times its own words, and the excess is
 shared again by weight. Every document of a source expects target / source_size copies. Expected copies are
 prefix-summed within the source, one random offset is added, and a document is emitted once for each integer boundary
-that its step crosses. Documents are taken by falling size, so the words taken differ from the target by little more
-than one long document. The offset comes from a hash of seed and source: reruns agree.
+that its step crosses. Documents are taken by falling size, so whatever the offset, the words taken differ from the
+target by little more than one long document. Of DRAWS offsets that hashes of seed and source give, a source takes the one
+whose mix comes nearest to its target, the first of equals: reruns agree. What each would take is known from how many
+documents of each size a source has.
 
 The rank within a source is a sum of three counts (larger sizes; lower lanes of the same size; place in the lane), so
 that neither a hot source nor thousands of documents of one size meet in one task.
@@ -26,6 +28,7 @@ from .storage import materialise, neutral
 WORD = r"[^\x20\x09-\x0D]+"
 LANES = 256
 SEED = "mix-1"
+DRAWS = 16
 _UPTO = (Window.unboundedPreceding, -1)
 
 
@@ -54,12 +57,29 @@ def source_targets(sizes: DataFrame, weights: Sequence[int], cap: int) -> DataFr
     return known.select("source", "source_size", F.least("most", F.max("level").over(every) * F.col("weight")).alias("target"))
 
 
-def offset_of(source: Column, seed: str) -> Column:
-    """A number from 0 to 1 for each source."""
-    digits = F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.concat(F.lit("s"), source), F.lit("none"))).cast("binary")), 1, 8)
+def offset_of(source: Column, seed: str, draw: int) -> Column:
+    """A number from 0 to 1 for each source and draw."""
+    digits = F.substring(F.md5(F.concat(F.lit(f"{seed}:{draw}:"), F.coalesce(F.concat(F.lit("s"), source), F.lit("none"))).cast("binary")), 1, 8)
     return F.conv(digits, 16, 10).cast("double") / F.lit(4294967296.0)
 
 
+def _crossed(start: Column, step: Column, after: Column, upto: Column) -> Column:
+    """Integer boundaries that the documents of the ranks above `after`, up to `upto`, cross."""
+    return F.floor(start + step * upto) - F.floor(start + step * after)
+
+
+def _offsets(levels: DataFrame, targets: DataFrame, seed: str) -> DataFrame:
+    """targets with step and start: the offset whose words come nearest to the target. levels: (source, size, above, n)."""
+    step = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    known = targets.withColumn("step", step)
+    starts = [offset_of(F.when(F.col("known"), F.col("source_key")), seed, draw) for draw in range(DRAWS)]
+    met = levels.join(known, ["known", "source_key"])
+    taken = [F.sum(_crossed(start, F.col("step"), F.col("above"), F.col("above") + F.col("n")) * F.col("size")).alias(f"taken{draw}") for draw, start in enumerate(starts)]
+    drawn = met.groupBy("known", "source_key", "source_size", "target", "step").agg(*taken)
+    each = [F.struct(F.abs(F.col(f"taken{draw}") - F.col("target")).alias("off"), F.lit(draw).alias("draw"), start.alias("start")) for draw, start in enumerate(starts)]
+    return drawn.select("known", "source_key", "source_size", "target", "step", F.array_min(F.array(*each))["start"].alias("start"))
+
+
 def planned(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), cap: int = 3, seed: str = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """One row a document: id, source, size, source_size, target, copies (0 to cap)."""
     lane = F.pmod(F.coalesce(F.col(id_col).cast("long"), F.crc32(F.col(text_col).cast("binary")), F.lit(0)), F.lit(LANES)).cast("int")
@@ -78,14 +98,12 @@ def planned_sizes(rows: DataFrame, weights: Sequence[int], cap: int, seed: str)
     targets = source_targets(sizes.select(F.when(F.col("known"), F.col("source_key")).alias("source"), "source_size"), weights, cap)
     targets = targets.select(F.col("source").isNotNull().alias("known"), F.coalesce("source", F.lit("")).alias("source_key"), "source_size", "target")
     by_size = Window.partitionBy("known", "source_key").orderBy(F.desc("size"))
-    levels = levels.select("known", "source_key", "size", F.coalesce(F.sum("n").over(by_size.rowsBetween(*_UPTO)), F.lit(0)).alias("above"))
-    bases = parts.join(levels, ["known", "source_key", "size"]).join(targets, ["known", "source_key"]).drop("n")
+    levels = levels.select("known", "source_key", "size", F.coalesce(F.sum("n").over(by_size.rowsBetween(*_UPTO)), F.lit(0)).alias("above"), "n")
+    bases = parts.join(levels.drop("n"), ["known", "source_key", "size"]).join(_offsets(levels, targets, seed), ["known", "source_key"]).drop("n")
     nth = F.row_number().over(Window.partitionBy("known", "source_key", "size", "lane").orderBy("id"))
     ranked = key.withColumn("nth", nth).join(bases, ["known", "source_key", "size", "lane"]).withColumn("rank", F.col("above") + F.col("below") + F.col("nth"))
-    step = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    start = offset_of(F.col("source"), seed)
-    crossed = F.floor(start + step * F.col("rank")) - F.floor(start + step * (F.col("rank") - 1))
-    return ranked.withColumn("copies", F.least(crossed, F.lit(cap)).cast("int")).drop("known", "source_key", "lane", "nth", "above", "below", "rank")
+    crossed = _crossed(F.col("start"), F.col("step"), F.col("rank") - 1, F.col("rank"))
+    return ranked.withColumn("copies", F.least(crossed, F.lit(cap)).cast("int")).drop("known", "source_key", "lane", "nth", "above", "below", "rank", "step", "start")
 
 
 def mixed(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), cap: int = 3, seed: str = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:

@@ -208,14 +208,20 @@ WITH d AS (
 ), l AS (
     SELECT *, (total - capped_before) / weight_left AS level FROM r
 ), t AS (
-    SELECT source, source_size, least(most, max(level) OVER () * weight) AS target,
-        ('0x' || substr(md5('mix-1:' || coalesce('s' || source, 'none')), 1, 8))::BIGINT::DOUBLE / 4294967296.0::DOUBLE AS start
-    FROM l
-), k AS (
-    SELECT d.doc_id, d.size, t.source_size, t.target, t.start,
+    SELECT source, source_size, least(most, max(level) OVER () * weight) AS target FROM l
+), n AS (
+    SELECT d.doc_id, d.source, d.size, t.source_size, t.target,
         CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0 END::DOUBLE AS step,
         row_number() OVER (PARTITION BY d.source ORDER BY d.size DESC, d.doc_id % 256, d.doc_id) AS nth
     FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+), o AS (
+    SELECT source, draw, ('0x' || substr(md5('mix-1:' || draw || ':' || coalesce('s' || source, 'none')), 1, 8))::BIGINT::DOUBLE / 4294967296.0::DOUBLE AS start
+    FROM s CROSS JOIN range(16) AS g(draw)
+), p AS (
+    SELECT o.source, o.start, row_number() OVER (PARTITION BY o.source ORDER BY abs(sum((floor(start + step * nth) - floor(start + step * (nth - 1)))::BIGINT * size)::DOUBLE - any_value(target)), draw) AS best
+    FROM n JOIN o ON n.source IS NOT DISTINCT FROM o.source GROUP BY o.source, o.draw, o.start
+), k AS (
+    SELECT n.*, p.start FROM n JOIN p ON n.source IS NOT DISTINCT FROM p.source WHERE p.best = 1
 )
 SELECT doc_id, size, source_size, target, (least(floor(start + step * nth) - floor(start + step * (nth - 1)), 3) * size)::BIGINT AS taken FROM k
 """,
