@@ -99,7 +99,9 @@ def planned_sizes(rows: DataFrame, weights: Sequence[int], cap: int, seed: str)
     targets = targets.select(F.col("source").isNotNull().alias("known"), F.coalesce("source", F.lit("")).alias("source_key"), "source_size", "target")
     by_size = Window.partitionBy("known", "source_key").orderBy(F.desc("size"))
     levels = levels.select("known", "source_key", "size", F.coalesce(F.sum("n").over(by_size.rowsBetween(*_UPTO)), F.lit(0)).alias("above"), "n")
-    bases = parts.join(levels.drop("n"), ["known", "source_key", "size"]).join(_offsets(levels, targets, seed), ["known", "source_key"]).drop("n")
+    # A source's sizes meet its offset, one narrow row a size; its documents meet those by source and size.
+    started = levels.drop("n").join(_offsets(levels, targets, seed), ["known", "source_key"])
+    bases = parts.join(started, ["known", "source_key", "size"]).drop("n")
     nth = F.row_number().over(Window.partitionBy("known", "source_key", "size", "lane").orderBy("id"))
     ranked = key.withColumn("nth", nth).join(bases, ["known", "source_key", "size", "lane"]).withColumn("rank", F.col("above") + F.col("below") + F.col("nth"))
     crossed = _crossed(F.col("start"), F.col("step"), F.col("rank") - 1, F.col("rank"))
