@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import sys
 import zlib
 
 import numpy as np
@@ -104,6 +105,55 @@ def test_html_without_article_is_bound_by_surge_and_dive(monkeypatch):
     assert sum(a != html_text.main_text(page) for a, (page, _) in zip(whole, pages)) > 190
 
 
+def framed_page(pick):
+    """A page with an article or main of short and long blocks, with asides in it, and all sorts of unnamed text around it."""
+    word = lambda: "".join(pick.choice("abcdefghij") for _ in range(pick.randint(2, 9)))
+    words = lambda a, b: " ".join(word() for _ in range(pick.randint(a, b)))
+    holder, title = pick.choice(["article", "main"]), words(2, 5)
+    blocks = [words(*pick.choice([(1, 2), (5, 9), (40, 90)])) for _ in range(pick.randint(2, 9))] + [words(40, 90)]
+    aside = lambda: pick.choice(["", "", f"<div class='{pick.choice(['ad', 'share-buttons', 'promo'])}'><p>{words(3, 9)}</p><p>{words(3, 9)}</p></div>", f"<nav>{words(2, 3)}</nav>"])
+    inner = "".join(f"{aside()}<{t}>{b}</{t}>" for b in blocks for t in [pick.choice(["p", "div", "li", "h2"])])
+    around = lambda: "".join(pick.choice([f"<div>{words(1, 30)}</div>", f"<nav>{words(2, 3)}</nav>", f"<p><a href=x>{words(1, 3)}</a></p>"]) for _ in range(pick.randint(0, 4)))
+    head = pick.choice([f"<h1>{title}</h1>", f"<header><h1>{title}</h1></header>"])
+    return f"<body>{around()}<{holder}>{head}{inner}</{holder}>{around()}<footer>{words(9, 20)}</footer></body>", "\n\n".join([title, *blocks])
+
+
+def test_html_article_is_bound_by_surge_and_dive(monkeypatch):
+    """Exactly the article's blocks, whatever stands in and around it; the bounds come from the sums."""
+    pick = random.Random(3)
+    pages = [framed_page(pick) for _ in range(300)]
+    assert [html_text.main_text(page) for page, _ in pages] == [want for _, want in pages]
+    monkeypatch.setattr(html_text, "between_surges", lambda lines, weights: lines)
+    assert sum(html_text.main_text(page) != want for page, want in pages) == 300
+
+
+def test_html_banners_credits_and_responses():
+    text = "words of the article " * 10
+    want, banner = text.strip(), f"<div class=cookie-banner><p>{'we use cookies ' * 90}</p></div>"
+    assert html_text.main_text(f"{banner}<div><p>{text}</p></div>") == want
+    assert html_text.main_text(f"{banner}<article><p>{text}</p></article>") == want
+    assert html_text.main_text(f"<div class=cookie-recipe><p>{text}</p></div><p>Baked.</p>").startswith(want)
+    assert html_text.main_text(f"<article><p>{text}</p></article><div class=user-responses><p>{text * 5}</p></div>") == want
+    assert html_text.main_text(f"<div><p>{text}</p><p>Copyright 2024. All rights reserved.</p><p>Powered by Foo</p></div>") == want
+    assert html_text.main_text(f"<p>{text}</p><p>Copyright is a right.</p><p>{text}</p>") == f"{want}\n\nCopyright is a right.\n\n{want}"
+    assert html_text.main_text("<p>We <label>x</label> go <span hidden>no</span>on</p>") == "We go on"
+
+
+def test_html_time_grows_with_the_page():
+    """Work a page is counted in interpreter calls: ten times the page makes some ten times the calls, however deep it nests."""
+    for piece in ("<div class=ad>x", "<div>x", "<div class=ad><article>x</p></span>", "<p>x</div></section>", "<table><tr><td>x"):
+        counts = []
+        for n in (300, 3000):
+            calls = [0]
+            sys.setprofile(lambda *_, calls=calls: calls.__setitem__(0, calls[0] + 1))
+            html_text.main_text(piece * n)
+            sys.setprofile(None)
+            counts.append(calls[0])
+        assert counts[1] < 12 * counts[0], piece
+    text = "words of the article " * 10
+    assert html_text.main_text("<div>" * 700 + f"<nav>Menu</nav><p>{text}</p>" + "</div>" * 700) == text.strip()
+
+
 def test_html_inline_names_forms_and_depth():
     text = "body words " * 30
     assert html_text.main_text('<p>We used <code class="search">grep</code> on it.</p>') == "We used grep on it."
