@@ -1,38 +1,19 @@
 """Documents met by id and text, so that rows that meet nothing aren't shuffled.
 
-A filter of fixed size (FILTER_BITS) is broadcast. It lets every wanted row through, and others at times; the joins decide.
+A filter of fixed size (filters.FILTER_BITS) is broadcast. It lets every wanted row through, and others at times; the joins decide.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..filters import filter_of, passes
 from .storage import materialise
 
-FILTER_BITS = 1 << 26
-
-
-def filter_of(values: DataFrame, column: str) -> np.ndarray:
-    """A bit for each hash value of a column: FILTER_BITS bits whatever the input, built by bitmap aggregates."""
-    at = F.col(column).bitwiseAND(F.lit(FILTER_BITS - 1))
-    made = values.select(at.alias("at")).groupBy(F.expr("bitmap_bucket_number(at + 1)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(at + 1))").alias("bits"))
-    out = np.zeros(FILTER_BITS // 8, np.uint8)
-    for row in made.toLocalIterator():
-        raw = np.frombuffer(bytes(row["bits"]), np.uint8)
-        out[(row["bucket"] - 1) * len(raw) : row["bucket"] * len(raw)] = raw
-    return out
-
-
-def passes(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
-    at = values.astype(np.int64) & (FILTER_BITS - 1)
-    return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
-
-
 def may_be_in(ids: DataFrame, column: str) -> Callable[[Column], Column]:
     """Whether an id may be one of these, as a column; only ids pass through Python."""
     hashed = ids.select(F.xxhash64(F.col(column).cast("long")).alias("at"))
