@@ -488,3 +488,24 @@ def test_a_large_lexicon_is_looked_up_in_one_read_of_the_texts(spark, monkeypatc
     assert found() == whole
     respond.lexicon_hits(texts, lexicon, keep)
     assert names == ["lexicon", "texts"]
+
+
+def test_a_prompt_is_cut_without_encoding_the_whole_text():
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    tokenizer, longest = respond._tokenizer(public_tokenizers.path("byte_bpe_50k.json"))
+    assert respond._by_words(tokenizer)
+    pick, seen = random.Random(3), []
+    parts = ["a", "word ", " ", "\n", "'s", "12", "é", "日本", "<|endoftext|>", "  x", "!?"]
+    texts = ["".join(pick.choice(parts) for _ in range(pick.randint(1, 3000))) for _ in range(200)]
+
+    class Counted:
+        def encode(self, text, **how):
+            seen.append(len(text))
+            return tokenizer.encode(text, **how)
+
+    for most in (7, 100):
+        for text in [*texts, "x" * 20_000, "plain words of a long text " * 5000]:
+            assert respond._prefix(Counted(), text, most, longest, True) == respond._prefix(tokenizer, text, most, longest)
+    seen.clear()
+    respond._prefix(Counted(), "plain words of a long text " * 5000, 300, longest, True)
+    assert sum(seen) < 5000

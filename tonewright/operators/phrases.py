@@ -25,7 +25,8 @@ FIELDS = ("phrase", "replacement", "severity", "bias_type", "reasoning")
 HIT = "struct<at:int," + ",".join(f"{n}:string" for n in FIELDS) + ",until:int>"
 #: Characters of the lexicon's rows that an automaton may hold: some 40 MB, which is broadcast.
 SHARD_CHARS = 500_000
-#: Characters of texts that are worked on at a time.
+#: Rows and characters of texts that are worked on at a time.
+ROWS_AT_ONCE = 512
 SLICE_CHARS = 1 << 20
 
 _LOADED: dict[str, Finder] = {}
@@ -202,8 +203,8 @@ def _filtered(lexicon: DataFrame, row: str) -> tuple[Callable[[Iterator[pa.Recor
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(at, ROWS_AT_ONCE)
                 for numbers, texts in _slices(part.column(0).to_pylist(), [t or "" for t in part.column(1).to_pylist()]):
                     rows = [(k, "", 0, 0) for k in range(len(texts))] if empty else []
                     rows += _may_stand(texts, lengths, first.value, whole.value)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 from typing import NamedTuple
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.text import quoted
 from ..schema import GLOBAL_SEVERITIES
 from ..storage import Keep, finished, materialise, remove
-from .phrases import lexicon_hits
+from .phrases import ROWS_AT_ONCE, lexicon_hits
 from .prepare import INSTRUCTIONS, QUESTION, messages
 
 #: A factory, called once a task (load the model there); what it gives answers a batch of conversations.
@@ -28,11 +30,33 @@ class TokenLimit(NamedTuple):
     path: str
 
 
-def _prefix(tokenizer, text: str, most: int, longest: int) -> str:
+#: Where every byte-level vocabulary begins a word: a space between a character that isn't white space and a plain letter.
+_WORD = re.compile(r"(?<=[^\s]) (?=[A-Za-z])")
+#: Characters a token that are encoded at first.
+_CHARS_A_TOKEN = 6
+
+
+def _encoded(tokenizer, text: str, most: int, longest: int, by_words: bool):
+    """A text's beginning encoded: its first `most` + 1 tokens, or all if it has no more, are those of the text.
+
+    A vocabulary that encodes words by themselves is shown whole words of a short beginning, then of longer ones.
+    """
+    size, upto = most * _CHARS_A_TOKEN, min(len(text), most * longest + 1)
+    while by_words and size < upto:
+        ends = [m.start() for m in _WORD.finditer(text, max(1, size - 256), size)]
+        if ends:
+            encoded = tokenizer.encode(text[: ends[-1]], add_special_tokens=False)
+            if len(encoded.ids) > most:
+                return encoded
+        size *= 2
+    return tokenizer.encode(text[:upto], add_special_tokens=False)
+
+
+def _prefix(tokenizer, text: str, most: int, longest: int, by_words: bool = False) -> str:
     """The longest beginning of a text that ends with one of its tokens and is at most so many tokens itself."""
     if len(text.encode("utf-8", "surrogatepass")) <= most:  # no token is less than a byte
         return text
-    encoded = tokenizer.encode(text[: most * longest + 1], add_special_tokens=False)
+    encoded = _encoded(tokenizer, text, most, longest, by_words)
     if len(encoded.ids) <= most:
         return text
     offsets = encoded.offsets
@@ -52,6 +76,14 @@ def _tokenizer(path: str) -> tuple:
     return tokenizer, max(map(len, tokenizer.get_vocab()))
 
 
+def _by_words(tokenizer) -> bool:
+    """Whether a vocabulary surely begins a word at _WORD: byte-level, with its usual pattern, no normalizer and no added token with a space."""
+    made = json.loads(tokenizer.to_str())
+    cut = made["pre_tokenizer"] or {}
+    plain = cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space")
+    return bool(plain and made["normalizer"] is None and made["model"].get("type") == "BPE" and not any(set(t["content"]) & set(" \n\t") or t["lstrip"] or t["rstrip"] for t in made["added_tokens"]))
+
+
 def room_for_text(limit: TokenLimit) -> int:
     """Tokens of a prompt that its text may have."""
     tokenizer, _ = _tokenizer(limit.path)
@@ -70,8 +102,10 @@ def cut_to_tokens(text: Column, path: str, most: int) -> Column:
     @F.arrow_udf("string")
     def cut(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         tokenizer, longest = _tokenizer(path)
+        by_words = _by_words(tokenizer)
         for part in parts:
-            yield pa.array([None if t is None else _prefix(tokenizer, t, most, longest) for t in part.to_pylist()], pa.string())
+            texts = (t for at in range(0, len(part), ROWS_AT_ONCE) for t in part.slice(at, ROWS_AT_ONCE).to_pylist())
+            yield pa.array([None if t is None else _prefix(tokenizer, t, most, longest, by_words) for t in texts], pa.string())
 
     return cut(text)
 
