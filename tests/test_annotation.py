@@ -509,3 +509,15 @@ def test_a_prompt_is_cut_without_encoding_the_whole_text():
     seen.clear()
     respond._prefix(Counted(), "plain words of a long text " * 5000, 300, longest, True)
     assert sum(seen) < 5000
+
+
+def test_a_batch_of_texts_is_searched_some_rows_at_a_time(monkeypatch):
+    import pyarrow as pa
+
+    texts = pa.array(["an idiot", None, "", "well idiot idiot", "none"] * 7)
+    finder = phrases_module.Finder([("idiot", "person", "high", "insult", "Insults."), ("", "x", "low", "t", "r")])
+    whole, sizes, plain = finder.hits(texts).to_pylist(), [], phrases_module.Finder._hits
+    monkeypatch.setattr(phrases_module, "ROWS_AT_ONCE", 4)
+    monkeypatch.setattr(phrases_module.Finder, "_hits", lambda self, part: sizes.append(len(part)) or plain(self, part))
+    assert finder.hits(texts).to_pylist() == whole and max(sizes) == 4 and sum(sizes) == len(texts)
+    assert finder.hits(texts.slice(0, 0)).to_pylist() == []

@@ -68,6 +68,10 @@ class Finder:
         return _as_it_came(text, found) if len(low) != len(text) else found
 
     def hits(self, texts: pa.Array) -> pa.Array:
+        """As ROWS_AT_ONCE rows at a time have them: the Python values of a batch don't all live at once."""
+        return pa.concat_arrays([self._hits(texts.slice(at, ROWS_AT_ONCE)) for at in range(0, max(1, len(texts)), ROWS_AT_ONCE)])
+
+    def _hits(self, texts: pa.Array) -> pa.Array:
         sizes, rows, starts, ends = [0], [], [], []
         for text in texts.to_pylist():
             found = self.places(text or "")
