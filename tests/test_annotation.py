@@ -521,3 +521,30 @@ def test_a_batch_of_texts_is_searched_some_rows_at_a_time(monkeypatch):
     monkeypatch.setattr(phrases_module.Finder, "_hits", lambda self, part: sizes.append(len(part)) or plain(self, part))
     assert finder.hits(texts).to_pylist() == whole and max(sizes) == 4 and sum(sizes) == len(texts)
     assert finder.hits(texts.slice(0, 0)).to_pylist() == []
+
+
+def test_types_of_a_large_group_are_joined_in_linear_work(spark):
+    """Against the plain fold, on blank, null and repeated types; and a group of 40,000 types with slashes, which ends."""
+    import time
+
+    pick = random.Random(5)
+    kinds = ["a", "b", "c", " a ", "a / b", "d/e", "e", "/", "x //y", "y", None, " "]
+    groups = [[pick.choice(kinds) for _ in range(pick.randint(1, 9))] for _ in range(150)]
+    clean = lambda t: (t or "").strip()
+
+    def plain(types):
+        text, parts = types[0], [p.strip() for p in (types[0] or "").split("/")]
+        for t in map(clean, types[1:]):
+            if t and t not in parts:
+                text = None if text is None else f"{text.strip()} / {t}"
+                parts += [p.strip() for p in t.split("/")]
+        return text
+
+    rows = [(n, pos, "p", "r", "low", t, None) for n, types in enumerate(groups) for pos, t in enumerate(types)]
+    schema = "text_id long, pos long, original string, replacement string, severity string, bias_type string, reasoning string"
+    merged = {r["text_id"]: r["bias_type"] for r in merging.merge_segment_rows(spark.createDataFrame(rows, schema)).collect()}
+    assert merged == {n: plain(types) for n, types in enumerate(groups)}
+    began = time.time()
+    many = spark.range(40_000).select(F.lit(1).alias("text_id"), F.col("id").alias("pos"), *[F.lit(x).alias(c) for c, x in zip(("original", "replacement", "severity", "bias_type", "reasoning"), ("p", "r", "low", "a / b", "why"))])
+    assert merging.merge_segment_rows(many).select(F.length("bias_type")).first()[0] == 40_000 * 8 - 3
+    assert time.time() - began < 60

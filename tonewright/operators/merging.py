@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import severity
-from ..functions.text import stripped
+from ..functions.text import once, stripped
 
 #: Positions of a text that are folded at a time.
 BLOCK = 1024
@@ -43,13 +43,23 @@ def _needed_reasons(values: Column) -> Column:
 
 
 def _with_types(first: Column, later: Column) -> Column:
-    start = F.struct(first.alias("text"), _parts(F.coalesce(first, F.lit(""))).alias("parts"))
+    """Types added in order: one with a slash always, another where neither the first nor an earlier one has it as a part.
 
-    def step(s: Column, x: Column) -> Column:
-        more = F.struct(F.concat(stripped(s["text"]), F.lit(" / "), x["value"]).alias("text"), F.concat(s["parts"], _parts(x["value"])).alias("parts"))
-        return F.when(F.array_contains(s["parts"], x["value"]), s).otherwise(more)
-
-    return F.aggregate(later, start, step, lambda s: s["text"])
+    Sorting finds the first place of each part, so the work is about linear in the group, as is the text that it gives.
+    """
+    place = lambda x, i: F.transform(_parts(x["value"]), lambda p: F.struct(p.alias("part"), i.alias("at"), F.contains(x["value"], F.lit("/")).alias("several")))
+    parts = F.array_sort(F.flatten(F.transform(later, place)))
+    entry = lambda at, value: F.struct(at.alias("at"), value.alias("value"))
+    leads = once(parts, lambda every: F.filter(every, lambda x, i: ~F.coalesce(F.get(every, i - 1)["part"] == x["part"], F.lit(False))))
+    known = _parts(F.coalesce(first, F.lit("")))
+    single = F.transform(F.filter(leads, lambda x: ~x["several"] & ~F.array_contains(known, x["part"])), lambda x: entry(x["at"], x["part"]))
+    several = F.filter(F.transform(later, lambda x, i: entry(i, x["value"])), lambda x: F.contains(x["value"], F.lit("/")))
+
+    def joined(added: Column) -> Column:
+        text = F.concat(stripped(first), F.lit(" / "), F.array_join(F.transform(added, lambda x: x["value"]), " / "))
+        return F.when(F.size(added) == 0, first).when(F.size(added) == 1, text).otherwise(stripped(text))
+
+    return once(F.array_sort(F.concat(single, several)), joined)
 
 
 def _with_reasons(first: Column, later: Column) -> Column:
