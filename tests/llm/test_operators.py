@@ -316,6 +316,31 @@ def test_word_encoders_equal_the_library_on_random_texts(name, spaced):
         assert found == (want[:2000] if size == 1 else want[2000:])
 
 
+def test_encoders_forget_old_words_and_are_right(monkeypatch):
+    monkeypatch.setattr(tokens, "HALF_WORDS", 20)
+    pick, encode = random.Random(6), tokens.WordEncoder(public_tokenizers.path("byte_bpe_50k.json"), True)
+    texts = [" ".join(f"w{pick.randint(0, 40)} {'often' * (i % 2)} n{i}" for _ in range(10)) for i in range(60)]
+    want = [ids[:-1].tobytes() for ids in ids_of("byte_bpe_50k.json", texts, 0)]
+    for text, ids in zip(texts, want):
+        assert encode([text.encode()]) == [ids]
+        assert len(encode.known) + len(encode.older) <= 80  # two halves and two texts' words
+
+
+def test_workers_keep_no_words_after_packing(spark):
+    """What a worker holds after its task is missing to the stages that follow."""
+
+    def held(batches):
+        import pyarrow as pa
+
+        from tonewright.llm import tokens
+
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([sum(len(e.known) for e in tokens._ENCODERS.values())], pa.int64())], names=["n"])
+
+    packing.packed(documents(spark), public_tokenizers.path("byte_bpe_50k.json")).count()
+    assert {r["n"] for r in spark.range(64).repartition(16).mapInArrow(held, "n long").collect()} == {0}
+
+
 def test_packing_texts_that_begin_with_white_space(spark):
     texts = ["\tIndented first line of a document.", "\r\nWindows text here", "\x0cPage two", "\x0b\x0bdown", " \t", "plain text"]
     rows = packing.packed(documents(spark, texts), public_tokenizers.path("byte_bpe_50k.json")).collect()

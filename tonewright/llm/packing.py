@@ -56,33 +56,34 @@ class OpenWindows:
 
 def _pieces(path: str, end_id: int, size: int, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(path, spaced=True), end_id.to_bytes(4, "little")
-        windows = OpenWindows(TaskContext.get().partitionId() * _TASK, size, most)
-        waiting: dict[int, list] = {}  # pieces of open windows
-
-        def out(rows: list, is_open: bool) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip([*zip(*rows), [is_open] * len(rows)], _PIECES)], schema=_PIECES)
-
-        for batch in batches:
-            for part in slices(batch, most=TEXT_BYTES):
-                ready = []
-                for doc_id, ids in zip(part.column("id").to_pylist(), encode(raw_texts(part))):
-                    ids += end
-                    n, start = len(ids) // 4, 0
-                    while n - start >= size:
-                        ready.append((doc_id, start, size, ids[4 * start : 4 * (start + size)], n, windows.next_id, 0))
-                        windows.next_id += 1
-                        start += size
-                    if start < n:
-                        window, offset, emitted = windows.place(n - start)
-                        ready += waiting.pop(emitted, ())
-                        waiting.setdefault(window, []).append((doc_id, start, n - start, ids[4 * start :], n, window, offset))
-                        if offset + n - start == size:
-                            ready += waiting.pop(window)
-                if ready:
-                    yield out(ready, False)
-        if rest := [row for rows in waiting.values() for row in rows]:
-            yield out(rest, True)
+        end = end_id.to_bytes(4, "little")
+        with encoder(path, spaced=True) as encode:
+            windows = OpenWindows(TaskContext.get().partitionId() * _TASK, size, most)
+            waiting: dict[int, list] = {}  # pieces of open windows
+
+            def out(rows: list, is_open: bool) -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip([*zip(*rows), [is_open] * len(rows)], _PIECES)], schema=_PIECES)
+
+            for batch in batches:
+                for part in slices(batch, most=TEXT_BYTES):
+                    ready = []
+                    for doc_id, ids in zip(part.column("id").to_pylist(), encode(raw_texts(part))):
+                        ids += end
+                        n, start = len(ids) // 4, 0
+                        while n - start >= size:
+                            ready.append((doc_id, start, size, ids[4 * start : 4 * (start + size)], n, windows.next_id, 0))
+                            windows.next_id += 1
+                            start += size
+                        if start < n:
+                            window, offset, emitted = windows.place(n - start)
+                            ready += waiting.pop(emitted, ())
+                            waiting.setdefault(window, []).append((doc_id, start, n - start, ids[4 * start :], n, window, offset))
+                            if offset + n - start == size:
+                                ready += waiting.pop(window)
+                    if ready:
+                        yield out(ready, False)
+            if rest := [row for rows in waiting.values() for row in rows]:
+                yield out(rest, True)
 
     return run
 

@@ -25,10 +25,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .storage import materialise
-from .tokens import CACHE_WORDS, slices
+from .tokens import slices
 from .words import hashed_words, window_hashes
 
 LEAST_WORDS = 50
+#: Words whose measures a worker keeps; at about 200 bytes each, a bound on its memory.
+CACHE_WORDS = 1_000_000
 #: Half-width of a band in interquartile ranges, and the least range that counts as one, by measure.
 WIDTH = 4.0
 LEAST_RANGE = {"chars_per_token": 0.02, "byte_share": 0.005, "token_entropy": 0.1, "chars_per_token_multi": 0.02}

@@ -29,25 +29,26 @@ SHARDS = "part int, seq int, n_tokens long, doc_ids array<long>, lengths array<l
 
 def _encoded(path: str, end_id: int, shard_tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end, part, seq = encoder(path, spaced=False), end_id.to_bytes(4, "little"), TaskContext.get().partitionId(), 0
-        doc_ids, held, size = [], [], 0
-
-        def shard() -> pa.RecordBatch:
-            tokens = np.frombuffer(b"".join(held), "<u4")
-            row = [[part], [seq], [len(tokens)], [doc_ids], [[len(x) // 4 for x in held]], [build(tokens)]]
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(row, _SHARDS)], schema=_SHARDS)
-
-        for batch in batches:
-            for rows in slices(batch, most=TEXT_BYTES):
-                for doc_id, ids in zip(rows.column("id").to_pylist(), encode(raw_texts(rows))):
-                    doc_ids.append(doc_id)
-                    held.append(ids + end)
-                    size += len(ids) // 4 + 1
-                    if size >= shard_tokens:
-                        yield shard()
-                        doc_ids, held, size, seq = [], [], 0, seq + 1
-        if doc_ids:
-            yield shard()
+        end, part, seq = end_id.to_bytes(4, "little"), TaskContext.get().partitionId(), 0
+        with encoder(path, spaced=False) as encode:
+            doc_ids, held, size = [], [], 0
+
+            def shard() -> pa.RecordBatch:
+                tokens = np.frombuffer(b"".join(held), "<u4")
+                row = [[part], [seq], [len(tokens)], [doc_ids], [[len(x) // 4 for x in held]], [build(tokens)]]
+                return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(row, _SHARDS)], schema=_SHARDS)
+
+            for batch in batches:
+                for rows in slices(batch, most=TEXT_BYTES):
+                    for doc_id, ids in zip(rows.column("id").to_pylist(), encode(raw_texts(rows))):
+                        doc_ids.append(doc_id)
+                        held.append(ids + end)
+                        size += len(ids) // 4 + 1
+                        if size >= shard_tokens:
+                            yield shard()
+                            doc_ids, held, size, seq = [], [], 0, seq + 1
+            if doc_ids:
+                yield shard()
 
     return run
 

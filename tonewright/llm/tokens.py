@@ -1,4 +1,4 @@
-"""Exact token ids of whole texts, each distinct word encoded once a worker.
+"""Exact token ids of whole texts, each distinct word encoded once a task, or a few times where a task has very many.
 
 Both vocabularies split a text into words before any merge, so the ids of a text are those of its words in turn. Words
 are cut with numpy over many texts at once, and only where the vocabulary's own pre-tokeniser surely cuts; the tokenizers
@@ -11,14 +11,15 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 
 from .words import SPACE, word_hashes
 
-#: Words whose ids a worker keeps; at about 200 bytes each, a bound on its memory.
-CACHE_WORDS = 1_000_000
+#: Words in each of the two halves of a task's cache; at about 200 bytes each, a bound on its memory.
+HALF_WORDS = 200_000
 #: Words that are encoded as one text.
 TOGETHER = 512
 #: UTF-8 bytes of text that are worked on at a time, and that are encoded at a time.
@@ -59,12 +60,17 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the threads; the library's own only wait for work
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.tokenizer, self.bare, self.spaced = Tokenizer.from_file(path), Tokenizer.from_file(path), spaced
+        self.tokenizer, self.spaced = Tokenizer.from_file(path), spaced
+        self.bare = Tokenizer(self.tokenizer.model)  # the same model in memory
         self.bare.normalizer, self.bare.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit()
         tokens = [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size())]
         self.edge = np.array([t.startswith(_VISIBLE[32]) if spaced else t.endswith("</w>") for t in tokens])
         self.breaks = self.tokenizer.token_to_id(_VISIBLE[10])
+        self.forget()
+
+    def forget(self) -> None:
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def _jointly(self, words: list[bytes], text: str, between: str = " ") -> None:
         """Ids of words from one text (parted by NUL), by the tokens that begin or end a word, or by breaks."""
@@ -169,12 +175,14 @@ class WordEncoder:
         hashes[long_] = np.arange(len(long_), dtype=np.uint64)  # each by itself
         _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
         words = [raw[x:y] for x, y in zip(starts[first].tolist(), ends[first].tolist())]
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        get = self.known.get
+        if len(self.known) > HALF_WORDS:  # words that come again are kept, those that don't go with the older half
+            self.older, self.known = self.known, {}
+        get, older = self.known.get, self.older
         ids = list(map(get, words))
         if None in ids:
-            self.learn([w for w, x in zip(words, ids) if x is None])
+            new = [w for w, x in zip(words, ids) if x is None]
+            self.known.update((w, older[w]) for w in new if w in older)
+            self.learn([w for w in new if w not in older])
             ids = [get(w) if x is None else x for w, x in zip(words, ids)]
         sizes = np.array([len(x) for x in ids], np.int64) // 4
         flat, froms = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(sizes) - sizes
@@ -194,12 +202,19 @@ class WordEncoder:
 _ENCODERS: dict[tuple[str, bool], WordEncoder] = {}
 
 
-def encoder(path: str, spaced: bool) -> WordEncoder:
-    """The worker's encoder for a vocabulary file; tasks of one worker share it."""
+@contextmanager
+def encoder(path: str, spaced: bool) -> Iterator[WordEncoder]:
+    """The worker's encoder for a vocabulary file, for a task.
+
+    Its words go at the task's end: workers outlive their tasks, and what they hold is missing to the stages that follow.
+    """
     key = (path, spaced)
     if key not in _ENCODERS:
         _ENCODERS[key] = WordEncoder(path, spaced)
-    return _ENCODERS[key]
+    try:
+        yield _ENCODERS[key]
+    finally:
+        _ENCODERS[key].forget()
 
 
 def raw_texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
