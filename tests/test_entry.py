@@ -72,3 +72,29 @@ def test_whole_results_are_marked_reported_and_serialised(spark, tmp_path):
             wanted[name][i] = hashlib.md5(out.encode()).hexdigest()
     for name, want in wanted.items():
         assert {r[0]: r[1] for r in entry.queries()[name](spark, str(tmp_path)).collect()} == want, name
+
+
+@pytest.fixture
+def without_text(spark, tmp_path):
+    """Documents some of which have no text (null, empty, white space), at least one of each kind in each way of damage."""
+    texts = ["A moron met an idiot.", "All is well.", None, "", " \n\t"]
+    rows = [(i, texts[i % len(texts)], ("en", "de")[i % 2], f"s{i % 3}", len(texts[i % len(texts)] or "")) for i in range(240)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    return str(tmp_path)
+
+
+def _rows_and_sql(spark, folder, name):
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{folder}/documents.parquet/*.parquet'")
+    wanted = con.sql(entry.oracle_sql()[name])
+    text = lambda x: None if x is None else str(float(x)) if isinstance(x, (int, float)) and not isinstance(x, bool) else str(x)
+    ours = collections.Counter(tuple(text(r[c]) for c in wanted.columns) for r in entry.queries()[name](spark, folder).collect())
+    return ours, collections.Counter(tuple(map(text, r)) for r in wanted.fetchall())
+
+
+@pytest.mark.parametrize("name", ["consistency_audit", "valid_spans", "results_json"])
+def test_documents_without_text_have_clean_results(spark, without_text, name):
+    ours, theirs = _rows_and_sql(spark, without_text, name)
+    assert ours == theirs

@@ -18,11 +18,15 @@ letter by letter. unbiased_text is the whole text with only the listed phrases c
 QUESTION = "Which words of this text are biased?\n\n"
 
 
-def gate_texts(texts: DataFrame, max_chars: int | None = MAX_CHARS) -> DataFrame:
-    """Texts trimmed, with a reject_reason where they are empty or longer than max_chars code points."""
+def gate_texts(texts: DataFrame, max_chars: int | None = MAX_CHARS, allow_empty: bool = False) -> DataFrame:
+    """Texts trimmed, with a reject_reason where they are empty (null ones too) or longer than max_chars code points.
+
+    With allow_empty, empty ones pass; with max_chars None as well, all do.
+    """
     trimmed = texts.withColumn("text", stripped(F.coalesce("text", F.lit(""))))
     long_ = F.length("text") > max_chars if max_chars is not None else F.lit(False)
-    return trimmed.withColumn("reject_reason", F.when(F.col("text") == "", "empty").when(long_, "too_long"))
+    none = F.lit(False) if allow_empty else F.col("text") == ""
+    return trimmed.withColumn("reject_reason", F.when(none, "empty").when(long_, "too_long"))
 
 
 def messages(text: Column) -> Column:
