@@ -98,3 +98,9 @@ def _rows_and_sql(spark, folder, name):
 def test_documents_without_text_have_clean_results(spark, without_text, name):
     ours, theirs = _rows_and_sql(spark, without_text, name)
     assert ours == theirs
+
+
+@pytest.mark.parametrize("name", ["pending_texts", "validate_results", "severity_counts"])
+def test_documents_without_text_have_outcomes(spark, without_text, name):
+    ours, theirs = _rows_and_sql(spark, without_text, name)
+    assert ours == theirs
