@@ -104,3 +104,19 @@ def test_documents_without_text_have_clean_results(spark, without_text, name):
 def test_documents_without_text_have_outcomes(spark, without_text, name):
     ours, theirs = _rows_and_sql(spark, without_text, name)
     assert ours == theirs
+
+
+@pytest.mark.parametrize("name", ["rejects", "label_rates_cube"])
+def test_documents_without_text_are_counted(spark, without_text, name):
+    ours, theirs = _rows_and_sql(spark, without_text, name)
+    assert ours == theirs
+
+
+def test_empty_texts_pass_the_gate_where_asked(spark):
+    from tonewright.operators.prepare import gate_texts
+
+    texts = spark.createDataFrame([(1, None), (2, ""), (3, " \n "), (4, " word "), (5, "x" * 9)], "text_id long, text string")
+    passed = lambda *how: {r["text_id"]: (r["text"], r["reject_reason"]) for r in gate_texts(texts, *how).collect()}
+    assert passed(8, True) == {1: ("", None), 2: ("", None), 3: ("", None), 4: ("word", None), 5: ("x" * 9, "too_long")}
+    assert passed(None, True)[5] == ("x" * 9, None)
+    assert [passed(8)[i][1] for i in range(1, 6)] == ["empty", "empty", "empty", None, "too_long"]
